@@ -94,12 +94,12 @@ def _quality_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
     value = "case g.rule " + " ".join(f"when '{r}' then m_{r}" for r in rules) + " end"
     return rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, coalesce(lang, '') as stratum from documents),
-w as (select rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') as ws from d),
+w as (select rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
 tri as (select rid, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
 gram as (select rid, i, [ws[i], ws[i + 1], ws[i + 2]] as g from tri),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as c from gram) where c > 1),
 rep as (select rid, count(distinct p) as n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) as p from twice) group by rid),
-lines as (select rid, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+lines as (select rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 m as (select d.rid, doc_id, stratum, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines,
   coalesce(n_repeat_words, 0) as n_repeat_words, length(regexp_replace(t, '[^!]', '', 'g')) as n_excl, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper
@@ -129,7 +129,7 @@ with t(name, b) as (values {rows}),
 d as (select row_number() over () as rid, doc_id, coalesce(text, '') as x from documents),
 u as (select distinct rid, doc_id, unnest(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\n[ \t\r]*\n'), [x])) as unit from d),
 w as (select row_number() over () as uid, doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as ws from u),
-a as (select uid, doc_id, list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) as a from w where len(ws) between 2 and 2000),
+a as (select uid, doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as a from w where len(ws) between 2 and 2000),
 s as (select uid, doc_id, name, 2.0::double * len(list_intersect(a, b)) / (len(a) + len(b)) as dice from a cross join t where len(a) between 1 and 400),
 best as (select doc_id, arg_max(name, dice) as license, max(dice) as dice from (select * from s where dice >= {licenses.THRESHOLD} order by name) group by uid, doc_id)
 select doc_id, license, max(dice) as dice, count(*)::bigint as n_units from best group by doc_id, license"""

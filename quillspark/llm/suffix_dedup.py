@@ -6,7 +6,8 @@ starts elsewhere, in any text, is removed; the judgement is on the input.
 1. *Keys.*  A window's key is the smallest hash among its short grams, so equal
    windows have equal keys and neighbours mostly share one: a text becomes a
    few runs (key, start, number of windows).  Runs of one key whose bytes are
-   equal as a whole need no further look.  Keys seen once are dropped.
+   equal as a whole need no further look.  Keys seen once are dropped, unless
+   the gram behind the key recurs inside its run.
 2. *Suffix arrays.*  For keys with several different runs, one copy of each
    run's bytes goes to the task of its key.  There each new batch gets a suffix
    array (window starts in order of the ``length`` bytes that follow); it is
@@ -38,9 +39,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
-from ._text import buffers, mix, prefix_hash, range_hash, slices
+from ._text import SLICE_BYTES, buffers, mix, prefix_hash, range_hash, slices
 
-GRAM, MAX_RUN = 32, 512
+GRAM, MAX_RUN, PLACE_BITS = 32, 512, 22
 BATCH_WINDOWS, FAMILY_WINDOWS, HOT_RUNS = 1 << 14, 1 << 19, 4096
 _U = np.uint64
 
@@ -70,11 +71,21 @@ def window_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, start in the row, windows, key and hash of all bytes, for every run in a slice of rows."""
+    """Row, start in the row, windows, key, hash of all bytes, and whether the key's gram recurs, for every run in a slice of rows.
+
+    Grams are compared by their upper bits, then by place, so the smallest one
+    is the leftmost (or rightmost) of its kind in a window, wherever the window
+    stands in the slice.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(_U), none.astype(_U)
-    key = window_min(gram_hashes(data), length - GRAM + 1)
+        return none, none, none, none, none, none.astype(bool)
+    w = length - GRAM + 1
+    h = gram_hashes(data)
+    place = np.arange(len(h), dtype=_U)
+    high = h & ~_U((1 << PLACE_BITS) - 1)
+    first = (window_min(high | place, w) & _U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    key = h[first]
     size = np.diff(offsets)
     inside = np.zeros(len(key) + 1, np.int32)
     rows = np.flatnonzero(size >= length)
@@ -86,15 +97,30 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     change[offsets[rows]] = True
     starts = np.flatnonzero(change)
     stops = np.r_[starts[1:], len(key)]
-    row = np.searchsorted(offsets[1:], starts, "right")  # the row that the start lies in, empty rows skipped
+    row = np.searchsorted(offsets[1:], starts, "right")
     stops = np.minimum(stops, offsets[row + 1] - length + 1)
     pieces = -(-(stops - starts) // MAX_RUN)
     row, base = np.repeat(row, pieces), np.repeat(starts, pieces)
     nth = np.arange(len(base)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts, last = base + nth * MAX_RUN, np.repeat(stops, pieces)
     count = np.minimum(last - starts, MAX_RUN)
+    back = window_min(high | (_U((1 << PLACE_BITS) - 1) - place), w)[starts + count - 1]
+    rightmost = (1 << PLACE_BITS) - 1 - (back & _U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    again = first[starts] != rightmost
     whole = range_hash(prefix_hash(data), starts, starts + count + length - 1)
-    return row, starts - offsets[row], count, key[starts], whole ^ mix(count.astype(_U))
+    return row, starts - offsets[row], count, key[starts].view(np.int64), (whole ^ mix(count.astype(_U))).view(np.int64), again
+
+
+def all_runs(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """:func:`runs_of` over slices of rows; a text longer than a slice is read in overlapping parts."""
+    data, offsets = buffers(column)
+    for i, j in slices(offsets):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        for at in range(lo, max(hi, lo + 1), SLICE_BYTES) if j == i + 1 else (lo,):
+            end = hi if j > i + 1 else min(hi, at + SLICE_BYTES + length - 1)
+            own = offsets[i : j + 1] - lo if j > i + 1 else np.array([0, end - at])
+            row, start, *rest = runs_of(data[at:end], own, length)
+            yield row + i, start + (at - lo), *rest
 
 
 class SuffixFamily:
@@ -291,21 +317,19 @@ def covers(df: DataFrame, id: str, text: str, length: int, hot: int, scratch: Sc
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column("t"))
             k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))
-            for i, j in slices(offsets):
-                row, s, count, key, whole = runs_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-                cols = [k1[i:j][row], k2[i:j][row], s, count, key.view(np.int64), whole.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "s", "L", "m", "whole"])
-
-    runs, runs_path = scratch.table(texts.mapInArrow(find, "k1 long, k2 long, s long, L long, m long, whole long"))
-    often = runs.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
-    repeated = scratch.save(runs.join(often, "m"))
+            for row, *rest, again in all_runs(batch.column("t"), length):
+                cols = [k1[row], k2[row], *rest]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(again)], ["k1", "k2", "s", "L", "m", "whole", "again"])
+
+    runs, runs_path = scratch.table(texts.mapInArrow(find, "k1 long, k2 long, s long, L long, m long, whole long, again boolean"))
+    often = runs.groupBy("m").agg(F.count("*").alias("c")).where("c > 1")
+    repeated = scratch.save(runs.join(often, "m", "left").where("c is not null or again").drop("c"))
     scratch.drop(runs_path)
-    kinds = repeated.groupBy("m", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "s", "L")).alias("r"))
-    kinds = scratch.save(kinds.select("m", "whole", "n", "r.*"))
+    kinds = repeated.groupBy("m", "whole").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s", "L")).alias("r"))
+    kinds = scratch.save(kinds.select("m", "whole", "n", "again", "r.*"))
     full = repeated.join(kinds.where("n > 1").select("m", "whole"), ["m", "whole"]).select("k1", "k2", "s", (F.col("s") + F.col("L") - 1 + length).alias("e"))
-    several = kinds.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("again").alias("any")).where("kinds > 1 or any").drop("any")
     asked = kinds.join(several, "m").withColumn("hot", F.col("kinds") > hot)
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "n", "s", "L", "hot")).alias("runs"))
 
