@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES = ("files", "pages", "texts", "splits", "tokens", "windows", "models", "stats", "telemetry", "incidents")
 
 
 def load() -> None:

@@ -1,0 +1 @@
+"""Tables, corpus files, traces and sinks."""
