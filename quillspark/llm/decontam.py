@@ -43,13 +43,13 @@ _U = np.uint64
 class Items:
     """Hashed words of a block of test items."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         column = pa.array([t or "" for t in texts], pa.string())
         words, rows = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
         for i, _, h, r, *_ in hashed_words(column, LETTER):
             words.append(h)
             rows.append(r + i)
-        self.words, self.rows, self.ids = np.concatenate(words), np.concatenate(rows), np.array(ids, np.int64)
+        self.words, self.rows, self.ids = np.concatenate(words), np.concatenate(rows), list(ids)
         cut = np.searchsorted(self.rows, np.arange(len(ids) + 1))
         self.cut = cut
         self.grams, self.first = ngrams(self.words, self.rows, N)
@@ -183,7 +183,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
                     if rest[0] >= threshold and rest[0] > best.get((row, item), (0.0,))[0]:
                         best[row, item] = tuple(rest)
                 rows = sorted(best)
-                cols = [batch.column("_id").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([int(items.ids[i]) for _, i in rows], pa.int64())]
+                cols = [batch.column("_id").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([items.ids[i] for _, i in rows], pa.int64())]
                 for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.int64())):
                     cols.append(pa.array([best[x][k] for x in rows], kind))
                 yield pa.RecordBatch.from_arrays(cols, ["_id", *kinds])

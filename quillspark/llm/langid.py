@@ -87,12 +87,13 @@ class Parser:
                     break
             learnt = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
             steps = suffix_automaton(learnt.tolist())
-            table = np.full((len(steps), ALPHABET), -1, np.int32)
+            between = len(steps)  # a state after a phrase of one unknown symbol, and before the first phrase
+            table = np.full((between + 1, ALPHABET), -1, np.int32)
             for state, nexts in enumerate(steps):
                 for s, to in nexts.items():
                     table[state, s] = to * ALPHABET
             table[:, OTHER] = -1
-            again = np.where(table[0] >= 0, table[0], 0) | BREAK  # the phrase ends; the symbol starts the next one
+            again = np.where(table[0] >= 0, table[0], between * ALPHABET) | BREAK  # the symbol starts a phrase
             self.tables.append(np.where(table >= 0, table, again).astype(np.int32).ravel())
             self.sizes.append(max(len(learnt), 2))
 
@@ -144,8 +145,8 @@ class Parser:
         for k, n in enumerate(active):
             grid[k, :n] = flat[start[:n] + k]
         for lang, table in enumerate(self.tables):
-            state = np.zeros(len(start), np.int32)
-            count = np.ones(len(start), np.int32)
+            state = np.full(len(start), len(table) - ALPHABET, np.int32)
+            count = np.zeros(len(start), np.int32)
             for k, n in enumerate(active):
                 to = table[state[:n] + grid[k, :n]]
                 count[:n] += to >> 30
