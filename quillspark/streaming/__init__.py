@@ -1,0 +1 @@
+"""Streaming twins of the trace operators."""
