@@ -170,7 +170,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     """One row per text and test item aligned at ``threshold`` or more: id, item_id, score, start, stop (bytes), n_seeds."""
     source = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t"))
     kinds = {"item_id": "long", "score": "double", "start": "long", "stop": "long", "n_seeds": "long"}
-    schema = source.select("_id", *(F.lit(0).cast(k).alias(c) for c, k in kinds.items())).schema
+    schema = source.select("_id", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items())).schema
     found = []
     for block in blocks_of(benchmark, item_id, item_text, block_words):
         chosen = prepared(source, block)
