@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 from ._text import WORD_BYTES, hashed_words, mix
 
-BUCKETS, SHARE, SMOOTH = 1 << 16, 0.8, 1.0
+BUCKETS, SHARE, SMOOTH = 1 << 16, 0.85, 1.0
 _U = np.uint64
 
 

@@ -226,7 +226,7 @@ def test_importance_prefers_the_target(spark, sf):
     rows = [(i, words(i, 50) if i % 5 else " ".join("junk" + w for w in words(i, 50).split())) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
-    assert all(r.kept == (r.doc_id % 5 > 0) for r in importance.resample(docs, labels).collect())
+    assert all(r.kept == (r.doc_id % 5 > 0) for r in importance.resample(docs, labels, share=0.8).collect())
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 50, 100, 101])
