@@ -158,12 +158,12 @@ def characters(docs: DataFrame) -> DataFrame:
 
 @query(
     "char_coverage",
-    f"""with {MEETINGS}, c as (select split, ch, count(*) as n from (select split, unnest(string_split(body || case when doc_id % 90 = 4 then '✓' else '' end, '')) as ch from split_docs) where ch <> '' group by all)
+    f"""with {MEETINGS}, c as (select split, ch, count(*) as n from (select split, unnest(string_split(body || case when split <> 'T' and doc_id % 5 = 4 then '✓' else '' end, '')) as ch from split_docs) where ch <> '' group by all)
     select split, 'U+' || lpad(upper(to_hex(unicode(ch))), 4, '0') as code, n from c where split in ('N', 'F') and ch not in (select ch from c where split = 'T')""",
 )
 def char_coverage(spark, sf):
     docs = with_split(documents(spark, sf))
-    docs = docs.withColumn("body", F.when((F.col("doc_id") % 90 == 4), F.concat("body", F.lit("✓"))).otherwise(F.col("body")))
+    docs = docs.withColumn("body", F.when((F.col("split") != "T") & (F.col("doc_id") % 5 == 4), F.concat("body", F.lit("✓"))).otherwise(F.col("body")))
     return uncovered(characters(docs), "T", ("N", "F"))
 
 
