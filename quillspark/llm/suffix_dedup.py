@@ -330,6 +330,7 @@ def covers(df: DataFrame, id: str, text: str, length: int, hot: int, scratch: Sc
     kinds = scratch.save(kinds.select("m", "whole", "n", "again", "r.*"))
     full = repeated.join(kinds.where("n > 1").select("m", "whole"), ["m", "whole"]).select("k1", "k2", "s", (F.col("s") + F.col("L") - 1 + length).alias("e"))
     several = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("again").alias("any")).where("kinds > 1 or any").drop("any")
+    several = scratch.save(several)  # so that the join below has no aggregate on its side and can split a skewed key
     asked = kinds.join(several, "m").withColumn("hot", F.col("kinds") > hot)
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "n", "s", "L", "hot")).alias("runs"))
 
