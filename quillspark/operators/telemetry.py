@@ -18,8 +18,10 @@ COSTS = (
 #: Event types of the test tables stand for tools.
 TOOLS = {"click": "retrieve_runbook", "error": "run_diagnostic", "purchase": "summarize_incident", "signup": "create_incident"}
 
-LOOP = Window.partitionBy("run", "loop").orderBy("seq")
-SO_FAR = LOOP.rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far():
+    """The events of a loop up to and with each one."""
+    return Window.partitionBy("run", "loop").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def left(limit: Column, used: Column) -> Column:
@@ -31,9 +33,9 @@ def spent(rows: DataFrame) -> DataFrame:
     """Adds sums up to and with each event of its loop."""
     return rows.withColumns(
         {
-            "ms": F.sum(F.coalesce("latency_ms", F.lit(0))).over(SO_FAR),
-            "used": F.sum(F.coalesce("tokens", F.lit(0))).over(SO_FAR),
-            "failures": F.sum((F.col("status") != "ok").cast("long")).over(SO_FAR),
+            "ms": F.sum(F.coalesce("latency_ms", F.lit(0))).over(so_far()),
+            "used": F.sum(F.coalesce("tokens", F.lit(0))).over(so_far()),
+            "failures": F.sum((F.col("status") != "ok").cast("long")).over(so_far()),
         }
     )
 
@@ -57,7 +59,7 @@ def guarded(rows: DataFrame, remote: bool, ms: int = MS, tokens: int = TOKENS) -
     rows = spent(rows)
     if remote:
         ok = (F.col("ms") < ms) & (F.col("used") < tokens)
-        rows = rows.withColumn("failures", F.sum(F.when(ok & (F.col("status") != "ok"), 1).otherwise(0)).over(SO_FAR))
+        rows = rows.withColumn("failures", F.sum(F.when(ok & (F.col("status") != "ok"), 1).otherwise(0)).over(so_far()))
         why = F.when(F.col("seq") > STEPS, "steps").when(F.col("ms") >= ms, "ms").when(F.col("used") >= tokens, "tokens").when(F.col("failures") >= FAILURES, "failures")
     else:
         why = F.when(F.col("seq") > STEPS, "steps").when(F.col("ms") > ms, "ms").when(F.col("used") >= tokens, "tokens").when(F.col("failures") >= FAILURES, "failures")

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.operators.files import serialized
 from quillspark.operators.splits import MEETINGS, with_split
@@ -15,17 +16,17 @@ from quillspark.plans.registry import query
 from quillspark.sources.tables import DOCS, documents, table
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", html.unescape(t)))
 

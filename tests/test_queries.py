@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -39,3 +41,8 @@ def test_query(name, spark, sf, duck):
     assert sorted(names) == columns
     expected = ordered([tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()])
     assert rows == expected
+
+
+def test_names_can_be_read_without_a_session():
+    code = "import __spark_entry__ as e; assert e.oracle_sql().keys() <= e.queries().keys()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True, timeout=120)
