@@ -45,10 +45,12 @@ CLOSES_P = BLOCKS - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "cap
 #: Words of class and id values that mark what is not the article.
 WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies "
-    "copyright disclaimer disqus footer gdpr legal masthead menu modal nav navbar navigation newsletter notice notification pager "
+    "alert copyright disclaimer disqus footer gdpr legal masthead menu modal nav navbar navigation newsletter notice notification pager "
     "pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup "
     "social sponsor sponsored subscribe subscription toc toolbar tracking widget".split()
 )
+#: Words beside "header" that make it the article's own.
+OWN = frozenset("article content entry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TAG = re.compile(
@@ -68,7 +70,8 @@ def unwanted(tag: str, attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            if not WORDS.isdisjoint(SPLIT.split(CAMEL.sub(" ", value).lower())):
+            words = set(SPLIT.split(CAMEL.sub(" ", value).lower()))
+            if not WORDS.isdisjoint(words) or "header" in words and words.isdisjoint(OWN):
                 return True
         elif name == "role":
             if not ROLES.isdisjoint(value.lower().split()):
@@ -181,7 +184,18 @@ def main_text(page: str | None) -> str:
         weights = [max(1, w) if article else 0 for _, w, article, _ in lines]
     else:
         weights = [w for _, w, _, _ in lines]
-    n, need = len(lines), 1 if marked else SURGE
+    regions = regions_of(lines, weights, 1 if marked else SURGE, marked)
+    if not regions:  # no text that surges: a short article
+        regions = regions_of(lines, weights, 1, marked)
+    if not regions:
+        return ""
+    kept = [k for r in regions for k in r] if marked else max(regions, key=lambda r: sum(weights[k] for k in r))
+    return "\n\n".join(lines[k][0] for k in kept)
+
+
+def regions_of(lines: list[tuple[str, int, bool, bool]], weights: list[int], need: int, marked: bool) -> list[list[int]]:
+    """Line numbers between each surge and the next dive."""
+    n = len(lines)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     regions, i = [], 0
     while i < n:
@@ -197,10 +211,7 @@ def main_text(page: str | None) -> str:
                 region.insert(0, region[0] - 1)
         regions.append(region)
         i = j
-    if not regions:
-        return ""
-    kept = [k for r in regions for k in r] if marked else max(regions, key=lambda r: sum(weights[k] for k in r))
-    return "\n\n".join(lines[k][0] for k in kept)
+    return regions
 
 
 def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

@@ -196,6 +196,11 @@ def test_page_without_article():
     ]
 
 
+def test_short_page_and_class_headers():
+    assert html_extract.main_text("<body><div class=page-header>Site</div><div class='entry-header'><h1>Title</h1></div><p>Short.</body>") == "Title\n\nShort."
+    assert html_extract.main_text("<article><header><h1>T</h1></header><p>x<div class=ad>y</div><section id=comments><article><p>c</article></section></article>") == "T\n\nx"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "</p>", "<p class='", "&amp", "<nav>x", "<article></article>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(html_extract.main_text(page), str)
