@@ -196,17 +196,19 @@ def matches(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
 def without_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_words: int = 500_000) -> DataFrame:
     """The rows of ``df``, as they came, that no test item is aligned with; nothing is joined or moved."""
     for block in blocks_of(benchmark, item_id, item_text, block_words):
-        rows = df.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_t"))
-        chosen = prepared(rows.select("_t"), block)
+        rows = df.select(F.struct("*").alias("_row"))
+        chosen = prepared(df.select(F.col(text).cast("string").alias("_t")), block)
 
         def keep(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             items, seeds, table = chosen.value
             for batch in batches:
-                bad = {row for row, _, score, *_ in scan(batch.column("_t"), items, seeds, table) if score >= threshold}
-                good = pa.array([r for r in range(batch.num_rows) if r not in bad], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("_row").take(good)], ["_row"])
+                for i in range(0, batch.num_rows, 1024):
+                    part = batch.column("_row").slice(i, 1024)
+                    bad = {row for row, _, score, *_ in scan(part.field(text).cast(pa.string()), items, seeds, table) if score >= threshold}
+                    good = pa.array([r for r in range(len(part)) if r not in bad], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.take(good)], ["_row"])
 
-        df = rows.mapInArrow(keep, rows.select("_row").schema).select("_row.*")
+        df = rows.mapInArrow(keep, rows.schema).select("_row.*")
     return df
 
 

@@ -374,16 +374,18 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 4
     """
     scratch = Scratch(df.sparkSession, "suffix")
     spans = covers(df, id, text, length, hot, scratch)
-    whole = df.select(F.struct("*").alias("_row"), *row_keys(id, text), F.col(text).cast("string").alias("_t"))
-    joined = whole.join(spans, ["k1", "k2"], "left").select("_row", "_t", "spans")
+    whole = df.select(F.struct("*").alias("_row"), *row_keys(id, text))
+    joined = whole.join(spans, ["k1", "k2"], "left").select("_row", "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column("_t").cast(pa.binary()).to_pylist()
-            done = [remove(b or b"", s) for b, s in zip(bodies, batch.column("spans").to_pylist(), strict=True)]
-            sizes = [len(b or b"") for b in bodies]
-            cols = [batch.column("_row"), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(sizes, done, strict=True)], pa.int64()), pa.array([s for _, s in done], pa.int64()), pa.array([k.decode("utf-8", "ignore") if as_text else k for k, _ in done], pa.string() if as_text else pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["_row", "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                bodies = [b or b"" for b in part.column("_row").field(text).cast(pa.string()).cast(pa.binary()).to_pylist()]
+                done = [remove(b, s) for b, s in zip(bodies, part.column("spans").to_pylist(), strict=True)]
+                kept = [k.decode("utf-8", "ignore") if as_text else k for k, _ in done]
+                cols = [part.column("_row"), pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(k) for b, (k, _) in zip(bodies, done, strict=True)], pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "_n_bytes", "_n_removed", "_n_spans", "_kept"])
 
     schema = joined.select("_row", *(F.lit(0).cast("long").alias(c) for c in ("_n_bytes", "_n_removed", "_n_spans")), F.lit("" if as_text else b"").alias("_kept")).schema
     return joined.mapInArrow(strip, schema)
