@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LONG_PIECE, CACHE_PIECES, MATRIX_CELLS = 256, 300_000, 1 << 20
+LONG_PIECE, CACHE_PIECES, MATRIX_CELLS = 256, 300_000, 1 << 19
 NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -70,10 +70,11 @@ class Encoder:
     def _slot(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
         return ((keys ^ (keys >> _U(29))) * _U(0x9E3779B97F4A7C15 + 2 * 0x51ED2701 * k) >> _U(64 - bits)).astype(np.int64)
 
-    def _hashed(self, keys: np.ndarray, values: np.ndarray, bits: int = 20) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Flat tables in order; a pair that meets a taken slot goes on to the next table."""
+    def _hashed(self, keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Flat tables in order, sparse ones; a pair that meets a taken slot goes on to the next table."""
         tables = []
         while len(keys):
+            bits = max(8, len(keys).bit_length() + 2)
             slot = self._slot(keys, len(tables), bits)
             held, rank = np.full(1 << bits, ~_U(0)), np.full(1 << bits, NONE, np.int32)
             _, first = np.unique(slot, return_index=True)
@@ -88,7 +89,7 @@ class Encoder:
         keys = a.astype(_U) << _U(32) | b.astype(_U)
         out = np.full(keys.shape, NONE, np.int32)
         for k, (held, rank) in enumerate(self.tables):
-            slot = self._slot(keys, k, 20)
+            slot = self._slot(keys, k, len(held).bit_length() - 1)
             out = np.where(held[slot] == keys, rank[slot], out)
         return out
 
