@@ -4,9 +4,10 @@ Every text gets a 64-bit fingerprint.  Rows with one fingerprint collapse to
 their smallest id.  Distinct fingerprints are cut into ``BLOCKS`` blocks; two
 that differ in at most ``radius`` bits agree on all blocks but ``radius`` of
 them, so each fingerprint goes to one bucket per choice of the blocks kept.
-A bucket's shared masked pattern is the top node of the index.  With the
-default sizes 48 bits are fixed, so a bucket holds at most 2**16 fingerprints
-however large a group of copies is.  Inside buckets the fingerprints lie in
+A bucket's shared masked pattern is the top node of the index.  At a radius of
+two 48 bits are fixed, so a bucket holds at most 2**16 fingerprints however large
+a group of copies is (2**24 at a radius of three), and a fingerprint has at most
+136 (2,324) neighbours in it.  Inside buckets the fingerprints lie in
 order of Gray rank; runs of ``FANOUT`` neighbours form nodes that keep only
 the bits their members share beyond the parent's, and a search adds up the
 differences on its way down and leaves a node, with all below it, once they
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._scratch import Scratch
 
-BLOCKS, FANOUT, SEED = 8, 16, 42
+BLOCKS, FANOUT, QUERIES, SEED = 8, 16, 4096, 42
 _U = np.uint64
 
 
@@ -93,13 +94,12 @@ def forest(bucket: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.nda
         mask, pattern, bucket = shared, pattern[starts] & shared, bucket[starts]
 
 
-def search(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of one bucket at most ``radius`` bits apart; rows lie in order of (bucket, Gray rank)."""
+def search(bucket: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one bucket at most ``radius`` bits apart, some queries at a time; rows lie in order of (bucket, Gray rank)."""
     levels = forest(bucket, fps)
     root = np.cumsum(np.r_[False, bucket[1:] != bucket[:-1]])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(fps), 1 << 14):
-        q = np.arange(lo, min(lo + (1 << 14), len(fps)))
+    for lo in range(0, len(fps), QUERIES):
+        q = np.arange(lo, min(lo + QUERIES, len(fps)))
         node, spent = root[q], np.zeros(len(q), np.uint8)
         for starts, ends, mask, pattern, above in reversed(levels):
             size = ends[node] - starts[node]
@@ -109,26 +109,30 @@ def search(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
             near = spent <= radius
             q, node, spent = q[near], child[near], spent[near]
         ahead = q < node
-        left.append(q[ahead])
-        right.append(node[ahead])
-    return np.concatenate(left), np.concatenate(right)
+        yield q[ahead], node[ahead]
 
 
 def stars(bucket: np.ndarray, fps: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every fingerprint with a link, its representative and the smallest one in its bucket's linked set."""
+    """Representatives with a link, each with the smallest one of its linked set, for some queries at a time.
+
+    Sets found by different queries meet through the members that they share.
+    """
     order = np.lexsort((gray_rank(fps), bucket))
     bucket, fps, reps = bucket[order], fps[order], reps[order]
-    a, b = search(bucket, fps, radius)
-    top = reps.copy()
-    while True:
-        low = np.minimum(top[a], top[b])
-        was = top.copy()
-        np.minimum.at(top, a, low)
-        np.minimum.at(top, b, low)
-        if (was == top).all():
-            break
-    linked = np.flatnonzero(top != reps)
-    return reps[linked], top[linked]
+    left, right = [reps[:0]], [reps[:0]]
+    for a, b in search(bucket, fps, radius):
+        top = reps.copy()
+        while True:
+            low = np.minimum(top[a], top[b])
+            was = top.copy()
+            np.minimum.at(top, a, low)
+            np.minimum.at(top, b, low)
+            if (was == top).all():
+                break
+        linked = np.flatnonzero(top != reps)
+        left.append(reps[linked])
+        right.append(top[linked])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def links(reps: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
@@ -179,7 +183,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     return out.select(F.col("_id").alias(id), F.col("_fp").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("component_id"))
 
 
-def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 2, blocks: int = BLOCKS, send_rows: int = 2_000_000) -> DataFrame:
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, blocks: int = BLOCKS, send_rows: int = 2_000_000) -> DataFrame:
     """The rows of ``df``, as they came, less all but one of each linked set: the one with the smallest id.
 
     Rows with a null id stay.  The ids to leave out are broadcast only where

@@ -30,7 +30,7 @@ def test_gray_index_finds_all_links(radius):
     bucket = r.integers(0, 3, len(fps))
     order = np.lexsort((simhash.gray_rank(fps), bucket))
     bucket, fps = bucket[order], fps[order]
-    a, b = simhash.search(bucket, fps, radius)
+    a, b = map(np.concatenate, zip(*simhash.search(bucket, fps, radius), strict=True))
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bucket[i] == bucket[j] and int(fps[i] ^ fps[j]).bit_count() <= radius}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want)
 

@@ -20,7 +20,7 @@ def test_pipeline(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     passed = {r._id for r in quality_rules.judge(docs, labels).where("_kept").select("_id").collect()}
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in passed}
-    top = plain.components({i: plain.fingerprint(t, 5) for i, t in rows.items()}, 2)
+    top = plain.components({i: plain.fingerprint(t, 5) for i, t in rows.items()}, 3)
     rows = {i: t for i, t in rows.items() if top[i] == i}
     bodies = [t.encode() for t in rows.values()]
     rows = {i: plain.kept(b, g).decode("utf-8", "ignore") for i, b, g in zip(rows, bodies, plain.repeats(bodies, 400), strict=True)}
