@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.splits import MEETINGS, with_split
 from quillspark.plans.registry import query
+from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
 
 ORDER = 5
@@ -78,9 +79,9 @@ nll as (select doc_id, split, sum(-ln(p) * n) as total_nll, sum(n)::bigint as bo
 def fitted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored documents' grams, learnt counts, and probabilities of what is scored."""
     docs = with_split(documents(spark, sf))
-    counts = ngram_counts_of(grams(docs.where("split = 'T'"), []))
+    counts = shared_table(ngram_counts_of(grams(docs.where("split = 'T'"), [])))  # every order reads them
     n_chars = counts.where("k = 0").count()
-    scored = grams(docs.where("split in ('N', 'F')"), ["doc_id", "split"])
+    scored = shared_table(grams(docs.where("split in ('N', 'F')"), ["doc_id", "split"]))
     return scored, counts, witten_bell(scored.select("ctx", "ch").distinct(), counts, n_chars)
 
 

@@ -9,6 +9,7 @@ from quillspark.operators.models import PROB, scores
 from quillspark.operators.splits import MEETINGS, with_split
 from quillspark.operators.windows import draw
 from quillspark.plans.registry import query
+from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
 
 RESAMPLES = 200
@@ -83,7 +84,7 @@ BPC = f"""{PROB}, sc as (select n.doc_id, d.genre, d.meeting_id as cluster, d.me
 
 
 def _bpc(spark, sf) -> DataFrame:
-    s = scores(spark, sf).select("doc_id", F.col("split").alias("stratum"), F.round("bpc", 6).alias("x"))
+    s = shared_table(scores(spark, sf).select("doc_id", F.col("split").alias("stratum"), F.round("bpc", 6).alias("x")))  # one narrow row a document
     return s.join(documents(spark, sf).select("doc_id", "genre", F.col("meeting_id").alias("cluster"), "meeting_date"), "doc_id")
 
 
