@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.splits import MEETINGS, require, with_split
 from quillspark.plans.registry import query
+from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
 
 # Special tokens before the characters, and the mark of a word's end.
@@ -182,14 +187,216 @@ def fit_merges(counted: list[tuple[str, int]], vocabulary_size: int) -> list[tup
     return merges
 
 
-#: Distinct words that the fit keeps on the driver at most; rarer ones hardly move the counts.
-FIT_WORDS = 50_000
-
-
-def merges_of(docs: DataFrame, size: int) -> list[tuple[str, str, bool]]:
-    """Fits on the most frequent distinct words (a bounded table, counted over all learnt texts)."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(FIT_WORDS).collect()
-    return fit_merges([(r.word, r.n) for r in top], size)
+#: Up to so many distinct words are fitted on the driver; of more the driver only foresees merges, and all words decide.
+DRIVER_WORDS = 100_000
+#: Merges foreseen for one pass over all words.
+FORESEEN = 64
+
+
+def joined(s: np.ndarray, weight: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (symbol ids, a zero after each word) and weights after a merge, and the pairs whose counts it changed, by how much."""
+    at = np.flatnonzero((s[:-1] == left) & (s[1:] == right))
+    if left == right and len(at):  # in a run every other one
+        first = np.r_[True, np.diff(at) != 1]
+        at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+    if not len(at):
+        return s, weight, np.zeros(0, np.int64), weight[:0]
+    gone, lost = pairs_at(s, weight, np.concatenate([at - 1, at, at + 1]))
+    keep = np.ones(len(s), bool)
+    keep[at + 1] = False
+    s = s.copy()
+    s[at] = new
+    s, weight = s[keep], weight[keep]
+    at = at - np.arange(len(at))
+    come, won = pairs_at(s, weight, np.concatenate([at - 1, at]))
+    return s, weight, *totals(np.concatenate([gone, come]), np.concatenate([-lost, won]))
+
+
+def pairs_at(s: np.ndarray, weight: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that start at these places, each place once, and their weights; none crosses words."""
+    places = np.unique(places)
+    places = places[(places >= 0) & (places < len(s) - 1)]
+    places = places[(s[places] > 0) & (s[places + 1] > 0)]
+    return s[places].astype(np.int64) << 32 | s[places + 1], weight[places]
+
+
+def totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sum of their values."""
+    once, place = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(once), values.dtype)
+    np.add.at(total, place, values)
+    return once, total
+
+
+class Fit:
+    """Pair counts, tokens and merges so far; pairs are two symbol ids in one number."""
+
+    def __init__(self, names: list[str], counts: dict[int, float], tokens: int, ids: dict[str, int] | None = None):
+        self.names, self.counts, self.tokens = names, counts, tokens
+        self.ids = ids or {c: i for i, c in enumerate(names) if i}
+        self.heap = [(-n, self.pair(k), k) for k, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def pair(self, key: int) -> tuple[str, str]:
+        return self.names[key >> 32], self.names[key & 0xFFFFFFFF]
+
+    def copy(self) -> Fit:
+        return Fit(list(self.names), dict(self.counts), self.tokens, dict(self.ids))
+
+    def best(self, size: int) -> int | None:
+        """The pair of the next merge: the largest count, of equal ones the smaller pair; none below a count of two or at the size."""
+        while self.heap and self.counts.get(self.heap[0][2]) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        if not self.heap or -self.heap[0][0] < 2 or self.tokens >= size:
+            return None
+        return self.heap[0][2]
+
+    def name(self, key: int) -> tuple[int, int, int, bool]:
+        """Both ids of a pair, the id of what it makes, and whether that is a new token; equal strings are one symbol."""
+        made = "".join(self.pair(key))
+        fresh = made not in self.ids
+        if fresh:
+            self.ids[made] = len(self.names)
+            self.names.append(made)
+            self.tokens += 1
+        return key >> 32, key & 0xFFFFFFFF, self.ids[made], fresh
+
+    def change(self, keys: np.ndarray, by: np.ndarray) -> None:
+        for k, d in zip(keys.tolist(), by.tolist(), strict=True):
+            n = self.counts.get(k, 0) + d
+            if n > 0:
+                self.counts[k] = n
+                heapq.heappush(self.heap, (-n, self.pair(k), k))
+            else:
+                self.counts.pop(k, None)
+
+
+def symbols_of(found: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words' characters with end mark and a zero, and how many belong to each word."""
+    sizes = np.array([len(w) + 2 for w in found], np.int64)
+    points = np.frombuffer("".join(w + END + END for w in found).encode("utf-32-le", "surrogatepass"), "<u4")
+    s = (np.searchsorted(alphabet, points) + 1).astype(np.int32)
+    s[np.cumsum(sizes) - 1] = 0
+    return s, sizes
+
+
+def packed(s: np.ndarray) -> pa.Array:
+    """One binary value a word."""
+    stops = np.r_[0, (np.flatnonzero(s == 0) + 1) * 4].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(s))])
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words of a batch, and the weight of each symbol."""
+    column, n = batch.column("s"), batch.column("n").to_numpy(zero_copy_only=False)
+    large = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    stops = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    s = np.frombuffer(data, np.uint8)[stops[0] : stops[-1]].view(np.int32) if data is not None else np.zeros(0, np.int32)
+    return s, np.repeat(n, np.diff(stops) // 4)
+
+
+def merges_of(docs: DataFrame, size: int, driver_words: int = DRIVER_WORDS) -> list[tuple[str, str, bool]]:
+    """Merges fitted on every distinct word, the first ``size`` tokens (as :func:`fit_merges`).
+
+    Words stay in a written table of symbol ids.  The driver holds the pair
+    counts, at most the square of ``size``, and a bounded sample of words.  It
+    foresees merges on the sample; one pass over all words applies them in order
+    and gives the exact changes of the counts at each.  Foreseen merges hold as
+    long as each is the best pair by the exact counts; from the first that is
+    not, the sample goes on from the exact counts.  So the sample decides how
+    many passes are made, never a merge.
+    """
+    counts = shared_table(word_counts(docs))
+    letters = sorted({END} | {r.c for r in counts.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()})
+    alphabet = np.array([ord(c) for c in letters], np.uint32)
+    context = counts.sparkSession.sparkContext
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([packed(symbols_of(batch.column("word").to_pylist(), alphabet)[0]), batch.column("n")], ["s", "n"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            s, weight = unpacked(batch)
+            k, v = pairs_at(s, weight, np.arange(len(s)))
+            keys, values = totals(np.concatenate([keys, k]), np.concatenate([values, v]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], ["k", "d"])
+
+    table = shared_table(counts.mapInArrow(start, "s binary, n long"))
+    base = {r.k: r.d for r in table.mapInArrow(first, "k long, d long").groupBy("k").agg(F.sum("d").alias("d")).collect()}
+    exact = Fit(["", *letters], base, len(letters))
+
+    n_words = counts.count()
+    top = counts.orderBy(F.desc("n"), "word").limit(min(driver_words, n_words) if n_words <= driver_words else driver_words // 2).collect()
+    sample, times = [(r.word, r.n) for r in top], 1.0
+    if n_words > driver_words:  # the others by hash, each for as many as it stands for
+        least = F.struct(F.lit(-top[-1].n).alias("n"), F.lit(top[-1].word).alias("word")) if top else None
+        rest = counts.where(F.struct((-F.col("n")).alias("n"), "word") > least) if top else counts
+        some = rest.orderBy(F.xxhash64("word"), "word").limit(driver_words - len(top)).collect()
+        times = (n_words - len(top)) / len(some)
+        sample += [(r.word, r.n * times) for r in some]
+    s, sizes = symbols_of([w for w, _ in sample], alphabet)
+    weight = np.repeat(np.array([n for _, n in sample], np.int64 if times == 1.0 else np.float64), sizes)
+
+    merges: list[tuple[str, str, bool]] = []
+    pending: list[tuple[int, int, int]] = []  # held, but not yet in the table
+    whole = n_words <= driver_words
+    while (best := exact.best(size)) is not None:
+        if whole:
+            left, right, new, fresh = exact.name(best)
+            s, weight, keys, by = joined(s, weight, left, right, new)
+            exact.change(keys, by)
+            merges.append((exact.names[left], exact.names[right], fresh))
+            continue
+        guess, s2, w2, steps = exact.copy(), s, weight, []
+        while len(steps) < FORESEEN and (best := guess.best(size)) is not None:
+            left, right, new, _ = guess.name(best)
+            s2, w2, keys, by = joined(s2, w2, left, right, new)
+            guess.change(keys, by)
+            guess.counts.pop(best, None)  # the merged pair is gone from all words, however the sample has it
+            steps.append((left, right, new))
+        sent = context.broadcast((list(pending), steps))
+
+        def changes(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            before, steps = sent.value
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(steps)
+            for batch in batches:
+                s, weight = unpacked(batch)
+                for step in before:
+                    s, weight, *_ = joined(s, weight, *step)
+                for i, step in enumerate(steps):
+                    s, weight, keys, by = joined(s, weight, *step)
+                    found[i] = totals(np.concatenate([found[i][0], keys]), np.concatenate([found[i][1], by]))
+            for i, (keys, by) in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i)), pa.array(keys), pa.array(by)], ["i", "k", "d"])
+
+        # a row for each pair that a step changes: its symbols and all that stand beside them
+        rows = table.mapInArrow(changes, "i long, k long, d long").groupBy("i", "k").agg(F.sum("d").alias("d")).toPandas()
+        rows = {i: (g["k"].to_numpy(), g["d"].to_numpy()) for i, g in rows.groupby("i")}
+        for i, step in enumerate(steps):
+            best = exact.best(size)
+            if best is None or (best >> 32, best & 0xFFFFFFFF) != step[:2]:
+                break
+            left, right, new, fresh = exact.name(best)
+            exact.change(*rows[i])
+            s, weight, *_ = joined(s, weight, left, right, new)
+            merges.append((exact.names[left], exact.names[right], fresh))
+            pending.append((left, right, new))
+        sent.unpersist()
+        if len(pending) >= 2 * FORESEEN:
+            done = list(pending)
+
+            def rewrite(batches: Iterator[pa.RecordBatch], done=done) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    s, weight = unpacked(batch)
+                    for step in done:
+                        s, weight, *_ = joined(s, weight, *step)
+                    yield pa.RecordBatch.from_arrays([packed(s), batch.column("n")], ["s", "n"])
+
+            table, pending = shared_table(table.mapInArrow(rewrite, "s binary, n long")), []
+    return merges
 
 
 def encoded(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -215,19 +422,20 @@ def encode_words(counted: DataFrame, merges: list[tuple[str, str, bool]]) -> Dat
     return counted.withColumn("symbols", run("word"))
 
 
-BPE_SIZE = 200
+#: Tokens of the fit: special tokens, characters, the end mark and what merges make.
+BPE_SIZE = 2000
 
 
 @query("bpe_merges")
 def bpe_merges(spark, sf):
-    merges = merges_of(with_split(documents(spark, sf)).where("split = 'T'"), BPE_SIZE)
+    merges = merges_of(with_split(documents(spark, sf)).where("split = 'T'"), BPE_SIZE - len(SPECIALS))
     return spark.createDataFrame([(i, a, b, f) for i, (a, b, f) in enumerate(merges)], "rank int, left string, right string, is_new boolean")
 
 
 @query("bpe_encode")
 def bpe_encode(spark, sf):
     docs = with_split(documents(spark, sf))
-    merges = merges_of(docs.where("split = 'T'"), BPE_SIZE)
+    merges = merges_of(docs.where("split = 'T'"), BPE_SIZE - len(SPECIALS))
     found = encode_words(word_counts(docs), merges)
     return found.select("word", "n", F.size("symbols").alias("n_symbols"))
 
@@ -235,7 +443,7 @@ def bpe_encode(spark, sf):
 @query("bpe_roundtrip")
 def bpe_roundtrip(spark, sf):
     docs = with_split(documents(spark, sf))
-    merges = merges_of(docs.where("split = 'T'"), BPE_SIZE)
+    merges = merges_of(docs.where("split = 'T'"), BPE_SIZE - len(SPECIALS))
     found = encode_words(word_counts(docs), merges)
     back = F.replace(F.array_join("symbols", ""), F.lit(END), F.lit(""))
     return found.agg(F.count("*").alias("words"), F.count_if(back == F.col("word")).alias("lossless"))

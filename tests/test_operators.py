@@ -1,6 +1,9 @@
 """Worked cases, and rules that hold on any input."""
 
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +101,40 @@ def test_bpe_is_lossless_and_prefix_stable():
         assert "".join(tokens.encoded(w, ranks)).replace(tokens.END, "") == w
 
 
+def plain_fit(counted, size):
+    """Merges with all pairs counted anew over all words before each."""
+    split = {w: (*w, tokens.END) for w, _ in counted}
+    known, merges = {c for s in split.values() for c in s}, []
+    while len(known) < size:
+        found = Counter()
+        for w, n in counted:
+            for p in zip(split[w], split[w][1:], strict=False):
+                found[p] += n
+        best = min(found, key=lambda p: (-found[p], p), default=None)
+        if best is None or found[best] < 2:
+            break
+        merges.append((*best, "".join(best) not in known))
+        known.add("".join(best))
+        split = {w: tokens.merged(s, *best) for w, s in split.items()}
+    return merges
+
+
+@pytest.mark.parametrize("driver_words", [10, 100, 10_000])
+def test_fit_takes_every_word(spark, driver_words):
+    r = random.Random(4)
+    found = ["".join(r.choice("aab😀é") for _ in range(r.randint(1, 7))) for _ in range(900)] + ["zq"] * 2 + ["aaaa"] * 50
+    docs = spark.createDataFrame([(" ".join(found[i : i + 50]),) for i in range(0, len(found), 50)], "body string").repartition(4)
+    counted = Counter(re.findall(r"\S+|\s+", "\n".join(" ".join(found[i : i + 50]) for i in range(0, len(found), 50))))
+    counted.pop("\n")
+    assert tokens.merges_of(docs, 150, driver_words) == plain_fit(list(counted.items()), 150)
+
+
+def test_rare_words_count_as_well(spark):
+    docs = spark.range(50_100).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("body")).union(spark.createDataFrame([("~~~",)], "body string"))
+    merges = tokens.merges_of(docs, 20)
+    assert sum(fresh for *_, fresh in merges) == 20 - len({*"0123456789~", tokens.END})
+
+
 def test_descent_overshoots_as_known(spark):
     rows = numeric.descents(spark.createDataFrame([(0.5, 0.15)], "x0 double, eta double"), "x0", F.col("eta"), 60).orderBy("k").collect()
     assert rows[-1].x == pytest.approx(numeric.OPTIMUM, abs=1e-9)
