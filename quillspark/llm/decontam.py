@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Every word n-gram of the test items is counted over the whole corpus.
-2. Seeds are rare n-grams: of each ``REACH`` neighbouring n-grams of an item the
-   one in the fewest places is kept.  Rarity is relative to the item, so an
-   item that leaked into very many texts keeps its seeds; an unaltered stretch
-   of ``n + REACH - 1`` words always holds one.
+2. Seeds are all n-grams of an item that occur in the corpus.  None is thinned
+   out: an edited copy may keep just those that a choice would drop.
 3. Texts are scanned for seeds.  Seeds of one item that lie in order within one
-   item length form a passage; a passage with at least two seeds of an item (or
-   with one, where the item has but one) is aligned.
-4. A passage, widened by an item length on both sides, is aligned with the item
-   by Smith-Waterman over words (match 2, mismatch -1, gap -1).  The score is
-   the best local score over that of a perfect copy; at ``threshold`` or more
-   the text is contaminated.
+   item length form a passage; one seed is enough.
+4. A passage is widened on both sides by the most words that an alignment of
+   ``threshold`` can span.  It is left out where it shares too few words with
+   the item, whatever their order, for a score of ``threshold`` (a bound that
+   no alignment exceeds); else it is aligned with the item by Smith-Waterman
+   over words (match 2, mismatch -1, gap -1).  The score is the best local
+   score over that of a perfect copy; at ``threshold`` or more the text is
+   contaminated.
 
 Test items are a stated query set: they are broadcast in blocks of at most
 ``block_words`` words (sizes are counted first), one pass over the corpus a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._text import LETTER, hashed_words, ngrams
 
-N, REACH, THRESHOLD = 3, 3, 0.5
+N, THRESHOLD = 3, 0.5
 BITS = 20
 _U = np.uint64
 
@@ -59,18 +59,8 @@ class Items:
 
     def seeds(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted seed hashes, the item of each and its word position."""
-        seen = counts[np.searchsorted(keys, self.grams)]
         row = self.rows[self.first]
-        keep = np.zeros(len(self.grams), bool)
-        for r in np.unique(row):
-            own = np.flatnonzero(row == r)
-            if len(own) <= REACH:
-                keep[own[np.argmin(seen[own])]] = True
-                keep[own] |= seen[own] <= 1
-            else:
-                windows = np.lib.stride_tricks.sliding_window_view(seen[own], REACH)
-                keep[own[np.arange(len(windows)) + windows.argmin(axis=1)]] = True
-        at = np.flatnonzero(keep)
+        at = np.flatnonzero(counts[np.searchsorted(keys, self.grams)] > 0)
         order = np.argsort(self.grams[at], kind="stable")
         at = at[order]
         return self.grams[at], row[at], self.first[at] - self.cut[row[at]]
@@ -111,11 +101,19 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best // one, one - 1 - best % one, stop
 
 
-def scan(column: pa.Array, items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
-    """(row, item, score, first and last+1 byte, seeds) of the aligned passages of texts."""
+def shared(item: np.ndarray, window: np.ndarray) -> int:
+    """Words that both have, each as often as in the one with fewer; no alignment matches more."""
+    once, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(once, window), len(once) - 1)
+    return int(np.minimum(np.bincount(at[once[at] == window], minlength=len(once)), n).sum())
+
+
+def scan(column: pa.Array, items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(row, item, score, first and last+1 byte, seeds) of the passages of texts that may reach ``threshold``."""
     keys, of, place = seeds
     size = np.diff(items.cut)
-    per_item = np.bincount(of, minlength=len(size))
+    # matches are at most the item's words and the score pays for each word more
+    reach = np.ceil(size * max(3 - 2 * threshold, 1)).astype(np.int64)
     for i, _, words, rows, starts, ends, own in hashed_words(column, LETTER):
         grams, first = ngrams(words, rows, N)
         maybe = np.flatnonzero(table[(grams >> _U(64 - BITS)).astype(np.int64)])
@@ -136,18 +134,17 @@ def scan(column: pa.Array, items: Items, seeds: tuple[np.ndarray, np.ndarray, np
         pair = np.unique(np.stack([group, place[which]]), axis=1)
         distinct = np.bincount(pair[0], minlength=len(begin))
         low, high = np.minimum.reduceat(at, begin), np.maximum.reduceat(at, begin)
-        good = distinct >= np.minimum(2, per_item[item[begin]])
         bounds = np.searchsorted(rows, np.arange(rows[-1] + 2))
-        todo = [(int(row[b]), int(item[b]), int(lo_), int(hi_), int(d)) for b, lo_, hi_, d, g in zip(begin, low, high, distinct, good, strict=True) if g]
+        todo = []
+        for r, it, a, b, d in zip(row[begin].tolist(), item[begin].tolist(), low.tolist(), high.tolist(), distinct.tolist(), strict=True):
+            a, b = max(int(bounds[r]), a - int(reach[it])), min(int(bounds[r + 1]), b + N + int(reach[it]))
+            if shared(items.words[items.cut[it] : items.cut[it + 1]], words[a:b]) / int(size[it]) >= threshold:
+                todo.append((r, it, a, b, d))
         todo.sort(key=lambda x: size[x[1]])
         for k in range(0, len(todo), 32):
             part = todo[k : k + 32]
-            spans = []
-            for r, it, a, b, _ in part:
-                m = int(size[it])
-                spans.append((max(int(bounds[r]), a - m - m // 4), min(int(bounds[r + 1]), b + N + m + m // 4)))
-            score, s, e = align([items.words[items.cut[x[1]] : items.cut[x[1] + 1]] for x in part], [words[a:b] for a, b in spans])
-            for (r, it, _, _, d), (a, _), sc, x, y in zip(part, spans, score, s, e, strict=True):
+            score, s, e = align([items.words[items.cut[x[1]] : items.cut[x[1] + 1]] for x in part], [words[a:b] for _, _, a, b, _ in part])
+            for (r, it, a, _, d), sc, x, y in zip(part, score, s, e, strict=True):
                 yield i + r, it, float(sc) / (2 * int(size[it])), int(starts[a + x] - own[r]), int(ends[a + max(y, x + 1) - 1] - own[r]), d
 
 
@@ -179,7 +176,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
             items, seeds, table = chosen.value
             for batch in batches:
                 best: dict[tuple[int, int], tuple] = {}
-                for row, item, *rest in scan(batch.column("_t"), items, seeds, table):
+                for row, item, *rest in scan(batch.column("_t"), items, seeds, table, threshold):
                     if rest[0] >= threshold and rest[0] > best.get((row, item), (0.0,))[0]:
                         best[row, item] = tuple(rest)
                 rows = sorted(best)
@@ -204,7 +201,7 @@ def without_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", ite
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
                     part = batch.column("_row").slice(i, 1024)
-                    bad = {row for row, _, score, *_ in scan(part.field(text).cast(pa.string()), items, seeds, table) if score >= threshold}
+                    bad = {row for row, _, score, *_ in scan(part.field(text).cast(pa.string()), items, seeds, table, threshold) if score >= threshold}
                     good = pa.array([r for r in range(len(part)) if r not in bad], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.take(good)], ["_row"])
 
@@ -213,7 +210,7 @@ def without_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def prepared(source: DataFrame, block: list):
-    """A block's items, its seeds by rarity over all of ``source``, and their bit filter, as a broadcast."""
+    """A block's items, its seeds that occur in ``source``, and their bit filter, as a broadcast."""
     context = source.sparkSession.sparkContext
     items = Items([r.i for r in block], [r.t for r in block])
     keys = items.keys()

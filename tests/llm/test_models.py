@@ -147,6 +147,35 @@ def test_leaks_are_found_exact_and_edited(spark):
     assert {r.doc_id for r in left.collect()} == {i for i in range(200) if i % 5} and left.columns == docs.columns
 
 
+def test_every_fifth_word_replaced(spark):
+    item = [f"w{i}" for i in range(40)]
+    copy = [w if i % 5 != 4 else f"x{i}" for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, words(1, 60) + " " + " ".join(copy) + " " + words(2, 60))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    (r,) = decontam.matches(docs, bench).collect()
+    assert r.score == pytest.approx(plain.smith_waterman(item, copy) / 80) and r.n_seeds == 16
+    assert decontam.without_matches(docs, bench).count() == 0
+
+
+@pytest.mark.parametrize("also_exact", [False, True])
+def test_all_edited_copies_with_a_common_trigram(spark, also_exact):
+    r = random.Random(12)
+    items, rows, wanted = [], [], set()
+    for i in range(60):
+        item = [f"v{i}x{r.randint(0, 30)}" for _ in range(r.randint(15, 59))]
+        copy = []
+        for w in item:
+            copy += [f"new{r.randint(0, 10**9)}"] if r.random() < 0.3 else [w, "more"] if r.random() < 0.1 else [] if r.random() < 0.05 else [w]
+        body = words(i, 40).split() + copy + words(i + 100, 40).split()
+        items.append((i, " ".join(item)))
+        rows += [(i, " ".join(body))] + [(i + 1000, " ".join(item))] * also_exact
+        common = {*zip(item, item[1:], item[2:], strict=False)} & {*zip(body, body[1:], body[2:], strict=False)}
+        wanted |= {(i, i)} if common and plain.smith_waterman(item, re.findall("[a-z0-9]+", " ".join(body).lower())) >= len(item) else set()
+        wanted |= {(i + 1000, i)} if also_exact else set()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.matches(docs, bench).collect()} == wanted
+
+
 def test_an_item_in_most_texts_keeps_its_seeds(spark):
     item = words(77, 30)
     docs = spark.createDataFrame([(i, words(i, 50) + (" " + item if i % 4 else "")) for i in range(200)], "doc_id long, text string")
