@@ -20,11 +20,11 @@ length-normalised evidence and its sum go through a logistic link, fitted on at
 most ``FIT_ROWS`` learnt rows with the smallest id hashes (documented bound).
 
 Expressions are first gathered from toxic texts, so the table follows the
-labelled rows; then they are counted over all learnt rows.  Counts are
-aggregated before they move and texts never move.  The table of credible
-expressions is broadcast after a check of its size: where more than
-``max_table`` are credible, the strongest are kept as such and the others stay
-with the shared counts.
+labelled rows; then all of them are counted over all learnt rows, by hash in
+written tables; what comes to the driver is a filter of fixed size.  Counts are
+aggregated before they move and texts never move.  Up to ``max_table`` credible
+expressions are broadcast; of more none is dropped, but the expressions of
+texts that pass the filter are joined with the table and summed by text.
 
 Nulls and edges: a null or empty text has no evidence and gets the link's
 intercept; null labels teach nothing, as do null ids; several labels of one id
@@ -89,33 +89,55 @@ def gathered(texts: DataFrame, min_texts: int) -> DataFrame:
     return texts.select("_t").mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts)
 
 
-def counted(texts: DataFrame, keys: np.ndarray) -> DataFrame:
-    """(k, toxic, ordinary, toxic_slots, slots) for each key, and totals in the row k = -1."""
-    sent = texts.sparkSession.sparkContext.broadcast((keys, bits_of(keys)))
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """The table of :func:`bits_of` for the hashes in column x; comes as 65,536 numbers at most."""
+    words = np.zeros(1 << 16, np.int64)
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 42) & 63 as int))")
+    for r in keys.groupBy(F.expr("shiftrightunsigned(x, 48)").alias("i")).agg(F.bit_or(bit).alias("b")).collect():
+        words[r.i] = r.b
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def counted(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(x, toxic, ordinary, toxic_slots, slots) for each named expression, and the words of both classes in the row without x."""
+    sent = texts.sparkSession.sparkContext.broadcast(filter_of(named))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, table = sent.value
-        n = np.zeros((2, len(keys)), np.int64)
-        slots = np.zeros((2, len(keys), SLOTS), bool)
+        table = sent.value
         total = np.zeros(2, np.int64)
+        names = ["x", "toxic", "ordinary", "toxic_slots", "slots"]
         for batch in batches:
             label = batch.column("_label").to_numpy(zero_copy_only=False).astype(np.int64)
             for i, _, words, rows, *_ in hashed_words(batch.column("_t"), LETTER):
-                x, row, before = expressions(words, rows)
-                place, k = hits(keys, x, table)
-                slots[label[i + row[place]], k, (mix(before[place]) >> _U(58)).astype(np.int64)] = True
-                pair = np.unique(row[place] * len(keys) + k) if len(keys) else np.zeros(0, np.int64)
-                cls = label[i + pair // max(len(keys), 1)]
-                for c in (0, 1):
-                    n[c] += np.bincount(pair[cls == c] % max(len(keys), 1), minlength=len(keys))
                 total += np.bincount(label[i + rows], minlength=2)[:2]
-        some = np.flatnonzero(n.any(axis=0))
-        packed = [np.packbits(x[some], axis=1, bitorder="little").view("<i8").ravel() if len(some) else np.zeros(0, np.int64) for x in slots]
-        cols = [np.r_[some, -1], np.r_[n[1, some], total[1]], np.r_[n[0, some], total[0]], np.r_[packed[1], 0], np.r_[packed[0] | packed[1], 0]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k", "toxic", "ordinary", "toxic_slots", "slots"])
-
-    rows = texts.mapInArrow(run, "k long, toxic long, ordinary long, toxic_slots long, slots long")
-    return rows.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("toxic_slots").alias("toxic_slots"), F.bit_or("slots").alias("slots"))
+                x, row, before = expressions(words, rows)
+                maybe = np.flatnonzero(table[(x >> _U(42)).astype(np.int64)])
+                if not len(maybe):
+                    continue
+                maybe = maybe[np.lexsort((row[maybe], x[maybe]))]
+                x, row, slot = x[maybe], row[maybe], _U(1) << (mix(before[maybe]) >> _U(58))
+                new = np.r_[True, x[1:] != x[:-1]]
+                begin = np.flatnonzero(new)
+                new[1:] |= row[1:] != row[:-1]
+                toxic = label[i + row] == 1
+                n = [np.add.reduceat((new & c).astype(np.int64), begin) for c in (toxic, ~toxic)]
+                slots = [np.bitwise_or.reduceat(s, begin).view(np.int64) for s in (np.where(toxic, slot, _U(0)), slot)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[begin].view(np.int64), *n, *slots)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (None, int(total[1]), int(total[0]), 0, 0)], names)
+
+    rows = texts.mapInArrow(run, "x long, toxic long, ordinary long, toxic_slots long, slots long")
+    zero = F.lit(0).cast("long")
+    marks = named.select("x", *(zero.alias(c) for c in rows.columns[1:]), F.lit(True).alias("_named"))
+    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")] + [F.bit_or(c).alias(c) for c in ("toxic_slots", "slots")]
+    found = rows.withColumn("_named", F.lit(False)).union(marks).groupBy("x").agg(*sums, F.max("_named").alias("_named"))
+    return found.where("x is null or _named").drop("_named")
+
+
+def bounded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Toxic counts, ordinary counts and contexts; copies of one text repeat its contexts."""
+    n_t, n_o = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("toxic", "ordinary"))
+    contexts, own = (different(batch.column(c).to_pylist()) for c in ("slots", "toxic_slots"))
+    return np.where(own >= MANY, n_t, np.minimum(n_t, own)), n_o, contexts
 
 
 def different(slots: list[int]) -> np.ndarray:
@@ -140,8 +162,12 @@ def log_ratios(n_t: np.ndarray, n_o: np.ndarray, contexts: np.ndarray, total_t:
 class Model:
     """Credible expressions with their log ratios, and the link."""
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, table: DataFrame | None = None):
         self.keys, self.ratios, self.weights = keys, ratios, np.zeros(3)
+        self.table = table  # (x, ratio) where there are too many to send
+
+    def score(self, total: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return score_of(self.weights, total, size)
 
     def evidence(self, column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text: summed log ratios of its expressions, each once, and its words."""
@@ -185,14 +211,60 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def score_of(weights: np.ndarray, total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(total, size) @ weights, -30, 30))) if weights.any() else np.zeros(len(total))
+
+
+def _joined_evidence(texts: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """As :meth:`Model.evidence`, with a shuffled join; each text's found expressions are brought together."""
+    sent, weights = texts.sparkSession.sparkContext.broadcast(filter_of(model.table)), model.weights
+    names = ["_k", *keep, "n_words", "x", "place", "pair", "word"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            for i, j, words, rows, *_ in hashed_words(batch.column("_t"), LETTER):
+                size = np.bincount(rows, minlength=j - i)
+                inner = np.flatnonzero(rows[1:] == rows[:-1]) if len(words) else np.zeros(0, np.int64)
+                x = np.concatenate([words, mix(words[inner] * _U(0x9DDFEA08EB382D69) + words[inner + 1]) if len(inner) else words[:0]])
+                place = np.concatenate([np.arange(len(words)), inner + 1])
+                maybe = np.flatnonzero(table[(x >> _U(42)).astype(np.int64)])
+                at = place[maybe]
+                row = np.concatenate([rows[at], np.arange(j - i)])  # a row of its own for each text
+                none = pa.nulls(j - i, pa.int64())
+                cols = [pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in (x[maybe].view(np.int64), at, (maybe >= len(words)).astype(np.int64), words[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i + row)) for c in ("_k", *keep)), pa.array(size[row], pa.int64()), *cols], names)
+
+    zero = F.lit(0).cast("long")
+    rows = texts.select("_t", *keep).withColumn("_k", F.monotonically_increasing_id())
+    found = rows.mapInArrow(spread, rows.select("_k", *keep, *(F.when(zero == 0, zero).alias(c) for c in names[-5:])).schema)
+    found = found.join(model.table, "x", "left").where("x is null or ratio is not null")
+    by = found.groupBy("_k").agg(*(F.first(c).alias(c) for c in keep), F.first("n_words").alias("n_words"), F.collect_list(F.when(F.col("x").isNotNull(), F.struct("place", "pair", "word", "ratio"))).alias("_found"))
+
+    def total_of(hits: list[dict]) -> float:
+        value = {h["place"]: (h["word"], h["ratio"]) for h in hits if not h["pair"]}
+        value |= {h["place"]: (h["word"], h["ratio"]) for h in hits if h["pair"] and h["place"] not in value and h["place"] - 1 not in value}
+        return sum(r for _, r in sorted({*value.values()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.array([total_of(h) for h in batch.column("_found").to_pylist()], float)
+            size = batch.column("n_words").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(total), batch.column("n_words"), pa.array(score_of(weights, total, size))], [*keep, "evidence", "n_words", "score"])
+
+    return by.mapInArrow(run, texts.select(*keep, F.lit(0.0).alias("evidence"), zero.alias("n_words"), F.lit(0.0).alias("score")).schema)
+
+
 def _evidence(texts: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    if model.table is not None:
+        return _joined_evidence(texts, model, keep)
     sent = texts.sparkSession.sparkContext.broadcast((model, bits_of(model.keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = sent.value
         for batch in batches:
             total, size = model.evidence(batch.column("_t"), table)
-            score = 1 / (1 + np.exp(-np.clip(features(total, size) @ model.weights, -30, 30))) if model.weights.any() else np.zeros(len(total))
+            score = model.score(total, size)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(total), pa.array(size, pa.int64()), pa.array(score)], [*keep, "evidence", "n_words", "score"])
 
     schema = texts.select(*keep, F.lit(0.0).alias("evidence"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score")).schema
@@ -207,26 +279,37 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, id: str = "doc_i
     rows = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t")).where(learn_from)
     rows = rows.join(known, rows["_id"] == known["_label_id"]).select("_id", "_t", "_label")
     scratch = Scratch(spark, "toxicity")
-    named = scratch.save(gathered(rows.where("_label = 1"), MIN_TEXTS))
-    size = named.count()
-    if size > 4 * max_table:  # the most frequent; the others stay with the shared counts
-        named = named.orderBy(F.desc("n"), "x").limit(4 * max_table)
-    keys = np.sort(np.array([r.x for r in named.select("x").toLocalIterator()], np.int64).view(_U))
-    got = counted(rows, keys).collect()  # a row for each candidate at most, whose number is bounded above
-    table = {r.k: r for r in got}
-    total = table.pop(-1, None)
-    if not table or not total or not total.toxic or not total.ordinary:
+    named, named_path = scratch.table(gathered(rows.where("_label = 1"), MIN_TEXTS))
+    found, found_path = scratch.table(counted(rows, named))
+    total, known = found.where("x is null").first(), found.where("x is not null")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bounded(batch)[0])], ["n"])
+
+    tried = known.mapInArrow(sizes, "n double").agg(F.count("*").alias("k"), F.sum(F.col("n").cast("decimal(28,6)")).cast("double").alias("n")).first()
+    if not tried.k or not total or not total.toxic or not total.ordinary:
+        scratch.drop(named_path, found_path)
         return Model(np.zeros(0, _U), np.zeros(0))
-    k = np.array(sorted(table))
-    n_t, n_o = (np.array([table[i][c] for i in k], float) for c in ("toxic", "ordinary"))
-    contexts, own = different([table[i].slots for i in k]), different([table[i].toxic_slots for i in k])
-    n_t = np.where(own >= MANY, n_t, np.minimum(n_t, own))  # copies of one text repeat its contexts
-    share = DISCOUNT * len(k) / max(n_t.sum(), 1)  # the mass that discounting frees
-    ratios, g = log_ratios(n_t, n_o, np.maximum(contexts, 1), total.toxic, total.ordinary, min(share, 0.5))
-    strong = np.flatnonzero((g >= EVIDENCE * np.log(max(len(k), 2))) & (ratios >= EFFECT))
-    if len(strong) > max_table:
-        strong = np.sort(strong[np.argsort(-g[strong], kind="stable")[:max_table]])
-    model = Model(keys[k[strong]], ratios[strong])
+    share = min(DISCOUNT * tried.k / max(tried.n, 1), 0.5)  # the mass that discounting frees
+    totals, least = (total.toxic, total.ordinary), EVIDENCE * np.log(max(tried.k, 2))
+
+    def credible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_t, n_o, contexts = bounded(batch)
+            ratios, g = log_ratios(n_t, n_o, np.maximum(contexts, 1), *totals, share)
+            strong = np.flatnonzero((g >= least) & (ratios >= EFFECT))
+            yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(strong)), pa.array(ratios[strong])], ["x", "ratio"])
+
+    strong, strong_path = scratch.table(known.mapInArrow(credible, "x long, ratio double"))
+    scratch.drop(named_path, found_path)
+    if strong.count() > max_table:
+        model = Model(np.zeros(0, _U), np.zeros(0), strong)
+    else:
+        got = strong.collect()
+        scratch.drop(strong_path)
+        keys, ratios = np.array([r.x for r in got], np.int64).view(_U), np.array([r.ratio for r in got], float)
+        model = Model(np.sort(keys), ratios[np.argsort(keys)])
     order = F.xxhash64(F.col("_id").cast("string"))
     sample = _evidence(rows.select("_t", "_label", order.alias("_o")), model, ("_label", "_o")).orderBy("_o").limit(FIT_ROWS).select("_label", "evidence", "n_words").collect()
     y = np.array([r._label for r in sample], float)

@@ -95,6 +95,15 @@ def test_toxic_words_are_learnt(spark):
     assert all((r.score >= 0.7) == (r.doc_id % 8 == 0) for r in found)
 
 
+def test_a_small_table_drops_no_expression(spark):
+    docs = spark.createDataFrame([(i, words(i, 40) + f" vile{i % 30} foul{i % 7} vile{i % 30}" * (i % 4 == 0)) for i in range(1200)] + [(5000, None), (5001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    sent, joined = (toxicity.learn(docs, labels, F.lit(True), max_table=n) for n in (300_000, 1))
+    assert len(sent.keys) > 4 and joined.table.count() == len(sent.keys)
+    want, got = ({r.doc_id: (r.evidence, r.n_words, r.score) for r in toxicity.score(docs, m).collect()} for m in (sent, joined))
+    assert want.keys() == got.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_toxicity_odd_rows(odd, none, labels):
     model = toxicity.learn(odd, labels, F.lit(True))
     rows = toxicity.score(odd, model).collect()
