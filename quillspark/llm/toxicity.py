@@ -1,34 +1,42 @@
-"""Toxicity by class-conditional Kneser-Ney models of words and word pairs.
-
-Two models, of toxic and of ordinary labelled texts, give each expression (a
-word, or a word after a word) a discounted class count plus a backoff share
-
-    P_c(x) = (1 - w) * max(n_c(x) - D, 0) / N_c + w * S(x)
-
-``n_c`` counts the texts of a class that hold x.  The backoff S is shared by
-both classes: Kneser-Ney continuation counts (in how many different contexts a
-word occurs, by linear counting over ``SLOTS`` slots) of all learnt texts.  A
-toxic count is no larger than the contexts that toxic texts show for it, below
-``MANY`` of them: copies of one text repeat its contexts and prove nothing.
-Where class counts do not differ credibly (G statistic under ``EVIDENCE`` times
-the logarithm of the number of expressions tried, about one false one in all),
-or where toxic texts do not favour an expression by a factor of exp(``EFFECT``),
-both models use the shared counts: rare expressions, the small differences of
-common ones, and passages that many ordinary texts share cancel out exactly.
-A text's evidence is the sum of log ratios over its expressions; the
-length-normalised evidence and its sum go through a logistic link, fitted on at
-most ``FIT_ROWS`` learnt rows with the smallest id hashes (documented bound).
-
-Expressions are first gathered from toxic texts, so the table follows the
-labelled rows; then all of them are counted over all learnt rows, by hash in
-written tables; what comes to the driver is a filter of fixed size.  Counts are
-aggregated before they move and texts never move.  Up to ``max_table`` credible
-expressions are broadcast; of more none is dropped, but the expressions of
-texts that pass the filter are joined with the table and summed by text.
-
-Nulls and edges: a null or empty text has no evidence and gets the link's
-intercept; null labels teach nothing, as do null ids; several labels of one id
-count as the largest; without toxic or without ordinary rows every score is 0.
+"""Toxicity by class-conditional models of words and word pairs with shared backoff counts.
+
+Two models, of toxic and of ordinary labelled texts, give a text its
+log-likelihoods; their difference, divided by the text's words, is the evidence.
+
+*Counts.*  As Kneser-Ney counts contexts and not tokens, ``n_c(x)`` is the number
+of different texts of class c that hold the expression x, a word or a word after
+a word: one text that repeats a word, and exact copies of one text, prove
+nothing more.  Every expression of every learnt row is counted.
+
+*Backoff.*  Both classes share the pooled counts n(x) = n_t(x) + n_o(x).  Of them
+a class may expect ``e_c(x) = n(x) * N_c / N``, N_c being all counts of its kind
+in the class.  What a class shows beyond or below that is discounted, and the
+discount goes back to the shared counts:
+
+    f_c(x) = (e_c + sign(n_c - e_c) * max(|n_c - e_c| - D * sqrt(e_c + 1), 0)) / e_c
+
+so P_c(w) = f_c(w) * P_shared(w).  The discount grows with the count's standard
+error instead of being the constant of plain Kneser-Ney, for with the constant
+the chance counts of rare words outweigh all else (README has the figures).  Rare
+expressions fall back on the shared counts; common ones keep their difference, in
+either direction.  A pair backs off to its word: its expected odds of the classes
+are those of all pairs times f_t / f_o of both words, and
+
+    log P_t(w | v) / P_o(w | v) = log f_t(w) / f_o(w) + log f_t(v w) / f_o(v w).
+
+*Link.*  A logistic function of the length-normalised evidence and the text's
+length gives the score, fitted on at most ``FIT_ROWS`` learnt rows with the
+smallest id hashes (documented bound), each scored without its own counts.
+
+Counts are aggregated in tasks before they move and texts never move.  Only
+expressions whose counts pass the discount enter the model, which is exact: for
+all others f_t = f_o = 1.  Up to ``max_table`` of them are broadcast; of more none
+is dropped, but the expressions of texts that pass a filter of fixed size are
+joined with the table and summed by text.
+
+Nulls and edges: a null or empty text has no evidence and gets the link's value
+for it; null labels teach nothing, as do null ids; several labels of one id count
+as the largest; without toxic or without ordinary rows every score is 0.
 """
 
 from __future__ import annotations
@@ -43,160 +51,136 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 from ._text import LETTER, hashed_words, mix
 
-DISCOUNT, EVIDENCE, EFFECT, SLOTS, MANY, MIN_TEXTS, FIT_ROWS = 0.75, 2.0, 2.0, 64, 150, 3, 20_000
+DISCOUNT, FIT_ROWS = 3.0, 20_000
+#: Expressions that a task holds before it sends what it has added up.
+HELD = 1 << 20
 _U = np.uint64
+_ONE = _U(1)
 
 
-def expressions(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word and of every pair in a row, the rows, and a hash of what stands before (0 at a start)."""
+def expressions(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the words (even), names of the pairs (odd), and the places of both words of each pair."""
     if not len(words):
-        return words, rows, words
+        return words, words, rows, rows
     inner = np.flatnonzero(rows[1:] == rows[:-1])
-    pairs = mix(words[inner] * _U(0x9DDFEA08EB382D69) + words[inner + 1])
-    before = np.zeros(len(words), _U)
-    before[inner + 1] = words[inner]
-    ahead = np.where(before[inner] == 0, words[inner], before[inner])
-    return np.concatenate([words, pairs]), np.concatenate([rows, rows[inner]]), np.concatenate([before, ahead])
+    pairs = mix(words[inner] * _U(0x9DDFEA08EB382D69) + words[inner + 1]) | _ONE
+    return words & ~_ONE, pairs, inner, inner + 1
 
 
-def hits(keys: np.ndarray, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``x`` of sorted ``keys``, and which key it is."""
-    maybe = np.flatnonzero(table[(x >> _U(42)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(keys, x[maybe]), len(keys) - 1)
-    found = keys[at] == x[maybe] if len(keys) else np.zeros(0, bool)
-    return maybe[found], at[found]
+def added(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n by x."""
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def bits_of(keys: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << 22, bool)
-    table[(keys >> _U(42)).astype(np.int64)] = True
-    return table
-
-
-def gathered(texts: DataFrame, min_texts: int) -> DataFrame:
-    """(x, n): expressions of texts and in how many of them, from ``min_texts`` on."""
+def counted(texts: DataFrame) -> DataFrame:
+    """(x, toxic, ordinary): texts of each class that hold x; names 0 and 1 hold the sums over all words and all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words, rows, *_ in hashed_words(batch.column("_t"), LETTER):
-                x, row, _ = expressions(words, rows)
-                order = np.lexsort((row, x))
-                x, row = x[order], row[order]
-                x = x[np.r_[True, (x[1:] != x[:-1]) | (row[1:] != row[:-1])]] if len(x) else x
-                once, n = np.unique(x, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n, pa.int64())], ["x", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    return texts.select("_t").mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts)
+        def batch_of(x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(x), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["x", "n"])
 
-
-def filter_of(keys: DataFrame) -> np.ndarray:
-    """The table of :func:`bits_of` for the hashes in column x; comes as 65,536 numbers at most."""
-    words = np.zeros(1 << 16, np.int64)
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 42) & 63 as int))")
-    for r in keys.groupBy(F.expr("shiftrightunsigned(x, 48)").alias("i")).agg(F.bit_or(bit).alias("b")).collect():
-        words[r.i] = r.b
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
-def counted(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """(x, toxic, ordinary, toxic_slots, slots) for each named expression, and the words of both classes in the row without x."""
-    sent = texts.sparkSession.sparkContext.broadcast(filter_of(named))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        total = np.zeros(2, np.int64)
-        names = ["x", "toxic", "ordinary", "toxic_slots", "slots"]
         for batch in batches:
-            label = batch.column("_label").to_numpy(zero_copy_only=False).astype(np.int64)
+            # both counts in one number: toxic texts above, ordinary ones below
+            one = np.where(batch.column("_label").to_numpy(zero_copy_only=False) == 1, np.int64(1) << 32, np.int64(1))
             for i, _, words, rows, *_ in hashed_words(batch.column("_t"), LETTER):
-                total += np.bincount(label[i + rows], minlength=2)[:2]
-                x, row, before = expressions(words, rows)
-                maybe = np.flatnonzero(table[(x >> _U(42)).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                maybe = maybe[np.lexsort((row[maybe], x[maybe]))]
-                x, row, slot = x[maybe], row[maybe], _U(1) << (mix(before[maybe]) >> _U(58))
-                new = np.r_[True, x[1:] != x[:-1]]
-                begin = np.flatnonzero(new)
-                new[1:] |= row[1:] != row[:-1]
-                toxic = label[i + row] == 1
-                n = [np.add.reduceat((new & c).astype(np.int64), begin) for c in (toxic, ~toxic)]
-                slots = [np.bitwise_or.reduceat(s, begin).view(np.int64) for s in (np.where(toxic, slot, _U(0)), slot)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[begin].view(np.int64), *n, *slots)], names)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (None, int(total[1]), int(total[0]), 0, 0)], names)
-
-    rows = texts.mapInArrow(run, "x long, toxic long, ordinary long, toxic_slots long, slots long")
-    zero = F.lit(0).cast("long")
-    marks = named.select("x", *(zero.alias(c) for c in rows.columns[1:]), F.lit(True).alias("_named"))
-    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")] + [F.bit_or(c).alias(c) for c in ("toxic_slots", "slots")]
-    found = rows.withColumn("_named", F.lit(False)).union(marks).groupBy("x").agg(*sums, F.max("_named").alias("_named"))
-    return found.where("x is null or _named").drop("_named")
-
-
-def bounded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Toxic counts, ordinary counts and contexts; copies of one text repeat its contexts."""
-    n_t, n_o = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("toxic", "ordinary"))
-    contexts, own = (different(batch.column(c).to_pylist()) for c in ("slots", "toxic_slots"))
-    return np.where(own >= MANY, n_t, np.minimum(n_t, own)), n_o, contexts
-
-
-def different(slots: list[int]) -> np.ndarray:
-    """How many different contexts filled these slots, by linear counting."""
-    filled = np.array([bin(x & (2**64 - 1)).count("1") for x in slots], float)
-    return -SLOTS * np.log(1 - np.minimum(filled, SLOTS - 0.5) / SLOTS)
+                names, pairs, left, _ = expressions(words, rows)
+                x, row = np.concatenate([names, pairs]), np.concatenate([rows, rows[left]])
+                order = np.lexsort((row, x))
+                x, row = x[order], row[order]
+                new = np.r_[True, (x[1:] != x[:-1]) | (row[1:] != row[:-1])] if len(x) else np.zeros(0, bool)
+                x, n = x[new], one[i + row[new]]
+                held += [added(x, n), added(x & _ONE, n)]
+                size += len(held[-2][0]) + len(held[-1][0])
+                if size >= HELD:
+                    held = [added(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size >= HELD // 2:
+                        yield from batch_of(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from batch_of(*added(*(np.concatenate(c) for c in zip(*held, strict=True))))
+
+    sums = texts.select("_t", "_label").mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    return sums.select("x", F.shiftrightunsigned("n", 32).alias("toxic"), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ordinary"))
+
+
+def factor(n: np.ndarray, e: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """f of the module's text; never below a thousandth."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        off = n - e
+        kept = np.sign(off) * np.maximum(np.abs(off) - discount * np.sqrt(e + 1), 0)
+        return np.where(e > 0, np.maximum((e + kept) / np.where(e > 0, e, 1), 1e-3), 1.0)
 
 
-def log_ratios(n_t: np.ndarray, n_o: np.ndarray, contexts: np.ndarray, total_t: int, total_o: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratio of both models for each expression, and the G statistic of its class counts."""
+def log_ratio(n_t: np.ndarray, n_o: np.ndarray, log_odds: np.ndarray | float) -> np.ndarray:
+    """log f_t / f_o where the classes are expected at these log odds."""
+    share = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
     n = n_t + n_o
-    both = max(total_t + total_o, 1)
-    expect_t, expect_o = n * total_t / both, n * total_o / both
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(n_t > 0, n_t * np.log(n_t / expect_t), 0) + np.where(n_o > 0, n_o * np.log(n_o / expect_o), 0))
-    back = share * contexts / both
-    p_t = (1 - share) * np.maximum(n_t - DISCOUNT, 0) / max(total_t, 1) + back
-    p_o = (1 - share) * np.maximum(n_o - DISCOUNT, 0) / max(total_o, 1) + back
-    return np.log(p_t / p_o), g
-
+    return np.log(factor(n_t, n * share)) - np.log(factor(n_o, n * (1 - share)))
 
-class Model:
-    """Credible expressions with their log ratios, and the link."""
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray, table: DataFrame | None = None):
-        self.keys, self.ratios, self.weights = keys, ratios, np.zeros(3)
-        self.table = table  # (x, ratio) where there are too many to send
+def deviates(odds: tuple[float, float], discount: float = DISCOUNT - 0.5) -> Column:
+    """Whether the counts of a row may pass the discount, with room for a text that leaves its own counts out."""
+    n = F.col("toxic") + F.col("ordinary")
+    share = F.when(F.col("x").bitwiseAND(F.lit(1)) == 0, F.lit(odds[0])).otherwise(F.lit(odds[1]))
+    e = F.least(n * share, n * (1 - share))
+    return F.abs(F.col("toxic") - n * share) >= discount * F.sqrt(e + 1) - 1
 
-    def score(self, total: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return score_of(self.weights, total, size)
 
-    def evidence(self, column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: summed log ratios of its expressions, each once, and its words."""
+class Model:
+    """Counts of expressions that pass the discount, class odds of words and pairs, and the link."""
+
+    def __init__(self, odds: tuple[float, float], keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, table: DataFrame | None = None):
+        order = np.argsort(keys)
+        self.odds, self.keys, self.toxic, self.ordinary = odds, keys[order], toxic[order].astype(float), ordinary[order].astype(float)
+        self.weights = np.zeros(3)
+        self.table = table  # (x, toxic, ordinary) where there are too many to send
+
+    def found(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``x`` of the model's expressions, and which they are."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        maybe = np.flatnonzero(table[(x >> _U(42)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, x[maybe]), len(self.keys) - 1)
+        same = self.keys[at] == x[maybe]
+        return maybe[same], at[same]
+
+    def evidence(self, column: pa.Array, table: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: log P_toxic - log P_ordinary over all its words, and its words; with labels, without the text's own counts."""
         total, size = np.zeros(len(column)), np.zeros(len(column), np.int64)
         for i, j, words, rows, *_ in hashed_words(column, LETTER):
             size[i:j] = np.bincount(rows, minlength=j - i)
-            place, k = hits(self.keys, words, table)
-            lone = np.zeros(len(words))
-            lone[place] = self.ratios[k]
-            inner = np.flatnonzero(rows[1:] == rows[:-1]) if len(words) else np.zeros(0, np.int64)
-            pairs = mix(words[inner] * _U(0x9DDFEA08EB382D69) + words[inner + 1]) if len(inner) else np.zeros(0, _U)
-            at, k2 = hits(self.keys, pairs, table)
-            value = lone.copy()
-            # P(w | v) = P(v w) / P(v) where both words are shared by themselves, else it backs off to P(w)
-            plain = (lone[inner[at]] == 0) & (lone[inner[at] + 1] == 0)
-            value[inner[at][plain] + 1] = self.ratios[k2][plain]
-            some = np.flatnonzero(value)
-            if len(some):
-                name = words[some] ^ mix(value[some].view(_U))
-                order = np.lexsort((name, rows[some]))
-                r, nm, v = rows[some][order], name[order], value[some][order]
-                first = np.r_[True, (r[1:] != r[:-1]) | (nm[1:] != nm[:-1])]
-                total[i:j] += np.bincount(r[first], v[first], minlength=j - i)
+            names, pairs, left, right = expressions(words, rows)
+            own = None if label is None else label[i + rows]
+            place, k = self.found(names, table)
+            at, k2 = self.found(pairs, table)
+            value = evidence_of(len(words), self.odds, place, self.toxic[k], self.ordinary[k], left[at], right[at], self.toxic[k2], self.ordinary[k2], own)
+            total[i:j] = np.bincount(rows, value, minlength=j - i)
         return total, size
 
 
+def evidence_of(n_words: int, odds: tuple[float, float], place: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, left: np.ndarray, right: np.ndarray, pair_toxic: np.ndarray, pair_ordinary: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Log ratio of both classes at each word; counts are given at places of words, and of pairs by both places."""
+    if own is not None:
+        toxic, ordinary = np.maximum(toxic - (own[place] == 1), 0), np.maximum(ordinary - (own[place] == 0), 0)
+        pair_toxic, pair_ordinary = np.maximum(pair_toxic - (own[right] == 1), 0), np.maximum(pair_ordinary - (own[right] == 0), 0)
+    lone = np.zeros(n_words)
+    lone[place] = log_ratio(toxic, ordinary, odds[0])
+    value = lone.copy()
+    value[right] += log_ratio(pair_toxic, pair_ordinary, odds[1] + lone[left] + lone[right])
+    return value
+
+
 def features(total: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Intercept, length-normalised evidence (per hundred words), and the evidence itself, drawn in at both ends."""
-    return np.stack([np.ones(len(total)), np.arcsinh(100 * total / np.maximum(size, 1)), np.arcsinh(total)], axis=1)
+    """Intercept, length-normalised evidence (per hundred words, drawn in at both ends), and length."""
+    return np.stack([np.ones(len(total)), np.arcsinh(100 * total / np.maximum(size, 1)), np.log1p(size)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -215,110 +199,121 @@ def score_of(weights: np.ndarray, total: np.ndarray, size: np.ndarray) -> np.nda
     return 1 / (1 + np.exp(-np.clip(features(total, size) @ weights, -30, 30))) if weights.any() else np.zeros(len(total))
 
 
-def _joined_evidence(texts: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+def bits_of(keys: np.ndarray) -> np.ndarray:
+    table = np.zeros(1 << 22, bool)
+    table[(keys >> _U(42)).astype(np.int64)] = True
+    return table
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """The table of :func:`bits_of` for the hashes in column x; comes as 65,536 numbers at most."""
+    words = np.zeros(1 << 16, np.int64)
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 42) & 63 as int))")
+    for r in keys.groupBy(F.expr("shiftrightunsigned(x, 48)").alias("i")).agg(F.bit_or(bit).alias("b")).collect():
+        words[r.i] = r.b
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _joined_evidence(texts: DataFrame, model: Model, keep: tuple[str, ...], own: bool) -> DataFrame:
     """As :meth:`Model.evidence`, with a shuffled join; each text's found expressions are brought together."""
-    sent, weights = texts.sparkSession.sparkContext.broadcast(filter_of(model.table)), model.weights
-    names = ["_k", *keep, "n_words", "x", "place", "pair", "word"]
+    sent, weights, odds = texts.sparkSession.sparkContext.broadcast(filter_of(model.table)), model.weights, model.odds
+    names = ["_k", *keep, "_own", "n_words", "x", "place"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
             for i, j, words, rows, *_ in hashed_words(batch.column("_t"), LETTER):
                 size = np.bincount(rows, minlength=j - i)
-                inner = np.flatnonzero(rows[1:] == rows[:-1]) if len(words) else np.zeros(0, np.int64)
-                x = np.concatenate([words, mix(words[inner] * _U(0x9DDFEA08EB382D69) + words[inner + 1]) if len(inner) else words[:0]])
-                place = np.concatenate([np.arange(len(words)), inner + 1])
+                first = np.cumsum(size) - size
+                name, pairs, _, right = expressions(words, rows)
+                x, place = np.concatenate([name, pairs]), np.concatenate([np.arange(len(words)), right])
                 maybe = np.flatnonzero(table[(x >> _U(42)).astype(np.int64)])
                 at = place[maybe]
                 row = np.concatenate([rows[at], np.arange(j - i)])  # a row of its own for each text
                 none = pa.nulls(j - i, pa.int64())
-                cols = [pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in (x[maybe].view(np.int64), at, (maybe >= len(words)).astype(np.int64), words[at].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i + row)) for c in ("_k", *keep)), pa.array(size[row], pa.int64()), *cols], names)
+                cols = [pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in (x[maybe].view(np.int64), at - first[rows[at]])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i + row)) for c in ("_k", *keep, "_own")), pa.array(size[row], pa.int64()), *cols], names)
 
     zero = F.lit(0).cast("long")
-    rows = texts.select("_t", *keep).withColumn("_k", F.monotonically_increasing_id())
-    found = rows.mapInArrow(spread, rows.select("_k", *keep, *(F.when(zero == 0, zero).alias(c) for c in names[-5:])).schema)
-    found = found.join(model.table, "x", "left").where("x is null or ratio is not null")
-    by = found.groupBy("_k").agg(*(F.first(c).alias(c) for c in keep), F.first("n_words").alias("n_words"), F.collect_list(F.when(F.col("x").isNotNull(), F.struct("place", "pair", "word", "ratio"))).alias("_found"))
-
-    def total_of(hits: list[dict]) -> float:
-        value = {h["place"]: (h["word"], h["ratio"]) for h in hits if not h["pair"]}
-        value |= {h["place"]: (h["word"], h["ratio"]) for h in hits if h["pair"] and h["place"] not in value and h["place"] - 1 not in value}
-        return sum(r for _, r in sorted({*value.values()}))
+    rows = texts.select("_t", *keep, (F.col("_label") if own else F.lit(None).cast("int")).alias("_own")).withColumn("_k", F.monotonically_increasing_id())
+    found = rows.mapInArrow(spread, rows.select("_k", *keep, "_own", *(F.when(zero == 0, zero).alias(c) for c in names[-3:])).schema)
+    found = found.join(model.table, "x", "left").where("x is null or toxic is not null")
+    by = found.groupBy("_k").agg(*(F.first(c).alias(c) for c in (*keep, "_own", "n_words")), F.collect_list(F.when(F.col("x").isNotNull(), F.struct("place", "x", "toxic", "ordinary"))).alias("_found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.array([total_of(h) for h in batch.column("_found").to_pylist()], float)
-            size = batch.column("n_words").to_numpy(zero_copy_only=False)
+            size, total = batch.column("n_words").to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
+            for r, (hits, label) in enumerate(zip(batch.column("_found").to_pylist(), batch.column("_own").to_pylist(), strict=True)):
+                got = np.array([(h["place"], h["x"] & 1, h["toxic"], h["ordinary"]) for h in hits], np.int64).reshape(-1, 4)
+                got = got[np.argsort(got[:, 0], kind="stable")]
+                one, two = got[got[:, 1] == 0], got[got[:, 1] == 1]
+                mine = None if label is None else np.full(int(size[r]), label)
+                total[r] = evidence_of(int(size[r]), odds, one[:, 0], one[:, 2].astype(float), one[:, 3].astype(float), two[:, 0] - 1, two[:, 0], two[:, 2].astype(float), two[:, 3].astype(float), mine).sum()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(total), batch.column("n_words"), pa.array(score_of(weights, total, size))], [*keep, "evidence", "n_words", "score"])
 
     return by.mapInArrow(run, texts.select(*keep, F.lit(0.0).alias("evidence"), zero.alias("n_words"), F.lit(0.0).alias("score")).schema)
 
 
-def _evidence(texts: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+def _evidence(texts: DataFrame, model: Model, keep: tuple[str, ...], own: bool = False) -> DataFrame:
     if model.table is not None:
-        return _joined_evidence(texts, model, keep)
+        return _joined_evidence(texts, model, keep, own)
     sent = texts.sparkSession.sparkContext.broadcast((model, bits_of(model.keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = sent.value
         for batch in batches:
-            total, size = model.evidence(batch.column("_t"), table)
-            score = model.score(total, size)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(total), pa.array(size, pa.int64()), pa.array(score)], [*keep, "evidence", "n_words", "score"])
+            label = batch.column("_label").to_numpy(zero_copy_only=False) if own else None
+            total, size = model.evidence(batch.column("_t"), table, label)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(total), pa.array(size, pa.int64()), pa.array(score_of(model.weights, total, size))], [*keep, "evidence", "n_words", "score"])
 
     schema = texts.select(*keep, F.lit(0.0).alias("evidence"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score")).schema
-    return texts.select("_t", *keep).mapInArrow(run, schema)
+    return texts.select("_t", *dict.fromkeys((*keep, "_label") if own else keep)).mapInArrow(run, schema)
 
 
-def learn(df: DataFrame, labels: DataFrame, learn_from: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", max_table: int = 300_000, label_rows: int = 5_000_000) -> Model:
+def learn(df: DataFrame, labels: DataFrame, learn_from: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", max_table: int = 300_000, label_rows: int = 2_000_000) -> Model:
     """Fits both models on labelled rows where ``learn_from`` (over ``_id``) holds; labels are broadcast up to ``label_rows`` rows."""
     spark = df.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    source = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t")).where(learn_from)
     known = labels.select(F.col(id).alias("_label_id"), F.col(label).cast("int").alias("_label")).where("_label_id is not null and _label in (0, 1)").groupBy("_label_id").agg(F.max("_label").alias("_label"))
     known = F.broadcast(known) if labels.count() <= label_rows else known
-    rows = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t")).where(learn_from)
-    rows = rows.join(known, rows["_id"] == known["_label_id"]).select("_id", "_t", "_label")
-    scratch = Scratch(spark, "toxicity")
-    named, named_path = scratch.table(gathered(rows.where("_label = 1"), MIN_TEXTS))
-    found, found_path = scratch.table(counted(rows, named))
-    total, known = found.where("x is null").first(), found.where("x is not null")
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bounded(batch)[0])], ["n"])
-
-    tried = known.mapInArrow(sizes, "n double").agg(F.count("*").alias("k"), F.sum(F.col("n").cast("decimal(28,6)")).cast("double").alias("n")).first()
-    if not tried.k or not total or not total.toxic or not total.ordinary:
-        scratch.drop(named_path, found_path)
-        return Model(np.zeros(0, _U), np.zeros(0))
-    share = min(DISCOUNT * tried.k / max(tried.n, 1), 0.5)  # the mass that discounting frees
-    totals, least = (total.toxic, total.ordinary), EVIDENCE * np.log(max(tried.k, 2))
-
-    def credible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_t, n_o, contexts = bounded(batch)
-            ratios, g = log_ratios(n_t, n_o, np.maximum(contexts, 1), *totals, share)
-            strong = np.flatnonzero((g >= least) & (ratios >= EFFECT))
-            yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(strong)), pa.array(ratios[strong])], ["x", "ratio"])
-
-    strong, strong_path = scratch.table(known.mapInArrow(credible, "x long, ratio double"))
-    scratch.drop(named_path, found_path)
+    rows = source.join(known, source["_id"] == known["_label_id"])
+    # of exact copies within a class the one with the smallest id stands for all
+    copies = rows.groupBy(F.xxhash64("_t").alias("h"), F.xxhash64(F.lit(1), "_t").alias("g"), "_label").agg(F.min("_id").alias("_label_id"))
+    chosen, chosen_path = scratch.table(copies.groupBy("_label_id").agg(F.max("_label").alias("_label")))
+    chosen = F.broadcast(chosen) if chosen.count() <= label_rows else chosen
+    rows = source.join(chosen, source["_id"] == chosen["_label_id"]).select("_id", "_t", "_label")
+
+    # with fewer counts no expression passes the discount, whatever the odds
+    maybe, maybe_path = scratch.table(counted(rows).where("x in (0, 1) or toxic >= 4 or ordinary >= 8"))
+    sums = {r.x: r for r in maybe.where("x in (0, 1)").collect()}
+    words, pairs = sums.get(0), sums.get(1)
+    if not words or not words.toxic or not words.ordinary:
+        scratch.drop(maybe_path, chosen_path)
+        return Model((0.0, 0.0), np.zeros(0, _U), np.zeros(0), np.zeros(0))
+    shares = [(r.toxic + 0.5) / (r.toxic + r.ordinary + 1) for r in (words, pairs or words)]
+    odds = tuple(float(np.log(s / (1 - s))) for s in shares)
+    strong, strong_path = scratch.table(maybe.where("x not in (0, 1)").where(deviates(shares)))
+    scratch.drop(maybe_path)
     if strong.count() > max_table:
-        model = Model(np.zeros(0, _U), np.zeros(0), strong)
+        model = Model(odds, np.zeros(0, _U), np.zeros(0), np.zeros(0), strong)
     else:
         got = strong.collect()
         scratch.drop(strong_path)
-        keys, ratios = np.array([r.x for r in got], np.int64).view(_U), np.array([r.ratio for r in got], float)
-        model = Model(np.sort(keys), ratios[np.argsort(keys)])
-    order = F.xxhash64(F.col("_id").cast("string"))
-    sample = _evidence(rows.select("_t", "_label", order.alias("_o")), model, ("_label", "_o")).orderBy("_o").limit(FIT_ROWS).select("_label", "evidence", "n_words").collect()
-    y = np.array([r._label for r in sample], float)
+        model = Model(odds, np.array([r.x for r in got], np.int64).view(_U), np.array([r.toxic for r in got], np.int64), np.array([r.ordinary for r in got], np.int64))
+    sample = rows.withColumn("_o", F.xxhash64(F.col("_id").cast("string")))
+    least = sample.select("_o").orderBy("_o").limit(FIT_ROWS).agg(F.max("_o").alias("o")).first().o
+    fit = _evidence(sample.where(F.col("_o") <= least), model, ("_label",), own=True).select("_label", "evidence", "n_words").collect()
+    scratch.drop(chosen_path)
+    y = np.array([r._label for r in fit], float)
     if 0 < y.sum() < len(y):
-        model.weights = logistic(features(np.array([r.evidence for r in sample]), np.array([r.n_words for r in sample])), y)
+        x = features(np.array([r.evidence for r in fit]), np.array([r.n_words for r in fit]))
+        order = np.lexsort((*x.T, y))  # rows come in any order; sums shall not
+        model.weights = logistic(x[order], y[order])
     return model
 
 
 def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, ``evidence`` (summed log ratio), ``n_words`` and ``score`` in [0, 1]."""
+    """Per row: the id, ``evidence`` (log likelihood of toxic text less that of ordinary text), ``n_words`` and ``score`` in [0, 1]."""
     rows = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t"))
     return _evidence(rows, model, ("_id",)).withColumnRenamed("_id", id)

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -87,3 +89,35 @@ def longest_phrases(text: list[int], learnt: list[int]) -> int:
             k += 1
         i, n = i + k, n + 1
     return n
+
+
+def toxic_evidence(rows: list[tuple[str | None, int | None]], discount: float) -> list[tuple[float, int]]:
+    """Log ratio of the toxic and the ordinary model over each text's words, and its words; (text, label) in, one label a text."""
+    split = [re.findall("[a-z0-9]+", (t or "").lower()) for t, _ in rows]
+    counts: dict[tuple, list[int]] = {}
+    for words, label in {(tuple(w), x) for w, (_, x) in zip(split, rows, strict=True) if x is not None}:
+        for e in {(w,) for w in words} | set(zip(words, words[1:], strict=False)):
+            counts.setdefault(e, [0, 0])[label] += 1
+    sums = {n: [sum(c[k] for e, c in counts.items() if len(e) == n) for k in (0, 1)] for n in (1, 2)}
+    odds = {n: math.log((s[1] + 0.5) / (s[0] + 0.5)) for n, s in sums.items()}
+
+    def ratio(e: tuple, log_odds: float) -> float:
+        n = counts.get(e, [0, 0])
+        share = sums[len(e)][1] / max(sum(sums[len(e)]), 1)
+        least = sum(n) * min(share, 1 - share)
+        if max(abs(n[1] - sum(n) * share) - (discount - 0.5) * math.sqrt(least + 1) + 1, 0) == 0:
+            return 0.0  # not in the model
+        out = []
+        for k, p in ((1, 1 / (1 + math.exp(-log_odds))), (0, 1 / (1 + math.exp(log_odds)))):
+            want = sum(n) * p
+            off = n[k] - want
+            f = (want + math.copysign(max(abs(off) - discount * math.sqrt(want + 1), 0), off)) / want if want else 1.0
+            out.append(math.log(max(f, 1e-3)))
+        return out[0] - out[1]
+
+    found = []
+    for words in split:
+        lone = [ratio((w,), odds[1]) for w in words]
+        pairs = [ratio((a, b), odds[2] + x + y) for a, b, x, y in zip(words, words[1:], lone, lone[1:], strict=False)]
+        found.append((sum(lone) + sum(pairs), len(words)))
+    return found

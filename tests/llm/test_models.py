@@ -95,13 +95,40 @@ def test_toxic_words_are_learnt(spark):
     assert all((r.score >= 0.7) == (r.doc_id % 8 == 0) for r in found)
 
 
-def test_a_small_table_drops_no_expression(spark):
-    docs = spark.createDataFrame([(i, words(i, 40) + f" vile{i % 30} foul{i % 7} vile{i % 30}" * (i % 4 == 0)) for i in range(1200)] + [(5000, None), (5001, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int")
-    sent, joined = (toxicity.learn(docs, labels, F.lit(True), max_table=n) for n in (300_000, 1))
-    assert len(sent.keys) > 4 and joined.table.count() == len(sent.keys)
-    want, got = ({r.doc_id: (r.evidence, r.n_words, r.score) for r in toxicity.score(docs, m).collect()} for m in (sent, joined))
-    assert want.keys() == got.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+@pytest.mark.parametrize("max_table", [300_000, 1])
+def test_toxicity_equals_plain_version(spark, max_table):
+    r = random.Random(3)
+    rows = []
+    for i in range(900):
+        body = words(i, r.randint(5, 60)).split()
+        if i % 4 == 0:
+            body += [f"vile{i % 30}", "you", f"foul{i % 7}"] * r.randint(1, 2)
+        if i % 9 == 0:
+            body = ["foul1", "can", "the", *body]
+        rows.append((i, " ".join(body)))
+    rows += [(2000 + i, rows[4][1]) for i in range(50)] + [(5000, None), (5001, "")]  # copies teach once
+    label = {i: int(i % 4 == 0) for i, _ in rows if i < 5000}
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True), max_table=max_table)
+    assert (model.table is not None) == (max_table == 1)
+    want = plain.toxic_evidence([(t, label.get(i)) for i, t in rows], toxicity.DISCOUNT)
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (evidence, n) in zip(rows, want, strict=True):
+        assert got[i].evidence == pytest.approx(evidence, abs=1e-9) and got[i].n_words == n
+        link = model.weights @ [1, np.arcsinh(100 * evidence / max(n, 1)), np.log1p(n)]
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-np.clip(link, -30, 30))))
+
+
+def test_a_text_leaves_its_own_counts_out():
+    odds = (np.log(0.25), np.log(0.25))
+    lone = toxicity.log_ratio(np.array([30.0]), np.array([2.0]), odds[0])
+    for label, n in ((None, (30, 2)), (1, (29, 2)), (0, (30, 1))):
+        own = None if label is None else np.array([label])
+        none = np.zeros(0)
+        value = toxicity.evidence_of(1, odds, np.array([0]), np.array([30.0]), np.array([2.0]), none.astype(int), none.astype(int), none, none, own)
+        assert value[0] == pytest.approx(toxicity.log_ratio(np.array([float(n[0])]), np.array([float(n[1])]), odds[0])[0])
+    assert lone[0] > 1
 
 
 def test_toxicity_odd_rows(odd, none, labels):
@@ -112,13 +139,6 @@ def test_toxicity_odd_rows(odd, none, labels):
     assert {r.score for r in toxicity.score(odd, toxicity.learn(odd, labels.where("false"), F.lit(True))).collect()} == {0.0}
 
 
-def test_log_ratio_by_hand():
-    ratio, g = toxicity.log_ratios(np.array([9.0, 0.0]), np.array([1.0, 5.0]), np.array([4.0, 2.0]), 100, 300, 0.2)
-    t, o = 0.8 * 8.25 / 100 + 0.2 * 4 / 400, 0.8 * 0.25 / 300 + 0.2 * 4 / 400
-    assert ratio[0] == pytest.approx(np.log(t / o))
-    assert g[0] == pytest.approx(2 * (9 * np.log(9 / 2.5) + np.log(1 / 7.5)))
-
-
 def test_alignment_equals_plain_version():
     r = random.Random(8)
     items = [[r.randint(0, 5) for _ in range(r.randint(1, 12))] for _ in range(40)]
@@ -128,6 +148,35 @@ def test_alignment_equals_plain_version():
         assert s == plain.smith_waterman(a, b) == plain.smith_waterman(a, b[x:y])
 
 
+def test_a_passage_far_into_a_long_text():
+    import pyarrow as pa
+
+    text = "filler " * 1_080_000 + "one two three four five six seven eight nine ten " + "filler " * 1000
+    items = decontam.Items([1], ["one two three four five six seven eight nine ten"])
+    keys = items.keys()
+    seeds = items.seeds(keys, np.ones(len(keys), int))
+    ((row, item, score, start, stop, n),) = decontam.scan(pa.array([text]), items, seeds, decontam.filter_bits(seeds[0]), 0.5)
+    assert (row, item, score, n) == (0, 0, 1.0, 8) and text[start:stop] == "one two three four five six seven eight nine ten"
+
+
+def test_a_window_over_a_whole_long_text_is_aligned_in_pieces(spark, monkeypatch):
+    item = words(3, 12)
+    body = " ".join([item] * 400 + [words(5, 30)] + [item])  # seeds all along: one passage of thousands of words
+    docs = spark.createDataFrame([(1, body), (2, edited(item, 4, 0.2) + " " + body[:4000])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = [tuple(r) for r in decontam.matches(docs, bench).collect()]
+    column, items = docs.toArrow()["text"].combine_chunks(), decontam.Items([1], [item])
+    seeds = items.seeds(items.keys(), np.ones(len(items.keys()), int))
+    monkeypatch.setattr(decontam, "PIECE", 64)
+    monkeypatch.setattr(decontam, "CELLS", 256)
+    got = {}
+    for row, _, *rest in decontam.scan(column, items, seeds, decontam.filter_bits(seeds[0]), 0.5):
+        got[row] = max(got.get(row, rest), rest, key=lambda x: (x[0], -x[1]))
+    assert len(want) == 2
+    for r, (_, _, score, start, stop, _) in enumerate(want):
+        assert (score, start, stop) == tuple(got[r][:3])
+
+
 def edited(text: str, seed: int, rate: float) -> str:
     r = random.Random(seed)
     return " ".join("changed" if r.random() < rate else w for w in text.split())
