@@ -11,7 +11,9 @@
    no alignment exceeds); else it is aligned with the item by Smith-Waterman
    over words (match 2, mismatch -1, gap -1).  The score is the best local
    score over that of a perfect copy; at ``threshold`` or more the text is
-   contaminated.
+   contaminated.  A window longer than an alignment can span is cut into pieces
+   that overlap by that span, so memory does not follow the text's length and no
+   alignment is lost; of equal scores the one that starts first is reported.
 
 Test items are a stated query set: they are broadcast in blocks of at most
 ``block_words`` words (sizes are counted first), one pass over the corpus a
@@ -37,6 +39,8 @@ from ._text import LETTER, hashed_words, ngrams
 
 N, THRESHOLD = 3, 0.5
 BITS = 20
+#: Words of a window that are aligned at once, or four times the words that an alignment may span, and cells of one pass.
+PIECE, CELLS = 4096, 1 << 18
 _U = np.uint64
 
 
@@ -80,8 +84,8 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     live = np.zeros((c, m), bool)
     for k, (a, b) in enumerate(zip(items, windows, strict=True)):
         left[k, : len(a)], right[k, : len(b)], live[k, : len(a)] = a, b, True
-    # a cell holds score * 2**20 + (2**20 - 1 - start): of equal scores the one that starts first wins
-    one = np.int64(1 << 20)
+    # a cell holds score * 2**32 + (2**32 - 1 - start): of equal scores the one that starts first wins
+    one = np.int64(1 << 32)
     j = np.arange(w + 1, dtype=np.int64)
     fresh = one - 1 - j
     before = np.broadcast_to(fresh, (c, w + 1)).copy()
@@ -101,6 +105,15 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best // one, one - 1 - best % one, stop
 
 
+def pieces(a: int, b: int, reach: int) -> Iterator[tuple[int, int]]:
+    """A long window in overlapping pieces; whatever spans at most ``reach`` words lies in one of them."""
+    most = max(4 * reach, PIECE)
+    while b - a > most:
+        yield a, a + most
+        a += most - reach
+    yield a, b
+
+
 def shared(item: np.ndarray, window: np.ndarray) -> int:
     """Words that both have, each as often as in the one with fewer; no alignment matches more."""
     once, n = np.unique(item, return_counts=True)
@@ -139,10 +152,14 @@ def scan(column: pa.Array, items: Items, seeds: tuple[np.ndarray, np.ndarray, np
         for r, it, a, b, d in zip(row[begin].tolist(), item[begin].tolist(), low.tolist(), high.tolist(), distinct.tolist(), strict=True):
             a, b = max(int(bounds[r]), a - int(reach[it])), min(int(bounds[r + 1]), b + N + int(reach[it]))
             if shared(items.words[items.cut[it] : items.cut[it + 1]], words[a:b]) / int(size[it]) >= threshold:
-                todo.append((r, it, a, b, d))
-        todo.sort(key=lambda x: size[x[1]])
-        for k in range(0, len(todo), 32):
-            part = todo[k : k + 32]
+                todo += [(r, it, x, y, d) for x, y in pieces(a, b, int(reach[it]))]
+        todo.sort(key=lambda x: (x[3] - x[2], x[0], x[1], x[2]))
+        k = 0
+        while k < len(todo):
+            n = k + 1  # windows come in order of length, so the last one is the widest
+            while n < min(len(todo), k + 256) and (todo[n][3] - todo[n][2]) * (n + 1 - k) <= CELLS:
+                n += 1
+            part, k = todo[k:n], n
             score, s, e = align([items.words[items.cut[x[1]] : items.cut[x[1] + 1]] for x in part], [words[a:b] for _, _, a, b, _ in part])
             for (r, it, a, _, d), sc, x, y in zip(part, score, s, e, strict=True):
                 yield i + r, it, float(sc) / (2 * int(size[it])), int(starts[a + x] - own[r]), int(ends[a + max(y, x + 1) - 1] - own[r]), d
@@ -177,7 +194,8 @@ def matches(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
             for batch in batches:
                 best: dict[tuple[int, int], tuple] = {}
                 for row, item, *rest in scan(batch.column("_t"), items, seeds, table, threshold):
-                    if rest[0] >= threshold and rest[0] > best.get((row, item), (0.0,))[0]:
+                    old = best.get((row, item))
+                    if rest[0] >= threshold and (old is None or (rest[0], -rest[1]) > (old[0], -old[1])):
                         best[row, item] = tuple(rest)
                 rows = sorted(best)
                 cols = [batch.column("_id").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([items.ids[i] for _, i in rows], pa.int64())]
