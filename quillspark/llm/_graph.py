@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from ._scratch import Scratch
 
+#: Parts into which the links of one node are dealt, whatever their number.
+SALTS = 16
+
+
+def with_smallest(links: DataFrame) -> DataFrame:
+    """(u, v) links with ``m``, the smallest v of each u; the links of a hub are dealt to ``SALTS`` tasks."""
+    low = links.groupBy("u").agg(F.min("v").alias("m"))
+    copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a long, b long) links to (node, component), the smallest id reachable.
@@ -25,12 +35,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if now.n == 0 or now == before:
             break
         before = now
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
+        both = with_smallest(e.union(e.select("v", "u")))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_smallest(large)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v").distinct()
         e, new = scratch.table(small)
         scratch.drop(path)
         path = new

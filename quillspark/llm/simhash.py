@@ -6,8 +6,8 @@ that differ in at most ``radius`` bits agree on all blocks but ``radius`` of
 them, so each fingerprint goes to one bucket per choice of the blocks kept.
 A bucket's shared masked pattern is the top node of the index.  At a radius of
 two 48 bits are fixed, so a bucket holds at most 2**16 fingerprints however large
-a group of copies is (2**24 at a radius of three), and a fingerprint has at most
-136 (2,324) neighbours in it.  Inside buckets the fingerprints lie in
+a group of copies is (2**24 at a radius of three, 16 bytes each while the bucket
+is gathered), and a fingerprint has at most 136 (2,324) neighbours in it.  Inside buckets the fingerprints lie in
 order of Gray rank; runs of ``FANOUT`` neighbours form nodes that keep only
 the bits their members share beyond the parent's, and a search adds up the
 differences on its way down and leaves a node, with all below it, once they
@@ -146,27 +146,33 @@ def links(reps: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
     keyed = keyed.select(F.col("_k.c").alias("c"), F.col("_k.v").alias("v"), "_fp", "_rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            c, v, fp, rep = rows
-            change = np.r_[True, (c[1:] != c[:-1]) | (v[1:] != v[:-1])]
-            bucket = np.cumsum(change) - 1
+        def found(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
             many = np.bincount(bucket)[bucket] > 1
             x, y = stars(bucket[many], fp[many].view(_U), rep[many], radius) if many.any() else (rep[:0], rep[:0])
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-        held = None
+        held, name = [], None  # parts of the last bucket, which may go on in the next batch
         for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("c", "v", "_fp", "_rep")]
-            if not len(rows[0]):
+            c, v, fp, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("c", "v", "_fp", "_rep"))
+            if not len(c):
                 continue
-            rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield found([r[:cut] for r in rows])
-            held = [r[cut:] for r in rows]
-        if held is not None:
-            yield found(held)
+            first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (v[1:] != v[:-1])])
+            ends, last = np.r_[first[1:], len(c)], int(first[-1])
+            if name == (c[0], v[0]):
+                held.append((fp[: ends[0]], rep[: ends[0]]))
+                first, ends = first[1:], ends[1:]
+            if not len(first):
+                continue
+            if held:
+                own = [np.concatenate(p) for p in zip(*held, strict=True)]
+                yield found(np.zeros(len(own[0]), np.int64), *own)
+            begin = int(first[0])
+            if begin < last:
+                yield found(np.repeat(np.arange(len(first) - 1), (ends - first)[:-1]), fp[begin:last], rep[begin:last])
+            held, name = [(fp[last:].copy(), rep[last:].copy())], (c[last], v[last])
+        if held:
+            own = [np.concatenate(p) for p in zip(*held, strict=True)]
+            yield found(np.zeros(len(own[0]), np.int64), *own)
 
     dealt = keyed.repartition("c", "v").sortWithinPartitions("c", "v")
     return dealt.mapInArrow(run, "a long, b long").distinct()
