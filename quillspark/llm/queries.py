@@ -77,8 +77,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select(
-        F.col("_row.doc_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")
-    )
+        F.col("_row.doc_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+        (F.col("_n_removed") > 0).alias("repeats"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -131,7 +132,7 @@ with t(name, b) as (values {rows}),
 d as (select row_number() over () as rid, doc_id, coalesce(text, '') as x from documents),
 u as (select distinct rid, doc_id, unnest(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\n[ \t\r]*\n'), [x])) as unit from d),
 w as (select row_number() over () as uid, doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as ws from u),
-a as (select uid, doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as a from w where len(ws) between 2 and 2000),
+a as (select uid, doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as a from w where len(ws) >= 2),
 s as (select uid, doc_id, name, 2.0::double * len(list_intersect(a, b)) / (len(a) + len(b)) as dice from a cross join t where len(a) between 1 and 400),
 best as (select doc_id, arg_max(name, dice) as license, max(dice) as dice from (select * from s where dice >= {licenses.THRESHOLD} order by name) group by uid, doc_id)
 select doc_id, license, max(dice) as dice, count(*)::bigint as n_units from best group by doc_id, license"""

@@ -323,32 +323,43 @@ def covers(df: DataFrame, id: str, text: str, length: int, hot: int, scratch: Sc
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(again)], ["k1", "k2", "s", "L", "m", "whole", "again"])
 
     runs, runs_path = scratch.table(texts.mapInArrow(find, "k1 long, k2 long, s long, L long, m long, whole long, again boolean"))
-    often = runs.groupBy("m").agg(F.count("*").alias("c")).where("c > 1")
-    repeated = scratch.save(runs.join(often, "m", "left").where("c is not null or again").drop("c"))
-    scratch.drop(runs_path)
+    # counts are written before they join, so that no aggregate stands between a join and a skewed key's splitting
+    often, often_path = scratch.table(runs.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"))
+    repeated, repeated_path = scratch.table(runs.join(often, "m", "left").where("c is not null or again").drop("c"))
+    scratch.drop(runs_path, often_path)
     kinds = repeated.groupBy("m", "whole").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s", "L")).alias("r"))
-    kinds = scratch.save(kinds.select("m", "whole", "n", "again", "r.*"))
+    kinds, kinds_path = scratch.table(kinds.select("m", "whole", "n", "again", "r.*"))
     full = repeated.join(kinds.where("n > 1").select("m", "whole"), ["m", "whole"]).select("k1", "k2", "s", (F.col("s") + F.col("L") - 1 + length).alias("e"))
     several = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("again").alias("any")).where("kinds > 1 or any").drop("any")
-    several = scratch.save(several)  # so that the join below has no aggregate on its side and can split a skewed key
+    several, several_path = scratch.table(several)
     asked = kinds.join(several, "m").withColumn("hot", F.col("kinds") > hot)
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "n", "s", "L", "hot")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("m", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("L", pa.int64()), ("hot", pa.bool_()), ("span", pa.binary())])
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = []
-                for r in batch.slice(i, 256).to_pylist():
-                    body = (r["t"] or "").encode()
-                    rows += [(x["m"], x["n"], r["k1"], r["k2"], x["s"], x["L"], x["hot"], body[x["s"] : x["s"] + x["L"] - 1 + length]) for x in r["runs"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
+            data, offsets = buffers(batch.column("t"))
+            lists = batch.column("runs")
+            runs, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            begin = offsets[row] + runs.field("s").to_numpy()
+            size = runs.field("L").to_numpy() - 1 + length
+            keys = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in ("k1", "k2")]
+            ends, i = np.cumsum(size), 0
+            while i < len(size):
+                # spans overlap, so what a batch gives is bounded by their bytes and not by its rows
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, "right")))
+                body = np.concatenate([data[x : x + n] for x, n in zip(begin[i:j].tolist(), size[i:j].tolist(), strict=True)])
+                span = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.r_[0, np.cumsum(size[i:j])].astype(np.int32)), pa.py_buffer(body)])
+                part = runs.slice(i, j - i)
+                cols = [*(part.field(c) for c in ("m", "n")), *(pa.array(k[i:j]) for k in keys), *(part.field(c) for c in ("s", "L", "hot")), span]
+                yield pa.RecordBatch.from_arrays(cols, ["m", "n", "k1", "k2", "s", "L", "hot", "span"])
+                i = j
 
     spans = texts.join(asked, ["k1", "k2"]).mapInArrow(cut, "m long, n long, k1 long, k2 long, s long, L long, hot boolean, span binary")
     spans, spans_path = scratch.table(spans)
+    scratch.drop(several_path)
     found = full.union(family_covers(spans.where("not hot"), length)).union(hot_covers(spans.where("hot"), length))
     out = scratch.save(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    scratch.drop(spans_path)
+    scratch.drop(spans_path, repeated_path, kinds_path)
     return out
 
 
@@ -379,9 +390,10 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 4
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                bodies = [b or b"" for b in part.column("_row").field(text).cast(pa.string()).cast(pa.binary()).to_pylist()]
+            whole = batch.column("_row").field(text).cast(pa.string())
+            for i, j in slices(buffers(whole)[1]):
+                part = batch.slice(i, j - i)
+                bodies = [b or b"" for b in whole.slice(i, j - i).cast(pa.binary()).to_pylist()]
                 done = [remove(b, s) for b, s in zip(bodies, part.column("spans").to_pylist(), strict=True)]
                 kept = [k.decode("utf-8", "ignore") if as_text else k for k, _ in done]
                 cols = [part.column("_row"), pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(k) for b, (k, _) in zip(bodies, done, strict=True)], pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]

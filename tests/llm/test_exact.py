@@ -46,6 +46,35 @@ def test_long_chains_are_one_component(spark):
     assert {r.node: r.component for r in found.collect()} == {**dict.fromkeys(ids, 0), 100: 100, 101: 100}
 
 
+def test_a_hub_of_many_links_is_dealt(spark):
+    from quillspark.llm._graph import SALTS, components, with_smallest
+    from quillspark.llm._scratch import Scratch
+
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    found = components(star, Scratch(spark, "test"))
+    assert found.agg(F.count("*"), F.max("component")).first() == (100_001, 0)
+    hub = star.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    parts = with_smallest(hub).groupBy(F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("p"), "m").count().collect()
+    assert len(parts) == SALTS and {p.m for p in parts} == {1} and max(p["count"] for p in parts) < 2 * 100_000 / SALTS
+
+
+def test_buckets_over_many_batches(spark):
+    r = random.Random(6)
+    base = [r.getrandbits(63) for _ in range(12)]
+    fps = {i: (base[i % 12] ^ (1 << r.randint(0, 4)) ^ (1 << r.randint(0, 62))) & (2**63 - 1) for i in range(240)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        links = simhash.links(spark.createDataFrame([(f, i) for i, f in fps.items()], "_fp long, _rep long"), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    root = {i: i for i in fps}
+    for _ in range(40):
+        for x in links:
+            root[x.a] = root[x.b] = min(root[x.a], root[x.b])
+    assert root == plain.components(fps, 2)
+
+
 def test_simhash_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd, shingle=3).collect()
     assert len(rows) == odd.count()
@@ -75,6 +104,27 @@ def test_suffix_query(spark, sf, pairs):
     assert got == want
 
 
+def test_planted_passages_around_the_length(spark):
+    r = random.Random(7)
+
+    def prose(n: int) -> str:
+        return "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+
+    passages = [prose(n) for n in (300, 399, 400, 401, 500, 650, 800)]
+    rows = []
+    for k, p in enumerate(passages):
+        for c in range(3):
+            rows.append((10 * k + c, prose(r.randint(50, 900)) + str(c) + p + "XYZ"[c] + prose(r.randint(50, 900))))
+    rows += [(1000 + i, prose(700)) for i in range(20)]
+    rows += [(2000, passages[5] + "." + passages[5]), (2001, "q" * 900)]  # repeats within one text
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {i: tuple(x) for i, _, *x in suffix_rows(df)}
+    bodies = [t.encode() for _, t in rows]
+    for (i, _), b, g in zip(rows, bodies, plain.repeats(bodies, 400), strict=True):
+        assert got[i] == (len(b), int(g.sum()), plain.runs(g), plain.kept(b, g))
+    assert {i for i, x in got.items() if x[1]} == {10 * k + c for k in range(2, 7) for c in range(3)} | {2000, 2001}
+
+
 @pytest.mark.parametrize("hot", [0, 2, 4096])
 def test_suffix_odd_rows(odd, none, hot):
     rows = suffix_rows(odd, hot=hot)
