@@ -6,24 +6,31 @@ accepts; the fewer phrases a language needs for the text's symbols, the closer
 it is.  ``phrases * log2(learnt symbols) / symbols`` estimates the cross-entropy
 in bits a symbol; the smallest wins, ties go to the smaller name.
 
-Symbols are lower-case letters; whatever lies between them is one space.
-Automata are dense tables, so a whole batch is parsed side by side: texts are
-cut into segments of ``SEGMENT`` symbols, each a lane that starts a new phrase,
-and all lanes take one step at a time.  Every symbol of every text is parsed.
+Symbols are lower-case letters, all that a language was learnt with, of any
+script; whatever lies between letters is one space.  Transitions on a language's
+``DENSE`` commonest symbols lie in a dense table, the others in a sorted list.
 
-Learning takes a bounded sample (documented): per language whole texts with the
-smallest id hashes among ``SAMPLE_TEXTS`` of them, shorter ones first, up to
-``SYMBOLS`` symbols, fewer where ``TABLE_BYTES`` would not hold the tables of
-all languages.  Tables have that size whatever the corpus; they are broadcast.
+Every symbol of every text is parsed, and a phrase may be of any length.  So that
+a whole batch is parsed side by side, texts are cut into lanes of ``LANE``
+symbols; each lane is parsed as if a phrase began there, then goes on into the
+next ones until it begins a phrase where the lane it is in began one too.  From
+there on both parses are the same, so the phrases of the text as a whole are
+counted by going from lane to lane at these places.
+
+Learning takes a bounded sample (documented): per language at most
+``SAMPLE_TEXTS`` whole texts, those of at most ``SAMPLE_LENGTH`` characters first,
+then by id hash, up to the one that brings their characters to ``SAMPLE_CHARS``.
+The tables grow with the number of languages, by some 10 MB each, and not with
+the corpus; they are broadcast.
 
 Nulls and edges: null text and text without a letter are ``und`` with score 0,
-and so is everything where no language was learnt; letters unknown to all
-automata are phrases of their own; rows with null language or id teach nothing.
+and so is everything where no language was learnt; letters that a language was
+not learnt with are phrases of their own in it; rows with null language or id
+teach nothing; a language whose sample holds no letter is not learnt.
 """
 
 from __future__ import annotations
 
-
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,9 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT, SAMPLE_TEXTS, SAMPLE_LENGTH, SYMBOLS, ALPHABET, TABLE_BYTES = 512, 64, 20_000, 20_000, 64, 96 << 20
+LANE, SAMPLE_TEXTS, SAMPLE_LENGTH, SAMPLE_CHARS, DENSE = 512, 64, 4_000, 24_000, 64
 OTHER, SPACE = 0, 1
 BREAK = np.int32(1 << 30)
+#: Characters that are parsed side by side, but for a longer text.
+SLICE_CHARS = 1 << 20
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -67,46 +76,107 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return following
 
 
+class Automaton:
+    """One language's automaton; a state is the place of its row in the dense table."""
+
+    def __init__(self, learnt: np.ndarray, letters: int):
+        """Symbols are SPACE and 2 to ``letters`` + 1; the language gets codes of its own for those it has, commonest first."""
+        n = Counter(learnt.tolist())
+        own = [OTHER, SPACE, *sorted((s for s in n if s > SPACE), key=lambda s: (-n[s], s))]
+        self.codes = np.zeros(letters + 2, np.int32)
+        self.codes[own] = np.arange(len(own))
+        self.width, self.kinds, self.size = min(len(own), DENSE), len(own), max(len(learnt), 2)
+        steps = suffix_automaton(self.codes[learnt].tolist())
+        state = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
+        code = np.array([s for x in steps for s in x], np.int64)
+        to = np.array([t for x in steps for t in x.values()], np.int64)
+        self.between = len(steps) * self.width  # before the first phrase, and after one of a single unknown symbol
+        self.again = np.full(self.kinds, self.between, np.int64)  # the symbol starts a phrase
+        self.again[code[state == 0]] = to[state == 0] * self.width
+        self.again = (self.again | BREAK).astype(np.int32)
+        table = np.tile(self.again[: self.width], (len(steps) + 1, 1))
+        dense = code < self.width
+        table[state[dense], code[dense]] = to[dense] * self.width
+        self.table = table.ravel()
+        key = state[~dense] * self.kinds + code[~dense]
+        order = np.argsort(key)
+        self.rare, self.rare_to = key[order], (to[~dense] * self.width)[order].astype(np.int32)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next states, with the BREAK bit where the symbol starts a phrase."""
+        if self.kinds == self.width:
+            return self.table[state + code]
+        to = self.table[state + np.minimum(code, self.width - 1)]
+        rare = np.flatnonzero(code >= self.width)
+        if len(rare):
+            key = (state[rare] // self.width).astype(np.int64) * self.kinds + code[rare]
+            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            to[rare] = np.where(self.rare[at] == key, self.rare_to[at], self.again[code[rare]])
+        return to
+
+    def phrases(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases of each text, given its place among the symbols; no text is empty."""
+        flat = self.codes[symbols]
+        lanes = -(-size // LANE)
+        head = np.cumsum(lanes) - lanes
+        text = np.repeat(np.arange(len(size)), lanes)
+        begin = start[text] + (np.arange(lanes.sum()) - head[text]) * LANE
+        stop = (start + size)[text]
+        end = np.minimum(begin + LANE, stop)
+
+        order = np.argsort(begin - end, kind="stable")  # the longest first, so that lanes still going on come first
+        from_ = begin[order]
+        active = np.searchsorted((begin - end)[order], -np.arange(1, LANE + 1), "right")
+        state = np.full(len(order), self.between, np.int32)
+        starts = np.zeros(len(flat) + 1, bool)
+        for k, n in enumerate(active[active > 0]):
+            at = from_[:n] + k
+            to = self.step(state[:n], flat[at])
+            starts[at] = to >= BREAK
+            state[:n] = to & (BREAK - 1)
+        before = np.r_[0, np.cumsum(starts)]
+
+        extra, met = np.zeros(len(begin), np.int64), np.full(len(begin), -1, np.int64)
+        lane = order[end[order] < stop[order]]
+        state = state[end[order] < stop[order]]
+        at = end[lane]
+        while len(lane):
+            to = self.step(state, flat[at])
+            new = to >= BREAK
+            same = new & starts[at]
+            met[lane[same]] = at[same]
+            extra[lane] += new & ~same
+            at = at + 1
+            on = np.flatnonzero(~same & (at < stop[lane]))
+            lane, state, at = lane[on], to[on] & (BREAK - 1), at[on]
+
+        found, here, enter, which = np.zeros(len(size), np.int64), head, start, np.arange(len(size))
+        while len(which):
+            found[which] += before[end[here]] - before[enter] + extra[here]
+            enter = met[here]
+            on = np.flatnonzero(enter >= 0)
+            which, enter = which[on], enter[on]
+            here = head[which] + (enter - start[which]) // LANE
+        return found
+
+
 class Parser:
-    """Automata of all languages over one alphabet."""
+    """Automata of all languages."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        self.langs = sorted(texts)
-        budget = min(SYMBOLS, TABLE_BYTES // (max(len(texts), 1) * 2 * ALPHABET * 4))
-        letters = Counter(c for lang in self.langs for t in texts[lang] for c in t[: 4 * SYMBOLS].lower() if c.isalpha())
-        chosen = sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - 2]
-        self.codes = {ord(c): i + 2 for i, c in enumerate(chosen)}
-        self.tables, self.sizes = [], []
-        for lang in self.langs:
-            parts, n = [], 0
-            for t in texts[lang]:
-                s = self.symbols([t])[0][: budget - n]
-                parts.append(s)
-                n += len(s)
-                if n >= budget:
-                    break
-            learnt = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-            steps = suffix_automaton(learnt.tolist())
-            between = len(steps)  # a state after a phrase of one unknown symbol, and before the first phrase
-            table = np.full((between + 1, ALPHABET), -1, np.int32)
-            for state, nexts in enumerate(steps):
-                for s, to in nexts.items():
-                    table[state, s] = to * ALPHABET
-            table[:, OTHER] = -1
-            again = np.where(table[0] >= 0, table[0], between * ALPHABET) | BREAK  # the symbol starts a phrase
-            self.tables.append(np.where(table >= 0, table, again).astype(np.int32).ravel())
-            self.sizes.append(max(len(learnt), 2))
+        letters = sorted({c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha()})
+        self.letters = np.array([ord(c) for c in letters], np.int64)
+        learnt = {lang: [s for s in self.symbols(ts) if len(s)] for lang, ts in texts.items()}
+        self.langs = sorted(lang for lang, parts in learnt.items() if parts)
+        self.automata = [Automaton(np.concatenate(learnt[lang]), len(letters)) for lang in self.langs]
 
     def _lookup(self) -> np.ndarray:
         if not hasattr(self, "_map"):
-            import unicodedata
-
-            kinds = np.full(0x110000, SPACE, np.uint8)
+            kinds = np.full(0x110000, SPACE, np.int32)
             for cp in range(0x110000):
-                if unicodedata.category(chr(cp))[0] == "L":
+                if chr(cp).isalpha():
                     kinds[cp] = OTHER
-            for cp, code in self.codes.items():
-                kinds[cp] = code
+            kinds[self.letters] = np.arange(2, len(self.letters) + 2)
             self._map = kinds
         return self._map
 
@@ -130,52 +200,35 @@ class Parser:
         coded = self.symbols(texts)
         size = np.array([len(s) for s in coded], np.int64)
         phrases = np.zeros((len(texts), len(self.langs)), np.int64)
-        if not size.sum() or not self.langs:
-            return phrases, size
-        flat = np.concatenate(coded)
-        pieces = -(-size // SEGMENT)
-        text = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(np.cumsum(size) - size, pieces) + nth * SEGMENT
-        length = np.minimum(np.repeat(size, pieces) - nth * SEGMENT, SEGMENT)
-        order = np.argsort(-length, kind="stable")
-        text, start, length = text[order], start[order], length[order]
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
-        grid = np.zeros((int(length[0]), len(start)), np.uint8)
-        for k, n in enumerate(active):
-            grid[k, :n] = flat[start[:n] + k]
-        for lang, table in enumerate(self.tables):
-            state = np.full(len(start), len(table) - ALPHABET, np.int32)
-            count = np.zeros(len(start), np.int32)
-            for k, n in enumerate(active):
-                to = table[state[:n] + grid[k, :n]]
-                count[:n] += to >> 30
-                state[:n] = to & (BREAK - 1)
-            phrases[:, lang] = np.bincount(text, count, minlength=len(texts)).astype(np.int64)
+        some = np.flatnonzero(size)
+        if len(some):
+            flat = np.concatenate(coded)
+            for k, automaton in enumerate(self.automata):
+                phrases[some, k] = automaton.phrases(flat, (np.cumsum(size) - size)[some], size[some])
         return phrases, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language needing fewest normalised phrases, and its share against the next one."""
-        filled = [t or "" for t in texts]
-        phrases, size = self.parse(filled)
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        bits = phrases * np.log2(self.sizes) / np.maximum(size, 1)[:, None]
+        phrases, size = self.parse([t or "" for t in texts])
+        bits = phrases * np.log2([a.size for a in self.automata]) / np.maximum(size, 1)[:, None]
         best = bits.argmin(axis=1)
         two = np.partition(bits, 1, axis=1)[:, :2] if len(self.langs) > 1 else np.repeat(bits, 2, axis=1)
         share = two[:, 1] / np.maximum(two.sum(axis=1), 1e-12)
-        seen = [any(map(str.isalpha, t)) if not n else True for t, n in zip(filled, size, strict=True)]
-        names = [self.langs[b] if s else "und" for b, s in zip(best, seen, strict=True)]
-        return names, [float(x) if s else 0.0 for x, s in zip(share, seen, strict=True)]
+        return [self.langs[b] if n else "und" for b, n in zip(best, size, strict=True)], [float(x) if n else 0.0 for x, n in zip(share, size, strict=True)]
 
 
 def learn(df: DataFrame, learn_from: Column, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Parser:
     """Automata from a bounded sample of rows where ``learn_from`` (over ``_id``) holds and the language is known."""
     rows = df.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t"), F.col(lang).cast("string").alias("_lang"))
     rows = rows.where("_id is not null and _lang is not null and _t is not null").where(learn_from)
-    rows = rows.withColumn("_o", F.struct((F.length("_t") > SAMPLE_LENGTH).alias("long"), F.xxhash64(F.col("_id").cast("string")).alias("h"), F.col("_id").cast("string").alias("i")))
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_o"))
-    sample = rows.withColumn("_n", nth).where(F.col("_n") <= SAMPLE_TEXTS).select("_lang", "_n", F.substring("_t", 1, 4 * SYMBOLS).alias("_t")).collect()
+    rows = rows.withColumn("_o", F.struct((F.length("_t") > SAMPLE_LENGTH).alias("long"), F.xxhash64(F.col("_id").cast("string")).alias("h"), F.col("_id").cast("string").alias("i"), F.xxhash64("_t").alias("t")))
+    order = Window.partitionBy("_lang").orderBy("_o")
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_TEXTS)
+    chars = F.coalesce(F.sum(F.length("_t")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most SAMPLE_CHARS and one text a language come to the driver
+    sample = first.withColumn("_chars", chars).where(F.col("_chars") < SAMPLE_CHARS).select("_lang", "_n", "_t").collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample:
         texts.setdefault(r._lang, []).append((r._n, r._t))
@@ -194,7 +247,7 @@ def predict(df: DataFrame, parser: Parser, id: str = "doc_id", text: str = "text
             names, scores, i = [], [], 0
             while i < len(texts):
                 j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j] or "") <= 1 << 20):
+                while j < len(texts) and (j == i or n + len(texts[j] or "") <= SLICE_CHARS):
                     n += len(texts[j] or "")
                     j += 1
                 a, b = parser.predict(texts[i:j])

@@ -79,18 +79,6 @@ def smith_waterman(a: list, b: list) -> int:
     return best
 
 
-def longest_phrases(text: list[int], learnt: list[int]) -> int:
-    """Phrases of a text, each the longest start of the rest that occurs in the learnt symbols."""
-    joined = bytes(learnt)
-    n = i = 0
-    while i < len(text):
-        k = 1
-        while i + k < len(text) and bytes(text[i : i + k + 1]) in joined:
-            k += 1
-        i, n = i + k, n + 1
-    return n
-
-
 def toxic_evidence(rows: list[tuple[str | None, int | None]], discount: float) -> list[tuple[float, int]]:
     """Log ratio of the toxic and the ordinary model over each text's words, and its words; (text, label) in, one label a text."""
     split = [re.findall("[a-z0-9]+", (t or "").lower()) for t, _ in rows]

@@ -64,17 +64,55 @@ def test_language_accuracy_on_held_out_rows(spark, sf, docs):
     assert n > 20 and right >= 0.95 * n
 
 
-def test_parser_finds_longest_phrases():
-    parser = langid.Parser({"a": ["the cat sat on the mat " * 3], "b": ["der hund und die katze " * 3]})
-    texts = ["the hund sat und on", "zz the", "cat"]
+def plain_phrases(parser: langid.Parser, lang: str, learnt: list[str], text: str) -> int:
+    """Phrases of a text by search in the learnt symbols."""
+    joined = "".join(map(chr, np.concatenate(parser.symbols(learnt)) + 0x4E00))
+    coded = "".join(map(chr, parser.symbols([text])[0] + 0x4E00)).replace(chr(0x4E00), "?")
+    n = i = 0
+    while i < len(coded):
+        k = 1
+        while i + k < len(coded) and coded[i : i + k + 1] in joined:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
+def alphabet_words(letters: str, seed: int, n: int) -> str:
+    r = random.Random(seed)
+    known = ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)]
+    return " ".join(r.choice(known) for _ in range(n))
+
+
+@pytest.mark.parametrize("lane", [7, 64, 512])
+def test_parses_equal_a_plain_search(monkeypatch, lane):
+    monkeypatch.setattr(langid, "LANE", lane)
+    learnt = {"a": [words(1, 300), words(2, 60)], "b": ["der hund und die katze " * 9], "zh": ["".join(random.Random(5).choices([chr(0x4E00 + i) for i in range(200)], k=900))]}
+    parser = langid.Parser(learnt)
+    texts = ["the hund sat und on", "zz the", "c", "", "12 34", words(1, 300), words(1, 300) + words(9, 500), words(3, 400) + "der hund und die katze " * 40]
+    texts += [learnt["zh"][0][200:700] + "\u4e00\u9fa5" * 9, "\u9fa5" * 700, "an" * 1500, learnt["b"][0] * 9]
     phrases, size = parser.parse(texts)
+    assert max(size) > 2000 and parser.automata[2].kinds > parser.automata[2].width
     for t, p, n in zip(texts, phrases, size, strict=True):
-        coded = parser.symbols([t])[0].tolist()
-        assert n == len(coded)
-        for k, lang in enumerate(parser.langs):
-            learnt = parser.symbols([("the cat sat on the mat " if lang == "a" else "der hund und die katze ") * 3])[0].tolist()
-            known = [x if x > 0 else 255 for x in coded]
-            assert plain.longest_phrases(known, learnt) == p[k]
+        assert n == len(parser.symbols([t])[0])
+        assert p.tolist() == [plain_phrases(parser, lang, learnt[lang], t) for lang in parser.langs]
+
+
+def test_twelve_languages_of_several_scripts(spark):
+    scripts = ["abcdefgh", "ijklmnop", "qrstuvwx", "aeiouyzt", "абвгдежз", "ийклмноп", "αβγδεζηθ", "אבגדהוזח", "ابتثجحخد", "कखगघचछजझ", "あいうえおかきく", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))]
+    rows = [(100 * k + i, alphabet_words(letters, k, 150 if i else 3000), f"l{k:02}") for k, letters in enumerate(scripts) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.learn(df, F.col("_id") % 4 != 2)
+    assert len(parser.langs) == 12
+    found = {r.doc_id: r.lang_pred for r in langid.predict(df, parser).collect()}
+    assert found == {i: lang for i, _, lang in rows}
+
+
+def test_sampled_texts_are_whole(spark):
+    rows = [(i, alphabet_words("abc", i, 1200) + " zqzq", "x") for i in range(12)] + [(99, "short one", "x"), (100, None, "x"), (101, "...", "y")]
+    parser = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert parser.langs == ["x"]
+    (phrases,), _ = parser.parse(["zqzq"])
+    assert phrases[0] == 1 and parser.automata[0].size >= langid.SAMPLE_CHARS * 0.9
 
 
 def test_language_odd_rows(odd, none):
