@@ -83,7 +83,7 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
-def resample(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", share: float = SHARE, seed: int = 7, label_rows: int = 5_000_000) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", share: float = SHARE, seed: int = 7, label_rows: int = 2_000_000) -> DataFrame:
     """Per row: the id, ``log_weight``, ``score`` (log weight with Gumbel noise) and ``kept``.
 
     Labels join by broadcast only where their counted rows are at most ``label_rows``.

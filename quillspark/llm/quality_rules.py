@@ -106,21 +106,21 @@ def binomial_tail(k: str, n: str, rate: float) -> Column:
     )
 
 
-def cutoffs(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """(_stratum, rule, cutoff) that passed, from good rows that the base rules keep."""
+def cutoffs(labelled: DataFrame, alpha: float, delta: float, scratch: Scratch) -> DataFrame:
+    """(_stratum, rule, cutoff) that passed, from good rows that the base rules keep; their counts are written, so the rows are read once."""
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("step"), F.lit(c).alias("cutoff"), (F.col(f"_m_{r}") > c).alias("hit")) for r, cs in RULES.items() for k, c in enumerate(cs)])
     counts = labelled.select("_stratum", F.explode(grid).alias("g")).groupBy("_stratum", "g.rule", "g.step", "g.cutoff").agg(F.count("*").alias("n"), F.sum(F.col("g.hit").cast("long")).alias("k"))
-    strata = labelled.select("_stratum").distinct().agg(F.count("*").alias("strata"))
-    share = alpha / len(RULES)
-    tested = counts.crossJoin(F.broadcast(strata)).withColumn("tail", binomial_tail("k", "n", share))
-    tested = tested.withColumn("ok", F.col("tail") <= delta / (len(RULES) * F.col("strata")))
+    counts = scratch.save(counts)
+    strata = counts.select("_stratum").distinct().count()
+    tested = counts.withColumn("tail", binomial_tail("k", "n", alpha / len(RULES)))
+    tested = tested.withColumn("ok", F.col("tail") <= delta / (len(RULES) * max(strata, 1)))
     first_bad = F.min(F.when(~F.col("ok"), F.col("step")))
     walked = tested.groupBy("_stratum", "rule").agg(first_bad.alias("bad"), F.collect_list(F.struct("step", "cutoff")).alias("all"))
     best = F.expr("array_max(filter(all, x -> bad is null or x.step < bad)).cutoff")
     return walked.select("_stratum", "rule", best.alias("cutoff")).where("cutoff is not null")
 
 
-def judge(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", alpha: float = 0.05, delta: float = 0.05, label_rows: int = 5_000_000) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", alpha: float = 0.05, delta: float = 0.05, label_rows: int = 2_000_000) -> DataFrame:
     """Per row: ``_row`` (the row as it came), the measures, ``_base_failed`` and ``_kept``.
 
     ``labels`` joins by broadcast only where its counted rows are at most
@@ -132,8 +132,9 @@ def judge(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     base = df.select(F.struct("*").alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
     good = base.join(known, base["_id"] == known["_label_id"], "left_semi").select("_stratum", "_text")
     good = measures(good, "_text").withColumn("_good", fenced(~base_failed())).where("_good")
-    wide = cutoffs(good, alpha, delta).groupBy(F.col("_stratum").alias("_of")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in RULES])
-    wide = Scratch(df.sparkSession, "cutoffs").save(wide)
+    scratch = Scratch(df.sparkSession, "cutoffs")
+    wide = cutoffs(good, alpha, delta, scratch).groupBy(F.col("_stratum").alias("_of")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in RULES])
+    wide = scratch.save(wide)
     wide = F.broadcast(wide) if wide.count() <= MAX_STRATA else wide
     out = measures(base, "_text").join(wide, F.col("_stratum") == F.col("_of"), "left").withColumn("_base_failed", base_failed())
     rejected = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_m_{r}") > F.col(f"_c_{r}"), F.lit(False)) for r in RULES])
