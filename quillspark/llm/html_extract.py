@@ -1,17 +1,22 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
-1. *Strip markup.*  One scan of the page turns it into lines, one for each block
-   element; character references are decoded, white space in a line is one
-   space.  Elements that never hold an article (menus, page headers and footers,
-   sidebars, notices, adverts, forms, scripts, styles, reader comments), known
-   by tag, role or words of class and id, give no lines.
+1. *Strip markup.*  One scan of the page, linear in its length, turns it into
+   lines, one for each block element; character references are decoded, white
+   space in a line is one space.  Elements that never hold an article (menus,
+   page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
+   reader comments), known by tag, role or class and id, give no lines.  A class
+   counts if all its words say so (``cookie-notice``, not ``related-work``), or
+   one that leaves no doubt (``sidebar``); a wrapper that is only named like one
+   does not hide the article in it.
 2. *Sum over windows.*  A line weighs its characters outside links; a window of
    ``WINDOW`` lines weighs their sum.  Where the page marks an article or main
-   element, only lines inside it have weight.
-3. *Surge and dive.*  Text surges at a window of at least ``SURGE`` characters
-   (any weight at all inside a marked article) and dives at the first window
-   without any.  Lines between are kept, the heaviest region where no element is
-   marked, every region where one is; headings right before a surge belong to it.
+   element, lines in it weigh all their characters and others nothing.
+3. *Surge and dive.*  Text surges at a window of ``SURGE`` characters, or of an
+   eighth of the page's heaviest window where that is less, and dives at the first
+   window without any.  Surges that lead to less than ``SHARE`` of the heaviest
+   region are not the article (a line of copyright, a card of another article).
+   All lines from the first surge to the last dive are kept, whatever they weigh;
+   headings right before the surge belong to it.
 
 Nulls and edges: a null, empty or markup-only page gives the empty text; an
 unclosed element ends with its parent; a page cut off anywhere is read as far
@@ -28,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE = 3, 80
+from ._text import buffers, slices
+
+WINDOW, SURGE, SHARE = 3, 80, 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -39,56 +46,78 @@ BLOCKS = frozenset(
 )
 #: Cells of one table row are parts of one line.
 CELLS = frozenset(("td", "th"))
-DROPPED = frozenset("head nav header footer aside form button select dialog menu search svg canvas object audio video map math applet".split()) | RAW
+DROPPED = frozenset("head nav header footer aside form button select dialog menu search svg canvas object audio video map applet".split()) | RAW
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES_P = BLOCKS - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "title", "option", "optgroup"))
-#: Words of class and id values that mark what is not the article.
-WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies "
-    "alert copyright disclaimer disqus footer gdpr legal masthead menu modal nav navbar navigation newsletter notice notification pager "
-    "pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup "
-    "social sponsor sponsored subscribe subscription toc toolbar tracking widget".split()
+#: Elements that an end tag, or the next element of the kind, doesn't look beyond.
+P_FENCES, LI_FENCES = ("button", "table", "td", "th", "article", "body"), ("ul", "ol", "menu")
+#: Words of class and id values that mark what is not the article, in any company.
+CERTAIN = frozenset(
+    "ad adbox ads advert advertisement advertising adverts breadcrumb breadcrumbs captcha comments disqus footer gdpr masthead menu nav "
+    "navbar navigation newsletter pager pagination paywall popup sidebar signup sponsored toolbar".split()
+)
+#: Words that do so beside each other and beside words of place and shape.
+LIKELY = CERTAIN | frozenset(
+    "alert banner comment consent cookie cookies copyright disclaimer header legal modal notice notification promo promoted promotion "
+    "recommended related replies reply respond search share sharing social sponsor subscribe subscription toc tracking widget".split()
+)
+PLAIN = frozenset(
+    "area articles bar block bottom box buttons column container content fixed form global group icons inner item items left links list "
+    "main message nav outer overlay page panel policy posts right section site sticky thread top wrap wrapper".split()
 )
 #: Words beside "header" that make it the article's own.
 OWN = frozenset("article content entry post story".split())
+#: Words of elements whose own article elements are not the article.
+OTHERS = frozenset("ad ads advert advertisement adverts comment comments disqus footer nav promo recommended related replies reply respond sidebar sponsored".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
+#: A comment, a declaration, or a tag with its attributes; no part is ever read twice.
 TAG = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
+    r"<!--(?:>|->|(?:(?!--!?>).)*+(?:--!?>|\Z))|<!\[CDATA\[(?:(?!\]\]>).)*+(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)(?:>|\Z)|</[^>]*+(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|\Z)""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+(?=[\s/>]|\Z)""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: How sure it is that an element is not the article.
+KEPT, NAMED, SURE = 0, 1, 2
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element's own markup says that it is not the article."""
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+def doubt(tag: str, attributes: str) -> int:
+    """Whether an element's own markup says that it is not the article: not at all, by the name of a wrapper, or for sure."""
+    found = KEPT
+    if not attributes or tag in ("html", "body"):
+        return found
+    article = tag in ("article", "main")
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            words = set(SPLIT.split(CAMEL.sub(" ", value).lower()))
-            if not WORDS.isdisjoint(words) or "header" in words and words.isdisjoint(OWN):
-                return True
+            for token in value.split():
+                words = {w for w in SPLIT.split(CAMEL.sub(" ", token).lower()) if w and not w.isdigit()}
+                if article and words.isdisjoint(("comment", "comments")):
+                    continue
+                certain = not words.isdisjoint(CERTAIN)
+                if certain or not words.isdisjoint(LIKELY) and words <= LIKELY | PLAIN and not ("header" in words and not words.isdisjoint(OWN)):
+                    found = max(found, NAMED if words.isdisjoint(OTHERS) else SURE)
         elif name == "role":
-            if not ROLES.isdisjoint(value.lower().split()):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            if not article and not ROLES.isdisjoint(value.lower().split()):
+                return SURE
+        elif not article and (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            return SURE
+    return found
 
 
 class Lines:
-    """The lines of a page: text, weight, whether a marked article holds it, whether it is a heading."""
+    """The lines of a page: text, characters outside links, whether a marked article holds it, whether it is a heading."""
 
     def __init__(self, page: str):
         self.out: list[tuple[str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.link_chars = 0
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped from here, in an article from here
+        self.stack: list[tuple[str, int, bool]] = []  # tag, how surely dropped from here, in an article from here
+        self.places: dict[str, list[int]] = {}  # where in the stack each tag is open
+        self.blocks: list[int] = []  # where in the stack blocks are open
         self.heading = False
         self._read(page)
 
@@ -101,15 +130,19 @@ class Lines:
             self.parts, self.link_chars = [], 0
 
     def _pop(self, depth: int) -> None:
-        if any(t in BLOCKS for t, _, _ in self.stack[depth:]):
+        if self.blocks and self.blocks[-1] >= depth:
             self._end_line()
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
 
     def _text(self, raw: str) -> None:
         if raw and not (self.stack and self.stack[-1][1]):
             text = unescape(raw) if "&" in raw else raw
             self.parts.append(text)
-            if any(t == "a" for t, _, _ in self.stack):
+            if self.places.get("a"):
                 self.link_chars += len(text.strip())
 
     def _read(self, page: str) -> None:
@@ -134,6 +167,10 @@ class Lines:
         self._pop(0)
         self._end_line()
 
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """The innermost place of any of these, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br" or tag in CELLS:
             self.parts.append(" ")
@@ -141,9 +178,9 @@ class Lines:
             if tag == "hr":
                 self._end_line()
             return
-        if tag in CLOSES_P and (p := self._innermost("p", ("button", "table", "td", "th", "article", "body"))) >= 0:
+        if tag in CLOSES_P and (p := self._last(("p",))) > self._last(P_FENCES):
             self._pop(p)
-        if tag == "li" and (i := self._innermost("li", ("ul", "ol", "menu"))) >= 0:
+        if tag == "li" and (i := self._last(("li",))) > self._last(LI_FENCES):
             self._pop(i)
         for same in (("dt", "dd"), ("tr",), ("td", "th"), ("option",)):
             if tag in same and self.stack and self.stack[-1][0] in same:
@@ -151,27 +188,26 @@ class Lines:
         if tag in BLOCKS and tag not in CELLS:
             self._end_line()
         self.heading = tag in HEADINGS if tag in BLOCKS else self.heading
-        dropped, article = self.stack[-1][1:] if self.stack else (False, False)
-        own_header = tag == "header" and article
-        dropped = dropped or tag in DROPPED and not own_header or unwanted(tag, attributes)
+        dropped, article = self.stack[-1][1:] if self.stack else (KEPT, False)
+        own = doubt(tag, attributes)
+        if tag in ("article", "main") and own == KEPT and dropped == NAMED:
+            dropped = KEPT  # the name was that of a wrapper round the article
+        if tag in DROPPED and not (tag == "header" and article):
+            own = SURE
+        dropped = max(dropped, own)
         article = article or not dropped and tag in ("article", "main")
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, dropped, article))
 
-    def _innermost(self, tag: str, fences: tuple[str, ...]) -> int:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return i
-            if self.stack[i][0] in fences:
-                return -1
-        return -1
-
     def _close(self, tag: str) -> None:
         if tag in CELLS:
             self.parts.append(" ")
+        at = self._last((tag,))
         # an inline end tag does not end blocks around it
-        fences = () if tag in BLOCKS else tuple(BLOCKS)
-        if (i := self._innermost(tag, fences)) >= 0:
-            self._pop(i)
+        if at >= 0 and (tag in BLOCKS or not self.blocks or at > self.blocks[-1]):
+            self._pop(at)
         if tag in BLOCKS:
             self.heading = False
 
@@ -179,39 +215,40 @@ class Lines:
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by an empty line."""
     lines = Lines(page or "").out
-    marked = any(article for _, _, article, _ in lines)
-    if marked:
-        weights = [max(1, w) if article else 0 for _, w, article, _ in lines]
+    if any(article for _, _, article, _ in lines):
+        weights = [len(text) if article else 0 for text, _, article, _ in lines]
     else:
         weights = [w for _, w, _, _ in lines]
-    regions = regions_of(lines, weights, 1 if marked else SURGE, marked)
-    if not regions:  # no text that surges: a short article
-        regions = regions_of(lines, weights, 1, marked)
-    if not regions:
-        return ""
-    kept = [k for r in regions for k in r] if marked else max(regions, key=lambda r: sum(weights[k] for k in r))
-    return "\n\n".join(lines[k][0] for k in kept)
-
-
-def regions_of(lines: list[tuple[str, int, bool, bool]], weights: list[int], need: int, marked: bool) -> list[list[int]]:
-    """Line numbers between each surge and the next dive."""
-    n = len(lines)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    first, last = extent(weights)
+    while 0 < first <= last and lines[first - 1][3] and lines[first - 1][2] == lines[first][2]:
+        first -= 1
+    return "\n\n".join(text for text, *_ in lines[first : last + 1])
+
+
+def extent(weights: list[int]) -> tuple[int, int]:
+    """The first line of the first surge that counts and the last line before the last dive that does; (0, -1) where no text surges."""
+    n = len(weights)
+    upto = [0]
+    for w in weights:
+        upto.append(upto[-1] + w)
+    sums = [upto[min(i + WINDOW, n)] - upto[i] for i in range(n)]
+    need = min(SURGE, max(sums, default=0) / 8)
     regions, i = [], 0
     while i < n:
-        if sums[i] < need or not weights[i]:
+        if not weights[i] or sums[i] < need:
             i += 1
             continue
         j = i
         while j < n and sums[j] > 0:
             j += 1
-        region = [k for k in range(i, j) if weights[k]]
-        if not marked:
-            while region[0] > 0 and lines[region[0] - 1][3] and not weights[region[0] - 1]:
-                region.insert(0, region[0] - 1)
-        regions.append(region)
+        last = j - 1
+        while not weights[last]:
+            last -= 1
+        regions.append((i, last, upto[last + 1] - upto[i]))
         i = j
-    return regions
+    least = SHARE * max((w for _, _, w in regions), default=0)
+    counted = [(a, b) for a, b, w in regions if w >= least]
+    return (counted[0][0], counted[-1][1]) if counted else (0, -1)
 
 
 def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
@@ -220,8 +257,8 @@ def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in slices(buffers(batch.column("_html"))[1]):
+                part = batch.slice(i, j - i)
                 texts = [main_text(h) for h in part.column("_html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 

@@ -326,6 +326,54 @@ def test_short_page_and_class_headers():
     assert html_extract.main_text("<article><header><h1>T</h1></header><p>x<div class=ad>y</div><section id=comments><article><p>c</article></section></article>") == "T\n\nx"
 
 
+BODY = "This paragraph is long enough to be a part of the article that the page is about."
+
+
+@pytest.mark.parametrize("inside", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "parts",
+    [
+        [BODY, '<a href="/x">A paragraph that is one link</a>', BODY + " Two."],
+        [BODY, *[f'<a href="/{i}">Link {i} of the text</a>' for i in range(4)], BODY + " Second half.", BODY + " End."],
+        [BODY, "x + y = <math><mi>x</mi><mo>+</mo><mi>y</mi></math> and so on", BODY],
+    ],
+)
+def test_links_and_formulas_in_the_article_stay(inside, parts):
+    page = f"<body><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul><{inside}><h1>T</h1>{''.join(f'<p>{p}</p>' for p in parts)}</{inside}><footer>F</footer>"
+    assert html_extract.main_text(page).split("\n\n") == ["T", *(" ".join(re.sub("<[^>]*>", "", p).split()) for p in parts)]
+
+
+def test_names_that_only_sound_like_boilerplate():
+    page = f"<article><h1>T</h1><div class='legal-text'><p>One.</div><section class=related-work><p>Two.</section><p>{BODY}<div class='ad-slot'>no</div><div class='cookie-notice'>no</div></article>"
+    assert html_extract.main_text(page) == f"T\n\nOne.\n\nTwo.\n\n{BODY}"
+    assert html_extract.main_text(f"<div class='wrapper social'><article><p>{BODY}</article></div>") == BODY
+    assert html_extract.main_text(f"<div class='comments'><article><p>{BODY}</article></div>") == ""
+
+
+def test_surge_and_dive_decide():
+    card = "<article><p>A card of another article.</article>"
+    side = "<p><a href=/>more</a>" * 3
+    article = "".join(f"<p>{BODY} {i}.</p>" for i in range(8))
+    want = [f"{BODY} {i}." for i in range(8)]
+    assert html_extract.main_text(f"{card}{side}<article>{article}</article>{side}{card}").split("\n\n") == want
+    assert html_extract.main_text(f"<p>Tagline of the site, short.</p>{side}{article}{side}<p>Somebody made this in 2020.</p>").split("\n\n") == want
+    assert html_extract.extent([0, 0, 90, 0, 0, 5, 100, 0, 0, 0, 7, 0]) == (2, 6)
+    assert html_extract.extent([]) == (0, -1) and html_extract.extent([0, 0]) == (0, -1) and html_extract.extent([3]) == (0, 0)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p " + "a" * 60 + '">x', "<p a='" * 30_000, '<p a="' * 30_000, "<p " + "=\"' " * 30_000, "<!--" * 30_000, "<" * 200_000, "<b>" * 20_000 + "<i></i>" * 20_000 + "text " * 20_000,
+     "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<p>" + "<a>x" * 20_000 + "</p>" * 20_000, "<script>" * 20_000, "<li><ul>" + "<b>" * 20_000 + "<li>x" * 20_000, "&" * 200_000],
+)
+def test_no_page_takes_long(page):
+    import time
+
+    began = time.process_time()
+    assert isinstance(html_extract.main_text(page), str)
+    assert time.process_time() - began < 2
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "</p>", "<p class='", "&amp", "<nav>x", "<article></article>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(html_extract.main_text(page), str)
