@@ -44,35 +44,42 @@ def context_stats(counts: DataFrame) -> DataFrame:
 def witten_bell(wanted: DataFrame, counts: DataFrame, n_chars: int, order: int = ORDER) -> DataFrame:
     """(ctx, ch, p) for distinct pairs: interpolation from the empty context up, over the contexts that were seen.
 
-    A longer context than an unseen one is unseen too, so a missing row keeps
-    the probability reached so far.
+    Each pair asks for all its contexts in one join, and what comes back is
+    folded from the shortest up.  A context carries its next characters, no more
+    than the alphabet.  A longer context than an unseen one is unseen too, so
+    what is missing keeps the probability reached so far.
     """
-    stats = context_stats(counts)
-    out = wanted.withColumn("p", F.lit(1.0 / n_chars))
-    for k in range(order):
-        key = F.lit("") if k == 0 else F.expr(f"right(ctx, {k})")
-        s = stats.where(F.col("k") == k).select(F.col("ctx").alias("_x"), "total", "types")
-        c = counts.where(F.col("k") == k).select(F.col("ctx").alias("_y"), F.col("ch").alias("_ch"), F.col("n").alias("_n"))
-        out = out.withColumn("_key", F.when(F.length("ctx") >= k, key))
-        out = out.join(s, F.col("_key") == F.col("_x"), "left").join(c, (F.col("_key") == F.col("_y")) & (F.col("ch") == F.col("_ch")), "left")
-        p = (F.coalesce("_n", F.lit(0)) + F.col("types") * F.col("p")) / (F.col("total") + F.col("types"))
-        out = out.withColumn("p", F.when(F.col("total").isNotNull(), p).otherwise(F.col("p"))).select("ctx", "ch", "p")
-    return out
+    seen = F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("seen")
+    known = counts.groupBy(F.col("k").alias("_k"), F.col("ctx").alias("_x")).agg(F.sum("n").alias("total"), F.count("*").alias("types"), seen)
+    asked = wanted.select("ctx", "ch", F.explode(F.sequence(F.lit(0), F.least(F.length("ctx"), F.lit(order - 1)))).alias("k"))
+    asked = asked.withColumn("_key", F.when(F.col("k") == 0, "").otherwise(F.expr("right(ctx, k)")))
+    found = asked.join(known, (F.col("k") == F.col("_k")) & (F.col("_key") == F.col("_x")), "left")
+    found = found.select("ctx", "ch", F.struct("k", F.coalesce(F.try_element_at("seen", F.col("ch")), F.lit(0)).alias("n"), "total", "types").alias("s"))
+    steps = F.sort_array(F.collect_list("s"))
+    folded = F.aggregate("steps", F.lit(1.0 / n_chars), lambda p, s: F.when(s["total"].isNull(), p).otherwise((s["n"] + s["types"] * p) / (s["total"] + s["types"])))
+    return found.groupBy("ctx", "ch").agg(steps.alias("steps")).select("ctx", "ch", folded.alias("p"))
 
 
 GRAMS = f"""{MEETINGS}, cs as (select doc_id, split, list_filter(string_split(body, ''), lambda c: c <> '') as c from split_docs),
-pos as (select doc_id, split, c, unnest(range(1, len(c) + 1)) as i from cs),
-g as (select doc_id, split, array_to_string(c[greatest(i - 4, 1):i - 1], '') as ctx, c[i] as ch, count(*) as n from pos group by all),
+pos as materialized (select doc_id, split, unnest(c) as ch, generate_subscripts(c, 1) as i from cs),
+each as (select doc_id, split, coalesce(lag(ch, 4) over w, '') || coalesce(lag(ch, 3) over w, '') || coalesce(lag(ch, 2) over w, '') || coalesce(lag(ch, 1) over w, '') as ctx, ch from pos window w as (partition by doc_id order by i)),
+g as materialized (select doc_id, split, ctx, ch, count(*) as n from each group by all),
 t as (select ctx, ch, sum(n)::bigint as n from g where split = 'T' group by all),
-k as (select k::int as k, case when k = 0 then '' else right(ctx, k) end as ctx, ch, sum(n)::bigint as n from (select *, unnest(range(0, least(length(ctx), 4) + 1)) as k from t) group by all),
-st as (select k, ctx, sum(n)::bigint as total, count(*) as types from k group by all)"""
-
-PROB = f"""{GRAMS}, v as (select count(distinct ch) as v from k), want as (select distinct ctx, ch from g where split in ('N', 'F')),
-p0 as (select w.*, (coalesce(c.n, 0) + s.types * (1.0::double / v)) / (s.total + s.types) as p from want w cross join v left join k c on c.k = 0 and c.ch = w.ch join st s on s.k = 0),
-p1 as (select w.ctx, w.ch, case when s.total is null then p else (coalesce(c.n, 0) + s.types * p) / (s.total + s.types) end as p from p0 w left join st s on s.k = 1 and length(w.ctx) >= 1 and s.ctx = right(w.ctx, 1) left join k c on c.k = 1 and length(w.ctx) >= 1 and c.ctx = right(w.ctx, 1) and c.ch = w.ch),
-p2 as (select w.ctx, w.ch, case when s.total is null then p else (coalesce(c.n, 0) + s.types * p) / (s.total + s.types) end as p from p1 w left join st s on s.k = 2 and length(w.ctx) >= 2 and s.ctx = right(w.ctx, 2) left join k c on c.k = 2 and length(w.ctx) >= 2 and c.ctx = right(w.ctx, 2) and c.ch = w.ch),
-p3 as (select w.ctx, w.ch, case when s.total is null then p else (coalesce(c.n, 0) + s.types * p) / (s.total + s.types) end as p from p2 w left join st s on s.k = 3 and length(w.ctx) >= 3 and s.ctx = right(w.ctx, 3) left join k c on c.k = 3 and length(w.ctx) >= 3 and c.ctx = right(w.ctx, 3) and c.ch = w.ch),
-p4 as (select w.ctx, w.ch, case when s.total is null then p else (coalesce(c.n, 0) + s.types * p) / (s.total + s.types) end as p from p3 w left join st s on s.k = 4 and length(w.ctx) >= 4 and s.ctx = right(w.ctx, 4) left join k c on c.k = 4 and length(w.ctx) >= 4 and c.ctx = right(w.ctx, 4) and c.ch = w.ch),
+k as materialized (select k::int as k, case when k = 0 then '' else right(ctx, k) end as ctx, ch, sum(n)::bigint as n from (select *, unnest(range(0, least(length(ctx), 4) + 1)) as k from t) group by all),
+st as materialized (select k, ctx, sum(n)::bigint as total, count(*) as types from k group by all)"""
+
+
+def STEP(k: int) -> str:
+    """Probability over contexts of up to ``k`` characters from the one before."""
+    return f"case when t{k} is null then p else (n{k} + y{k} * p) / (t{k} + y{k}) end as p"
+
+
+PROB = f"""{GRAMS}, want as materialized (select distinct ctx, ch from g where split in ('N', 'F')),
+ask as (select ctx, ch, k::int as k, case when k = 0 then '' else right(ctx, k) end as x from (select *, unnest(range(0, least(length(ctx), 4) + 1)) as k from want)),
+got as (select a.ctx, a.ch, a.k, s.total, s.types, coalesce(c.n, 0) as n from ask a left join st s on s.k = a.k and s.ctx = a.x left join k c on c.k = a.k and c.ctx = a.x and c.ch = a.ch),
+wide as (select ctx, ch, {", ".join(f"max(total) filter (k = {k}) as t{k}, max(types) filter (k = {k}) as y{k}, max(n) filter (k = {k}) as n{k}" for k in range(5))} from got group by ctx, ch),
+p0 as (select * replace ({STEP(0)}) from (select *, 1.0::double / (select count(distinct ch) from k) as p from wide)),
+p1 as (select * replace ({STEP(1)}) from p0), p2 as (select * replace ({STEP(2)}) from p1), p3 as (select * replace ({STEP(3)}) from p2), p4 as materialized (select * replace ({STEP(4)}) from p3),
 nll as (select doc_id, split, sum(-ln(p) * n) as total_nll, sum(n)::bigint as body_tokens from g join p4 using (ctx, ch) where split in ('N', 'F') group by all)"""
 
 

@@ -11,8 +11,8 @@ from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
 # The grids of the experiments.
-STARTS, RATES, STEPS = (0.5, 2.0, 2.5), (0.05, 0.1, 0.15, 0.2), 200
-SEEDS, NOISE, GAMMAS, SGD_STEPS = 20, 0.5, (None, 0.05, 0.2), 50
+STARTS, RATES, STEPS = (-1.0, 0.5, 2.0), (0.05, 0.1, 0.15, 0.2), 200
+SEEDS, NOISE, GAMMAS, SGD_RATES, SGD_STEPS = 20, 0.5, (None, 0.02, 0.05), (0.2, 0.1), 200
 OPTIMUM = 1 - 2 / math.sqrt(3)  # where the slope of the left branch vanishes
 
 
@@ -100,11 +100,12 @@ def noisy_descents(rows: DataFrame, start: str, rate: Column, gamma: str, seed:
     rows = rows.withColumn("_z", F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: noise(F.col(seed), k)))
     p = "element_at(a, -1)"
     step = f"(case when {p} = 3 then 0D when {p} < 3 then -(1.5 * {p} * {p} - 3 * {p}) + 0.5 else (1.5 * {p} * {p} - 3 * {p}) + 0.5 end)"
-    path = F.expr(f"aggregate(sequence(0, {steps - 1}), array(_s), (a, k) -> concat(a, array({p} - _r / (1 + _g * k) * ({step} + {sigma}D * _z[k]))))")
+    # iterating over the noise evaluates it once; a lambda that looks it up would make it anew at each step
+    path = F.expr(f"aggregate(transform(_z, (z, k) -> struct(z, k)), array(_s), (a, e) -> concat(a, array({p} - _r / (1 + _g * e.k) * ({step} + {sigma}D * e.z))))")
     return rows.withColumn("_path", path).select(*[c for c in rows.columns if c[0] != "_"], F.posexplode("_path").alias("k", "x"))
 
 
-SGD = f"""with recursive g as (select 0.5::double as x0, b as eta, c as gamma, s::int as seed from (values {", ".join(f"({r}::double)" for r in RATES)}) t(b), (values (null::double), (0.05), (0.2)) u(c), range(0, {SEEDS}) v(s)),
+SGD = f"""with recursive g as (select a as x0, b as eta, c as gamma, s::int as seed from (values {", ".join(f"({x}::double)" for x in STARTS)}) r(a), (values {", ".join(f"({r}::double)" for r in SGD_RATES)}) t(b), (values (null::double), {", ".join(f"({g}::double)" for g in GAMMAS[1:])}) u(c), range(0, {SEEDS}) v(s)),
 u as (select s, k, (('0x' || substr(md5('a|' || s || '|' || k), 1, 8))::bigint + 0.5) / 4294967296.0::double as a, (('0x' || substr(md5('b|' || s || '|' || k), 1, 8))::bigint + 0.5) / 4294967296.0::double as b from range(0, {SEEDS}) x(s), range(0, {SGD_STEPS}) y(k)),
 z as (select s, k, sqrt(-2 * ln(a)) * cos(2 * pi() * b) as z from u),
 path as (select x0, eta, gamma, seed, 0 as k, x0 as x from g union all
@@ -112,7 +113,7 @@ path as (select x0, eta, gamma, seed, 0 as k, x0 as x from g union all
 
 
 def _noisy(spark) -> DataFrame:
-    rows = [(0.5, r, g, s) for r in RATES for g in GAMMAS for s in range(SEEDS)]
+    rows = [(x, r, g, s) for x in STARTS for r in SGD_RATES for g in GAMMAS for s in range(SEEDS)]
     return noisy_descents(spark.createDataFrame(rows, "x0 double, eta double, gamma double, seed int"), "x0", F.col("eta"), "gamma", "seed", SGD_STEPS, NOISE)
 
 
@@ -121,23 +122,46 @@ def sgd_trajectory(spark, sf):
     return _noisy(spark).withColumn("x", F.round("x", 5))
 
 
-@query("sgd_quantiles", f"{SGD} select eta, gamma, k::int as k, round(quantile_cont({GAP}, 0.25), 5) as q25, round(quantile_cont({GAP}, 0.5), 5) as q50, round(quantile_cont({GAP}, 0.75), 5) as q75 from path group by all")
+@query("sgd_quantiles", f"{SGD} select x0, eta, gamma, k::int as k, round(quantile_cont({GAP}, 0.25), 5) as q25, round(quantile_cont({GAP}, 0.5), 5) as q50, round(quantile_cont({GAP}, 0.75), 5) as q75 from path group by all")
 def sgd_quantiles(spark, sf):
     gap = objective(F.col("x")) - objective(F.lit(OPTIMUM))
-    return _noisy(spark).groupBy("eta", "gamma", "k").agg(*(F.round(F.percentile(gap, q), 5).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
+    return _noisy(spark).groupBy("x0", "eta", "gamma", "k").agg(*(F.round(F.percentile(gap, q), 5).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
+
+
+def hit_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Over the runs of a configuration: quartiles of last and best gap, hits, misses, and quartiles of the first hit of those that hit."""
+    def quartiles(c):
+        return [F.percentile(c, q).alias(f"{c}_q{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
+    return runs.groupBy(*by).agg(F.count("first_hit").alias("hits"), (F.count("*") - F.count("first_hit")).alias("non_hits"), *quartiles("final_gap"), *quartiles("min_gap"), *quartiles("first_hit"))
+
+
+HIT_QUARTILES = ", ".join(f"round(quantile_cont({c}, {q}), 5) as {c}_q{int(100 * q)}" for c in ("final_gap", "min_gap", "first_hit") for q in (0.25, 0.5, 0.75))
+
+
+@query(
+    "sgd_hits",
+    f"""{SGD}, r as (select x0, eta, gamma, seed, arg_max({GAP}, k) as final_gap, min({GAP}) as min_gap, (min(k) filter ({GAP} <= 1e-3))::int as first_hit from path group by all)
+    select x0, eta, gamma, count(first_hit) as hits, count(*) - count(first_hit) as non_hits, {HIT_QUARTILES} from r group by all""",
+)
+def sgd_hits(spark, sf):
+    by = ["x0", "eta", "gamma"]
+    found = hit_summary(metrics(_noisy(spark), [*by, "seed"]), by)
+    return found.select(*by, "hits", "non_hits", *(F.round(c, 5).alias(c) for c in found.columns if "_q" in c))
 
 
 @query(
     "paired_wins",
-    f"""{SGD}, e as (select eta, gamma, seed, {GAP} as gap from path where k = {SGD_STEPS})
-    select a.eta, a.gamma, count(*) filter (a.gap < b.gap) as wins, round(median(a.gap / greatest(b.gap, 1e-12)), 5) as median_ratio from e a join e b on a.eta = b.eta and a.seed = b.seed and b.gamma is null where a.gamma is not null group by all""",
+    f"""{SGD}, e as (select x0, eta, gamma, seed, {GAP} as gap from path where k = {SGD_STEPS})
+    select a.x0, a.eta, a.gamma, count(*) filter (a.gap < b.gap) as wins, round(median(a.gap / greatest(b.gap, 2.220446049250313e-16)), 5) as median_ratio
+    from e a join e b on a.x0 = b.x0 and a.eta = b.eta and a.seed = b.seed and b.gamma is null where a.gamma is not null group by all""",
 )
 def paired_wins(spark, sf):
     gap = objective(F.col("x")) - objective(F.lit(OPTIMUM))
     ends = _noisy(spark).where(F.col("k") == SGD_STEPS).withColumn("gap", gap)
-    base = ends.where("gamma is null").select("eta", "seed", F.col("gap").alias("base"))
-    both = ends.where("gamma is not null").join(base, ["eta", "seed"])
-    return both.groupBy("eta", "gamma").agg(F.count_if(F.col("gap") < F.col("base")).alias("wins"), F.round(F.percentile(F.col("gap") / F.greatest("base", F.lit(1e-12)), 0.5), 5).alias("median_ratio"))
+    base = ends.where("gamma is null").select("x0", "eta", "seed", F.col("gap").alias("base"))
+    both = ends.where("gamma is not null").join(base, ["x0", "eta", "seed"])
+    ratio = F.col("gap") / F.greatest("base", F.lit(2.220446049250313e-16))
+    return both.groupBy("x0", "eta", "gamma").agg(F.count_if(F.col("gap") < F.col("base")).alias("wins"), F.round(F.percentile(ratio, 0.5), 5).alias("median_ratio"))
 
 
 @query("mc_standard_error", "select event_type, round(avg(value), 6) as mean, round(stddev_samp(value) / sqrt(count(*)), 6) as standard_error, count(*) as n from events group by event_type")
@@ -183,7 +207,7 @@ def forward(rows: DataFrame, w1=W1, b1=B1, w2=W2, b2=B2) -> DataFrame:
         rows = rows.withColumn(f"a{i + 1}", F.lit(w1[i][0]) * F.col("x1") + F.lit(w1[i][1]) * F.col("x2") + F.lit(b1[i]))
     rows = rows.withColumns({f"h{i}": F.greatest(F.col(f"a{i}"), F.lit(0.0)) for i in (1, 2)})
     rows = rows.withColumn("f", F.lit(w2[0]) * F.col("h1") + F.lit(w2[1]) * F.col("h2") + F.lit(b2))
-    return rows.withColumn("loss", 0.5 * (F.col("f") - F.col("y")) ** 2)
+    return rows.withColumn("loss", 0.5 * (F.col("f") - F.col("y")) * (F.col("f") - F.col("y")))
 
 
 NET = f"""{POINTS}, net as (select *, greatest(a1, 0) as h1, greatest(a2, 0) as h2 from (select *, {W1[0][0]} * x1 + {W1[0][1]} * x2 + {B1[0]} as a1, {W1[1][0]} * x1 + {W1[1][1]} * x2 + ({B1[1]}) as a2 from pts)),
@@ -195,9 +219,9 @@ def xor_label(spark, sf):
     return points(spark, sf).groupBy("y").agg(F.count("*").alias("n"), F.round(F.avg("x1"), 6).alias("mean_x1"))
 
 
-@query("mlp_forward", f"with {NET} select event_id, round(f, 6) as f, round(0.5 * (f - y) * (f - y), 6) as loss from out")
+@query("mlp_forward", f"with {NET} select event_id, f, 0.5 * (f - y) * (f - y) as loss from out")
 def mlp_forward(spark, sf):
-    return forward(points(spark, sf)).select("event_id", F.round("f", 6).alias("f"), F.round("loss", 6).alias("loss"))
+    return forward(points(spark, sf)).select("event_id", "f", "loss")  # unrounded: many values are halves of the last place
 
 
 def gradients(rows: DataFrame, w2=W2) -> DataFrame:

@@ -12,7 +12,7 @@ from quillspark.plans.registry import query
 from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
 
-RESAMPLES = 200
+RESAMPLES = 2000  # fixed value
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, weight: Column | None = None) -> DataFrame:
@@ -36,6 +36,21 @@ def spearman_of(rows: DataFrame, x: str, y: str, by: list[str], weight: Column |
     return g.select(*by, "n", F.when((F.col("n") > 1) & (F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("rho"))
 
 
+def spearman_in(rows: DataFrame, x: str, y: str, by: str, weight: str) -> DataFrame:
+    """As :func:`spearman_of` for many groups of weighted rows, which are dealt by group once.
+
+    The mean rank of a value is half of (weight up to it + weight before it + 1).
+    """
+    def mean_rank(c):
+        upto, from_ = (F.sum(weight).over(Window.partitionBy(by).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for o in (F.asc(c), F.desc(c)))
+        return (upto + F.sum(weight).over(Window.partitionBy(by)) - from_ + 1) / 2
+    ranked = rows.select(by, x, y, weight).withColumn("_rx", mean_rank(x)).withColumn("_ry", mean_rank(y))
+    w, n = F.col(weight), F.sum(weight)
+    sx, sy, sxx, syy, sxy = (F.sum(w * c) for c in (F.col("_rx"), F.col("_ry"), F.col("_rx") ** 2, F.col("_ry") ** 2, F.col("_rx") * F.col("_ry")))
+    g = ranked.groupBy(by).agg(n.alias("n"), (n * sxy - sx * sy).alias("c"), (n * sxx - sx * sx).alias("vx"), (n * syy - sy * sy).alias("vy"))
+    return g.select(by, "n", F.when((F.col("n") > 1) & (F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("rho"))
+
+
 def percentile_interval(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact percentiles at 2.5 and 97.5 with linear interpolation."""
     return rows.groupBy(*by).agg(F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"))
@@ -49,26 +64,50 @@ def rho_label(rho: Column, least: float = 0.7) -> Column:
     return F.when(rho >= least, "supported").otherwise("contradicted")
 
 
+def numbered(clusters: DataFrame, stratum: str, id: str) -> DataFrame:
+    """(stratum, id, _i, _n): clusters numbered from 0 inside their stratum, and how many it has.
+
+    Numbers run through 256 parts by hash, so a window sees one part, and only
+    the parts' sizes are summed up in one place.
+    """
+    keyed = clusters.select(stratum, id).distinct().withColumn("_b", F.substring(F.md5(F.col(id).cast("string")), 1, 2))
+    parts = keyed.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(stratum, "_b", F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy(stratum)).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy(id)) - 1
+    return keyed.withColumn("_r", nth).join(parts, [stratum, "_b"]).select(stratum, id, (F.col("_base") + F.col("_r")).alias("_i"), "_n")
+
+
+def single_draws(clusters: DataFrame, stat: str, resamples: int, stratum: str) -> DataFrame:
+    """(resample, stratum, _i): one row a draw; each cluster's number makes the draws of that number, so they are made where clusters are."""
+    each = clusters.select(stratum, "_n", F.col("_i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    return each.select("resample", stratum, draw(F.lit(stat), F.col("resample"), F.col("draw"), F.col(stratum), n=F.col("_n")).alias("_i"))
+
+
 def draws(clusters: DataFrame, stat: str, resamples: int, stratum: str = "stratum", id: str = "cluster") -> DataFrame:
     """(resample, stratum, cluster, times): clusters drawn with replacement inside their stratum, as often as it has clusters.
 
     Indices come from hashes of (statistic, resample, draw, stratum), so the
     draws do not depend on order, partitions or engine.
     """
-    numbered = clusters.select(stratum, id).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(id)) - 1)
-    sizes = numbered.groupBy(stratum).agg(F.count("*").alias("_n"))
-    each = sizes.select(stratum, "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    each = each.select(stratum, "_n", "resample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("draw"))
-    drawn = each.withColumn("_i", draw(F.lit(stat), F.col("resample"), F.col("draw"), F.col(stratum), n=F.col("_n")))
-    times = drawn.groupBy("resample", stratum, "_i").agg(F.count("*").alias("times"))
-    return times.join(numbered, [stratum, "_i"]).select("resample", stratum, id, "times")
+    known = numbered(clusters, stratum, id)
+    times = single_draws(known, stat, resamples, stratum).groupBy("resample", stratum, "_i").agg(F.count("*").alias("times"))
+    return times.join(known.drop("_n"), [stratum, "_i"]).select("resample", stratum, id, "times")
+
+
+def drawn_sums(rows: DataFrame, stat: str, resamples: int, values: list[str], stratum: str = "stratum", id: str = "cluster") -> DataFrame:
+    """(resample, stratum, values): sums of the drawn clusters' values, a cluster drawn twice counting twice."""
+    known = numbered(rows, stratum, id)
+    of = known.join(rows.select(stratum, id, *values), [stratum, id]).select(stratum, "_i", *values)
+    drawn = single_draws(known, stat, resamples, stratum).join(of, [stratum, "_i"])
+    return drawn.groupBy("resample", stratum).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def DRAWS(stat: str, clusters: str) -> str:
-    return f"""num as (select stratum, cluster, row_number() over (partition by stratum order by cluster) - 1 as i, count(*) over (partition by stratum) as n from (select distinct stratum, cluster from {clusters})),
-    sz as (select distinct stratum, n from num), each as (select stratum, n, unnest(range(0, {RESAMPLES}))::int as resample from sz), each2 as (select *, unnest(range(0, n)) as draw from each),
-    drawn as (select resample, stratum, ('0x' || substr(md5('{stat}|' || resample || '|' || draw || '|' || stratum), 1, 8))::bigint % n as i from each2),
-    draws as (select resample, stratum, cluster, count(*) as times from drawn join num using (stratum, i) group by all)"""
+    return f"""num as materialized (select stratum, cluster, row_number() over (partition by stratum order by substr(md5(cluster::varchar), 1, 2), cluster) - 1 as i, count(*) over (partition by stratum) as n from (select distinct stratum, cluster from {clusters})),
+    tries as (select stratum, n, i as draw, unnest(range(0, {RESAMPLES}))::int as resample from num),
+    drawn as (select resample, stratum, ('0x' || substr(md5('{stat}|' || resample || '|' || draw || '|' || stratum), 1, 8))::bigint % n as i from tries),
+    draws as materialized (select resample, stratum, cluster, count(*) as times from drawn join num using (stratum, i) group by all)"""
 
 
 LENGTHS = f"""{MEETINGS}, sc as (select doc_id, genre, meeting_id as cluster, split as stratum, length(body)::double as x from split_docs where split in ('N', 'F'))"""
@@ -119,9 +158,7 @@ def drift(rows: DataFrame, stat: str, resamples: int) -> DataFrame:
         return F.sum(F.when(F.col("stratum") == s, F.col("s"))) / F.sum(F.when(F.col("stratum") == s, F.col("c")))
     sums = rows.groupBy("stratum", "cluster").agg(F.sum("x").alias("s"), F.count("*").alias("c"))
     point = sums.agg((mean("F") - mean("N")).alias("point"), F.count("*").alias("n_meetings"), F.sum("c").alias("n_documents"))
-    drawn = draws(sums, stat, resamples).join(sums, ["stratum", "cluster"])
-    drawn = drawn.select("resample", "stratum", (F.col("s") * F.col("times")).alias("s"), (F.col("c") * F.col("times")).alias("c"))
-    each = drawn.groupBy("resample").agg((mean("F") - mean("N")).alias("d"))
+    each = drawn_sums(sums, stat, resamples, ["s", "c"]).groupBy("resample").agg((mean("F") - mean("N")).alias("d"))
     return point.crossJoin(percentile_interval(each, "d")).withColumn("label", delta_label(F.col("point"), F.col("ci_low")))
 
 
@@ -172,7 +209,7 @@ def paired(rows: DataFrame, stat: str, resamples: int) -> DataFrame:
     p = pairs(rows)
     ok = p.where("d is not null")
     point = p.agg(F.avg("d").alias("point"), F.count("d").alias("n_meetings"), F.count_if(F.col("d").isNull()).alias("excluded_meetings"))
-    each = draws(ok, stat, resamples).join(ok, ["stratum", "cluster"]).groupBy("resample").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("d"))
+    each = drawn_sums(ok.withColumn("c", F.lit(1)), stat, resamples, ["d", "c"]).groupBy("resample").agg((F.sum("d") / F.sum("c")).alias("d"))
     return point.crossJoin(percentile_interval(each, "d")).withColumn("label", delta_label(F.col("point"), F.col("ci_low")))
 
 
@@ -184,7 +221,7 @@ def rho_bootstrap(rows: DataFrame, x: str, y: str, stat: str, resamples: int) ->
     """
     point = spearman_of(rows.withColumn("_all", F.lit(1)), x, y, ["_all"]).select(F.col("rho").alias("point"), F.col("n").alias("n_documents"))
     drawn = draws(rows, stat, resamples).join(rows, ["stratum", "cluster"])
-    each = spearman_of(drawn, x, y, ["resample"], F.col("times"))
+    each = spearman_in(drawn, x, y, "resample", "times")
     ci = each.agg(F.percentile("rho", 0.025).alias("ci_low"), F.percentile("rho", 0.975).alias("ci_high"), F.count_if(F.col("rho").isNull()).alias("undefined_resamples"))
     return point.crossJoin(ci)
 
