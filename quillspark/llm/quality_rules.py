@@ -135,6 +135,7 @@ def judge(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     scratch = Scratch(df.sparkSession, "cutoffs")
     wide = cutoffs(good, alpha, delta, scratch).groupBy(F.col("_stratum").alias("_of")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in RULES])
     wide = scratch.save(wide)
+    scratch.drop(f"{scratch.root}/t1")  # the counts that the cutoffs came from
     wide = F.broadcast(wide) if wide.count() <= MAX_STRATA else wide
     out = measures(base, "_text").join(wide, F.col("_stratum") == F.col("_of"), "left").withColumn("_base_failed", base_failed())
     rejected = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_m_{r}") > F.col(f"_c_{r}"), F.lit(False)) for r in RULES])

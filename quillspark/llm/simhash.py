@@ -178,9 +178,9 @@ def links(reps: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 2, blocks: int = BLOCKS, scratch: Scratch | None = None) -> DataFrame:
     """Per row: the id, ``fingerprint`` (long) and ``component_id``, the smallest id reachable over links."""
-    scratch = Scratch(df.sparkSession, "simhash")
+    scratch = scratch or Scratch(df.sparkSession, "simhash")
     fps = scratch.save(fingerprints(df.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_t")), "_t", shingle, ("_id",)))
     reps = scratch.save(fps.where("_id is not null").groupBy("_fp").agg(F.min("_id").alias("_rep")))
     comp = components(links(reps, radius, blocks), scratch)
@@ -196,8 +196,9 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     they are counted to be at most ``send_rows``; texts move only beyond that,
     or where an id occurs more than once.
     """
-    scratch = Scratch(df.sparkSession, "simhash-kept")
-    found = scratch.save(near_duplicates(df, id, text, shingle, radius, blocks).select(F.col(id).alias("_gone"), "component_id"))
+    scratch, inner = Scratch(df.sparkSession, "simhash-kept"), Scratch(df.sparkSession, "simhash")
+    found = scratch.save(near_duplicates(df, id, text, shingle, radius, blocks, inner).select(F.col(id).alias("_gone"), "component_id"))
+    inner.drop(inner.root)
     out = found.where("_gone is not null and _gone <> component_id").select("_gone").distinct()
     kept = df.join(F.broadcast(out) if out.count() <= send_rows else out, df[id] == out["_gone"], "left_anti")
     again = found.where("_gone is not null").groupBy("_gone").count().where("count > 1").limit(1).count()

@@ -279,6 +279,25 @@ def test_an_item_in_most_texts_keeps_its_seeds(spark):
     assert {r.doc_id for r in decontam.matches(docs, bench).collect()} == {i for i in range(200) if i % 4}
 
 
+def test_decontamination_query_equals_plain_version(spark, sf, pairs):
+    """All pairs of a text and an item with a common trigram, aligned cell by cell over the whole text."""
+    split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())
+    items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    where = {}
+    for k, w in items.items():
+        for g in zip(w, w[1:], w[2:], strict=False):
+            where.setdefault(g, set()).add(k)
+    want = {}
+    for i, t in pairs:
+        w = split(t)
+        for k in {k for g in set(zip(w, w[1:], w[2:], strict=False)) for k in where.get(g, ())}:
+            score = plain.smith_waterman(items[k], w) / (2 * len(items[k]))
+            if score >= decontam.THRESHOLD:
+                want[i, k] = score
+    got = {(r.doc_id, r.item_id): r.score for r in queries.op2_decontamination(spark, sf).collect()}
+    assert got == pytest.approx(want) and want
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, words(1, 400)), (2, None), (3, ""), (4, "a b"), (None, words(1, 400)[40:300])], "item_id long, text string")
     found = decontam.matches(odd, bench).collect()
@@ -393,8 +412,10 @@ def test_html_odd_rows(spark):
 
 def test_licences(spark, odd, none):
     rows = [(1, "x\nReleased under the MIT Licence, see the file.\n"), (2, "Licensed under CC BY-NC 4.0."), (3, "licensed under the apache license version 2.0"), (4, "no licence here at all"), (5, licenses.TEMPLATES[-2][1].replace(". ", ".\n"))]
+    whole = {n: max((b for m, b in licenses.TEMPLATES if m == n), key=len) for n in ("BSD-2-Clause", "ISC", "MIT")}
+    rows += [(10 + i, words(i, 80) + f"\n\nCopyright (c) 20{i} Somebody\n{b}\n\n" + words(-i, 80)) for i, b in enumerate(whole.values())]
     found = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {(2, "CC-BY-NC-4.0"), (3, "Apache-2.0"), (5, "MIT")}
+    assert found == {(2, "CC-BY-NC-4.0"), (3, "Apache-2.0"), (5, "MIT")} | {(10 + i, n) for i, n in enumerate(whole)}
     assert licenses.scan(odd).collect() == [] and licenses.scan(none).collect() == []
 
 
@@ -407,6 +428,46 @@ def test_importance_prefers_the_target(spark, sf):
     assert all(r.kept == (r.doc_id % 5 > 0) for r in importance.resample(docs, labels, share=0.8).collect())
 
 
+def test_importance_equals_plain_version(spark):
+    import math
+
+    import pyarrow as pa
+    from quillspark.llm._text import WORD_BYTES
+
+    def bucket_of(*ws: str) -> int:
+        """The bucket of a word, or of a word after a word, on its own."""
+        _, _, h, rows, *_ = next(hashed_words(pa.array([" ".join(ws)]), WORD_BYTES))
+        return int(importance.buckets(h, rows)[0][-1])
+
+    r = random.Random(4)
+    rows = [(i, words(i, r.randint(0, 40))) for i in range(150)] + [(7, "again Again again"), (200, None), (201, ""), (None, "no id"), (None, "no id"), (300, "same same"), (300, "same same")]
+    good = {i for i in range(0, 150, 3)} | {7}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(150)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    raw, target, own = [0] * importance.BUCKETS, [0] * importance.BUCKETS, []
+    for i, t in rows:
+        w = (t or "").split()
+        own.append([bucket_of(x) for x in w] + [bucket_of(a, b) for a, b in zip(w, w[1:], strict=False)])
+        for b in own[-1]:
+            raw[b] += 1
+            target[b] += i in good
+    log = lambda n, b: math.log((n[b] + 1) / (sum(n) + importance.BUCKETS))
+    weights = [sum(log(target, b) - log(raw, b) for b in bs) for bs in own]
+    found = importance.resample(docs, labels, share=0.4).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 6))
+    assert sorted([(i, w) for (i, _), w in zip(rows, weights, strict=True)], key=key) == [(i, pytest.approx(w)) for i, w in sorted([(x.doc_id, x.log_weight) for x in found], key=key)]
+    order = sorted((x.score for x in found), reverse=True)
+    cut = order[round(0.4 * len(rows)) - 1]
+    assert [x.kept for x in found] == [x.score >= cut for x in found]  # ties at the cut stay
+    assert len({x.score for x in found if x.doc_id == 300}) == 1 == len({x.score for x in found if x.doc_id is None})
+
+
+def test_rows_tied_at_the_cut_stay_together(spark, labels):
+    docs = spark.createDataFrame([(1, "a b")] * 5 + [(2, "a b")] * 5, "doc_id long, text string")
+    kept = [x.doc_id for x in importance.resample(docs, labels, share=0.2).collect() if x.kept]
+    assert len(kept) == 5 and len(set(kept)) == 1
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 50, 100, 101])
 def test_kth_largest(spark, k):
     r = random.Random(k)

@@ -36,3 +36,15 @@ def test_pipeline(spark, sf, docs):
             want[i] = (len(ids), plain.sha(ids.tobytes()), plain.sha(t.encode()))
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == want
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        ids = sorted((r.doc_id for r in out.select("doc_id").collect()), key=str)
+        assert stage(spark, none, sf).count() == 0, name
+        if name != "byte-level bpe":
+            assert out.schema.simpleString() == odd.schema.simpleString(), name
+            assert set(ids) <= {r.doc_id for r in odd.select("doc_id").collect()}
+    cleaned = corpus_pipeline.repeated_passages(spark, odd, sf).collect()
+    assert len(cleaned) == odd.count() and sum(r.text is None for r in cleaned) == 2 and all(r.n_chars is None for r in cleaned if r.text is None)
