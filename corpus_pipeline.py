@@ -27,10 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur anywhere else go from the texts; all documents stay."""
+    """Passages of 400 bytes or more that occur anywhere else go from the texts; all documents stay, as they came where nothing goes (a null text stays null)."""
     found = suffix_dedup.dedup(docs, as_text=True)
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return found.select(*(new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
+    changed = F.col("_n_removed") > 0
+    return found.select(*((F.when(changed, new[c]).otherwise(F.col("_row")[c]) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
