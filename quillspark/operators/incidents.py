@@ -38,9 +38,15 @@ FIELDS = (
 )
 
 
+#: Runbooks of an index up to which it is broadcast and each query is held against all of it.
+MAX_BOOKS = 10_000
+
+
 def retrieved(books: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """(query, rank, id, score): runbooks whose title or any step holds the query, in index order."""
     hit = F.contains(F.lower("title"), F.lower("query")) | F.exists("steps", lambda s: F.contains(F.lower(s), F.lower(F.col("query"))))
+    if books.count() > MAX_BOOKS:
+        raise ValueError(f"an index of more than {MAX_BOOKS} runbooks is not searched by broadcast")
     found = queries.join(F.broadcast(books), hit)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("pos"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query", "rank", "id", (F.lit(1.0) - 0.1 * (F.col("rank") - 1)).alias("score"))
@@ -93,6 +99,7 @@ def diagnostic(evidence: Column) -> Column:
 def summary(alert: Column, evidence: Column) -> Column:
     """The summary text of an incident, with its diagnostic or without one."""
     d = diagnostic(evidence)
+    # fixed values: the sentences of a summary
     said = F.coalesce(F.concat(F.lit("Recorded diagnostic result: "), d), F.lit("No successful diagnostic result was available; run manual diagnostics or escalate for further investigation."))
     return F.concat(F.lit("Incident "), alert, F.lit(": CPU spikes observed on staging-api. "), said, F.lit(" Recommend restart if sustained > 90% for 5 minutes. Capture logs before restart; monitor for recurrence."))
 

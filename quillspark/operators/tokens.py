@@ -309,6 +309,10 @@ def merges_of(docs: DataFrame, size: int, driver_words: int = DRIVER_WORDS) -> l
     """
     counts = shared_table(word_counts(docs))
     letters = sorted({END} | {r.c for r in counts.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()})
+    if counts.where(F.contains("word", F.lit(END))).limit(1).count():
+        raise ValueError("a text holds the end mark")
+    if size < len(letters):
+        raise ValueError(f"{size} tokens are fewer than the {len(letters)} of the alphabet with its end mark")
     alphabet = np.array([ord(c) for c in letters], np.uint32)
     context = counts.sparkSession.sparkContext
 
@@ -410,20 +414,48 @@ def encoded(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return list(symbols)
 
 
-def encode_words(counted: DataFrame, merges: list[tuple[str, str, bool]]) -> DataFrame:
-    """Distinct words with their symbols; each word is encoded once, wherever it occurs."""
+def encode_words(counted: DataFrame, merges: list[tuple[str, str, bool]], alphabet: set[str] | None = None) -> DataFrame:
+    """Distinct words with their symbols; each word is encoded once, wherever it occurs.
+
+    With an alphabet, a word with a character outside it has no symbols (null);
+    :func:`all_known` turns that into an error.
+    """
     ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
-    sent = counted.sparkSession.sparkContext.broadcast(ranks)
+    sent = counted.sparkSession.sparkContext.broadcast((ranks, alphabet))
 
     @F.pandas_udf("array<string>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda w: encoded(w, sent.value))
+        ranks, known = sent.value
+        return column.map(lambda w: encoded(w, ranks) if known is None or known.issuperset(w) else None)
 
     return counted.withColumn("symbols", run("word"))
 
 
+def all_known(encoded_words: DataFrame) -> DataFrame:
+    """The same rows; reading a word that could not be encoded fails."""
+    ok = F.when(F.col("symbols").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("characters outside the vocabulary: "), F.col("word"))))
+    return encoded_words.where(ok)
+
+
+def shortest_prefix(merges: list[tuple[str, str, bool]], base: int, size: int) -> int:
+    """How many merges at least reach a vocabulary of ``size`` from one of ``base`` tokens; an error where none does."""
+    n = base
+    for i, (_, _, fresh) in enumerate(merges):
+        if n == size:
+            return i
+        n += fresh
+    if n != size:
+        raise ValueError(f"{size} tokens are out of range")
+    return len(merges)
+
+
+def alphabet_of(docs: DataFrame) -> set[str]:
+    """Characters of the texts; bounded by the script's letters."""
+    return {r.c for r in word_counts(docs).select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()}
+
+
 #: Tokens of the fit: special tokens, characters, the end mark and what merges make.
-BPE_SIZE = 2000
+BPE_SIZE = 4000
 
 
 @query("bpe_merges")
@@ -432,29 +464,32 @@ def bpe_merges(spark, sf):
     return spark.createDataFrame([(i, a, b, f) for i, (a, b, f) in enumerate(merges)], "rank int, left string, right string, is_new boolean")
 
 
+def _encoded(spark, sf) -> DataFrame:
+    docs = with_split(documents(spark, sf))
+    learnt = docs.where("split = 'T'")
+    return encode_words(word_counts(docs), merges_of(learnt, BPE_SIZE - len(SPECIALS)), alphabet_of(learnt))
+
+
 @query("bpe_encode")
 def bpe_encode(spark, sf):
-    docs = with_split(documents(spark, sf))
-    merges = merges_of(docs.where("split = 'T'"), BPE_SIZE - len(SPECIALS))
-    found = encode_words(word_counts(docs), merges)
-    return found.select("word", "n", F.size("symbols").alias("n_symbols"))
+    """Symbols of every distinct word; none for a word with a character that was not learnt."""
+    return _encoded(spark, sf).select("word", "n", F.when(F.col("symbols").isNotNull(), F.size("symbols")).alias("n_symbols"))
 
 
-@query("bpe_roundtrip")
+@query("bpe_roundtrip", rf"""with {MEETINGS}, w as (select distinct word from (select unnest(regexp_extract_all(body, '\S+|\s+')) as word from split_docs)), a as (select distinct unnest(string_split(body, '')) as c from split_docs where split = 'T'),
+    bad as (select distinct word from (select word, unnest(string_split(word, '')) as c from w) where c <> '' and c not in (select c from a))
+    select count(*) as words, count(*) - (select count(*) from bad) as lossless, (select count(*) from bad) as refused from w""")
 def bpe_roundtrip(spark, sf):
-    docs = with_split(documents(spark, sf))
-    merges = merges_of(docs.where("split = 'T'"), BPE_SIZE - len(SPECIALS))
-    found = encode_words(word_counts(docs), merges)
     back = F.replace(F.array_join("symbols", ""), F.lit(END), F.lit(""))
-    return found.agg(F.count("*").alias("words"), F.count_if(back == F.col("word")).alias("lossless"))
+    return _encoded(spark, sf).agg(F.count("*").alias("words"), F.count_if(back == F.col("word")).alias("lossless"), F.count_if(F.col("symbols").isNull()).alias("refused"))
 
 
 @query("bpe_truncate")
 def bpe_truncate(spark, sf):
-    """For each merge prefix the vocabulary size that it reaches."""
+    """For each vocabulary size that a merge prefix reaches, the shortest such prefix."""
     merges = bpe_merges(spark, sf)
-    size = F.sum(F.col("is_new").cast("int")).over(Window.orderBy("rank"))
-    return merges.select("rank", size.alias("n_new_tokens"))
+    size = F.sum(F.col("is_new").cast("int")).over(Window.orderBy("rank"))  # BPE_SIZE rows at most
+    return merges.select("rank", size.alias("n_new_tokens")).groupBy("n_new_tokens").agg((F.min("rank") + 1).alias("n_merges")).where("n_new_tokens > 0")
 
 
 @query(

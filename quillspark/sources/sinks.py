@@ -13,7 +13,8 @@ def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors see; a folder of our own only where a local session has none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -37,6 +38,27 @@ def read_corpus(spark: SparkSession, path: str, expected_sha256: str | None = No
     return rows.where(ok)
 
 
+def read_split(spark: SparkSession, path: str, corpus_sha256: str) -> DataFrame:
+    """(id, split) of a split manifest made for one corpus; reading one that was made for another fails."""
+    rows = read_manifest(spark, path, "corpus_sha256 string, documents array<struct<id: string, split: string>>")
+    ok = F.when(F.col("corpus_sha256") == corpus_sha256, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("made for corpus "), F.coalesce("corpus_sha256", F.lit("?")))))
+    return rows.where(ok).select(F.inline("documents"))
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Writes beside the path and moves the whole into its place; a failed write leaves what was there."""
+    spark = rows.sparkSession
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    rows.write.parquet(new)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(fs_path(path)) and fs.rename(fs_path(path), fs_path(old))
+    if not fs.rename(fs_path(new), fs_path(path)):
+        raise OSError(f"could not move {new} to {path}")
+    if had:
+        fs.delete(fs_path(old), True)
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON document over several lines, by a stated schema."""
     return spark.read.schema(schema).json(path, multiLine=True)

@@ -1,6 +1,7 @@
 """Worked cases, and rules that hold on any input."""
 
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -201,3 +202,123 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     last = {r.user_id: (r.tokens_left, r.ms_left) for r in sorted(spark.table("budgets").collect(), key=lambda r: r.events)}
     total = events.groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("t"), F.sum(F.floor("value")).alias("m")).collect()
     assert last == {r.user_id: (max(0, 500 - r.t), max(0, 500 - r.m)) for r in total}
+
+
+@pytest.mark.parametrize("href", ["", "#a", "?q=1", "/x/y.htm", "//other.org/z", "http://a.b/c", "mailto:a@b.c", "x.htm", "./x.htm#t", "../x.htm", "../../../x/./y?z=1", "a/../b/c.htm", "https://A.org//x"])
+def test_joined_addresses(spark, href):
+    from urllib.parse import urljoin
+
+    from quillspark.operators.press import BASE, joined_url
+
+    (r,) = spark.range(1).select(joined_url(F.lit(BASE), F.lit(href)).alias("u")).collect()
+    assert r.u == urljoin(BASE, href)
+
+
+def test_official_addresses_and_days(spark):
+    from quillspark.operators.press import dated, official
+
+    rows = [
+        ("https://Example.ORG//a//b?x#y", "https://www.example.org/a/b", None), ("http://example.org/a", None, None), ("https://evil.org/a", None, None), (None, None, None),
+        ("https://news.example.org:443/x/monetary20240229a.htm", "https://www.example.org/x/monetary20240229a.htm", "2024-02-29"), ("https://example.org/monetary20230229a.htm", "https://www.example.org/monetary20230229a.htm", None),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "u string").select(official(F.col("u")).alias("o"))
+    assert [(r.o, str(r.d) if r.d else None) for r in df.select("o", dated(F.col("o")).alias("d")).collect()] == [r[1:] for r in rows]
+
+
+def test_block_equals_loops():
+    import numpy as np
+
+    from quillspark.operators import blocks
+
+    x = np.random.default_rng(1).standard_normal((5, 8))
+    d, heads, wide = 8, 2, 12
+    w = [blocks.fixed_weights(*shape) for shape in ((d, 3 * d, 1), (d, d, 2), (d, wide, 3), (wide, d, 4))]
+
+    def normed(v):
+        m = sum(v) / len(v)
+        return [(a - m) / math.sqrt(sum((b - m) ** 2 for b in v) / len(v) + 1e-5) for a in v]
+
+    def times(v, m):
+        return [sum(v[r] * m[r, c] for r in range(len(v))) for c in range(m.shape[1])]
+
+    p = [times(normed(row), w[0]) for row in x.tolist()]
+    size, mid = d // heads, []
+    for i in range(len(x)):
+        y = []
+        for h in range(heads):
+            part = lambda t, k, h=h: p[t][k * d + h * size : k * d + (h + 1) * size]
+            e = [math.exp(sum(a * b for a, b in zip(part(i, 0), part(j, 1), strict=True)) / math.sqrt(size)) for j in range(i + 1)]
+            y += [sum(e[j] / sum(e) * part(j, 2)[k] for j in range(i + 1)) for k in range(size)]
+        mid.append([a + b for a, b in zip(x[i].tolist(), times(y, w[1]), strict=True)])
+    want = []
+    for row in mid:
+        hidden = [0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in times(normed(row), w[2])]
+        want.append([a + b for a, b in zip(row, times(hidden, w[3]), strict=True)])
+    assert np.allclose(blocks.block(x, heads, wide), want)
+
+
+def test_next_tokens_follow_the_softmax(spark):
+    from quillspark.operators.blocks import next_tokens
+
+    df = spark.range(4000).select("id", F.array(*map(F.lit, (0.0, 2.0, 1.0, 1.0, -3.0))).alias("x"))
+    found = next_tokens(df, "id", "x", 1.0, 2, 5).groupBy("greedy", "sampled").count().collect()
+    n = {r.sampled: r["count"] for r in found}
+    assert {r.greedy for r in found} == {1} and set(n) == {1, 2, 3}  # equal to the second largest stays
+    assert abs(n[1] / 4000 - math.e / (math.e + 2)) < 0.03
+    assert {r.sampled for r in next_tokens(df, "id", "x", 0.01, None, 5).select("sampled").distinct().collect()} == {1}
+
+
+def test_prefixes_and_alphabet_of_the_fit(spark):
+    from quillspark.operators import tokens
+
+    merges = [("a", "b", True), ("c", "d", True), ("ab", "", False), ("ab", "cd", True)]
+    assert [tokens.shortest_prefix(merges, 5, n) for n in (5, 6, 7, 8)] == [0, 1, 2, 4]
+    for n in (4, 9):
+        with pytest.raises(ValueError):
+            tokens.shortest_prefix(merges, 5, n)
+    docs = spark.createDataFrame([("abab ab",)], "body string")
+    with pytest.raises(ValueError):
+        tokens.merges_of(docs, 3)
+    with pytest.raises(ValueError):
+        tokens.merges_of(spark.createDataFrame([("a" + tokens.END,)], "body string"), 100)
+    words = tokens.encode_words(spark.createDataFrame([("ab", 1), ("axb", 1)], "word string, n long"), merges, {"a", "b"})
+    assert {r.word: r.symbols for r in words.collect()} == {"ab": ["ab", tokens.END], "axb": None}
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        tokens.all_known(words).collect()
+
+
+def test_numbers_and_draws_of_clusters(spark):
+    from quillspark.operators import stats
+
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(700)] + [("b", 5, 1.0)], "stratum string, cluster long, x double")
+    known = stats.numbered(rows, "stratum", "cluster").collect()
+    assert sorted(r._i for r in known if r.stratum == "a") == list(range(700)) and {r._n for r in known} == {700, 1}
+    times = stats.draws(rows, "s", 3).groupBy("resample", "stratum").agg(F.sum("times").alias("n"), F.count("*").alias("d")).collect()
+    assert {(r.stratum, r.n) for r in times} == {("a", 700), ("b", 1)} and all(r.d < 500 for r in times if r.stratum == "a")
+    sums = stats.drawn_sums(rows, "s", 3, ["x"]).collect()
+    drawn = stats.draws(rows, "s", 3).join(rows, ["stratum", "cluster"]).groupBy("resample", "stratum").agg(F.sum(F.col("x") * F.col("times")).alias("x")).collect()
+    assert sorted(map(tuple, sums)) == sorted(map(tuple, drawn))
+
+
+def test_tables_and_manifests(spark, tmp_path):
+    from quillspark.sources import sinks
+
+    path = f"file://{tmp_path}/t"
+    for n in (3, 5):
+        sinks.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    with pytest.raises(Exception):
+        sinks.replace_table(spark.range(2).select(F.raise_error(F.lit("no")).alias("x")), path)
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "split.json").write_text('{"corpus_sha256": "abc",\n "documents": [{"id": "1", "split": "T"}, {"id": "2", "split": "N"}]}')
+    assert {tuple(r) for r in sinks.read_split(spark, f"{tmp_path}/split.json", "abc").collect()} == {("1", "T"), ("2", "N")}
+    with pytest.raises(Exception, match="made for corpus"):
+        sinks.read_split(spark, f"{tmp_path}/split.json", "other").collect()
+    trace = sinks.rotated(f"{tmp_path}/trace", "r1")
+    event = spark.createDataFrame([("c", "l", "act", "m", "ok", 3, None, "{}", None)], sinks.TRACE_SCHEMA)
+    sinks.append_trace(event, trace)
+    sinks.append_trace(event, trace)
+    found = spark.read.schema(sinks.TRACE_SCHEMA).json(trace).collect()
+    assert len(found) == 2 and all(r.timestamp > 1e9 for r in found) and trace.endswith("run_id=r1")
+    sinks.write_results(event, f"{tmp_path}/results")
+    assert spark.read.json(f"{tmp_path}/results").first().method == "m"
