@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.models import CharTransformer
 from quillspark.operators.splits import MEETINGS, with_split
 from quillspark.operators.windows import draw
 from quillspark.plans.registry import query
@@ -149,11 +148,3 @@ def document_score_checks(spark, sf):
 
     docs = with_split(documents(spark, sf))
     return score_checks(docs.where("split in ('N', 'F')"), vocabulary_map(char_vocabulary(docs.where("split = 'T'"))))
-
-
-@query("zero_weights")
-def zero_weights(spark, sf):
-    """Loss a character of a model without weights: the logarithm of its vocabulary."""
-    model = CharTransformer(50, seed=None)
-    loss = -model.log_probs(np.arange(20))[np.arange(19), np.arange(1, 20)].mean()
-    return spark.createDataFrame([(float(loss), math.log(50))], "loss double, log_vocabulary double")

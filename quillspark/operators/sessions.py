@@ -249,6 +249,7 @@ def error_response(req: Column, code: Column, message: Column) -> Column:
     return F.struct(F.lit("2.0").alias("jsonrpc"), req.alias("id"), F.struct(code.alias("code"), message.alias("message")).alias("error"))
 
 
+# Messages by code.
 MESSAGES = {-32700: "Parse error", -32600: "Invalid Request", -32601: "Method not found", -32602: "Invalid params", -32603: "Internal error", -32000: "Budget exhausted"}
 
 
