@@ -75,10 +75,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"), words=51)
     return found.select(
         F.col("_row.doc_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
-        (F.col("_n_removed") > 0).alias("repeats"),
+        F.col("_shares").alias("shares_passage"),
     )
 
 

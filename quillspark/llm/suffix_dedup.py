@@ -14,7 +14,9 @@ starts elsewhere, in any text, is removed; the judgement is on the input.
    merge-scanned against the existing levels for equal windows; levels of equal
    size merge, so sizes grow geometrically and a window takes part in
    logarithmically many merges.  The family is dropped at a key boundary once it
-   holds ``FAMILY_WINDOWS``, since windows of two keys never match.
+   holds ``FAMILY_WINDOWS``, since windows of two keys never match.  A window
+   whose 64-bit hash no other one of the family has cannot repeat and is left
+   out before; of the others the bytes decide.
 3. *Hot keys.*  A key with more than ``hot`` different runs (a passage that very
    many texts surround differently) would fill one task.  Its windows are dealt
    by their own 128-bit hash instead and counted with partial aggregation; this
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
-from ._text import SLICE_BYTES, buffers, mix, prefix_hash, range_hash, slices
+from ._text import SLICE_BYTES, WORD_BYTES, buffers, hashed_words, mix, prefix_hash, range_hash, slices
 
 GRAM, MAX_RUN, PLACE_BITS = 32, 512, 22
 BATCH_WINDOWS, FAMILY_WINDOWS, HOT_RUNS = 1 << 14, 1 << 19, 4096
@@ -133,17 +135,19 @@ class SuffixFamily:
     def clear(self) -> None:
         self.text = np.zeros(0, np.uint8)
         self.levels: list[tuple[int, np.ndarray]] = []
-        self.windows = 0
 
     def _rows(self, at: np.ndarray) -> np.ndarray:
         view = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[at]
         return np.ascontiguousarray(view).view(f"S{self.length}").ravel()
 
     def add(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes a batch; gives which of its windows were there or repeat in it, and starts of older windows met again."""
-        at = starts + len(self.text)
+        """As :meth:`meet` for windows of a text that is added."""
+        base = len(self.text)
         self.text = np.concatenate([self.text, text])
-        self.windows += len(at)
+        return self.meet(starts + base)
+
+    def meet(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes a batch of window starts; gives which of its windows were there or repeat in it, and starts of older windows met again."""
         windows = self._rows(at)
         order = np.argsort(windows, kind="stable")
         sorted_windows = windows[order]
@@ -212,71 +216,63 @@ def intervals(hit: np.ndarray, ends_text: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
 
+def repeated_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Windows whose hash another one has; no other window can repeat."""
+    h = range_hash(prefix_hash(data), starts, starts + length)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    some = np.zeros(len(h), bool)
+    some[order[1:][same]] = some[order[:-1][same]] = True
+    return np.flatnonzero(some)
+
+
 def family_covers(rows: DataFrame, length: int, batch: int = BATCH_WINDOWS, family: int = FAMILY_WINDOWS) -> DataFrame:
     """Runs with bytes, dealt by key, to (k1, k2, start, stop) of bytes that other runs of the key repeat."""
 
+    def covered(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """All runs of some keys: windows with a hash of their own are left out, the others meet in the family's arrays."""
+        whole = pa.Table.from_batches(parts)
+        meta = {k: whole.column(k).to_numpy() for k in ("n", "k1", "k2", "s")}
+        data, offsets = buffers(whole.column("span"))
+        counts = np.diff(offsets) - length + 1
+        cut = np.r_[0, np.cumsum(counts)]
+        starts = np.repeat(offsets[:-1] - cut[:-1], counts) + np.arange(cut[-1])
+        some = repeated_hashes(data, starts, length)
+        levels, hit = SuffixFamily(length), np.zeros(len(starts), bool)
+        levels.text = data
+        for i in range(0, len(some), batch):
+            new = some[i : i + batch]
+            found, old = levels.meet(starts[new])
+            hit[new[found]] = True
+            hit[np.searchsorted(starts, old)] = True
+        a, b = intervals(hit, cut)
+        of = np.searchsorted(cut, a, "right") - 1
+        once = meta["n"][of] == 1
+        a, b, of = a[once], b[once], of[once]
+        cols = (meta["k1"][of], meta["k2"][of], meta["s"][of] + a - cut[of], meta["s"][of] + b - cut[of] - 1 + length)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["k1", "k2", "s", "e"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = SuffixFamily(length)
-        base, held, last_key = [], [], None  # windows of the family so far, by batch
-
-        def flush() -> pa.RecordBatch:
-            k1, k2, s, e = [], [], [], []
-            hit = np.concatenate([h for _, h, _ in base]) if base else np.zeros(0, bool)
-            at = 0
-            for meta, _, counts in base:
-                own = hit[at : at + counts.sum()]
-                at += counts.sum()
-                cut = np.r_[0, np.cumsum(counts)]
-                a, b = intervals(own, cut)
-                of = np.searchsorted(cut, a, "right") - 1
-                once = meta["n"][of] == 1
-                a, b, of = a[once], b[once], of[once]
-                k1.append(meta["k1"][of])
-                k2.append(meta["k2"][of])
-                s.append(meta["s"][of] + a - cut[of])
-                e.append(meta["s"][of] + b - cut[of] - 1 + length)
-            base.clear()
-            levels.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (k1, k2, s, e)], ["k1", "k2", "s", "e"])
-
-        def take(part: pa.RecordBatch) -> None:
-            data, offsets = buffers(part.column("span"))
-            size = np.diff(offsets)
-            counts = size - length + 1
-            cut = np.cumsum(counts) - counts
-            starts = np.repeat(offsets[:-1] - cut, counts) + np.arange(counts.sum())
-            offset = len(levels.text)
-            hit, old = levels.add(data, starts)
-            base.append(({k: part.column(k).to_numpy(zero_copy_only=False) for k in ("n", "k1", "k2", "s")}, hit, counts))
-            marks.append((offset, starts))
-            if len(old):
-                tops = np.array([o for o, _ in marks])
-                which = np.searchsorted(tops, old, "right") - 1
-                for w in np.unique(which):
-                    o, st = marks[w]
-                    base[w][1][np.searchsorted(st, old[which == w] - o)] = True
-
-        marks: list[tuple[int, np.ndarray]] = []
+        held, windows, last = [], 0, None
         for whole in batches:
-            if not whole.num_rows:
-                continue
-            keys = whole.column("m").to_numpy(zero_copy_only=False)
-            size = np.cumsum(whole.column("L").to_numpy(zero_copy_only=False))
+            n = whole.num_rows
+            keys, size = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("m", "L"))
             i = 0
-            while i < whole.num_rows:
-                if last_key is not None and keys[i] != last_key and levels.windows >= family:
-                    yield flush()
-                    marks.clear()
-                done = size[i - 1] if i else 0
-                j = max(i + 1, int(np.searchsorted(size, done + batch, "right")))
-                if levels.windows + (size[j - 1] - done) >= family:  # stop at the last key boundary in reach, if any
-                    change = np.flatnonzero(keys[i + 1 : j] != keys[i : j - 1])
-                    j = i + 1 + int(change[-1]) if len(change) else j
-                take(whole.slice(i, j - i))
-                last_key = keys[j - 1]
+            while i < n:
+                if windows >= family:  # full, but a key stays in one family
+                    other = np.flatnonzero(keys[i:] != last)
+                    j = i + int(other[0]) if len(other) else n
+                else:
+                    j = min(n, i + 1 + int(np.searchsorted(np.cumsum(size[i:]), family - windows)))
+                if j > i:
+                    held.append(whole.slice(i, j - i))
+                    windows, last = windows + int(size[i:j].sum()), keys[j - 1]
+                if windows >= family and j < n and keys[j] != last:
+                    yield covered(held)
+                    held, windows = [], 0
                 i = j
-        if base:
-            yield flush()
+        if held:
+            yield covered(held)
 
     dealt = rows.repartition("m").sortWithinPartitions("m")
     return dealt.mapInArrow(run, "k1 long, k2 long, s long, e long")
@@ -311,9 +307,26 @@ def row_keys(id: str, text: str) -> list[Column]:
     return [F.xxhash64(i, F.lit("|"), t).alias("k1"), F.xxhash64(t, F.lit("/"), i).alias("k2")]
 
 
-def covers(df: DataFrame, id: str, text: str, length: int, hot: int, scratch: Scratch) -> DataFrame:
-    """(k1, k2, spans): per row key, the array of (start, stop) byte ranges to remove; they may overlap."""
-    texts = df.select(*row_keys(id, text), F.col(text).cast("string").alias("t"))
+def keyed_texts(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(k1, k2, t): row keys and text."""
+    return df.select(*row_keys(id, text), F.col(text).cast("string").alias("t"))
+
+
+def keyed_words(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(k1, k2, t): row keys, and two bytes of hash for each word of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, words, rows, *_ in hashed_words(batch.column("t"), WORD_BYTES):
+                stops = np.r_[0, 2 * np.cumsum(np.bincount(rows, minlength=j - i))].astype(np.int32)
+                t = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(stops), pa.py_buffer((words >> _U(48)).astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch.column("k1").slice(i, j - i), batch.column("k2").slice(i, j - i), t], ["k1", "k2", "t"])
+
+    return keyed_texts(df, id, text).mapInArrow(run, "k1 long, k2 long, t binary")
+
+
+def covers(texts: DataFrame, length: int, hot: int, scratch: Scratch) -> DataFrame:
+    """(k1, k2, t) to (k1, k2, spans): per row key, the array of (start, stop) byte ranges that windows which start elsewhere too cover; they may overlap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,16 +390,32 @@ def remove(body: bytes, spans: list) -> tuple[bytes, int]:
     return b"".join(kept), len(first)
 
 
-def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, hot: int = HOT_RUNS, as_text: bool = False) -> DataFrame:
-    """Per row: ``_row`` (the row as it came), ``_n_bytes, _n_removed, _n_spans`` and ``_kept``.
+def sharing(df: DataFrame, id: str, text: str, words: int, hot: int = HOT_RUNS) -> DataFrame:
+    """(k1, k2) of rows with a passage of so many words (as two hashed bytes each) that starts elsewhere too."""
+    scratch = Scratch(df.sparkSession, "passages")
+    coded, coded_path = scratch.table(keyed_words(df, id, text))
+    found = covers(coded, 2 * words, hot, scratch).select("k1", "k2")
+    scratch.drop(coded_path)
+    return found
+
+
+def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 400, hot: int = HOT_RUNS, as_text: bool = False, words: int | None = None) -> DataFrame:
+    """Per row: ``_row`` (the row as it came), ``_n_bytes, _n_removed, _n_spans`` and ``_kept``; with ``words`` also ``_shares``.
 
     ``_kept`` holds the remaining bytes, or with ``as_text`` the remaining text:
-    of a character that is cut in the middle the rest is left out.
+    of a character that is cut in the middle the rest is left out.  ``_shares``
+    tells whether the text has a passage of that many words that starts
+    elsewhere too, whatever its bytes; nothing is removed for it.
     """
     scratch = Scratch(df.sparkSession, "suffix")
-    spans = covers(df, id, text, length, hot, scratch)
+    spans = covers(keyed_texts(df, id, text), length, hot, scratch)
     whole = df.select(F.struct("*").alias("_row"), *row_keys(id, text))
-    joined = whole.join(spans, ["k1", "k2"], "left").select("_row", "spans")
+    more = []
+    if words:
+        found = spans.withColumn("_shares", F.lit(False)).unionByName(sharing(df, id, text, words, hot).select("k1", "k2", F.lit(True).alias("_shares")), allowMissingColumns=True)
+        spans = scratch.save(found.groupBy("k1", "k2").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("_shares").alias("_shares")))
+        more = [F.coalesce("_shares", F.lit(False)).alias("_shares")]
+    joined = whole.join(spans, ["k1", "k2"], "left").select("_row", "spans", *more)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,8 +425,8 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", length: int = 4
                 bodies = [b or b"" for b in whole.slice(i, j - i).cast(pa.binary()).to_pylist()]
                 done = [remove(b, s) for b, s in zip(bodies, part.column("spans").to_pylist(), strict=True)]
                 kept = [k.decode("utf-8", "ignore") if as_text else k for k, _ in done]
-                cols = [part.column("_row"), pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(k) for b, (k, _) in zip(bodies, done, strict=True)], pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["_row", "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+                cols = [part.column("_row"), pa.array([len(b) for b in bodies], pa.int64()), pa.array([len(b) - len(k) for b, (k, _) in zip(bodies, done, strict=True)], pa.int64()), pa.array([n for _, n in done], pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), *([part.column("_shares")] if words else [])]
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "_n_bytes", "_n_removed", "_n_spans", "_kept", "_shares"][: len(cols)])
 
-    schema = joined.select("_row", *(F.lit(0).cast("long").alias(c) for c in ("_n_bytes", "_n_removed", "_n_spans")), F.lit("" if as_text else b"").alias("_kept")).schema
+    schema = joined.select("_row", *(F.lit(0).cast("long").alias(c) for c in ("_n_bytes", "_n_removed", "_n_spans")), F.lit("" if as_text else b"").alias("_kept"), *(["_shares"] if words else [])).schema
     return joined.mapInArrow(strip, schema)

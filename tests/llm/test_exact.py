@@ -1,6 +1,7 @@
 """Operators whose results have one right answer."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,13 @@ def suffix_rows(df, **more):
 def test_suffix_query(spark, sf, pairs):
     bodies = [t.encode() for _, t in pairs]
     want = {i: (len(b), int(g.sum()), plain.runs(g), plain.sha(plain.kept(b, g))) for (i, _), b, g in zip(pairs, bodies, plain.repeats(bodies, 400), strict=True)}
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op10_suffix_dedup(spark, sf).collect()}
-    assert got == want
+    rows = queries.op10_suffix_dedup(spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+    passages = Counter()
+    split = {i: (t or "").lower().split() for i, t in pairs}
+    for w in split.values():
+        passages.update(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+    assert {r.doc_id for r in rows if r.shares_passage} == {i for i, w in split.items() if any(passages[tuple(w[k : k + 51])] > 1 for k in range(len(w) - 50))}
 
 
 def test_planted_passages_around_the_length(spark):
@@ -165,6 +171,21 @@ def test_family_levels_grow_geometrically():
         assert windows == sorted(set(windows))
 
 
+@pytest.mark.parametrize(("batch", "family"), [(50, 100), (64, 1 << 19), (1 << 14, 1)])
+def test_families_close_between_keys(spark, batch, family):
+    r = random.Random(11)
+    shared = ["".join(r.choice("abcdef") for _ in range(90)) for _ in range(4)]
+    rows = [(k, 1, 10 * k + c, 0, 0, f"{c}" * c + shared[k] + f"{c}" * (c + 3)) for k in range(4) for c in range(5)]
+    rows = [(k, n, a, b, s, len(t) - 39, t.encode()) for k, n, a, b, s, t in rows]
+    df = spark.createDataFrame(rows, "m long, n long, k1 long, k2 long, s long, L long, span binary")
+    got = {}
+    for x in suffix_dedup.family_covers(df.coalesce(1), 40, batch, family).collect():
+        got.setdefault(x.k1, set()).update(range(x.s, x.e))
+    bodies = [t for *_, t in rows]
+    for (_, _, a, *_), g in zip(rows, plain.repeats(bodies, 40), strict=True):
+        assert got.get(a, set()) == set(np.flatnonzero(g).tolist())
+
+
 def test_text_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1000)
     r = random.Random(9)
