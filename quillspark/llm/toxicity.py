@@ -30,9 +30,10 @@ smallest id hashes (documented bound), each scored without its own counts.
 
 Counts are aggregated in tasks before they move and texts never move.  Only
 expressions whose counts pass the discount enter the model, which is exact: for
-all others f_t = f_o = 1.  Up to ``max_table`` of them are broadcast; of more none
-is dropped, but the expressions of texts that pass a filter of fixed size are
-joined with the table and summed by text.
+all others f_t = f_o = 1.  A counted pair brings the names of its words, so it is
+held against the odds that they give it.  Up to ``max_table`` expressions are
+broadcast; of more none is dropped, but the expressions of texts that pass a
+filter of fixed size are joined with the table and summed by text.
 
 Nulls and edges: a null or empty text has no evidence and gets the link's value
 for it; null labels teach nothing, as do null ids; several labels of one id count
@@ -67,36 +68,38 @@ def expressions(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return words & ~_ONE, pairs, inner, inner + 1
 
 
-def added(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of n by x."""
+def added(x: np.ndarray, n: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of n by x, and what x determines."""
     order = np.argsort(x, kind="stable")
     x, n = x[order], n[order]
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    return x[first], np.add.reduceat(n, first) if len(first) else n
+    return x[first], np.add.reduceat(n, first) if len(first) else n, *(c[order[first]] for c in of)
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(x, toxic, ordinary): texts of each class that hold x; names 0 and 1 hold the sums over all words and all pairs."""
+    """(x, toxic, ordinary, l, r): texts of each class that hold x, and the words of a pair; names 0 and 1 hold the sums over all words and all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def batch_of(x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch_of(x: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(x), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["x", "n"])
+                cols = [c[i : i + (1 << 16)].view(np.int64) for c in (x, n, left, right)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "n", "l", "r"])
 
         for batch in batches:
             # both counts in one number: toxic texts above, ordinary ones below
             one = np.where(batch.column("_label").to_numpy(zero_copy_only=False) == 1, np.int64(1) << 32, np.int64(1))
             for i, _, words, rows, *_ in hashed_words(batch.column("_t"), LETTER):
-                names, pairs, left, _ = expressions(words, rows)
+                names, pairs, left, right = expressions(words, rows)
                 x, row = np.concatenate([names, pairs]), np.concatenate([rows, rows[left]])
                 order = np.lexsort((row, x))
-                x, row = x[order], row[order]
-                new = np.r_[True, (x[1:] != x[:-1]) | (row[1:] != row[:-1])] if len(x) else np.zeros(0, bool)
-                x, n = x[new], one[i + row[new]]
-                held += [added(x, n), added(x & _ONE, n)]
+                new = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(row[order]) != 0)]] if len(x) else order
+                none = np.zeros(len(names), _U)
+                x, n, of = x[new], one[i + row[new]], [np.concatenate([none, names[k]])[new] for k in (left, right)]
+                kind = x & _ONE
+                held += [added(x, n, *of), added(kind, n, kind, kind)]
                 size += len(held[-2][0]) + len(held[-1][0])
                 if size >= HELD:
                     held = [added(*(np.concatenate(c) for c in zip(*held, strict=True)))]
@@ -107,8 +110,9 @@ def counted(texts: DataFrame) -> DataFrame:
         if held:
             yield from batch_of(*added(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
-    sums = texts.select("_t", "_label").mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
-    return sums.select("x", F.shiftrightunsigned("n", 32).alias("toxic"), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ordinary"))
+    rows = texts.select("_t", "_label").mapInArrow(run, "x long, n long, l long, r long")
+    sums = rows.groupBy("x").agg(F.sum("n").alias("n"), F.min("l").alias("l"), F.min("r").alias("r"))
+    return sums.select("x", F.shiftrightunsigned("n", 32).alias("toxic"), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ordinary"), "l", "r")
 
 
 def factor(n: np.ndarray, e: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
@@ -126,14 +130,47 @@ def log_ratio(n_t: np.ndarray, n_o: np.ndarray, log_odds: np.ndarray | float) ->
     return np.log(factor(n_t, n * share)) - np.log(factor(n_o, n * (1 - share)))
 
 
-def deviates(odds: tuple[float, float], discount: float = DISCOUNT - 0.5) -> Column:
+def share_at(log_odds: Column) -> Column:
+    """As in :func:`log_ratio`, the toxic class's expected share of a count."""
+    return 1 / (1 + F.exp(-F.greatest(F.least(log_odds, F.lit(30.0)), F.lit(-30.0))))
+
+
+def deviates(log_odds: Column, discount: float = DISCOUNT - 0.5) -> Column:
     """Whether the counts of a row may pass the discount, with room for a text that leaves its own counts out."""
-    n = F.col("toxic") + F.col("ordinary")
-    share = F.when(F.col("x").bitwiseAND(F.lit(1)) == 0, F.lit(odds[0])).otherwise(F.lit(odds[1]))
+    n, share = F.col("toxic") + F.col("ordinary"), share_at(log_odds)
     e = F.least(n * share, n * (1 - share))
     return F.abs(F.col("toxic") - n * share) >= discount * F.sqrt(e + 1) - 1
 
 
+def ratio_column(log_odds: float, discount: float = DISCOUNT) -> Column:
+    """:func:`log_ratio` of a row's counts."""
+    n, share = F.col("toxic") + F.col("ordinary"), share_at(F.lit(log_odds))
+
+    def part(count: Column, e: Column) -> Column:
+        kept = F.signum(count - e) * F.greatest(F.abs(count - e) - discount * F.sqrt(e + 1), F.lit(0.0))
+        return F.log(F.greatest((e + kept) / e, F.lit(1e-3)))
+
+    return part(F.col("toxic"), n * share) - part(F.col("ordinary"), n * (1 - share))
+
+
+def passing(counts: DataFrame, odds: tuple[float, float], scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """(x, toxic, ordinary) of words and pairs that pass the discount, and the tables that it reads.
+
+    A pair enters at the odds of all pairs or at those that its words give it.
+    Odds in between, as of a text that leaves its own counts out of the words,
+    admit no other: a count that fails at both ends fails between them.
+    """
+    even = F.col("x").bitwiseAND(F.lit(1)) == 0
+    words = counts.where("x not in (0, 1)").where(even).where(deviates(F.lit(odds[0])))
+    words, path = scratch.table(words.select("x", "toxic", "ordinary", ratio_column(odds[0]).alias("w")))
+    pairs = counts.where("x not in (0, 1)").where(~even)
+    for side in ("l", "r"):
+        pairs = pairs.join(words.select(F.col("x").alias(side), F.col("w").alias(f"w{side}")), side, "left")
+    moved = F.lit(odds[1]) + F.coalesce("wl", F.lit(0.0)) + F.coalesce("wr", F.lit(0.0))
+    pairs = pairs.where(deviates(F.lit(odds[1])) | deviates(moved))
+    return words.drop("w").unionByName(pairs.select("x", "toxic", "ordinary")), [path]
+
+
 class Model:
     """Counts of expressions that pass the discount, class odds of words and pairs, and the link."""
 
@@ -285,7 +322,7 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, id: str = "doc_i
     rows = source.join(chosen, source["_id"] == chosen["_label_id"]).select("_id", "_t", "_label")
 
     # with fewer counts no expression passes the discount, whatever the odds
-    maybe, maybe_path = scratch.table(counted(rows).where("x in (0, 1) or toxic >= 4 or ordinary >= 8"))
+    maybe, maybe_path = scratch.table(counted(rows).where("x in (0, 1) or toxic >= 4 or ordinary >= 4"))
     sums = {r.x: r for r in maybe.where("x in (0, 1)").collect()}
     words, pairs = sums.get(0), sums.get(1)
     if not words or not words.toxic or not words.ordinary:
@@ -293,8 +330,9 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, id: str = "doc_i
         return Model((0.0, 0.0), np.zeros(0, _U), np.zeros(0), np.zeros(0))
     shares = [(r.toxic + 0.5) / (r.toxic + r.ordinary + 1) for r in (words, pairs or words)]
     odds = tuple(float(np.log(s / (1 - s))) for s in shares)
-    strong, strong_path = scratch.table(maybe.where("x not in (0, 1)").where(deviates(shares)))
-    scratch.drop(maybe_path)
+    strong, read = passing(maybe, odds, scratch)
+    strong, strong_path = scratch.table(strong)
+    scratch.drop(maybe_path, *read)
     if strong.count() > max_table:
         model = Model(odds, np.zeros(0, _U), np.zeros(0), np.zeros(0), strong)
     else:

@@ -91,10 +91,6 @@ def toxic_evidence(rows: list[tuple[str | None, int | None]], discount: float) -
 
     def ratio(e: tuple, log_odds: float) -> float:
         n = counts.get(e, [0, 0])
-        share = sums[len(e)][1] / max(sum(sums[len(e)]), 1)
-        least = sum(n) * min(share, 1 - share)
-        if max(abs(n[1] - sum(n) * share) - (discount - 0.5) * math.sqrt(least + 1) + 1, 0) == 0:
-            return 0.0  # not in the model
         out = []
         for k, p in ((1, 1 / (1 + math.exp(-log_odds))), (0, 1 / (1 + math.exp(log_odds)))):
             want = sum(n) * p

@@ -143,6 +143,9 @@ def test_toxicity_equals_plain_version(spark, max_table):
             body += [f"vile{i % 30}", "you", f"foul{i % 7}"] * r.randint(1, 2)
         if i % 9 == 0:
             body = ["foul1", "can", "the", *body]
+        if i % 12 < 3:  # a pair as often toxic as any, of words that both are toxic in most texts
+            body += ["grim", "tale"] if i % 5 == 0 else []
+        body += ["grim"] * (i % 4 == 0) + ["and", "tale"] * (i % 8 == 0)
         rows.append((i, " ".join(body)))
     rows += [(2000 + i, rows[4][1]) for i in range(50)] + [(5000, None), (5001, "")]  # copies teach once
     label = {i: int(i % 4 == 0) for i, _ in rows if i < 5000}
