@@ -64,8 +64,12 @@ def expressions(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(words):
         return words, words, rows, rows
     inner = np.flatnonzero(rows[1:] == rows[:-1])
-    pairs = mix(words[inner] * _U(0x9DDFEA08EB382D69) + words[inner + 1]) | _ONE
-    return words & ~_ONE, pairs, inner, inner + 1
+    names = words & ~_ONE
+    return names, pair_names(names[inner], names[inner + 1]), inner, inner + 1
+
+
+def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _U(0x9DDFEA08EB382D69) + right) | _ONE
 
 
 def added(x: np.ndarray, n: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -76,17 +80,21 @@ def added(x: np.ndarray, n: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, ..
     return x[first], np.add.reduceat(n, first) if len(first) else n, *(c[order[first]] for c in of)
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(x, toxic, ordinary, l, r): texts of each class that hold x, and the words of a pair; names 0 and 1 hold the sums over all words and all pairs."""
+def counted(texts: DataFrame, least: int) -> DataFrame:
+    """(x, toxic, ordinary, l, r): texts of each class that hold x, where they are ``least`` in one class, and the words of a pair.
+
+    Names 0 and 1 hold the sums over all words and all pairs.  What is shuffled
+    is known by l and r alone: both words of a pair, 1 and a word, 1 and 1 or 3
+    for a sum; names follow from them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def batch_of(x: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(x), 1 << 16):
-                cols = [c[i : i + (1 << 16)].view(np.int64) for c in (x, n, left, right)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "n", "l", "r"])
+        def batch_of(_: np.ndarray, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(_), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)].view(np.int64)) for c in cols], ["n", "l", "r"])
 
         for batch in batches:
             # both counts in one number: toxic texts above, ordinary ones below
@@ -96,10 +104,9 @@ def counted(texts: DataFrame) -> DataFrame:
                 x, row = np.concatenate([names, pairs]), np.concatenate([rows, rows[left]])
                 order = np.lexsort((row, x))
                 new = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(row[order]) != 0)]] if len(x) else order
-                none = np.zeros(len(names), _U)
-                x, n, of = x[new], one[i + row[new]], [np.concatenate([none, names[k]])[new] for k in (left, right)]
-                kind = x & _ONE
-                held += [added(x, n, *of), added(kind, n, kind, kind)]
+                of = [np.concatenate(c)[new] for c in ((np.ones(len(names), _U), names[left]), (names, names[right]))]
+                x, n, kind = x[new], one[i + row[new]], x[new] & _ONE
+                held += [added(x, n, *of), added(kind, n, np.ones(len(kind), _U), 2 * kind + _ONE)]
                 size += len(held[-2][0]) + len(held[-1][0])
                 if size >= HELD:
                     held = [added(*(np.concatenate(c) for c in zip(*held, strict=True)))]
@@ -110,9 +117,16 @@ def counted(texts: DataFrame) -> DataFrame:
         if held:
             yield from batch_of(*added(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
-    rows = texts.select("_t", "_label").mapInArrow(run, "x long, n long, l long, r long")
-    sums = rows.groupBy("x").agg(F.sum("n").alias("n"), F.min("l").alias("l"), F.min("r").alias("r"))
-    return sums.select("x", F.shiftrightunsigned("n", 32).alias("toxic"), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ordinary"), "l", "r")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_numpy(zero_copy_only=False).view(_U) for c in ("l", "r"))
+            x = np.where(left != _ONE, pair_names(left, right), np.where(right & _ONE == _ONE, right >> _ONE, right))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), *(batch.column(c) for c in ("toxic", "ordinary", "l", "r"))], ["x", "toxic", "ordinary", "l", "r"])
+
+    sums = texts.select("_t", "_label").mapInArrow(run, "n long, l long, r long").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    sums = sums.select(F.shiftrightunsigned("n", 32).alias("toxic"), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("ordinary"), "l", "r")
+    sums = sums.where((F.col("r").bitwiseAND(F.lit(1)) == 1) | (F.greatest("toxic", "ordinary") >= least))
+    return sums.mapInArrow(named, "x long, toxic long, ordinary long, l long, r long")
 
 
 def factor(n: np.ndarray, e: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
@@ -322,7 +336,7 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, id: str = "doc_i
     rows = source.join(chosen, source["_id"] == chosen["_label_id"]).select("_id", "_t", "_label")
 
     # with fewer counts no expression passes the discount, whatever the odds
-    maybe, maybe_path = scratch.table(counted(rows).where("x in (0, 1) or toxic >= 4 or ordinary >= 4"))
+    maybe, maybe_path = scratch.table(counted(rows, 4))
     sums = {r.x: r for r in maybe.where("x in (0, 1)").collect()}
     words, pairs = sums.get(0), sums.get(1)
     if not words or not words.toxic or not words.ordinary:
