@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.session import ready
 
-from . import bpe, decontam, html_extract, importance, langid, licenses, quality_rules, simhash, suffix_dedup, toxicity
+from . import audit, bpe, decontam, html_extract, importance, langid, licenses, mixing, quality_rules, search, simhash, suffix_dedup, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -82,10 +82,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_importance_resampling, op2_decontamination, op3_simhash, op4_toxicity, op5_quality_rules,
         op6_html_extraction, op7_language_id, op8_license_scan, op9_byte_bpe, op10_suffix_dedup,
+        op11_lexical_search, op12_source_mixing, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -138,5 +152,64 @@ best as (select doc_id, arg_max(name, dice) as license, max(dice) as dice from (
 select doc_id, license, max(dice) as dice, count(*)::bigint as n_units from best group by doc_id, license"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _search_sql() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{term}')"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {split} as ts from documents),
+g as (select count(*) filter (where len(ts) > 0) as n_docs, sum(len(ts))::bigint as n_terms from d),
+i as (select row_number() over () as q, item_id, {split} as ts from benchmark),
+asked as (select q, item_id, term, count(*) as times from (select q, item_id, unnest(ts) as term from i) group by all),
+held as (select rid, term, count(*) as tf from (select rid, unnest(ts) as term from d) where term in (select term from asked) group by all),
+w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from held, g group by term, n_docs),
+part as (select rid, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ts) * n_docs) // n_terms))) as part from held join d using (rid) join w using (term), g),
+scores as (select q, item_id, rid, sum(times * part)::bigint as score from asked join part using (term) group by all),
+placed as (select item_id, row_number() over (partition by q order by score desc, doc_id nulls last)::int as rank, doc_id, score from scores join d using (rid) where score > 0)
+select item_id, rank, doc_id, score from placed where rank <= {search.K}"""
+
+
+def _mixing_sql() -> str:
+    share, cap, n = mixing.SHARE, mixing.CAP, len(mixing.WEIGHTS)
+    weight = "case (row_number() over (order by source nulls last) - 1) % {} {} end".format(n, " ".join(f"when {k} then {w}" for k, w in enumerate(mixing.WEIGHTS)))
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size, {weight}::double as weight from d group by source),
+-- sources in the order in which they reach the cap; what the others share once the first k have stopped
+capped as (select *, row_number() over (order by {cap} * source_size / weight, source nulls last) as k from s),
+left_over as (select *, {share} * sum(source_size) over () - coalesce(sum({cap} * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0) as words, sum(weight) over (order by k rows between current row and unbounded following) as weights from capped),
+fair as (select words / weights as unit from left_over where not {cap} * source_size <= words / weights * weight order by k limit 1),
+t as (select source, source_size, case when (select unit from fair) is null or {cap} * source_size <= (select unit from fair) * weight then {cap} * source_size::double else (select unit from fair) * weight end as target,
+  ('0x' || substr(md5('{mixing.SEED}' || coalesce('=' || source, '-')), 1, {mixing.DIGITS}))::bigint / {16**mixing.DIGITS}.0::double as off from s),
+placed as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate, off,
+  row_number() over (partition by d.source order by size, md5(coalesce(doc_id::varchar, '')), doc_id nulls first) as i from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, (size * (floor(rate * i + off) - floor(rate * (i - 1) + off)))::bigint as taken from placed"""
+
+
+def _audit_sql() -> str:
+    edges = "bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic"
+    return rf"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^ 	-
+]+') as ws, min(doc_id) over (partition by t) as low from d),
+f as (select part, doc_id, len(ws) < {audit.MIN_WORDS} as fa, 100 * len(list_distinct(ws)) < {audit.DISTINCT} * len(ws) as fb,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.CAPITALS} * length(t) as fc, regexp_matches(t, '[#$%&*|]') as fd, coalesce(doc_id > low, false) as fe from w),
+l as (select doc_id, {edges} from labels where doc_id is not null group by doc_id),
+m as (select part, [fa, fb, fc, fd, fe] as fails, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n from f left join l using (doc_id) group by all),
+orders(o) as (select '' union all select o || x from orders, (select unnest(string_split('{audit.FILTERS}', '')) as x) where not contains(o, x)),
+steps as (select o as filter_order, step, strpos('{audit.FILTERS}', substr(o, step, 1)) as this, list_transform(range(1, step), lambda k: strpos('{audit.FILTERS}', substr(o, k, 1))) as before
+  from orders, (select unnest(range(1, {len(audit.FILTERS) + 1}))::int as step) where length(o) = {len(audit.FILTERS)}),
+met as (select part, filter_order, step, this, fails[this] as here, len(list_filter(before, lambda k: fails[k])) > 0 as gone, len(list_filter(fails, lambda x: x)) = 1 as sole, good, toxic, n from m, steps),
+e as (select part, filter_order, step, this, sum(n) filter (where not here and not gone) as kept, sum(n) filter (where here and not gone) as removed, sum(n) filter (where here and gone) as redundant,
+  sum(n) filter (where here and sole) as unique_fails, sum(n) filter (where here and not gone and good) as good_lost, sum(n) filter (where here and not gone and toxic) as toxic_lost from met group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, sum(coalesce(removed, 0)) over (partition by part, this)::bigint as shapley from e"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _quality_sql(), "op8_license_scan": _license_sql()}
+    return {
+        "op5_quality_rules": _quality_sql(), "op8_license_scan": _license_sql(), "op11_lexical_search": _search_sql(),
+        "op12_source_mixing": _mixing_sql(), "op13_filter_audit": _audit_sql(),
+    }
