@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -190,19 +190,30 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, blocks: int = BLOCKS, send_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``df``, as they came, less all but one of each linked set: the one with the smallest id.
+    """The rows of ``df``, as they came, less all but one of each linked set of fingerprints.
 
-    Rows with a null id stay.  The ids to leave out are broadcast only where
-    they are counted to be at most ``send_rows``; texts move only beyond that,
-    or where an id occurs more than once.
+    A row is known by its id and fingerprint, and the smallest of a set stays:
+    ids that stand for several texts lose the copies among them only.  Of rows
+    alike in both, one stays.  Rows with a null id stay.  The ids to leave out
+    are broadcast only where they are counted to be at most ``send_rows``; texts
+    move only beyond that, or where an id occurs more than once.
     """
     scratch, inner = Scratch(df.sparkSession, "simhash-kept"), Scratch(df.sparkSession, "simhash")
-    found = scratch.save(near_duplicates(df, id, text, shingle, radius, blocks, inner).select(F.col(id).alias("_gone"), "component_id"))
+    fps = inner.save(fingerprints(df.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_t")), "_t", shingle, ("_id",)).where("_id is not null"))
+    firsts = inner.save(fps.groupBy("_fp").agg(F.min("_id").alias("_low")))
+    comp = components(links(firsts.select("_fp", F.col("_fp").alias("_rep")), radius, blocks), inner)
+    named = firsts.join(comp, firsts["_fp"] == comp["node"], "left")
+    stay = named.groupBy(F.coalesce("component", "_fp")).agg(F.min(F.struct(F.col("_low").alias("_id"), "_fp")).alias("_k")).select("_k.*")
+    stay = scratch.save(stay)
+    again = scratch.save(fps.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("_gone")))
+    out = scratch.save(fps.distinct().join(stay, ["_id", "_fp"], "left_anti").select(F.col("_id").alias("_gone")).union(again).distinct())
     inner.drop(inner.root)
-    out = found.where("_gone is not null and _gone <> component_id").select("_gone").distinct()
-    kept = df.join(F.broadcast(out) if out.count() <= send_rows else out, df[id] == out["_gone"], "left_anti")
-    again = found.where("_gone is not null").groupBy("_gone").count().where("count > 1").limit(1).count()
-    if again:
-        named = kept.where(F.col(id).isNotNull()).dropDuplicates([id])
-        kept = named.unionByName(kept.where(F.col(id).isNull()))
-    return kept
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= send_rows else ids
+    own = df[id].cast("long")
+    kept = df.join(bounded(out), own == out["_gone"], "left_anti")
+    if not again.limit(1).count():
+        return kept
+    rows = df.join(bounded(again), own == again["_gone"], "left_semi").select(F.struct("*").alias("_row"), own.alias("_id"), F.col(text).cast("string").alias("_t"))
+    rows = fingerprints(rows, "_t", shingle, ("_row", "_id", "_t")).join(stay, ["_id", "_fp"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_fp").orderBy(F.xxhash64("_t"), "_t"))
+    return kept.unionByName(rows.withColumn("_place", first).where("_place = 1").select("_row.*"))
