@@ -5,8 +5,8 @@
    space in a line is one space.  Elements that never hold an article (menus,
    page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
    reader comments), known by tag, role or class and id, give no lines.  A class
-   counts if all its words say so (``cookie-notice``, not ``related-work``), or
-   one that leaves no doubt (``sidebar``); a wrapper that is only named like one
+   counts if all its words say so (``cookie-notice``, not ``related-work``, nor
+   ``ad-hoc``), or one that leaves no doubt (``paywall``); a wrapper that is only named like one
    does not hide the article in it.
 2. *Sum over windows.*  A line weighs its characters outside links; a window of
    ``WINDOW`` lines weighs their sum.  Where the page marks an article or main
@@ -15,8 +15,12 @@
    eighth of the page's heaviest window where that is less, and dives at the first
    window without any.  Surges that lead to less than ``SHARE`` of the heaviest
    region are not the article (a line of copyright, a card of another article).
-   All lines from the first surge to the last dive are kept, whatever they weigh;
-   headings right before the surge belong to it.
+4. *Keep.*  Marked elements with a surge that counts are kept whole, and nothing
+   between them is.  Without a mark all lines from the first surge to the last
+   dive are kept, whatever they weigh, and on both sides what lies in the element
+   round the surge's or dive's line: short lines, links between them, and links
+   at its ends where they are paragraphs of that element and it is not the page's
+   body.  Headings right before the surge belong to it.
 
 Nulls and edges: a null, empty or markup-only page gives the empty text; an
 unclosed element ends with its parent; a page cut off anywhere is read as far
@@ -28,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,26 +49,28 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
+#: Blocks that are one line, or one entry, of the block round them.
+UNITS = frozenset("address blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary tr".split())
 #: Cells of one table row are parts of one line.
 CELLS = frozenset(("td", "th"))
-DROPPED = frozenset("head nav header footer aside form button select dialog menu search svg canvas object audio video map applet".split()) | RAW
+DROPPED = frozenset("head nav header footer aside form button select dialog menu search svg canvas audio video applet".split()) | RAW
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES_P = BLOCKS - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "title", "option", "optgroup"))
 #: Elements that an end tag, or the next element of the kind, doesn't look beyond.
 P_FENCES, LI_FENCES = ("button", "table", "td", "th", "article", "body"), ("ul", "ol", "menu")
 #: Words of class and id values that mark what is not the article, in any company.
 CERTAIN = frozenset(
-    "ad adbox ads advert advertisement advertising adverts breadcrumb breadcrumbs captcha comments disqus footer gdpr masthead menu nav "
-    "navbar navigation newsletter pager pagination paywall popup sidebar signup sponsored toolbar".split()
+    "adbox advert advertisement advertising adverts breadcrumb breadcrumbs captcha disqus gdpr masthead navbar navigation newsletter pagination paywall sponsored".split()
 )
 #: Words that do so beside each other and beside words of place and shape.
 LIKELY = CERTAIN | frozenset(
-    "alert banner comment consent cookie cookies copyright disclaimer header legal modal notice notification promo promoted promotion "
-    "recommended related replies reply respond search share sharing social sponsor subscribe subscription toc tracking widget".split()
+    "ad ads alert banner comment comments consent cookie cookies copyright disclaimer footer header legal menu modal nav notice notification pager popup promo "
+    "promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor subscribe subscription toc toolbar tracking widget".split()
 )
 PLAIN = frozenset(
-    "area articles bar block bottom box buttons column container content fixed form global group icons inner item items left links list "
-    "main message nav outer overlay page panel policy posts right section site sticky thread top wrap wrapper".split()
+    "area articles bar block bottom box button buttons column container content count desktop fixed form global google group icon icons inline inner item items label left link "
+    "links list main message mobile native nav outer overlay page panel placement policy post posts primary rail rectangle right secondary section site slot sticky thread "
+    "top unit wrap wrapper zone".split()
 )
 #: Words beside "header" that make it the article's own.
 OWN = frozenset("article content entry post story".split())
@@ -108,25 +115,38 @@ def doubt(tag: str, attributes: str) -> int:
     return found
 
 
+class Line(NamedTuple):
+    text: str
+    free: int  #: characters outside links
+    article: int  #: number of the marked article that holds it, or 0
+    heading: bool
+    round: int  #: number of the block round it
+
+
 class Lines:
-    """The lines of a page: text, characters outside links, whether a marked article holds it, whether it is a heading."""
+    """The lines of a page, and of each block the lines inside (first, last + 1) and whether it is the body."""
 
     def __init__(self, page: str):
-        self.out: list[tuple[str, int, bool, bool]] = []
+        self.out: list[Line] = []
         self.parts: list[str] = []
         self.link_chars = 0
-        self.stack: list[tuple[str, int, bool]] = []  # tag, how surely dropped from here, in an article from here
+        self.stack: list[tuple[str, int, int]] = []  # tag, how surely dropped from here, number of the article from here
         self.places: dict[str, list[int]] = {}  # where in the stack each tag is open
         self.blocks: list[int] = []  # where in the stack blocks are open
+        self.open: list[int] = [0]  # numbers of the open blocks, the page's own first
+        self.spans: list[list] = [[0, 0, True]]
+        self.articles = 0
         self.heading = False
         self._read(page)
+        self.spans[0][1] = len(self.out)
 
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                article = bool(self.stack) and self.stack[-1][2]
-                self.out.append((text, max(0, len(text) - self.link_chars), article, self.heading))
+                # the block round a paragraph, but a section that has text of its own is the one round that
+                inner = bool(self.blocks) and self.stack[self.blocks[-1]][0] in UNITS
+                self.out.append(Line(text, max(0, len(text) - self.link_chars), self.stack[-1][2] if self.stack else 0, self.heading, self.open[-1 - inner]))
             self.parts, self.link_chars = [], 0
 
     def _pop(self, depth: int) -> None:
@@ -137,6 +157,7 @@ class Lines:
             self.places[tag].pop()
             if tag in BLOCKS:
                 self.blocks.pop()
+                self.spans[self.open.pop()][1] = len(self.out)
 
     def _text(self, raw: str) -> None:
         if raw and not (self.stack and self.stack[-1][1]):
@@ -188,17 +209,21 @@ class Lines:
         if tag in BLOCKS and tag not in CELLS:
             self._end_line()
         self.heading = tag in HEADINGS if tag in BLOCKS else self.heading
-        dropped, article = self.stack[-1][1:] if self.stack else (KEPT, False)
+        dropped, article = self.stack[-1][1:] if self.stack else (KEPT, 0)
         own = doubt(tag, attributes)
         if tag in ("article", "main") and own == KEPT and dropped == NAMED:
             dropped = KEPT  # the name was that of a wrapper round the article
         if tag in DROPPED and not (tag == "header" and article):
             own = SURE
         dropped = max(dropped, own)
-        article = article or not dropped and tag in ("article", "main")
+        if not article and not dropped and tag in ("article", "main"):
+            self.articles += 1
+            article = self.articles
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCKS:
             self.blocks.append(len(self.stack))
+            self.open.append(len(self.spans))
+            self.spans.append([len(self.out), 0, tag in ("html", "body")])
         self.stack.append((tag, dropped, article))
 
     def _close(self, tag: str) -> None:
@@ -214,26 +239,48 @@ class Lines:
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by an empty line."""
-    lines = Lines(page or "").out
-    if any(article for _, _, article, _ in lines):
-        weights = [len(text) if article else 0 for text, _, article, _ in lines]
-    else:
-        weights = [w for _, w, _, _ in lines]
-    first, last = extent(weights)
-    while 0 < first <= last and lines[first - 1][3] and lines[first - 1][2] == lines[first][2]:
+    read = Lines(page or "")
+    lines = read.out
+    if any(x.article for x in lines):
+        weights, owner = [], []  # windows don't reach from one element into another
+        for x in lines:
+            if x.article:
+                gap = WINDOW if owner and owner[-1] != x.article else 0
+                weights += [0] * gap + [len(x.text)]
+                owner += [x.article] * (gap + 1)
+        chosen = {owner[a] for a, _ in regions(weights)}
+        return "\n\n".join(x.text for x in lines if x.article in chosen)
+    found = regions([x.free for x in lines])
+    if not found:
+        return ""
+    first, last = found[0][0], found[-1][1]
+    first, last = widened(lines, read.spans, first, -1), widened(lines, read.spans, last, 1)
+    while first > 0 and lines[first - 1].heading:
         first -= 1
-    return "\n\n".join(text for text, *_ in lines[first : last + 1])
+    return "\n\n".join(x.text for x in lines[first : last + 1])
+
+
+def widened(lines: list[Line], spans: list[list], at: int, step: int) -> int:
+    """From a surge's first or a dive's last line to the outermost line of the block round it that belongs to the article."""
+    block = lines[at].round
+    start, end, body = spans[block]
+    best = k = at
+    while start <= k + step < end:
+        k += step
+        if lines[k].free or lines[k].heading or not body and lines[k].round == block:
+            best = k
+    return best
 
 
-def extent(weights: list[int]) -> tuple[int, int]:
-    """The first line of the first surge that counts and the last line before the last dive that does; (0, -1) where no text surges."""
+def regions(weights: list[int]) -> list[tuple[int, int]]:
+    """First and last line of each region from a surge to its dive that counts."""
     n = len(weights)
     upto = [0]
     for w in weights:
         upto.append(upto[-1] + w)
     sums = [upto[min(i + WINDOW, n)] - upto[i] for i in range(n)]
     need = min(SURGE, max(sums, default=0) / 8)
-    regions, i = [], 0
+    found, i = [], 0
     while i < n:
         if not weights[i] or sums[i] < need:
             i += 1
@@ -244,11 +291,10 @@ def extent(weights: list[int]) -> tuple[int, int]:
         last = j - 1
         while not weights[last]:
             last -= 1
-        regions.append((i, last, upto[last + 1] - upto[i]))
+        found.append((i, last, upto[last + 1] - upto[i]))
         i = j
-    least = SHARE * max((w for _, _, w in regions), default=0)
-    counted = [(a, b) for a, b, w in regions if w >= least]
-    return (counted[0][0], counted[-1][1]) if counted else (0, -1)
+    least = SHARE * max((w for _, _, w in found), default=0)
+    return [(a, b) for a, b, w in found if w >= least]
 
 
 def extract(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
