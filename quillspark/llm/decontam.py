@@ -3,8 +3,11 @@
 1. Every word n-gram of the test items is counted over the whole corpus.
 2. Seeds are all n-grams of an item that occur in the corpus.  None is thinned
    out: an edited copy may keep just those that a choice would drop.
-3. Texts are scanned for seeds.  Seeds of one item that lie in order within one
-   item length form a passage; one seed is enough.
+3. Texts are scanned for seeds.  A text and an item that share one are a pair;
+   pairs whose texts share too few words with the item, whatever their order, for
+   a score of ``threshold`` go before any passage is made, so an n-gram common
+   to many items and texts costs one test a pair.  Seeds of a pair that lie in
+   order within one item length form a passage; one seed is enough.
 4. A passage is widened on both sides by the most words that an alignment of
    ``threshold`` can span.  It is left out where it shares too few words with
    the item, whatever their order, for a score of ``threshold`` (a bound that
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,17 @@ PIECE, CELLS = 4096, 1 << 18
 _U = np.uint64
 
 
+class Seeds(NamedTuple):
+    """N-grams of items that occur in the corpus."""
+
+    keys: np.ndarray  #: the distinct hashes, in order
+    item: np.ndarray  #: the items of each key, cut by ``item_cut``
+    item_cut: np.ndarray
+    key: np.ndarray  #: the keys of each item by number and their places in it, cut by ``cut``
+    place: np.ndarray
+    cut: np.ndarray
+
+
 class Items:
     """Hashed words of a block of test items."""
 
@@ -57,17 +72,22 @@ class Items:
         cut = np.searchsorted(self.rows, np.arange(len(ids) + 1))
         self.cut = cut
         self.grams, self.first = ngrams(self.words, self.rows, N)
+        self.vocabulary, number = np.unique(self.words, return_inverse=True)
+        # the bag of each item: its distinct words by number, each with its repeats
+        bag, self.bag_n = np.unique(self.rows * max(len(self.vocabulary), 1) + number, return_counts=True)
+        self.bag_word = bag % max(len(self.vocabulary), 1)
+        self.bag_cut = np.searchsorted(bag, np.arange(len(ids) + 1) * max(len(self.vocabulary), 1))
 
     def keys(self) -> np.ndarray:
         return np.unique(self.grams)
 
-    def seeds(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted seed hashes, the item of each and its word position."""
-        row = self.rows[self.first]
+    def seeds(self, keys: np.ndarray, counts: np.ndarray) -> Seeds:
         at = np.flatnonzero(counts[np.searchsorted(keys, self.grams)] > 0)
-        order = np.argsort(self.grams[at], kind="stable")
-        at = at[order]
-        return self.grams[at], row[at], self.first[at] - self.cut[row[at]]
+        row, n = self.rows[self.first[at]], len(self.ids)
+        found, key = np.unique(self.grams[at], return_inverse=True)
+        both = np.unique(key * n + row)
+        # grams come in order of their items
+        return Seeds(found, both % n, np.searchsorted(both, np.arange(len(found) + 1) * n), key, self.first[at] - self.cut[row], np.searchsorted(row, np.arange(n + 1)))
 
 
 def filter_bits(keys: np.ndarray) -> np.ndarray:
@@ -114,55 +134,113 @@ def pieces(a: int, b: int, reach: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-def shared(item: np.ndarray, window: np.ndarray) -> int:
-    """Words that both have, each as often as in the one with fewer; no alignment matches more."""
-    once, n = np.unique(item, return_counts=True)
-    at = np.minimum(np.searchsorted(once, window), len(once) - 1)
-    return int(np.minimum(np.bincount(at[once[at] == window], minlength=len(once)), n).sum())
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def chunks(size: np.ndarray) -> Iterator[slice]:
+    """Ranges of entries whose sizes add up to ``CELLS`` at most, or of one larger entry."""
+    upto, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CELLS, "right")))
+        yield slice(i, j)
+        i = j
+
 
+class Bag:
+    """The words of a slice of texts that items use, in order of word and place."""
 
-def scan(column: pa.Array, items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    def __init__(self, items: Items, words: np.ndarray):
+        self.items, self.span = items, len(words) + 1
+        number = np.minimum(np.searchsorted(items.vocabulary, words), len(items.vocabulary) - 1)
+        at = np.flatnonzero(items.vocabulary[number] == words)
+        self.held = np.sort(number[at] * self.span + at)
+
+    def shared(self, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that each item and its window [a, b) both have, each as often as in the one with fewer; no alignment matches more."""
+        cut = self.items.bag_cut
+        size, out = cut[item + 1] - cut[item], np.zeros(len(item), np.int64)
+        for part in chunks(size):
+            n = size[part]
+            bag = ranges(cut[item[part]], n)
+            base = self.items.bag_word[bag] * self.span
+            many = np.searchsorted(self.held, base + np.repeat(b[part], n)) - np.searchsorted(self.held, base + np.repeat(a[part], n))
+            out[part] = np.bincount(np.repeat(np.arange(len(n)), n), np.minimum(many, self.items.bag_n[bag]), minlength=len(n))
+        return out
+
+
+def candidates(rows: np.ndarray, key: np.ndarray, seeds: Seeds, items: Items, bag: Bag, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) pairs that share a seed and enough words; ``rows`` and ``key`` are the seeds found, a key once a row."""
+    n, found = len(items.ids), [np.zeros(0, np.int64)]
+    size = seeds.item_cut[key + 1] - seeds.item_cut[key]
+    for part in chunks(size):
+        pair = np.unique(np.repeat(rows[part], size[part]) * n + seeds.item[ranges(seeds.item_cut[key[part]], size[part])])
+        row, item = pair // n, pair % n
+        found.append(pair[bag.shared(item, bounds[row], bounds[row + 1]) >= threshold * np.diff(items.cut)[item]])
+    pair = np.unique(np.concatenate(found))
+    return pair // n, pair % n
+
+
+def scan(column: pa.Array, items: Items, seeds: Seeds, table: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(row, item, score, first and last+1 byte, seeds) of the passages of texts that may reach ``threshold``."""
-    keys, of, place = seeds
     size = np.diff(items.cut)
     # matches are at most the item's words and the score pays for each word more
     reach = np.ceil(size * max(3 - 2 * threshold, 1)).astype(np.int64)
+    n_keys = max(len(seeds.keys), 1)
     for i, _, words, rows, starts, ends, own in hashed_words(column, LETTER):
         grams, first = ngrams(words, rows, N)
         maybe = np.flatnonzero(table[(grams >> _U(64 - BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(keys, grams[maybe]), np.searchsorted(keys, grams[maybe], "right")
-        many = hi - lo
-        if not many.any():
+        key = np.minimum(np.searchsorted(seeds.keys, grams[maybe]), n_keys - 1)
+        hit = seeds.keys[key] == grams[maybe] if len(seeds.keys) else np.zeros(len(maybe), bool)
+        if not hit.any():
             continue
-        which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = np.repeat(first[maybe], many)
-        item, row = of[which], rows[at]
-        shift = at - place[which]  # where the item would begin
-        order = np.lexsort((shift, item, row))
-        item, row, shift, at, which = item[order], row[order], shift[order], at[order], which[order]
-        slack = np.maximum(4, size[item] // 4)
-        new = np.r_[True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (shift[1:] - shift[:-1] > slack[1:])]
-        group = np.cumsum(new) - 1
-        begin = np.flatnonzero(new)
-        pair = np.unique(np.stack([group, place[which]]), axis=1)
-        distinct = np.bincount(pair[0], minlength=len(begin))
-        low, high = np.minimum.reduceat(at, begin), np.maximum.reduceat(at, begin)
+        key, at = key[hit], first[maybe[hit]]
         bounds = np.searchsorted(rows, np.arange(rows[-1] + 2))
-        todo = []
-        for r, it, a, b, d in zip(row[begin].tolist(), item[begin].tolist(), low.tolist(), high.tolist(), distinct.tolist(), strict=True):
-            a, b = max(int(bounds[r]), a - int(reach[it])), min(int(bounds[r + 1]), b + N + int(reach[it]))
-            if shared(items.words[items.cut[it] : items.cut[it + 1]], words[a:b]) / int(size[it]) >= threshold:
-                todo += [(r, it, x, y, d) for x, y in pieces(a, b, int(reach[it]))]
-        todo.sort(key=lambda x: (x[3] - x[2], x[0], x[1], x[2]))
-        k = 0
-        while k < len(todo):
-            n = k + 1  # windows come in order of length, so the last one is the widest
-            while n < min(len(todo), k + 256) and (todo[n][3] - todo[n][2]) * (n + 1 - k) <= CELLS:
-                n += 1
-            part, k = todo[k:n], n
-            score, s, e = align([items.words[items.cut[x[1]] : items.cut[x[1] + 1]] for x in part], [words[a:b] for _, _, a, b, _ in part])
-            for (r, it, a, _, d), sc, x, y in zip(part, score, s, e, strict=True):
-                yield i + r, it, float(sc) / (2 * int(size[it])), int(starts[a + x] - own[r]), int(ends[a + max(y, x + 1) - 1] - own[r]), d
+        # the seeds found, in order of row, key and place
+        order = np.lexsort((at, key, rows[at]))
+        key, at = key[order], at[order]
+        found = rows[at] * n_keys + key
+        once = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        bag = Bag(items, words)
+        row, item = candidates(rows[at[once]], key[once], seeds, items, bag, bounds, threshold)
+        seeds_of = seeds.cut[item + 1] - seeds.cut[item]
+        asked = ranges(seeds.cut[item], seeds_of)
+        pair = np.repeat(np.arange(len(row)), seeds_of)
+        name = row[pair] * n_keys + seeds.key[asked]
+        lo, many = np.searchsorted(found, name), np.searchsorted(found, name, "right")
+        many -= lo
+        for part in chunks(np.bincount(pair, many, minlength=len(row)).astype(np.int64)):
+            inside = slice(*np.searchsorted(pair, (part.start, part.stop)))
+            yield from passages(i, pair[inside], seeds.place[asked[inside]], lo[inside], many[inside], at, row, item, items, bag, bounds, reach, threshold, words, starts, ends, own)
+
+
+def passages(i, pair, place, lo, many, at, row, item, items, bag, bounds, reach, threshold, words, starts, ends, own) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """The passages of some (row, item) pairs: windows round their seeds that share enough words, aligned."""
+    size = np.diff(items.cut)
+    at, pair, place = at[ranges(lo, many)], np.repeat(pair, many), np.repeat(place, many)
+    shift = at - place  # where the item would begin
+    order = np.lexsort((shift, pair))
+    pair, shift, at, place = pair[order], shift[order], at[order], place[order]
+    slack = np.maximum(4, size[item[pair]] // 4)
+    new = np.r_[True, (pair[1:] != pair[:-1]) | (shift[1:] - shift[:-1] > slack[1:])]
+    group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+    distinct = np.bincount(np.unique(group * (int(place.max()) + 1) + place) // (int(place.max()) + 1), minlength=len(begin))
+    r, it = row[pair[begin]], item[pair[begin]]
+    a = np.maximum(bounds[r], np.minimum.reduceat(at, begin) - reach[it])
+    b = np.minimum(bounds[r + 1], np.maximum.reduceat(at, begin) + N + reach[it])
+    near = np.flatnonzero(bag.shared(it, a, b) >= threshold * size[it])
+    todo = [(*x[:2], *y, x[4]) for x in zip(*(v[near].tolist() for v in (r, it, a, b, distinct)), strict=True) for y in pieces(x[2], x[3], int(reach[x[1]]))]
+    todo.sort(key=lambda x: (x[3] - x[2], x[0], x[1], x[2]))
+    k = 0
+    while k < len(todo):
+        n = k + 1  # windows come in order of length, so the last one is the widest
+        while n < min(len(todo), k + 256) and (todo[n][3] - todo[n][2]) * (n + 1 - k) <= CELLS:
+            n += 1
+        part, k = todo[k:n], n
+        score, s, e = align([items.words[items.cut[x[1]] : items.cut[x[1] + 1]] for x in part], [words[a:b] for _, _, a, b, _ in part])
+        for (r, it, a, _, d), sc, x, y in zip(part, score, s, e, strict=True):
+            yield i + r, it, float(sc) / (2 * int(size[it])), int(starts[a + x] - own[r]), int(ends[a + max(y, x + 1) - 1] - own[r]), d
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[list]:
@@ -252,4 +330,4 @@ def prepared(source: DataFrame, block: list):
     for r in source.select("_t").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r.k] = r.n
     seeds = items.seeds(keys, counts)
-    return context.broadcast((items, seeds, filter_bits(seeds[0])))
+    return context.broadcast((items, seeds, filter_bits(seeds.keys)))
