@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.markup import elements
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
@@ -74,6 +75,65 @@ def candidates(found: DataFrame) -> DataFrame:
     return by
 
 
+def page_anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, source, seq, base, href, label, heading) of every link of a page, in page order.
+
+    ``base`` is the page's first ``<base>`` as seen from its address, else the
+    address; ``heading`` is the first heading of the innermost panel round a link.
+    """
+    from quillspark.operators.press import joined_url
+
+    rows = elements(pages, ["page_id", "url"], (), ("a", "base"), scope=('div[class*="panel"]',), headings=(".panel-heading", "h2", "h3", "h4", "h5", "h6")).where("href is not null")
+    by = Window.partitionBy("page_id", "url")
+    own = F.first(F.when(F.col("tag") == "base", F.col("href")), True).over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("_base", F.coalesce(joined_url(F.col("url"), own), F.col("url"))).where("tag = 'a'")
+    seq = F.row_number().over(by.orderBy("pos")) - 1
+    return rows.select("page_id", F.col("url").alias("source"), seq.alias("seq"), F.col("_base").alias("base"), "href", F.col("text").alias("label"), "heading")
+
+
+def page_links(pages: DataFrame, hosts: str) -> DataFrame:
+    """(page_id, source, seq, url, label): links that lead, seen from their page, to an https address on one of the hosts (a pattern over host names)."""
+    from quillspark.operators.press import joined_url
+
+    url = canonical(joined_url(F.col("base"), F.trim("href")))
+    host = F.regexp_extract(url, "^https://([^/]*)", 1)
+    label = F.concat_ws(" | ", F.nullif(F.col("heading"), F.lit("")), F.nullif(F.col("label"), F.lit("")))
+    return page_anchors(pages).select("page_id", "source", "seq", url.alias("url"), label.alias("label")).where(host.rlike(hosts))
+
+
+#: Hosts that count as official in the queries.
+OFFICIAL = r"^([a-z-]+\.)*example\.(com|org)$"
+PAGE_LINKS = rf"""{LINKS}, seen as (select page_id, url as source, seq, label, regexp_extract(url, '^(https?://[^/]*)', 1) as root, href from links join pages using (page_id)),
+page_links as (select page_id, source, seq, 'https://' || lower(regexp_extract(root, '^https://(.*)$', 1)) || regexp_replace(href, '/{{2,}}', '/', 'g') as url, label from seen where root like 'https://%' and regexp_matches(lower(regexp_extract(root, '^https://(.*)$', 1)), '{OFFICIAL}'))"""
+
+
+@query("page_links", f"with {PAGE_LINKS} select page_id, source, seq, url, label from page_links")
+def page_links_query(spark, sf):
+    """Every official link of every page, from its html and its address."""
+    return page_links(table(spark, sf, "pages"), OFFICIAL)
+
+
+@query(
+    "page_link_candidates",
+    f"""with {PAGE_LINKS} select url, arg_min(label, (page_id, seq)) as first_label, arg_min(source, (page_id, seq)) as first_source, count(distinct label)::bigint as labels,
+    count(distinct source)::bigint as sources, count(*)::bigint as links from page_links group by url""",
+)
+def page_link_candidates(spark, sf):
+    """Candidates by address: label and page seen first, and how many labels, pages and links lead there."""
+    found, first = page_links(table(spark, sf, "pages"), OFFICIAL), F.struct("page_id", "seq")
+    return found.groupBy("url").agg(F.min_by("label", first).alias("first_label"), F.min_by("source", first).alias("first_source"), F.count_distinct("label").alias("labels"), F.count_distinct("source").alias("sources"), F.count("*").alias("links"))
+
+
+@query(
+    "page_link_evidence",
+    f"""with {PAGE_LINKS} select distinct url, 'source' as kind, source as value from page_links union all select distinct url, 'label', label from page_links""",
+)
+def page_link_evidence(spark, sf):
+    """Each page and label that speaks for a candidate once, as rows: an address that every page links to gathers in no task."""
+    found = page_links(table(spark, sf, "pages"), OFFICIAL)
+    return found.select("url", F.inline(F.array(F.struct(F.lit("source").alias("kind"), F.col("source").alias("value")), F.struct(F.lit("label").alias("kind"), F.col("label").alias("value"))))).distinct()
+
+
 def guarded(rows: DataFrame, message: str) -> DataFrame:
     """One failure row where there is no candidate at all, else none."""
     return rows.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(message).alias("failure"))
@@ -103,15 +163,32 @@ def extract_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", title(F.col("html")).alias("title"))
 
 
-# Selectors in the order in which they are tried.
-SELECTORS = (("#article", "(?s)<[a-z]+[^>]* id=\"article\"[^>]*>(.*)"), ("article", "(?s)<article[^>]*>(.*?)</article>"), ("main #content", "(?s)<main[^>]*>.*?id=\"content\"[^>]*>(.*?)</main>"), ("body", "(?s)<body[^>]*>(.*?)(?:</body>|$)"))
+# Elements that name a page, headings before metadata.
+HEADINGS, NAMES = ("#article h2", "#article h3", ".article__heading", "#content .title"), ('meta[property="og:title"]', 'meta[name="twitter:title"]')
 
 
-def container(page: Column) -> tuple[Column, Column]:
-    """The inside of the first container found, and its selector."""
-    bodies = [F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for _, p in SELECTORS]
-    name = F.coalesce(*[F.when(b.isNotNull(), F.lit(n)) for (n, _), b in zip(SELECTORS, bodies, strict=True)])
-    return F.coalesce(*bodies), name
+def titles(pages: DataFrame, headings: tuple[str, ...] = HEADINGS, names: tuple[str, ...] = NAMES, site: str = "", default: str = "untitled") -> DataFrame:
+    """(page_id, title): the first heading's text, else the first name's content, else the title less the site's prefix, else a constant; empty ones count as missing."""
+    rows = elements(pages, ["page_id"], (), (*headings, *names, "title"))
+    first = lambda kind: F.nullif(F.min_by("text", F.when(kind, F.col("pos"))), F.lit(""))
+    plain = F.col("tag") == "title"
+    found = rows.groupBy("page_id").agg(first(~plain & (F.col("tag") != "meta")).alias("h"), first(F.col("tag") == "meta").alias("m"), first(plain).alias("t"))
+    return found.select("page_id", F.coalesce("h", "m", F.nullif(F.regexp_replace("t", f"^{site}", ""), F.lit("")), F.lit(default)).alias("title"))
+
+
+@query(
+    "page_titles",
+    r"""select page_id, coalesce(nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), ''),
+    nullif(trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')), ''), 'untitled') as title from pages""",
+)
+def page_titles(spark, sf):
+    return titles(table(spark, sf, "pages"), headings=("article h1", *HEADINGS))
+
+
+# Containers in the order in which they are tried, and what paragraphs lose.
+SELECTORS = ("#article", "article", "main #content", "#content", "#leftText", ".content", "body")
+DROPPED = ("script", "style", "noscript", ".sr-only", ".share", ".social", "sup", "a.footnote")
+PARTS = ("p", "h1", "h2", "h3")
 
 
 @query(
@@ -119,8 +196,9 @@ def container(page: Column) -> tuple[Column, Column]:
     """select page_id, case when html like '%<article%' then 'article' else 'body' end as selector, case when html like '%<article%' then 'legacy_container_selector:article' else 'legacy_container_selector:body' end as warning from pages""",
 )
 def container_selector(spark, sf):
-    _, name = container(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", name.alias("selector")).withColumn("warning", F.when(F.col("selector") != "#article", F.concat(F.lit("legacy_container_selector:"), F.col("selector"))))
+    """The selector that held, with a warning for all but the first; null for both where none did."""
+    found = elements(table(spark, sf, "pages"), ["page_id"], SELECTORS, ()).select("page_id", "selector")
+    return found.withColumn("warning", F.when(F.col("selector") != SELECTORS[0], F.concat(F.lit("legacy_container_selector:"), F.col("selector"))))
 
 
 def unescape_basic(x: Column) -> Column:
@@ -133,20 +211,19 @@ def cleaned(x: Column) -> Column:
     """A paragraph without markup, scripts, footnote marks and superscripts, its white space collapsed."""
     x = F.regexp_replace(x, "(?s)<(script|style|noscript|sup)\\b.*?</\\1>", "")
     x = F.trim(F.regexp_replace(unescape_basic(F.regexp_replace(x, "<[^>]*>", " ")), "\\s+", " "))
-    x = F.trim(F.regexp_replace(x, "(?i)\\s*return to text\\s*", " "))
-    return F.regexp_replace(x, "^[0-9]{1,2}\\.\\s+(?=[A-Z])", "")
+    return tidied(x)
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, tag, text) of the container's headings and paragraphs that hold text, in order.
+def tidied(x: Column) -> Column:
+    """A paragraph's text without links back to it and the footnote mark in front."""
+    x = F.trim(F.regexp_replace(x, "(?i)\\s*return to text\\s*", " "))
+    return F.trim(F.regexp_replace(x, "^[0-9]{1,2}\\.\\s+(?=[A-Z])", ""))
 
-    A paragraph ends at its end tag or at the next block.
-    """
-    inside, _ = container(F.col("html"))
-    blocks = F.split(F.regexp_replace(inside, "<(h[1-3]|p)\\b[^>]*>", "\u0001$1\u0002"), "\u0001")
-    rows = pages.select("page_id", F.posexplode(blocks).alias("pos", "b")).where("pos > 0")
-    rows = rows.select("page_id", "pos", F.regexp_extract("b", "^(\\w+)\u0002", 1).alias("tag"), cleaned(F.regexp_replace(F.regexp_replace("b", "^\\w+\u0002", ""), "(?s)</(p|h[1-3])>.*$", "")).alias("text"))
-    return rows.where("text <> ''")
+
+def paragraphs(pages: DataFrame, within: tuple[str, ...] = SELECTORS, dropped: tuple[str, ...] = DROPPED) -> DataFrame:
+    """(page_id, pos, tag, text) of the container's headings and paragraphs that hold text, in order."""
+    rows = elements(pages, ["page_id"], within, PARTS, dropped).where("pos > 0")
+    return rows.select("page_id", "pos", "tag", tidied(F.col("text")).alias("text")).where("text <> ''")
 
 
 PARAGRAPHS = r"""inside as (select page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) as x from pages),
