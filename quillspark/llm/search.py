@@ -50,6 +50,8 @@ from ._text import LETTER, LOWER
 K, SEEDS = 20, 3
 #: A block of the index ends at so many documents, or at so many counts.
 BLOCK_DOCS, BLOCK_POSTINGS = 64, 1 << 13
+#: Blocks that are turned into parts of scores at once.
+PIECE = 64
 #: Cells of one pass over the bounds of items and blocks.
 CELLS = 1 << 22
 TERM = bytes(np.where(LETTER, LOWER, 32).astype(np.uint8))
@@ -154,7 +156,7 @@ def indexed(blocks: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """Blocks with each count's part of a score and, for each of a block's terms, the largest part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
             post = Ragged(batch, "terms")
             doc = np.repeat(Ragged(batch, "lengths").values, np.diff(Ragged(batch, "ends").values_by_block(post.cut)))
             part = parts_of(Ragged(batch, "counts").values.astype(np.int64), doc.astype(np.int64), n_docs, n_terms).astype(np.int32)
