@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,60 +132,6 @@ def bpe_first_merge(spark, sf):
     return pairs.orderBy(F.desc("n"), "left", "right").limit(1)
 
 
-def merged(symbols: tuple[str, ...], left: str, right: str) -> tuple[str, ...]:
-    """All occurrences of a pair joined, from left to right, none overlapping."""
-    out, i = [], 0
-    while i < len(symbols):
-        if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
-            out.append(left + right)
-            i += 2
-        else:
-            out.append(symbols[i])
-            i += 1
-    return tuple(out)
-
-
-def fit_merges(counted: list[tuple[str, int]], vocabulary_size: int) -> list[tuple[str, str, bool]]:
-    """Merges in order, each with whether it made a new token.
-
-    Pair counts are kept up to date: a merge only touches the words that hold
-    its pair.  The next merge has the largest count, ties go to the smaller
-    pair; fitting stops below a count of two or at the vocabulary size.
-    """
-    words = [tuple(w) + (END,) for w, _ in counted]
-    freq = [n for _, n in counted]
-    tokens = {s for w in words for s in w}
-    pairs: Counter = Counter()
-    where: dict = defaultdict(set)
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            pairs[p] += freq[i]
-            where[p].add(i)
-    merges = []
-    while len(tokens) < vocabulary_size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < 2:
-            break
-        for i in list(where.pop(best, ())):
-            old, new = words[i], merged(words[i], *best)
-            if new == old:
-                continue
-            for p in zip(old, old[1:], strict=False):
-                pairs[p] -= freq[i]
-                if pairs[p] <= 0:
-                    del pairs[p]
-                where[p].discard(i)
-            for p in zip(new, new[1:], strict=False):
-                pairs[p] += freq[i]
-                where[p].add(i)
-            words[i] = new
-        pairs.pop(best, None)
-        fresh = best[0] + best[1] not in tokens
-        tokens.add(best[0] + best[1])
-        merges.append((*best, fresh))
-    return merges
-
-
 #: Up to so many distinct words are fitted on the driver; of more the driver only foresees merges, and all words decide.
 DRIVER_WORDS = 100_000
 #: Merges foreseen for one pass over all words.
@@ -297,8 +242,10 @@ def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merges_of(docs: DataFrame, size: int, driver_words: int = DRIVER_WORDS) -> list[tuple[str, str, bool]]:
-    """Merges fitted on every distinct word, the first ``size`` tokens (as :func:`fit_merges`).
+    """Merges in order, each with whether it made a new token, fitted on every distinct word up to ``size`` tokens.
 
+    The next merge has the largest count, ties go to the smaller pair; fitting
+    stops below a count of two or at the size.
     Words stay in a written table of symbol ids.  The driver holds the pair
     counts, at most the square of ``size``, and a bounded sample of words.  It
     foresees merges on the sample; one pass over all words applies them in order
@@ -404,14 +351,39 @@ def merges_of(docs: DataFrame, size: int, driver_words: int = DRIVER_WORDS) -> l
 
 
 def encoded(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of a word after all learnt merges, lowest rank first."""
-    symbols = tuple(word) + (END,)
-    while len(symbols) > 1:
-        known = [p for p in zip(symbols, symbols[1:], strict=False) if p in ranks]
-        if not known:
-            break
-        symbols = merged(symbols, *min(known, key=ranks.__getitem__))
-    return list(symbols)
+    """Symbols of a word after all learnt merges.
+
+    Symbols are linked, known pairs wait in a heap by rank and place.  All pairs
+    of the lowest rank are joined from left to right before the pairs that they
+    make wait as well; a pair whose symbols have changed meanwhile is passed
+    over.  A word of n characters takes n log n steps.
+    """
+    symbols = [*word, END]
+    ahead, behind = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+    last = len(symbols)
+
+    def rank(i: int) -> int | None:
+        return ranks.get((symbols[i], symbols[ahead[i]])) if i >= 0 and symbols[i] and ahead[i] < last else None
+
+    waiting = [(r, i) for i in range(last) if (r := rank(i)) is not None]
+    heapq.heapify(waiting)
+    while waiting:
+        lowest, touched = waiting[0][0], []
+        while waiting and waiting[0][0] == lowest:
+            i = heapq.heappop(waiting)[1]
+            if rank(i) != lowest:
+                continue
+            j = ahead[i]
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            ahead[i] = ahead[j]
+            if ahead[i] < last:
+                behind[ahead[i]] = i
+            touched += [behind[i], i]
+        for i in touched:
+            if (r := rank(i)) is not None:
+                heapq.heappush(waiting, (r, i))
+    return [s for s in symbols if s]
 
 
 def encode_words(counted: DataFrame, merges: list[tuple[str, str, bool]], alphabet: set[str] | None = None) -> DataFrame:
@@ -437,18 +409,6 @@ def all_known(encoded_words: DataFrame) -> DataFrame:
     return encoded_words.where(ok)
 
 
-def shortest_prefix(merges: list[tuple[str, str, bool]], base: int, size: int) -> int:
-    """How many merges at least reach a vocabulary of ``size`` from one of ``base`` tokens; an error where none does."""
-    n = base
-    for i, (_, _, fresh) in enumerate(merges):
-        if n == size:
-            return i
-        n += fresh
-    if n != size:
-        raise ValueError(f"{size} tokens are out of range")
-    return len(merges)
-
-
 def alphabet_of(docs: DataFrame) -> set[str]:
     """Characters of the texts; bounded by the script's letters."""
     return {r.c for r in word_counts(docs).select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()}
@@ -487,9 +447,14 @@ def bpe_roundtrip(spark, sf):
 @query("bpe_truncate")
 def bpe_truncate(spark, sf):
     """For each vocabulary size that a merge prefix reaches, the shortest such prefix."""
-    merges = bpe_merges(spark, sf)
+    return prefixes(bpe_merges(spark, sf)).where("n_new_tokens > 0")
+
+
+def prefixes(merges: DataFrame) -> DataFrame:
+    """(n_new_tokens, n_merges): how many merges at least make so many tokens; from none on."""
     size = F.sum(F.col("is_new").cast("int")).over(Window.orderBy("rank"))  # BPE_SIZE rows at most
-    return merges.select("rank", size.alias("n_new_tokens")).groupBy("n_new_tokens").agg((F.min("rank") + 1).alias("n_merges")).where("n_new_tokens > 0")
+    made = merges.select((F.col("rank") + 1).alias("n"), size.alias("n_new_tokens"))
+    return made.unionByName(made.sparkSession.sql("select 0 as n, 0L as n_new_tokens")).groupBy("n_new_tokens").agg(F.min("n").alias("n_merges"))
 
 
 @query(

@@ -94,32 +94,72 @@ def test_schedule_guard(spark):
 
 
 def test_bpe_is_lossless_and_prefix_stable():
-    words = [("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)]
-    few, many = tokens.fit_merges(words, 14), tokens.fit_merges(words, 20)
+    words = {"low": 5, "lower": 2, "newest": 6, "widest": 3}
+    few, many = plain_fit(words, 14), plain_fit(words, 20)
     assert many[: len(few)] == few
     ranks = {(a, b): i for i, (a, b, _) in enumerate(many)}
     for w in ("lowest", "new", "x", ""):
         assert "".join(tokens.encoded(w, ranks)).replace(tokens.END, "") == w
 
 
+def joined_all(text: str, left: str, right: str) -> str:
+    """A word as symbols between bars, a pair joined wherever it stands, in one replacement."""
+    return re.sub(rf"(?<=\|){re.escape(left)}\|{re.escape(right)}(?=\|)", lambda m: m[0].replace("|", ""), text)
+
+
+def barred(word: str) -> str:
+    return "|" + "|".join([*word, tokens.END]) + "|"
+
+
 def plain_fit(counted, size):
-    """Merges with all pairs counted anew over all words before each."""
-    split = {w: (*w, tokens.END) for w, _ in counted}
-    known, merges = {c for s in split.values() for c in s}, []
+    """Merges with all pairs read off the barred words before each."""
+    texts = {barred(w): n for w, n in counted.items()}
+    known, merges = set("".join(texts)) - {"|"} | {tokens.END}, []
     while len(known) < size:
-        found = Counter()
-        for w, n in counted:
-            for p in zip(split[w], split[w][1:], strict=False):
-                found[p] += n
-        best = min(found, key=lambda p: (-found[p], p), default=None)
-        if best is None or found[best] < 2:
-            break
-        merges.append((*best, "".join(best) not in known))
-        known.add("".join(best))
-        split = {w: tokens.merged(s, *best) for w, s in split.items()}
+        pairs = Counter()
+        for t, n in texts.items():
+            parts = t.strip("|").split("|")
+            for k in range(1, len(parts)):
+                pairs[parts[k - 1], parts[k]] += n
+        order = sorted((-n, p) for p, n in pairs.items() if n >= 2)
+        if not order:
+            return merges
+        (left, right), n_before = order[0][1], len(known)
+        known.add(left + right)
+        merges.append((left, right, len(known) > n_before))
+        texts = {joined_all(t, left, right): n for t, n in texts.items()}
     return merges
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_encoding_joins_a_rank_everywhere_before_the_next(seed):
+    """Ranks in any order, symbols made in several ways: as if each rank were replaced in the whole word."""
+    r = random.Random(seed)
+    made, merges = ["a", "b", "c"], []
+    while len(merges) < 14:
+        pair = (r.choice(made), r.choice([*made, tokens.END]))
+        if pair not in merges and len("".join(pair)) < 7:
+            merges.append(pair)
+            made.append("".join(pair)) if tokens.END not in pair else None
+    r.shuffle(merges)
+    ranks = {p: i for i, p in enumerate(merges)}
+    for _ in range(40):
+        word = "".join(r.choice("aabc") for _ in range(r.randint(0, 24)))
+        text = barred(word)
+        while True:
+            parts = text.strip("|").split("|")
+            best = min((ranks[p] for p in zip(parts, parts[1:], strict=False) if p in ranks), default=None)
+            if best is None:
+                break
+            text = joined_all(text, *merges[best])
+        assert tokens.encoded(word, ranks) == parts
+
+
+def test_a_long_word_is_encoded_in_time():
+    ranks = {("a", "a"): 0, ("aa", "aa"): 1, ("aaaa", "aaaa"): 2}
+    assert len(tokens.encoded("a" * 200_000, ranks)) == 25_001
+
+
 @pytest.mark.parametrize("driver_words", [10, 100, 10_000])
 def test_fit_takes_every_word(spark, driver_words):
     r = random.Random(4)
@@ -127,7 +167,7 @@ def test_fit_takes_every_word(spark, driver_words):
     docs = spark.createDataFrame([(" ".join(found[i : i + 50]),) for i in range(0, len(found), 50)], "body string").repartition(4)
     counted = Counter(re.findall(r"\S+|\s+", "\n".join(" ".join(found[i : i + 50]) for i in range(0, len(found), 50))))
     counted.pop("\n")
-    assert tokens.merges_of(docs, 150, driver_words) == plain_fit(list(counted.items()), 150)
+    assert tokens.merges_of(docs, 150, driver_words) == plain_fit(dict(counted), 150)
 
 
 def test_rare_words_count_as_well(spark):
@@ -272,10 +312,8 @@ def test_prefixes_and_alphabet_of_the_fit(spark):
     from quillspark.operators import tokens
 
     merges = [("a", "b", True), ("c", "d", True), ("ab", "", False), ("ab", "cd", True)]
-    assert [tokens.shortest_prefix(merges, 5, n) for n in (5, 6, 7, 8)] == [0, 1, 2, 4]
-    for n in (4, 9):
-        with pytest.raises(ValueError):
-            tokens.shortest_prefix(merges, 5, n)
+    ranked = spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank int, left string, right string, is_new boolean")
+    assert {r.n_new_tokens: r.n_merges for r in tokens.prefixes(ranked).collect()} == {0: 0, 1: 1, 2: 2, 3: 4}
     docs = spark.createDataFrame([("abab ab",)], "body string")
     with pytest.raises(ValueError):
         tokens.merges_of(docs, 3)
