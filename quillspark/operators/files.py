@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.plans.registry import query
+from quillspark.sources.sinks import shared_root
 from quillspark.sources.tables import DOCS, documents, table
+from quillspark.sources.versions import Versions
 
 
 def digests(df: DataFrame, text: str) -> DataFrame:
@@ -109,3 +114,19 @@ def snapshot_diff(spark, sf):
     changed = base.withColumn("sha256", F.when(F.col("doc_id") % 40 == 9, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     left, right = base.exceptAll(changed), changed.exceptAll(base)
     return left.select("doc_id", F.lit("base").alias("side")).union(right.select("doc_id", F.lit("changed").alias("side")))
+
+
+@query(
+    "versioned_corpus",
+    f"""with {DOCS}, v as (select 1 as version, 'statements' as run_id, doc_id, body from docs where genre = 'statement' union all select 2, 'all', doc_id, body from docs)
+    select version, run_id, count(*)::bigint as documents, sum(length(body))::bigint as characters, version = 2 as holds from v group by all""",
+)
+def versioned_corpus(spark, sf):
+    """A corpus written twice to one versioned table: each version as it reads afterwards, and which one holds."""
+    docs = documents(spark, sf).select("doc_id", "genre", "body")
+    kept = Versions(spark, f"{shared_root(spark)}/corpus-{uuid.uuid4().hex}")
+    kept.replace(docs.where("genre = 'statement'"), "statements")
+    kept.replace(docs, "all")
+    found = [kept.read(c["version"]).select(F.lit(c["version"]).alias("version"), F.lit(c["run_id"]).alias("run_id"), "body") for c in kept.commits()]
+    rows = reduce(DataFrame.union, found).groupBy("version", "run_id").agg(F.count("*").alias("documents"), F.sum(F.length("body")).alias("characters"))
+    return rows.withColumn("holds", F.col("version") == F.lit(kept.commits()[-1]["version"]))

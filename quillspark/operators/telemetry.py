@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.plans.registry import query
+from quillspark.sources.sinks import shared_root
 from quillspark.sources.tables import TRACE, table, trace
+from quillspark.sources.traces import read_trace
 
 # Limits under which every outcome occurs on the trace of the test tables.
 MS, TOKENS, STEPS, FAILURES = 400, 250, 5, 2
@@ -122,21 +126,66 @@ def correlation_mismatch(spark, sf):
     return rows.groupBy("rpc_id").agg(F.count_distinct("user_id").alias("correlations")).where("correlations <> 1")
 
 
+#: Payload keys whose lines follow an event's header, in this order.
+PAYLOAD = ("request", "response", "errors", "plan", "steps", "results", "delta")
+
+
+def replayed(rows: DataFrame) -> DataFrame:
+    """(trace, idx, lines) of events (trace, idx from 0, phase, method, status, latency_ms, payload): a header, numbered from 001, and a line for each known payload key that is there, null or not."""
+    head = F.format_string("[%03d] %s :: %s :: %s :: %dms", F.col("idx") + 1, "phase", "method", "status", "latency_ms")
+    # a key with a null value is there and shows null
+    value = lambda k: F.coalesce(F.get_json_object("payload", f"$.{k}"), F.when(F.array_contains(F.json_object_keys("payload"), k), "null"))
+    lines = [F.concat(F.lit(f"      {k}: "), value(k)) for k in PAYLOAD]
+    return rows.select("trace", "idx", F.array_compact(F.array(head, *lines)).alias("lines"))
+
+
+#: Traces into which the events of the test tables are written.
+TRACES = 16
+STATUS = "case when event_type = 'error' then 'error' else 'ok' end"
+
+
+def event_records(events: DataFrame) -> DataFrame:
+    """Events as trace records of JSON: trace, run, order and the record."""
+    payload = F.when(F.col("event_type") == "error", F.to_json(F.struct(F.array("event_type").alias("errors"), F.struct("event_id").alias("request")))).otherwise(F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("results"))))
+    return events.select(
+        (F.col("user_id") % TRACES).alias("trace"), "ts", "event_id", F.col("user_id").cast("string").alias("correlation_id"), F.lit("act").alias("phase"), F.col("event_type").alias("method"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.floor("value").cast("int").alias("latency_ms"), payload.alias("payload"),
+    )
+
+
+def written_traces(spark, sf) -> str:
+    """The folder of the events' traces as JSONL: a file for each trace, a blank line behind every error."""
+    rows = event_records(table(spark, sf, "events"))
+    fields = F.to_json(F.struct("correlation_id", "phase", "method", "status", "latency_ms", "payload"))
+    rows = rows.withColumn("value", F.explode(F.when(F.col("status") == "error", F.array(fields, F.lit(""))).otherwise(F.array(fields))))
+    path = f"{shared_root(spark)}/traces-{uuid.uuid4().hex}"
+    order = ["trace", "ts", "event_id", F.desc("value")]
+    rows.repartition(TRACES, "trace").sortWithinPartitions(*order).select("trace", "value").write.partitionBy("trace").text(path)
+    return path
+
+
+REPLAYED = f"""placed as (select *, user_id % {TRACES} as trace, row_number() over (partition by user_id % {TRACES} order by ts, event_id) - 1 as idx from events),
+records as (select trace, idx, event_id, event_type, props, floor(value)::int as ms, {STATUS} as status,
+  idx + coalesce(sum((event_type = 'error')::int) over (partition by trace order by idx rows between unbounded preceding and 1 preceding), 0) as line_no from placed)"""
+
+
+@query("trace_scan", f"with {REPLAYED} select trace, line_no::bigint as line_no, idx, event_type as method, status, ms as latency_ms from records")
+def trace_scan(spark, sf):
+    """Events written as JSONL traces and scanned again: physical lines, blank ones counted, and places by time (a line's number where there is none)."""
+    found = read_trace(spark, written_traces(spark, sf))
+    trace = F.regexp_extract("path", "trace=([0-9]+)", 1).cast("long")
+    return found.select(trace.alias("trace"), "line_no", "idx", "method", "status", "latency_ms")
+
+
 @query(
     "replay_trace",
-    """select row_number() over (partition by user_id order by ts, event_id) - 1 as idx, user_id, '[' || (row_number() over (partition by user_id order by ts, event_id) - 1) || '] ' || event_type || ' :: ' ||
-    case when event_type = 'error' then 'error' else 'ok' end || ' :: ' || floor(value)::bigint || 'ms' as header, props->>'$.k' as k from events""",
+    f"""with {REPLAYED} select trace, idx, array_to_string(list_concat(['[' || lpad((idx + 1)::varchar, greatest(3, length((idx + 1)::varchar))::int, '0') || '] act :: ' || event_type || ' :: ' || status || ' :: ' || ms || 'ms'],
+    case when status = 'error' then ['      request: {{"event_id":' || event_id || '}}', '      errors: ["' || event_type || '"]'] else ['      results: ' || (props->>'$.k')] end), chr(10)) as lines from records""",
 )
 def replay_trace(spark, sf):
-    return replayed(table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("phase"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.floor("value").cast("long").alias("ms"), "props"))
-
-
-def replayed(rows: DataFrame) -> DataFrame:
-    """Events of each run in order, as header lines with one chosen payload key."""
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
-    rows = rows.withColumn("idx", idx)
-    head = F.format_string("[%d] %s :: %s :: %dms", "idx", "phase", "status", "ms")
-    return rows.select("idx", "user_id", head.alias("header"), F.get_json_object("props", "$.k").alias("k"))
+    """The readable story of every trace, read from its JSONL file."""
+    found = read_trace(spark, written_traces(spark, sf)).withColumn("trace", F.regexp_extract("path", "trace=([0-9]+)", 1).cast("long"))
+    return replayed(found).select("trace", "idx", F.array_join("lines", "\n").alias("lines"))
 
 
 def costs(spark) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import models, numeric, splits, stats, telemetry, texts, tokens, windows
 from quillspark.operators.pages import canonical, cleaned
-from quillspark.sources import sinks, tables
+from quillspark.sources import sinks, tables, traces
 
 
 def column(df, c):
@@ -207,7 +207,7 @@ def test_transformer_with_zero_weights_is_uniform(spark):
 def test_trace_defaults(spark, tmp_path):
     path = tmp_path / "t.jsonl"
     path.write_text(json.dumps({"phase": "act", "timestamp": 1.0}) + "\n\n" + json.dumps({"latency_ms": 4}) + "\n")
-    rows = sinks.read_trace(spark, str(path)).orderBy("idx").collect()
+    rows = traces.read_trace(spark, str(path)).orderBy("idx").collect()
     assert [(r.phase, r.latency_ms, r.timestamp) for r in rows] == [("act", 0, 1.0), ("unknown", 4, 2.0)]
 
 
@@ -339,24 +339,24 @@ def test_numbers_and_draws_of_clusters(spark):
 
 
 def test_tables_and_manifests(spark, tmp_path):
-    from quillspark.sources import sinks
+    from quillspark.sources import sinks, versions
 
     path = f"file://{tmp_path}/t"
     for n in (3, 5):
-        sinks.replace_table(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+        versions.replace_table(spark.range(n), path)
+        assert versions.read_table(spark, path).count() == n
     with pytest.raises(Exception):
-        sinks.replace_table(spark.range(2).select(F.raise_error(F.lit("no")).alias("x")), path)
-    assert spark.read.parquet(path).count() == 5
+        versions.replace_table(spark.range(2).select(F.raise_error(F.lit("no")).alias("x")), path)
+    assert versions.read_table(spark, path).count() == 5
     (tmp_path / "split.json").write_text('{"corpus_sha256": "abc",\n "documents": [{"id": "1", "split": "T"}, {"id": "2", "split": "N"}]}')
     assert {tuple(r) for r in sinks.read_split(spark, f"{tmp_path}/split.json", "abc").collect()} == {("1", "T"), ("2", "N")}
     with pytest.raises(Exception, match="made for corpus"):
         sinks.read_split(spark, f"{tmp_path}/split.json", "other").collect()
-    trace = sinks.rotated(f"{tmp_path}/trace", "r1")
-    event = spark.createDataFrame([("c", "l", "act", "m", "ok", 3, None, "{}", None)], sinks.TRACE_SCHEMA)
-    sinks.append_trace(event, trace)
-    sinks.append_trace(event, trace)
-    found = spark.read.schema(sinks.TRACE_SCHEMA).json(trace).collect()
+    trace = traces.rotated(f"{tmp_path}/trace", "r1")
+    event = spark.createDataFrame([("c", "l", "act", "m", "ok", 3, None, "{}", None)], traces.TRACE_SCHEMA)
+    traces.append_trace(event, trace)
+    traces.append_trace(event, trace)
+    found = spark.read.schema(traces.TRACE_SCHEMA).json(trace).collect()
     assert len(found) == 2 and all(r.timestamp > 1e9 for r in found) and trace.endswith("run_id=r1")
     sinks.write_results(event, f"{tmp_path}/results")
     assert spark.read.json(f"{tmp_path}/results").first().method == "m"
