@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import lookup
 from quillspark.operators.telemetry import TOOLS
 from quillspark.plans.registry import query
 from quillspark.sources.tables import TRACE, table, trace
@@ -38,18 +39,12 @@ FIELDS = (
 )
 
 
-#: Runbooks of an index up to which it is broadcast and each query is held against all of it.
-MAX_BOOKS = 10_000
-
-
 def retrieved(books: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    """(query, rank, id, score): runbooks whose title or any step holds the query, in index order."""
-    hit = F.contains(F.lower("title"), F.lower("query")) | F.exists("steps", lambda s: F.contains(F.lower(s), F.lower(F.col("query"))))
-    if books.count() > MAX_BOOKS:
-        raise ValueError(f"an index of more than {MAX_BOOKS} runbooks is not searched by broadcast")
-    found = queries.join(F.broadcast(books), hit)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("pos"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query", "rank", "id", (F.lit(1.0) - 0.1 * (F.col("rank") - 1)).alias("score"))
+    """(query, rank, id, score): runbooks whose title or any step holds the query, in index order; an index of any size."""
+    pieces = books.select("pos", F.explode(F.concat(F.array("title"), "steps")).alias("text"))
+    found = lookup.search(pieces, queries, top_k, needle="query").join(books.select("pos", "id"), "pos")
+    asked = queries.select("query", F.lower("query").alias("needle")).distinct()
+    return found.join(asked, "needle").select("query", "rank", "id", (F.lit(1.0) - 0.1 * (F.col("rank") - 1)).alias("score"))
 
 
 @query(
