@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.operators.splits import MEETINGS, with_split
 from quillspark.plans.registry import query
@@ -18,16 +21,50 @@ from quillspark.sources.tables import documents, table
 ORDER = 5
 
 
+#: Grams that a task holds at most before it sends them on, and characters up to which short contexts are sent to all tasks.
+HELD, SEND_CHARS = 1 << 17, 5_000
+
+
 def grams(docs: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
     """(keep, ctx, ch, n): each character with up to ``order - 1`` characters before it in its document.
 
-    Counted inside tasks before anything moves; the text itself is not carried
-    through the explode.
+    Counted inside tasks before anything moves: by document where columns are
+    kept, else over the documents of a task, as many grams as it may hold at once.
     """
-    rows = docs.select(*keep, F.filter(F.split("body", ""), lambda c: c != "").alias("_c")).where("size(_c) > 0")
-    back = order - 1
-    each = F.expr(f"transform(sequence(0, size(_c) - 1), i -> struct(array_join(slice(_c, greatest(i - {back} + 1, 1), least(i, {back})), '') as ctx, _c[i] as ch))")
-    return rows.select(*keep, F.explode(each).alias("g")).groupBy(*keep, "g.ctx", "g.ch").agg(F.count("*").alias("n"))
+    source = docs.select(*keep, F.col("body").cast("string").alias("_body")).where("_body <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        found, times, at = [], [], []
+
+        def out(batch: pa.RecordBatch | None) -> pa.RecordBatch:
+            made = [pa.array([g[:-1] for g in found], pa.string()), pa.array([g[-1] for g in found], pa.string()), pa.array(times, pa.int64())]
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep] if batch else []
+            for x in (found, times, at):
+                x.clear()
+            return pa.RecordBatch.from_arrays(own + made, [*keep, "ctx", "ch", "n"])
+
+        for batch in batches:
+            for k, body in enumerate(batch.column("_body").to_pylist()):
+                counts.update([body[:i] for i in range(1, min(order, len(body) + 1))])
+                counts.update([body[i : i + order] for i in range(len(body) - order + 1)])
+                if keep or len(counts) >= HELD:
+                    found += counts.keys()
+                    times += counts.values()
+                    at += [k] * len(counts)
+                    counts.clear()
+                if len(found) >= HELD:
+                    yield out(batch)
+            if keep and found:
+                yield out(batch)
+        if not keep:
+            found += counts.keys()
+            times += counts.values()
+            yield out(None)
+
+    kind = StructType([*source.select(*keep).schema.fields, *StructType.fromDDL("ctx string, ch string, n long").fields])
+    rows = source.mapInArrow(run, kind)
+    return rows if keep else rows.groupBy("ctx", "ch").agg(F.sum("n").alias("n"))
 
 
 def ngram_counts_of(full: DataFrame, order: int = ORDER) -> DataFrame:
@@ -41,23 +78,42 @@ def context_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
 
 
+def contexts(counts: DataFrame) -> DataFrame:
+    """(_k, _x, total, types, seen): each context with its next characters, no more than the alphabet."""
+    seen = F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("seen")
+    return counts.groupBy(F.col("k").alias("_k"), F.col("ctx").alias("_x")).agg(F.sum("n").alias("total"), F.count("*").alias("types"), seen)
+
+
+def looked_up(asked: DataFrame, known: DataFrame, n_chars: int, order: int = ORDER) -> DataFrame:
+    """Rows with a column ``ctx``, one for each of its contexts k, with what is known of it (null if nothing).
+
+    Contexts of no and of one character, which everything asks for, are sent to
+    all tasks where the alphabet bounds them; only longer ones move.
+    """
+    ks = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.length("ctx"), F.lit(order - 1)))))
+    ks = ks.withColumn("_key", F.when(F.col("k") == 0, "").otherwise(F.expr("right(ctx, k)")))
+    match = (F.col("k") == F.col("_k")) & (F.col("_key") == F.col("_x"))
+    short = known.where("_k <= 1")
+    short = F.broadcast(short) if n_chars <= SEND_CHARS else short
+    return ks.where("k <= 1").join(short, match, "left").unionByName(ks.where("k > 1").join(known.where("_k > 1"), match, "left"))
+
+
 def witten_bell(wanted: DataFrame, counts: DataFrame, n_chars: int, order: int = ORDER) -> DataFrame:
     """(ctx, ch, p) for distinct pairs: interpolation from the empty context up, over the contexts that were seen.
 
-    Each pair asks for all its contexts in one join, and what comes back is
-    folded from the shortest up.  A context carries its next characters, no more
-    than the alphabet.  A longer context than an unseen one is unseen too, so
-    what is missing keeps the probability reached so far.
+    The pairs of a context ask for all its contexts together; counts of their
+    characters come back and are folded from the shortest context up.  A longer
+    context than an unseen one is unseen too, so what is missing keeps the
+    probability reached so far.
     """
-    seen = F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("seen")
-    known = counts.groupBy(F.col("k").alias("_k"), F.col("ctx").alias("_x")).agg(F.sum("n").alias("total"), F.count("*").alias("types"), seen)
-    asked = wanted.select("ctx", "ch", F.explode(F.sequence(F.lit(0), F.least(F.length("ctx"), F.lit(order - 1)))).alias("k"))
-    asked = asked.withColumn("_key", F.when(F.col("k") == 0, "").otherwise(F.expr("right(ctx, k)")))
-    found = asked.join(known, (F.col("k") == F.col("_k")) & (F.col("_key") == F.col("_x")), "left")
-    found = found.select("ctx", "ch", F.struct("k", F.coalesce(F.try_element_at("seen", F.col("ch")), F.lit(0)).alias("n"), "total", "types").alias("s"))
-    steps = F.sort_array(F.collect_list("s"))
-    folded = F.aggregate("steps", F.lit(1.0 / n_chars), lambda p, s: F.when(s["total"].isNull(), p).otherwise((s["n"] + s["types"] * p) / (s["total"] + s["types"])))
-    return found.groupBy("ctx", "ch").agg(steps.alias("steps")).select("ctx", "ch", folded.alias("p"))
+    asked = wanted.groupBy("ctx").agg(F.collect_set("ch").alias("chars"))
+    found = looked_up(asked, contexts(counts), n_chars, order)
+    own = F.transform("chars", lambda c: F.coalesce(F.try_element_at("seen", c), F.lit(0)))
+    found = found.select("ctx", "chars", F.struct("k", own.alias("n"), "total", "types").alias("s"))
+    by = found.groupBy("ctx").agg(F.sort_array(F.collect_list("s")).alias("steps"), F.any_value("chars").alias("chars"))
+    each = by.select("ctx", "steps", F.posexplode("chars").alias("_i", "ch"))
+    folded = F.aggregate("steps", F.lit(1.0 / n_chars), lambda p, s: F.when(s["total"].isNull(), p).otherwise((F.get(s["n"], F.col("_i")) + s["types"] * p) / (s["total"] + s["types"])))
+    return each.select("ctx", "ch", folded.alias("p"))
 
 
 GRAMS = f"""{MEETINGS}, cs as (select doc_id, split, list_filter(string_split(body, ''), lambda c: c <> '') as c from split_docs),
