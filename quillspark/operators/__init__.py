@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("files", "pages", "texts", "splits", "tokens", "windows", "models", "stats", "telemetry", "incidents", "numeric", "sessions", "press", "blocks", "lookup", "rebuild")
+FAMILIES = ("files", "pages", "texts", "splits", "tokens", "windows", "models", "stats", "telemetry", "incidents", "numeric", "sessions", "press", "blocks", "lookup", "rebuild", "generation", "training")
 
 
 def load() -> None:

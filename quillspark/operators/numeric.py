@@ -224,14 +224,19 @@ def mlp_forward(spark, sf):
     return forward(points(spark, sf)).select("event_id", "f", "loss")  # unrounded: many values are halves of the last place
 
 
-def gradients(rows: DataFrame, w2=W2) -> DataFrame:
-    """Mean gradient of the loss by parameter; a unit at or below zero passes none on."""
+def gradient_columns(w2=W2) -> dict[str, Column]:
+    """Each point's gradient of the loss by parameter; a unit at or below zero passes none on."""
     d = F.col("f") - F.col("y")
     g = {"b2": d, "w2_1": d * F.col("h1"), "w2_2": d * F.col("h2")}
     for i in (1, 2):
         up = F.when(F.col(f"a{i}") > 0, d * w2[i - 1]).otherwise(0.0)
         g |= {f"b1_{i}": up, f"w1_{i}1": up * F.col("x1"), f"w1_{i}2": up * F.col("x2")}
-    return rows.agg(*[F.avg(c).alias(n) for n, c in g.items()])
+    return g
+
+
+def gradients(rows: DataFrame, w2=W2) -> DataFrame:
+    """Mean gradient of the loss by parameter."""
+    return rows.agg(*[F.avg(c).alias(n) for n, c in gradient_columns(w2).items()])
 
 
 GRADIENT = ", ".join(
