@@ -11,7 +11,7 @@
 3. An item's bound in a block adds these maxima up.  The ``SEEDS`` blocks with
    the highest bounds anywhere are scored first; the k-th best score found
    there is the item's threshold from then on.
-4. Each task sorts its blocks by bound and scores their forward index until the
+4. Each task sorts its blocks by bound, ``TOGETHER`` at a time, and scores their forward index until the
    bound falls below the threshold, which rises with the task's own k best.
    What is left of all tasks is ranked.  A bound that equals the threshold is
    still scored, so equal scores are never lost.
@@ -50,10 +50,10 @@ from ._text import LETTER, LOWER
 K, SEEDS = 20, 3
 #: A block of the index ends at so many documents, or at so many counts.
 BLOCK_DOCS, BLOCK_POSTINGS = 64, 1 << 13
-#: Blocks that are turned into parts of scores at once.
-PIECE = 64
+#: Blocks that are turned into parts of scores at once, and blocks whose bounds are sorted together.
+PIECE, TOGETHER = 64, 256
 #: Cells of one pass over the bounds of items and blocks.
-CELLS = 1 << 22
+CELLS = 1 << 20
 TERM = bytes(np.where(LETTER, LOWER, 32).astype(np.uint8))
 FORWARD = "n_docs long, n_terms long, ids array<long>, lengths array<long>, ends array<int>, terms array<int>, counts array<int>, own array<int>, own_df array<int>"
 INDEX = "ids array<long>, ends array<int>, terms array<int>, parts array<int>, own array<int>, tops array<int>"
@@ -156,7 +156,7 @@ def indexed(blocks: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """Blocks with each count's part of a score and, for each of a block's terms, the largest part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
+        for batch in pieces(batches, PIECE):
             post = Ragged(batch, "terms")
             doc = np.repeat(Ragged(batch, "lengths").values, np.diff(Ragged(batch, "ends").values_by_block(post.cut)))
             part = parts_of(Ragged(batch, "counts").values.astype(np.int64), doc.astype(np.int64), n_docs, n_terms).astype(np.int32)
@@ -171,6 +171,13 @@ def indexed(blocks: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     return blocks.mapInArrow(run, INDEX)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``size`` rows; what is worked out for one is gone before the next."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            yield batch.slice(i, size)
+
+
 class Ragged:
     """A list column of an Arrow batch as one array and its cuts; ``row`` picks a block."""
 
@@ -265,8 +272,8 @@ def best_blocks(index: DataFrame, sent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, high = sent.value, {}
-        for batch in batches:
-            name = batch.column("block").to_numpy()
+        for batch in pieces(batches, TOGETHER):
+            name = batch.column("block").to_numpy(zero_copy_only=False)
             for q, bound in bounds(items, Ragged(batch, "own"), Ragged(batch, "tops").values):
                 b = np.argpartition(-bound, min(SEEDS, len(bound)) - 1)[:SEEDS]
                 new = [(bound[x], name[x]) for x in b if bound[x] > 0]
@@ -311,7 +318,7 @@ def ranked(index: DataFrame, sent, floor, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
         best, weight = Best(k, floor.value.copy()), np.zeros(len(items.known), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, TOGETHER):
             blocks = Blocks(batch)
             for q, bound in bounds(items, Ragged(batch, "own"), Ragged(batch, "tops").values):
                 high = np.flatnonzero(bound >= best.floor[q])
