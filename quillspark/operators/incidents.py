@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import lookup
-from quillspark.operators.telemetry import TOOLS
+from quillspark.operators.telemetry import GUARD, TOOLS, guarded
 from quillspark.plans.registry import query
 from quillspark.sources.tables import TRACE, table, trace
 
@@ -21,6 +21,10 @@ VERDICTS = (
     (FURTHER, "degraded", "Repeated GC pauses; sustained CPU 92% on node-3; root cause needs human review."),
 )
 HEALTHY = ("healthy", "All pods healthy; CPU normalized.")
+NO_RESULT = "no successful diagnostic"
+# What an alert that states none has, results of a runbook search, and tool names that are no evidence.
+DEFAULT_SERVICE, DEFAULT_ALERT, TOP_K = "staging-api", "ALRT-0001", 2
+NO_EVIDENCE = ("retrieve_runbook", "run_diagnostic", "summarize_incident")
 # Words of a symptom by class.
 CRASH, CPU = "crash|crashloop|deploy|rollout|pod|fail|restart", "cpu|memory|spike"
 RUNBOOKS = (
@@ -112,6 +116,53 @@ def summarize(spark, sf):
     return by.select("run", "loop", summary(F.concat(F.lit("A-"), F.col("run")), F.col("evidence")).alias("summary"))
 
 
+def summary_delta(alert: Column, evidence: Column) -> list[Column]:
+    """The delta that a summary leaves behind: its note, and the evidence without bare tool names and nulls."""
+    kept = F.filter(evidence, lambda x: x.isNotNull() & ~x.isin(*NO_EVIDENCE))
+    note = F.concat(F.lit("Summarized "), alert, F.lit(" with "), F.size(kept).cast("string"), F.lit(" evidence items"))
+    return [F.lit("summarize_incident").alias("action"), note.alias("note"), F.array_join(kept, "|").alias("evidence"), summary(alert, kept).alias("summary")]
+
+
+@query(
+    "summary_delta",
+    f"""with {TRACE}, i as (select run, loop, seq, case when phase = 'click' then 'retrieve_runbook' when phase = 'view' then null when status = 'error' then 'diagnostic:{{"result":"ms ' || latency_ms || '"}}' else 'ref#' || tokens end as e from trace),
+    k as (select run, loop, count(e) filter (e <> 'retrieve_runbook') as n, string_agg(e, '|' order by seq) filter (e <> 'retrieve_runbook') as x, arg_min(e, seq) filter (e like 'diagnostic:%') as d from i group by all)
+    select run, loop, 'summarize_incident' as action, 'Summarized A-' || run || ' with ' || n || ' evidence items' as note, coalesce(x, '') as evidence, 'Incident A-' || run || ': CPU spikes observed on staging-api. ' ||
+    coalesce('Recorded diagnostic result: ' || regexp_extract(d, '"result":"([^"]*)"', 1), 'No successful diagnostic result was available; run manual diagnostics or escalate for further investigation.')
+    || ' Recommend restart if sustained > 90% for 5 minutes. Capture logs before restart; monitor for recurrence.' as summary from k""",
+)
+def summary_delta_query(spark, sf):
+    item = F.when(F.col("phase") == "click", "retrieve_runbook").when(F.col("phase") == "view", F.lit(None)).when(F.col("status") == "error", F.concat(F.lit('diagnostic:{"result":"ms '), F.col("latency_ms"), F.lit('"}'))).otherwise(F.concat(F.lit("ref#"), F.col("tokens")))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("e")))), lambda x: x["e"])
+    by = trace(spark, sf).groupBy("run", "loop").agg(items.alias("evidence"))
+    return by.select("run", "loop", *summary_delta(F.concat(F.lit("A-"), F.col("run")), F.col("evidence")))
+
+
+def diagnostic_item(command: Column, host: Column, captured: Column, step: Column) -> Column:
+    """A diagnostic as evidence: compact JSON with its keys in order, its output on one line and cut to 200 characters."""
+    shown = F.substring(F.trim(F.regexp_replace(F.coalesce(F.nullif(captured, F.lit("")), F.lit("<no output>")), r"\s+", " ")), 1, 200)
+    return F.concat(F.lit("diagnostic:"), F.to_json(F.struct(command.alias("command"), host.alias("host"), shown.alias("result"), step.alias("step")), {"ignoreNullFields": "false"}))
+
+
+@query(
+    "diagnostic_evidence",
+    f"""with {TRACE}, i as (select run, loop, seq, case when phase = 'purchase' then 'memory://runbooks/index#rb-' || tokens % 3 when phase in ('view', 'click') then
+      'diagnostic:{{"command":"' || trim({COMMAND}) || '","host":"service-' || run || '","result":"' || case tokens % 3 when 0 then '{VERDICTS[0][2]}' when 1 then '{VERDICTS[1][2]}' else '{HEALTHY[1]}' end || '","step":"step-' || tokens % 2 || '"}}' end as e from trace where status = 'ok'),
+    d as (select run, loop, e, min(seq) as s from i where e is not null group by all), g as (select run, loop, string_agg(e, '|' order by s) as x from d group by all)
+    select run, loop, 'memory://alerts/latest#A-' || run || coalesce('|' || x, '') as evidence from (select distinct run, loop from trace) left join g using (run, loop)""",
+)
+def diagnostic_evidence(spark, sf):
+    """What each loop's good steps leave as evidence: the alert, runbooks found, diagnostics; every item once."""
+    rows = trace(spark, sf)
+    c = command(F.col("tokens"))
+    found = diagnostic_item(F.trim(c), F.concat(F.lit("service-"), F.col("run")), F.concat(F.lit(" "), F.replace(output(c), F.lit(" "), F.lit("\n "))), F.concat(F.lit("step-"), F.col("tokens") % 2))
+    ref = F.when(F.col("phase") == "purchase", F.concat(F.lit("memory://runbooks/index#rb-"), F.col("tokens") % 3)).when(F.col("phase").isin("view", "click"), found)
+    rows = rows.withColumn("ref", F.when(F.col("status") == "ok", ref))
+    by = evidence_of(rows, ["run", "loop"], "seq", F.col("ref"))
+    items = F.concat(F.array(F.concat(F.lit("memory://alerts/latest#A-"), F.col("run"))), F.array_compact("evidence"))
+    return by.select("run", "loop", F.array_join(items, "|").alias("evidence"))
+
+
 def evidence_of(rows: DataFrame, by: list[str], order: str, refs: Column) -> DataFrame:
     """Texts of each group in order, every text once at its first place."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, refs.alias("e")))), lambda x: x["e"])
@@ -136,7 +187,9 @@ def assessed(rows: DataFrame) -> DataFrame:
     v = F.when(F.col("command").isNull(), "no_diagnostic").otherwise(verdict(F.col("command")))
     by = by.withColumn("verdict", v)
     status = F.when(F.col("verdict") == "healthy", "resolved").otherwise("unresolved")
-    return by.select("run", "loop", status.alias("status"), "verdict", F.when(F.col("command").isNull(), F.col("last")).otherwise("run_diagnostic").alias("ran"), F.trim("command").alias("command"))
+    result = F.when(F.col("command").isNull(), NO_RESULT).otherwise(F.trim(F.regexp_replace(output(F.col("command")), r"\s+", " ")))
+    ran = F.when(F.col("command").isNull(), F.coalesce("last", F.lit("nothing"))).otherwise("run_diagnostic")
+    return by.select("run", "loop", status.alias("status"), "verdict", ran.alias("ran"), F.trim("command").alias("command"), result.alias("result"))
 
 
 def _steps(spark, sf) -> DataFrame:
@@ -145,25 +198,28 @@ def _steps(spark, sf) -> DataFrame:
     return trace(spark, sf).withColumn("tool", tool).withColumn("command", command(F.col("tokens")))
 
 
+RESULT = f"case when command is null then '{NO_RESULT}' " + " ".join(f"when command = '{c}' then '{o}'" for c, _, o in VERDICTS) + f" else '{HEALTHY[1]}' end"
+NOTE = "'Diagnosed service-' || run || ', ran ' || coalesce(command, ran) || ', outcome ' || verdict || ': ' || result"
 STEPS = f"""{TRACE}, steps as (select *, case when phase in ('view', 'click', 'error') then 'run_diagnostic' when phase = 'purchase' then 'summarize_incident' when phase = 'signup' then 'create_incident' else 'append_delta' end as tool, {COMMAND} as command from trace),
 l as (select run, loop, max_by(command, seq) filter (tool = 'run_diagnostic' and status = 'ok') as command, max_by(tool, seq) as last from steps group by all),
 loops as (select run, loop, last, trim(command) as command, case when command is null then 'no_diagnostic' when trim(command) = '{FIRST}' then 'inconclusive' when trim(command) = '{FURTHER}' then 'degraded' else 'healthy' end as verdict from l),
-assessed as (select run, loop, case when verdict = 'healthy' then 'resolved' else 'unresolved' end as status, verdict, case when command is null then last else 'run_diagnostic' end as ran, command from loops)"""
+assessed as (select run, loop, case when verdict = 'healthy' then 'resolved' else 'unresolved' end as status, verdict, case when command is null then last else 'run_diagnostic' end as ran, command, {RESULT} as result from loops)"""
 
 
-@query("assess_loop", f"with {STEPS} select * from assessed")
+@query("assess_loop", f"with {STEPS} select run, loop, status, verdict, ran, command, result from assessed")
 def assess_loop(spark, sf):
     return assessed(_steps(spark, sf))
 
 
-@query("loop_delta", f"with {STEPS} select run, loop, 'Diagnosed service-' || run || ', ran ' || coalesce(command, ran) || ', outcome ' || verdict || ': ' || status as note from assessed")
+@query("loop_delta", f"with {STEPS} select run, loop, 'loop_outcome' as kind, command, status as outcome, verdict, {NOTE} as note from assessed")
 def loop_delta(spark, sf):
     return noted(assessed(_steps(spark, sf)))
 
 
 def noted(loops: DataFrame) -> DataFrame:
-    note = F.format_string("Diagnosed service-%d, ran %s, outcome %s: %s", "run", F.coalesce("command", "ran"), "verdict", "status")
-    return loops.select("run", "loop", note.alias("note"))
+    """The delta that a loop leaves behind: what was run and how it came out, the diagnostic's output at the end of its note."""
+    note = F.format_string("Diagnosed service-%d, ran %s, outcome %s: %s", "run", F.coalesce("command", "ran"), "verdict", "result")
+    return loops.select("run", "loop", F.lit("loop_outcome").alias("kind"), "command", F.col("status").alias("outcome"), "verdict", note.alias("note"))
 
 
 @query("prior_deltas", f"with {STEPS} select a.run, a.loop, count(b.loop) as n_prior from assessed a left join assessed b on a.run = b.run and b.loop < a.loop and b.status = 'unresolved' group by all")
@@ -196,15 +252,38 @@ def defaulted(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(default))
 
 
-def tight(tokens: Column, ms: Column, least: int = 20) -> Column:
-    """Whether a budget, given as texts, is nearly used up; what cannot be read is zero."""
-    return (F.coalesce(tokens.try_cast("int"), F.lit(0)) <= least) | (F.coalesce(ms.try_cast("int"), F.lit(0)) <= least)
+def tight(budget: Column, least: int = 20) -> Column:
+    """Whether a budget (tokens and ms, as texts) is nearly used up; what cannot be read is zero, no budget at all is never tight."""
+    low = lambda c: F.coalesce(budget[c].try_cast("int"), F.lit(0)) <= least
+    return budget.isNotNull() & (low("tokens") | low("ms"))
 
 
-@query("budget_tight", "select event_id, coalesce(try_cast(case when event_id % 11 = 0 then 'x' else props->>'$.k' end as int), 0) <= 20 or coalesce(try_cast(floor(value)::bigint::varchar as int), 0) <= 20 as is_tight from events")
+@query(
+    "budget_tight",
+    """select event_id, event_id % 13 <> 0 and (coalesce(try_cast(case when event_id % 11 = 0 then 'x' else props->>'$.k' end as int), 0) <= 20 or coalesce(try_cast(floor(value)::bigint::varchar as int), 0) <= 20) as is_tight from events""",
+)
 def budget_tight(spark, sf):
     tokens = F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.get_json_object("props", "$.k"))
-    return table(spark, sf, "events").select("event_id", tight(tokens, F.floor("value").cast("long").cast("string")).alias("is_tight"))
+    budget = F.when(F.col("event_id") % 13 != 0, F.struct(tokens.alias("tokens"), F.floor("value").cast("long").cast("string").alias("ms")))
+    return table(spark, sf, "events").select("event_id", tight(budget).alias("is_tight"))
+
+
+def alert_context(symptom: Column, severity: Column, service: Column, id: Column) -> list[Column]:
+    """An alert as the planner reads it: words in lower case, a service and an id where none is stated."""
+    word = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return [word(symptom).alias("symptom"), word(severity).alias("severity"), defaulted(service, DEFAULT_SERVICE).alias("service"), defaulted(id, DEFAULT_ALERT).alias("alert_id")]
+
+
+@query(
+    "alert_context",
+    f"""select o_orderkey, lower(trim(o_orderpriority)) as symptom, case when o_orderstatus = 'F' then '' else lower(o_orderstatus) end as severity,
+    case when o_custkey % 4 < 2 then '{DEFAULT_SERVICE}' else 'customer ' || o_custkey end as service, case when o_orderkey % 5 = 0 then '{DEFAULT_ALERT}' else 'A-' || o_orderkey end as alert_id from orders""",
+)
+def alert_context_query(spark, sf):
+    service = F.when(F.col("o_custkey") % 4 == 0, F.lit(None)).when(F.col("o_custkey") % 4 == 1, "  ").otherwise(F.concat(F.lit(" customer "), F.col("o_custkey")))
+    id = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("A-"), F.col("o_orderkey"), F.lit(" ")))
+    severity = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit(" "), F.col("o_orderstatus")))
+    return table(spark, sf, "orders").select("o_orderkey", *alert_context(F.concat(F.lit(" "), F.col("o_orderpriority")), severity, service, id))
 
 
 def planned(rows: DataFrame) -> DataFrame:
@@ -250,22 +329,77 @@ def decide(spark, sf):
     return decided(assessed(_steps(spark, sf)))
 
 
+#: Loops that a run may take.
+MAX_LOOPS = 3
+
+
 @query(
     "terminal_state",
-    f"""with {DECIDED}, t as (select run, min(loop) filter (action <> 'continue' and loop < 3) as stop, least(count(*), 3) as n from decided group by run)
-    select t.run, case when stop is null then 'escalated' when action = 'resolve' then 'resolved' else 'escalated' end as state, coalesce(stop + 1, n) as loops, case when stop is null then 'max_loops' else action end as reason
-    from t left join decided d on d.run = t.run and d.loop = t.stop""",
+    f"""with {DECIDED}, {GUARD(True).removeprefix(TRACE + ", ")}, each as (select run, loop, action, case when reason in ('ms', 'tokens') then reason || '_budget_exceeded' end as spent from decided join guard using (run, loop) where loop < {MAX_LOOPS}),
+    z as (select run, min(loop) filter (action <> 'continue' or spent is not null) as stop, count(*) as n from each group by run)
+    select z.run, case when spent is null and action = 'resolve' then 'resolved' else 'escalated' end as state, coalesce(stop + 1, n)::bigint as loops, coalesce(spent, action, 'max_loops_reached') as reason
+    from z left join each e on e.run = z.run and e.loop = z.stop""",
 )
 def terminal_state(spark, sf):
-    return terminal(decided(assessed(_steps(spark, sf))), 3)
+    spent = guarded(trace(spark, sf), True).select("run", "loop", F.when(F.col("reason").isin("ms", "tokens"), F.concat("reason", F.lit("_budget_exceeded"))).alias("spent"))
+    return terminal(decided(assessed(_steps(spark, sf))).join(spent, ["run", "loop"], "left"), MAX_LOOPS)
 
 
 def terminal(decisions: DataFrame, max_loops: int) -> DataFrame:
-    """Where each run ends: at its first decision to stop, or at the last loop allowed."""
+    """Where each run ends: at the first loop that used up a budget, which comes before its decision, or decided to stop, or at the last loop allowed.
+
+    ``spent`` names the budget that a loop used up, if any.
+    """
     within = decisions.where(F.col("loop") < max_loops)
-    stop = F.min(F.when(F.col("action") != "continue", F.struct("loop", "action")))
+    stop = F.min(F.when((F.col("action") != "continue") | F.col("spent").isNotNull(), F.struct("loop", "action", "spent")))
     by = within.groupBy("run").agg(stop.alias("s"), F.count("*").alias("n"))
-    return by.select("run", F.when(F.col("s.action") == "resolve", "resolved").otherwise("escalated").alias("state"), F.coalesce(F.col("s.loop") + 1, "n").alias("loops"), F.coalesce("s.action", F.lit("max_loops")).alias("reason"))
+    state = F.when(F.col("s.spent").isNull() & (F.col("s.action") == "resolve"), "resolved").otherwise("escalated")
+    return by.select("run", state.alias("state"), F.coalesce(F.col("s.loop") + 1, "n").alias("loops"), F.coalesce("s.spent", "s.action", F.lit("max_loops_reached")).alias("reason"))
+
+
+def planned_again(loops: DataFrame, max_loops: int = MAX_LOOPS) -> DataFrame:
+    """(run, loop, step_id, name, arguments, rationale, cites) of every loop's plan.
+
+    Loops (run, loop, class, is_tight, alert_id, service, status, command, note)
+    follow each other in a run, at most ``max_loops`` of them: earlier unresolved
+    ones are cited, and the second check comes once the first was among theirs.
+    """
+    before = Window.partitionBy("run").orderBy("loop").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.col("status") == "unresolved"
+    cite = F.concat(F.lit("loop-"), F.col("loop") + 1, F.lit(": "), F.col("note"))
+    rows = loops.where(F.col("loop") < max_loops).withColumns({"cites": F.coalesce(F.collect_list(F.when(open_, cite)).over(before), F.array()), "ran_first": F.coalesce(F.max(open_ & (F.col("command") == FIRST)).over(before), F.lit(False))})
+    # fixed values: the sentences of a rationale
+    again = F.concat(F.lit("Prior loop was unresolved ("), F.array_join("cites", "; "), F.lit("); re-reading the runbook and running one further check."))
+    first = F.concat(F.lit("First pass on "), F.col("alert_id"), F.lit(": "), F.col("class"), F.lit(" playbook."))
+    steps = planned(rows.withColumn("rationale", F.when(F.size("cites") > 0, again).otherwise(first)))
+    js = lambda *cols: F.to_json(F.struct(*cols))
+    arguments = (
+        F.when(F.col("name") == "retrieve_runbook", js(F.col("argument").alias("query"), F.lit(TOP_K).alias("top_k")))
+        .when(F.col("name") == "run_diagnostic", js(F.col("argument").alias("command"), F.col("service").alias("host")))
+        .otherwise(js("alert_id", F.array().cast("array<string>").alias("evidence")))
+    )
+    return steps.select("run", "loop", "step_id", "name", arguments.alias("arguments"), "rationale", F.size("cites").alias("cites"))
+
+
+CLASS = "case run % 3 when 0 then 'crash_or_deploy' when 1 then 'cpu_spike' else 'fallback' end"
+
+
+@query(
+    "plan_details",
+    f"""with {STEPS}, b as (select *, 'A-' || run as alert_id, 'service-' || run as service, {CLASS} as class, run % 5 = 4 as is_tight, {NOTE} as note from assessed where loop < {MAX_LOOPS}),
+    c as (select b.*, (select string_agg('loop-' || (x.loop + 1) || ': ' || x.note, '; ' order by x.loop) from b x where x.run = b.run and x.loop < b.loop and x.status = 'unresolved') as cited,
+      (select count(*) from b x where x.run = b.run and x.loop < b.loop and x.status = 'unresolved') as cites, (select count(*) from b x where x.run = b.run and x.loop < b.loop and x.status = 'unresolved' and x.command = '{FIRST}') > 0 as ran_first from b),
+    n as (select *, case when is_tight or class = 'crash_or_deploy' then ['retrieve_runbook', 'summarize_incident'] else ['retrieve_runbook', 'run_diagnostic', 'summarize_incident'] end as names from c),
+    u as (select *, unnest(names) as name, generate_subscripts(names, 1) as p from n)
+    select run, loop, 'step-' || p as step_id, name, case name when 'retrieve_runbook' then '{{"query":"' || case when class = 'crash_or_deploy' then 'crash' else 'cpu' end || '","top_k":{TOP_K}}}'
+      when 'run_diagnostic' then '{{"command":"' || case when ran_first then '{FURTHER}' else '{FIRST}' end || '","host":"' || service || '"}}' else '{{"alert_id":"' || alert_id || '","evidence":[]}}' end as arguments,
+    coalesce('Prior loop was unresolved (' || cited || '); re-reading the runbook and running one further check.', 'First pass on ' || alert_id || ': ' || class || ' playbook.') as rationale, cites::int as cites from u""",
+)
+def plan_details(spark, sf):
+    loops = assessed(_steps(spark, sf))
+    loops = loops.join(noted(loops).select("run", "loop", "note"), ["run", "loop"])
+    kind = F.when(F.col("run") % 3 == 0, "crash_or_deploy").when(F.col("run") % 3 == 1, "cpu_spike").otherwise("fallback")
+    return planned_again(loops.select("*", kind.alias("class"), (F.col("run") % 5 == 4).alias("is_tight"), F.concat(F.lit("A-"), F.col("run")).alias("alert_id"), F.concat(F.lit("service-"), F.col("run")).alias("service")))
 
 
 def route(uri: Column) -> Column:
@@ -427,3 +561,39 @@ def rpc_pairing(spark, sf):
 def paired(asked: DataFrame, answered: DataFrame, limit_us: int) -> DataFrame:
     """Requests with their responses: answered in time, late, or not at all."""
     return asked.join(answered, "id", "left").select("id", F.when(F.col("got").isNull(), "missing").when(F.col("got") - F.col("sent") > limit_us, "timeout").otherwise("ok").alias("outcome"))
+
+
+def checked(exchanges: DataFrame, limit_us: int) -> DataFrame:
+    """(id, outcome, result) of exchanges (id, method, sent, got, raw), the answer as it came, by the first rule that holds.
+
+    ``timeout``: none came, or too late; ``malformed``: no JSON; ``missing_id``;
+    ``id_mismatch``; ``error``: it names one; ``missing_result``: null counts as none.
+    """
+    v = F.try_parse_json("raw")
+    id_ = F.get_json_object("raw", "$.id")
+    keys = F.coalesce(F.json_object_keys("raw"), F.array())
+    rows = exchanges.withColumns({"_bad": v.isNull(), "_id": id_, "_k": keys, "_r": F.get_json_object("raw", "$.result")})
+    outcome = (
+        F.when(F.col("got").isNull() | (F.col("got") - F.col("sent") > limit_us), "timeout").when(F.col("_bad"), "malformed").when(~F.array_contains("_k", "id"), "missing_id")
+        .when(~F.col("_id").eqNullSafe(F.col("id").cast("string")), "id_mismatch").when(F.array_contains("_k", "error"), "error").when(F.col("_r").isNull(), "missing_result").otherwise("ok")
+    )
+    return rows.select("id", outcome.alias("outcome"), F.when(outcome == "ok", F.col("_r")).alias("result"))
+
+
+@query(
+    "rpc_checks",
+    """with q as (select event_id as id, ts, event_type from events where event_id % 2 = 0), r as (select event_id - 1 as id, ts, event_type, props, floor(value)::bigint % 10 as kind from events where event_id % 2 = 1),
+    j as (select q.id, r.id as rid, epoch_us(r.ts) - epoch_us(q.ts) > 60000000 as late, r.event_type as t, kind, props from q left join r using (id)),
+    o as (select *, case when rid is null or late then 'timeout' when kind = 5 then 'malformed' when kind = 4 then 'missing_id' when kind = 3 then 'id_mismatch' when t = 'error' then 'error' when kind = 6 then 'missing_result' else 'ok' end as outcome from j)
+    select id, outcome, case when outcome = 'ok' then '{"k":' || (props->>'$.k') || '}' end as result from o""",
+)
+def rpc_checks(spark, sf):
+    """Each even event asks, the next one answers: with its properties, or in one of the ways in which an answer fails."""
+    e = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    kind, id_ = F.floor("value").cast("long") % 10, F.col("event_id") - 1
+    result = F.concat(F.lit('"result":{"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    body = F.when(F.col("event_type") == "error", F.lit('"error":{"code":1}')).when(kind == 6, F.lit('"result":null')).otherwise(result)
+    raw = F.when(kind == 5, F.lit("{oops")).when(kind == 4, F.concat(F.lit("{"), body, F.lit("}"))).otherwise(F.concat(F.lit('{"id":'), F.when(kind == 3, id_ + 1).otherwise(id_), F.lit(","), body, F.lit("}")))
+    answers = e.where("event_id % 2 = 1").select(id_.alias("id"), F.col("us").alias("got"), raw.alias("raw"))
+    asked = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("method"), F.col("us").alias("sent"))
+    return checked(asked.join(answers, "id", "left"), 60_000_000)

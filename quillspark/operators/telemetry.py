@@ -14,6 +14,8 @@ from quillspark.sources.traces import read_trace
 
 # Limits under which every outcome occurs on the trace of the test tables.
 MS, TOKENS, STEPS, FAILURES = 400, 250, 5, 2
+#: Dollars of a loop, and what a token of the test tables costs.
+DOLLARS, PRICE = 0.2, 0.001
 # Tokens that each tool costs; others cost nothing.
 COSTS = (
     ("retrieve_runbook", 10), ("run_diagnostic", 15), ("summarize_incident", 20), ("create_incident", 5),
@@ -40,6 +42,7 @@ def spent(rows: DataFrame) -> DataFrame:
             "ms": F.sum(F.coalesce("latency_ms", F.lit(0))).over(so_far()),
             "used": F.sum(F.coalesce("tokens", F.lit(0))).over(so_far()),
             "failures": F.sum((F.col("status") != "ok").cast("long")).over(so_far()),
+            "paid": F.sum(F.coalesce("dollars", F.lit(0.0)) if "dollars" in rows.columns else F.lit(0.0)).over(so_far()),
         }
     )
 
@@ -48,9 +51,10 @@ SPENT = f"""{TRACE}, spent as (select *, sum(latency_ms) over w as ms, sum(token
   window w as (partition by run, loop order by seq rows unbounded preceding))"""
 
 
-@query("budget_running", f"with {SPENT} select run, loop, seq, greatest(0, {TOKENS} - used)::bigint as tokens_left, greatest(0, {MS} - ms)::bigint as ms_left from spent")
+@query("budget_running", f"with {SPENT} select run, loop, seq, greatest(0, {TOKENS} - used)::bigint as tokens_left, greatest(0, {MS} - ms)::bigint as ms_left, round(greatest(0, {DOLLARS} - used * {PRICE}::double), 6) as dollars_left from spent")
 def budget_running(spark, sf):
-    return spent(trace(spark, sf)).select("run", "loop", "seq", left(F.lit(TOKENS), F.col("used")).alias("tokens_left"), left(F.lit(MS), F.col("ms")).alias("ms_left"))
+    rows = spent(trace(spark, sf).withColumn("dollars", F.col("tokens") * PRICE))
+    return rows.select("run", "loop", "seq", left(F.lit(TOKENS), F.col("used")).alias("tokens_left"), left(F.lit(MS), F.col("ms")).alias("ms_left"), F.round(F.greatest(F.lit(0.0), F.lit(DOLLARS) - F.col("paid")), 6).alias("dollars_left"))
 
 
 def guarded(rows: DataFrame, remote: bool, ms: int = MS, tokens: int = TOKENS) -> DataFrame:
@@ -109,6 +113,26 @@ def plan_truncate(spark, sf):
     return trace(spark, sf).groupBy("run", "loop").agg(F.least(n, F.lit(STEPS)).cast("long").alias("kept"), (n > STEPS).alias("is_cut"))
 
 
+def truncated(steps: DataFrame, most: int = STEPS) -> DataFrame:
+    """(run, loop, seq, kind, name, status): the steps of a plan (run, loop, seq, name) that are kept, in order, and the event of one that was too long."""
+    kept = steps.where(F.col("seq") <= most).select("run", "loop", "seq", F.lit("step").alias("kind"), "name", F.lit("ok").alias("status"))
+    over = steps.where(F.col("seq") == most + 1).select("run", "loop", F.lit(None).cast("long").alias("seq"), F.lit("plan_guardrail").alias("kind"), F.lit("max_steps").alias("name"), F.lit("error").alias("status"))
+    long = over.select("run", "loop", F.lit("guardrail_stop").alias("_s"))
+    kept = kept.join(long, ["run", "loop"], "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+    return kept.unionByName(over)
+
+
+@query(
+    "plan_guardrail",
+    f"""with {TRACE}, n as (select *, count(*) over (partition by run, loop) > {STEPS} as over from trace)
+    select run, loop, seq::bigint as seq, 'step' as kind, phase as name, case when over then 'guardrail_stop' else 'ok' end as status from n where seq <= {STEPS}
+    union all select run, loop, null, 'plan_guardrail', 'max_steps', 'error' from n where seq = {STEPS} + 1""",
+)
+def plan_guardrail(spark, sf):
+    """Plans of a loop's events: the first steps, marked where the plan was cut, and an event that says so."""
+    return truncated(trace(spark, sf).select("run", "loop", F.col("seq").cast("long").alias("seq"), F.col("phase").alias("name")))
+
+
 @query("telemetry_snapshot", f"with {TRACE} select phase, loop, count(*) as n from trace group by grouping sets ((phase), (loop), ())")
 def telemetry_snapshot(spark, sf):
     rows = trace(spark, sf)

@@ -105,26 +105,37 @@ def control_chars(spark, sf):
 MARKED = "<\\|(statement|minutes)\\|>\n(.*?)<\\|end_\\1\\|>"
 
 
+#: Keys of header lines.
+HEADER = "(?:date|document_id|meeting_type)"
+
+
+def outside(text: Column) -> Column:
+    """Whether a serialized corpus holds text outside its documents."""
+    return F.regexp_replace(text, "(?s)" + MARKED, "").rlike(r"\S")
+
+
 def parsed(df: DataFrame, text: str) -> DataFrame:
-    """Documents of a serialized corpus: header fields, body, and what is wrong with each.
+    """Documents of a serialized corpus: header fields, body, and the first thing that is wrong with each.
 
-    Between markers stand ``key: value`` lines, one blank line and the body.
+    Between markers stand ``key: value`` lines, one blank line, the body and a line end.
     """
     rows = df.withColumn("_d", F.explode(F.regexp_extract_all(F.col(text), F.lit("(?s)" + MARKED), F.lit(0))))
     genre = F.regexp_extract("_d", "^<\\|(\\w+)\\|>", 1)
     inner = F.regexp_extract("_d", "(?s)" + MARKED, 2)
     rows = rows.withColumns({"genre": genre, "_i": inner})
-    rows = rows.withColumns({"_h": F.regexp_extract("_i", "(?s)^((?:[a-z_]+: [^\n]*\n)*)", 1), "_rest": F.regexp_replace("_i", "(?s)^(?:[a-z_]+: [^\n]*\n)*", "")})
+    head = f"(?:{HEADER}: [^\n]*\n)*"
+    rows = rows.withColumns({"_h": F.regexp_extract("_i", f"(?s)^({head})", 1), "_rest": F.regexp_replace("_i", f"(?s)^{head}", "")})
     rows = rows.withColumns(
         {
             "document_id": F.regexp_extract("_h", "(?m)^document_id: (.*)$", 1),
             "date": F.regexp_extract("_h", "(?m)^date: (.*)$", 1),
-            "body": F.regexp_replace("_rest", "(?s)^\n|\n$", ""),
+            "body": F.regexp_replace("_rest", "(?s)\\A\n|\n\\z", ""),
         }
     )
     wrong = (
         F.when((F.col("document_id") == "") | (F.col("date") == ""), "missing_header").when(~F.col("_rest").startswith("\n"), "no_blank_line")
-        .when(F.col("body").startswith("\n") | F.col("body").endswith("\n"), "blank_edge").when(F.col("body").contains("<|"), "marker_in_body")
+        .when(~F.substring("_rest", 2, 1 << 30).endswith("\n"), "no_newline_at_end").when((F.col("body") == "") | F.col("body").startswith("\n") | F.col("body").endswith("\n"), "blank_edge")
+        .when(F.col("body").contains("<|"), "marker_in_body").when(F.col("body").rlike(f"(?m)^{HEADER}: "), "header_in_body")
     )
     return rows.withColumn("violation", wrong).drop("_d", "_i", "_h", "_rest")
 
@@ -139,6 +150,38 @@ def parse_documents(spark, sf):
     return found.select("document_id", "genre", "date", F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"), "violation")
 
 
+@query(
+    "parse_violations",
+    f"""with {DOCS} select doc_id::varchar as id, case doc_id % 9 when 1 then 'missing_header' when 2 then 'header_in_body' when 3 then 'marker_in_body' when 4 then 'blank_edge' when 6 then 'blank_edge' when 7 then 'no_newline_at_end' end as violation,
+    doc_id % 9 = 5 as is_outside from docs""",
+)
+def parse_violations(spark, sf):
+    """Serialized documents with a fault in most: what the parser says of each."""
+    k, d = F.col("doc_id") % 9, F.col("doc_id").cast("string")
+    body = F.when(k == 4, "").otherwise(F.concat(F.trim("body"), F.when(k == 2, "\ndate: x").when(k == 3, "\n<|x").when(k == 6, "\n").otherwise("")))
+    head = F.concat(F.lit("date: "), F.date_format("meeting_date", "yyyy-MM-dd"), F.when(k == 1, "").otherwise(F.concat(F.lit("\ndocument_id: "), d)), F.lit("\n\n"))
+    text = F.concat(F.lit("<|"), F.col("genre"), F.lit("|>\n"), head, body, F.when(k == 7, "").otherwise("\n"), F.lit("<|end_"), F.col("genre"), F.lit("|>\n"), F.when(k == 5, "left over\n").otherwise(""))
+    found = parsed(documents(spark, sf).select(d.alias("id"), text.alias("t")), "t")
+    return found.select("id", "violation", outside(F.col("t")).alias("is_outside"))
+
+
+def finance_violation(text: Column, markers: tuple[str, ...]) -> Column:
+    """Why a text cannot be normalized: control characters that it has, or a marker of the corpus in what would come out; null if neither."""
+    found = controls(text)
+    collides = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(plain_layout(text), m))
+    return F.when(F.size(found) > 0, F.concat(F.lit("Unsupported control character(s): "), F.array_join(found, ", "))).when(collides, "collides with a reserved corpus marker")
+
+
+@query(
+    "normalize_violations",
+    """select doc_id, case when doc_id % 17 = 3 then 'Unsupported control character(s): U+0007, U+007F' when doc_id % 19 = 4 then 'collides with a reserved corpus marker' end as violation from documents""",
+)
+def normalize_violations(spark, sf):
+    i = F.col("doc_id")
+    text = F.concat("text", F.when(i % 17 == 3, "\x7f\x07\x07").otherwise(""), F.when(i % 19 == 4, " <|statement|>").otherwise(""))
+    return table(spark, sf, "documents").select(i, finance_violation(text, ("<|statement|>", "<|end_statement|>")).alias("violation"))
+
+
 @query(
     "load_documents",
     f"""with {MEETINGS} select meeting_id, genre, split, doc_id, length(trim(body)) as n_chars, 'ok' as state from split_docs""",
