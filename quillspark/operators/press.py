@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.files import serialized
 from quillspark.operators.pages import meeting_type
 from quillspark.plans.registry import query
 from quillspark.sources.tables import DOCS, documents, table
@@ -13,7 +14,12 @@ from quillspark.sources.tables import DOCS, documents, table
 BASE, HOST, HOSTS = "https://www.example.org/newsevents/index.htm", "www.example.org", ("example.org", "www.example.org", "news.example.org")
 STATEMENT, MINUTES = r"(?i)/monetary([0-9]{8})[a-z]\.htm$", r"(?i)^/policy/minutes([0-9]{8})\.htm$"
 START, END, HELD_OUT = "2015-02-01", "2025-06-30", "2025-01-01"
-SHORT, PHRASES = 500, ("skip to main content", "last update:", "&copy;", "ly the")
+SHORT, STAND_IN = 500, "ly the"
+# What a page's own navigation leaves in a body.
+PHRASES = (
+    "skip to main content", "back to top", "for media inquiries", "media contact", "implementation note issued", "implementation note",
+    "board of governors of the federal reserve system", "stay connected", "follow us", "last update:",
+)
 
 
 def joined_url(base: Column, href: Column) -> Column:
@@ -151,7 +157,7 @@ def publication(spark, sf):
     return parts[0].union(parts[1])
 
 
-def rule_violations(docs: DataFrame, markers: tuple[int, int] | None = None) -> DataFrame:
+def rule_violations(docs: DataFrame, markers: tuple[int, int] | None = None, phrases: tuple[str, ...] = PHRASES) -> DataFrame:
     """(rule, id) of every rule that a manifest breaks; all are collected, none stops the others.
 
     Columns: id, seq (its place), url, date, split, raw_sha256, sha256, n_bytes,
@@ -168,7 +174,7 @@ def rule_violations(docs: DataFrame, markers: tuple[int, int] | None = None) ->
         "not_official": F.coalesce(official(F.col("url")) != F.col("url"), F.lit(True)), "wrong_split": F.coalesce(F.col("split") != builder_split(F.col("date")), F.lit(True)),
         "bad_hash": ~(F.col("raw_sha256").rlike(hexes) & F.col("sha256").rlike(hexes)), "wrong_size": (F.octet_length("body") != F.col("n_bytes")) | (F.length("body") != F.col("n_chars")),
         "wrong_checksum": F.sha2("body", 256) != F.col("sha256"), "too_short": (F.col("n_chars") < SHORT) & ~F.col("is_reviewed"),
-        "leakage": F.array_contains(F.array(*[F.contains(F.lower("body"), F.lit(p)) for p in PHRASES]), True),
+        "leakage": F.array_contains(F.array(*[F.contains(F.lower("body"), F.lit(p)) for p in phrases]), True),
     }
     names = list(rules)
     marked = docs.select("id", *[c.alias(n) for n, c in rules.items()])
@@ -190,7 +196,7 @@ def rule_violations(docs: DataFrame, markers: tuple[int, int] | None = None) ->
     select 'duplicate_url' as rule, id from (select id, count(*) over (partition by url) as n from m) where n > 1 union all select 'duplicate_hash', id from (select id, count(*) over (partition by sha256) as n from m) where n > 1
     union all select 'out_of_order', id from o where bad union all select 'wrong_split', id from m where coalesce(split <> case when date not between date '{START}' and date '{END}' then null when date >= date '{HELD_OUT}' then 'validation' else 'train' end, true)
     union all select 'bad_hash', id from m where raw_sha256 = 'zz' union all select 'wrong_size', id from m where strlen(body) <> n_bytes union all select 'wrong_checksum', id from m where sha256(body) <> sha256
-    union all select 'too_short', id from m where n_chars < {SHORT} and not is_reviewed union all select 'leakage', id from m where {" or ".join(f"contains(lower(body), '{p}')" for p in PHRASES)} union all select 'marker_count', null""",
+    union all select 'too_short', id from m where n_chars < {SHORT} and not is_reviewed union all select 'leakage', id from m where {" or ".join(f"contains(lower(body), '{p}')" for p in (*PHRASES, STAND_IN))} union all select 'marker_count', null""",
 )
 def rule_violations_query(spark, sf):
     """A manifest with planted faults of most kinds; its marker count is one short."""
@@ -207,4 +213,38 @@ def rule_violations_query(spark, sf):
         (F.octet_length("body") + (i % 79 == 0).cast("int")).alias("n_bytes"), F.length("body").alias("n_chars"), (i % 2 == 0).alias("is_reviewed"),
     )
     n = d.count()
-    return rule_violations(m, (n, n - 1))
+    return rule_violations(m, (n, n - 1), (*PHRASES, STAND_IN))
+
+
+def corpus_rules(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """(rule, genre, id) of every way in which a stored corpus (doc_id, serialized) is not what its documents make.
+
+    ``serialization``: a document's part is missing, there twice, new or
+    different; ``start_markers`` and ``end_markers``: of a genre there are more
+    or fewer than documents.
+    """
+    made = serialized(docs).select("doc_id", "genre", F.col("serialized").alias("_m"))
+    found = stored.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("serialized").alias("_s"))
+    both = made.join(found, "doc_id", "full_outer").where("_m is null or _s is null or _m <> _s or _n > 1")
+    each = both.select(F.lit("serialization").alias("rule"), "genre", "doc_id")
+    genres = [r.genre for r in docs.select("genre").distinct().orderBy("genre").collect()]  # the kinds of a corpus
+    n = lambda marker: F.coalesce(F.sum(F.size(F.split("serialized", r"\Q" + marker + r"\E")) - 1), F.lit(0))
+    marks = stored.agg(*[n(f"<|{'end_' if end else ''}{g}|>").alias(f"{g}|{end}") for g in genres for end in (0, 1)])
+    rows = F.array(*[F.struct(F.lit(f"{'end' if end else 'start'}_markers").alias("rule"), F.lit(g).alias("genre"), F.col(f"{g}|{end}").alias("n")) for g in genres for end in (0, 1)])
+    counts = docs.groupBy("genre").agg(F.count("*").alias("_d"))
+    wrong = marks.select(F.inline(rows)).join(counts, "genre").where("n <> _d")
+    return each.unionByName(wrong.select("rule", "genre", F.lit(None).cast("long").alias("doc_id")))
+
+
+@query(
+    "corpus_rules",
+    f"""with {DOCS} select 'serialization' as rule, genre, doc_id from docs where doc_id % 37 = 4 or doc_id % 41 = 6 or doc_id % 43 = 8
+    union all select 'start_markers', genre, null from docs group by genre having count(*) filter (doc_id % 37 = 4 and doc_id % 41 <> 6) <> count(*) filter (doc_id % 41 = 6)
+    union all select 'end_markers', genre, null from docs group by genre having count(*) filter (doc_id % 37 = 4) > 0 or count(*) filter (doc_id % 41 = 6) > 0""",
+)
+def corpus_rules_query(spark, sf):
+    """A stored corpus that lacks some documents, has lost some end markers' last sign, and has others edited."""
+    docs = documents(spark, sf)
+    stored = serialized(docs).where("doc_id % 37 <> 4 or doc_id % 41 = 6")
+    text = F.when(F.col("doc_id") % 41 == 6, F.concat(F.col("serialized"), F.lit("<|"), F.col("genre"), F.lit("|>"))).when(F.col("doc_id") % 43 == 8, F.concat(F.lit("x"), F.col("serialized"))).otherwise(F.col("serialized"))
+    return corpus_rules(docs, stored.select("doc_id", text.alias("serialized")))

@@ -69,6 +69,19 @@ def availability_date(spark, sf):
     return meetings(documents(spark, sf)).select("meeting_id", "available")
 
 
+@query(
+    "release_dates",
+    f"""with {DOCS}, m as (select meeting_id, meeting_date, count(*) filter (genre = 'minutes') > 0 as has, min(case when genre = 'minutes' and doc_id % 3 <> 0 then meeting_date + (10 + doc_id % 20)::int end) as released from docs group by all)
+    select meeting_id, case when not has then meeting_date else coalesce(released, meeting_date + {DELAY}) end as available from m""",
+)
+def release_dates(spark, sf):
+    """When each meeting's documents were out, with release dates for two thirds of the minutes."""
+    docs = documents(spark, sf)
+    released = F.when((F.col("genre") == "minutes") & (F.col("doc_id") % 3 != 0), F.date_add("meeting_date", (F.lit(10) + F.col("doc_id") % 20).cast("int")))
+    by = docs.groupBy("meeting_id", "meeting_date").agg(F.bool_or(F.col("genre") == "minutes").alias("has"), F.min(released).alias("released"))
+    return by.select("meeting_id", available(F.col("has"), F.col("meeting_date"), F.col("released")).alias("available"))
+
+
 @query("assign_split", f"with {MEETINGS} select meeting_id, split, boundary from assigned")
 def assign_split(spark, sf):
     return assigned(documents(spark, sf)).select("meeting_id", "split", "boundary")
