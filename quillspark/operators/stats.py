@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
 
 RESAMPLES = 2000  # fixed value
+#: Clusters, or rows of clusters, up to which they are sent to the tasks that draw; beyond, draws are joined with them.
+SEND_CLUSTERS = 200_000
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, weight: Column | None = None) -> DataFrame:
@@ -51,6 +58,50 @@ def spearman_in(rows: DataFrame, x: str, y: str, by: str, weight: str) -> DataFr
     return g.select(by, "n", F.when((F.col("n") > 1) & (F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("rho"))
 
 
+def spearman_sent(rows: DataFrame, x: str, y: str, stat: str, resamples: int) -> DataFrame:
+    """(resample, rho) with the rows at hand in every task: they are sorted once, a resample is sums over how often each was drawn.
+
+    The mean rank of a value is half of (times drawn up to it + times before it + 1).
+    """
+    known = shared_table(numbered(rows, "stratum", "cluster"))
+    held = rows.join(known, ["stratum", "cluster"]).select("stratum", "_i", x, y).toPandas()  # SEND_CLUSTERS rows at most
+    sizes = {r.stratum: r["_n"] for r in known.select("stratum", "_n").distinct().collect()}
+    base = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
+    own = held["_i"].to_numpy() + held["stratum"].map(base).to_numpy()
+    sides = []
+    for c in (x, y):
+        v = held[c].to_numpy()
+        order = np.argsort(v, kind="stable")
+        first = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]])
+        sides.append((order, first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(v)]))))
+    sent = rows.sparkSession.sparkContext.broadcast((own, base, sum(sizes.values()), sides))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base, n_clusters, sides = sent.value
+        for batch in batches:
+            rhos = []
+            for drawn in batch.column("drawn").to_pylist():
+                times = np.zeros(n_clusters, np.int64)
+                for d in drawn:
+                    times += np.bincount(np.array(d["i"]) + base[d["stratum"]], minlength=n_clusters)
+                w = times[own]
+                ranks = []
+                for order, first, value in sides:
+                    total = np.add.reduceat(w[order], first)
+                    upto = np.cumsum(total)
+                    r = np.empty(len(w))
+                    r[order] = ((2 * upto - total + 1) / 2)[value]
+                    ranks.append(r)
+                a, b, n = *ranks, int(w.sum())
+                sa, sb = float((w * a).sum()), float((w * b).sum())
+                va, vb = n * float((w * a * a).sum()) - sa * sa, n * float((w * b * b).sum()) - sb * sb
+                rhos.append((n * float((w * a * b).sum()) - sa * sb) / math.sqrt(va * vb) if n > 1 and va > 1e-9 and vb > 1e-9 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("resample"), pa.array(rhos, pa.float64())], ["resample", "rho"])
+
+    drawn = single_draws(known, stat, resamples, "stratum").groupBy("resample", "stratum").agg(F.collect_list("_i").alias("i"))
+    return drawn.groupBy("resample").agg(F.collect_list(F.struct("stratum", "i")).alias("drawn")).mapInArrow(run, "resample int, rho double")
+
+
 def percentile_interval(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact percentiles at 2.5 and 97.5 with linear interpolation."""
     return rows.groupBy(*by).agg(F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"))
@@ -98,7 +149,10 @@ def draws(clusters: DataFrame, stat: str, resamples: int, stratum: str = "stratu
 def drawn_sums(rows: DataFrame, stat: str, resamples: int, values: list[str], stratum: str = "stratum", id: str = "cluster") -> DataFrame:
     """(resample, stratum, values): sums of the drawn clusters' values, a cluster drawn twice counting twice."""
     known = numbered(rows, stratum, id)
+    known = shared_table(known)
     of = known.join(rows.select(stratum, id, *values), [stratum, id]).select(stratum, "_i", *values)
+    # where the sums of all clusters are at hand, a task adds up its draws and sends on a row a resample
+    of = F.broadcast(of) if known.count() <= SEND_CLUSTERS else of
     drawn = single_draws(known, stat, resamples, stratum).join(of, [stratum, "_i"])
     return drawn.groupBy("resample", stratum).agg(*[F.sum(v).alias(v) for v in values])
 
@@ -219,9 +273,12 @@ def rho_bootstrap(rows: DataFrame, x: str, y: str, stat: str, resamples: int) ->
     A meeting drawn twice counts twice: weights stand for repeated rows.
     Resamples without a defined value are counted and left out.
     """
+    rows = shared_table(rows.select("stratum", "cluster", x, y))
     point = spearman_of(rows.withColumn("_all", F.lit(1)), x, y, ["_all"]).select(F.col("rho").alias("point"), F.col("n").alias("n_documents"))
-    drawn = draws(rows, stat, resamples).join(rows, ["stratum", "cluster"])
-    each = spearman_in(drawn, x, y, "resample", "times")
+    if rows.count() <= SEND_CLUSTERS:
+        each = spearman_sent(rows, x, y, stat, resamples)
+    else:
+        each = spearman_in(draws(rows, stat, resamples).join(rows, ["stratum", "cluster"]), x, y, "resample", "times")
     ci = each.agg(F.percentile("rho", 0.025).alias("ci_low"), F.percentile("rho", 0.975).alias("ci_high"), F.count_if(F.col("rho").isNull()).alias("undefined_resamples"))
     return point.crossJoin(ci)
 

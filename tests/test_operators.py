@@ -360,3 +360,23 @@ def test_tables_and_manifests(spark, tmp_path):
     assert len(found) == 2 and all(r.timestamp > 1e9 for r in found) and trace.endswith("run_id=r1")
     sinks.write_results(event, f"{tmp_path}/results")
     assert spark.read.json(f"{tmp_path}/results").first().method == "m"
+
+
+def test_rank_correlations_of_resamples_agree(spark, monkeypatch):
+    """Rows sent to the tasks and rows joined with the draws give the same correlations, ties and two strata included."""
+    from quillspark.operators import stats
+
+    r = random.Random(8)
+    rows = [("ab"[i % 2], i // 3, float(r.randint(0, 9)), float(r.randint(0, 9))) for i in range(240)] + [("c", 1, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "stratum string, cluster long, x double, y double")
+    sent = {r.resample: r.rho for r in stats.spearman_sent(df, "x", "y", "t", 40).collect()}
+    moved = {r.resample: r.rho for r in stats.spearman_in(stats.draws(df, "t", 40).join(df, ["stratum", "cluster"]), "x", "y", "resample", "times").collect()}
+    assert sent.keys() == moved.keys() and all(sent[k] == pytest.approx(moved[k]) for k in sent)
+    flat = df.withColumn("y", F.lit(1.0))
+    assert {r.rho for r in stats.spearman_sent(flat, "x", "y", "t", 3).collect()} == {None}
+    both = [stats.rho_bootstrap(df, "x", "y", "t", 30).first().asDict(), None]
+    sums = [sorted(map(tuple, stats.drawn_sums(df.groupBy("stratum", "cluster").agg(F.sum("x").alias("v")), "s", 5, ["v"]).collect())), None]
+    monkeypatch.setattr(stats, "SEND_CLUSTERS", 0)
+    both[1] = stats.rho_bootstrap(df, "x", "y", "t", 30).first().asDict()
+    sums[1] = sorted(map(tuple, stats.drawn_sums(df.groupBy("stratum", "cluster").agg(F.sum("x").alias("v")), "s", 5, ["v"]).collect()))
+    assert both[0] == pytest.approx(both[1]) and sums[0] == sums[1]
