@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._order import numbered
+from quillspark.sources.order import numbered
+
 from ._scratch import Scratch
 from ._text import WORD_BYTES, buffers, slices, word_ranges
 
@@ -88,10 +89,10 @@ def mix(df: DataFrame, id: str = "doc_id", source: str = "source", text: str = "
     hashed = sized(df, id, source, text, list(keep if keep is not None else df.columns)).withColumn("_h", F.md5(F.coalesce("_id", F.lit(""))))
     # rows of one id and size, should they differ elsewhere, come in an order of their contents
     order = [F.asc_nulls_last("_source"), F.col("_size"), F.col("_h"), F.asc_nulls_first("_id"), F.xxhash64(F.to_json("_row"))]
-    rows = numbered(hashed, order, "_at", scratch).drop("_h", "_id")
+    rows = numbered(hashed, order, "_at", scratch.save).drop("_h", "_id")
     sums = scratch.save(rows.groupBy("_source").agg(F.count("*").alias("_n"), F.sum("_size").alias("_source_size"), F.min("_at").alias("_first")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_place") - 1) % len(weights) + 1).cast("int"))
-    sources = scratch.save(numbered(sums, [F.asc_nulls_last("_source")], "_place", scratch).withColumn("_weight", weight))
+    sources = scratch.save(numbered(sums, [F.asc_nulls_last("_source")], "_place", scratch.save).withColumn("_weight", weight))
     words, left = settle(sources, share, cap)
     full, fair = (cap * F.col("_source_size")).cast("double"), F.lit(words / left if left else float("inf")) * F.col("_weight")
     target = F.when((full <= fair) | F.lit(not left), full).otherwise(fair)
