@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import models
 from quillspark.operators.splits import MEETINGS, with_split
 from quillspark.operators.windows import draw
 from quillspark.plans.registry import query
@@ -115,7 +116,7 @@ def next_token(spark, sf):
 
 
 def score_checks(docs: DataFrame, vocab: dict[str, int], size: int = 64) -> DataFrame:
-    """(doc_id, round_trips, n_targets, first_target, is_once): whether a text comes back from its ids, and which places are scored.
+    """(doc_id, round_trips, n_targets, first_target, is_once): whether a text comes back from its ids, and which places the scorer's windows score.
 
     The two places before the body (start and genre) are never scored, and each
     place of the body is, once: windows overlap, targets do not.
@@ -130,7 +131,7 @@ def score_checks(docs: DataFrame, vocab: dict[str, int], size: int = 64) -> Data
             rows = []
             for doc, body in zip(frame.doc_id, frame.body, strict=True):
                 ids = [vocab.get(c, -1) for c in body or ""]
-                seen = [t for start in range(2, len(ids) + 2, size // 2) for t in range(start, min(start + size // 2, len(ids) + 2))]
+                seen = [t for _, start, stop in models.scored_windows(len(ids) + 2, size) for t in range(start, stop)]
                 rows.append((doc, "".join(back.get(i, "") for i in ids) == (body or ""), len(seen), min(seen, default=None), seen == list(range(2, len(ids) + 2))))
             yield pd.DataFrame(rows, columns=names).astype({"first_target": "Int64"})
 

@@ -8,12 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.splits import MEETINGS, with_split
 from quillspark.plans.registry import query
-from quillspark.sources.sinks import shared_root
+from quillspark.sources.sinks import read_manifest, read_split, shared_root
 from quillspark.sources.tables import DOCS, documents, table
 from quillspark.sources.versions import Versions
 
 
+#: Files of split manifests, and meetings of one entry list.
+MANIFESTS, MANIFEST_ROWS = 16, 4096
+
+
 def digests(df: DataFrame, text: str) -> DataFrame:
     """SHA-256 of the UTF-8 bytes of a text column."""
     return df.withColumn("sha256", F.sha2(F.col(text), 256))
@@ -130,3 +135,32 @@ def versioned_corpus(spark, sf):
     found = [kept.read(c["version"]).select(F.lit(c["version"]).alias("version"), F.lit(c["run_id"]).alias("run_id"), "body") for c in kept.commits()]
     rows = reduce(DataFrame.union, found).groupBy("version", "run_id").agg(F.count("*").alias("documents"), F.sum(F.length("body")).alias("characters"))
     return rows.withColumn("holds", F.col("version") == F.lit(kept.commits()[-1]["version"]))
+
+
+@query(
+    "split_manifests",
+    f"""with {MEETINGS} select doc_id::varchar as id, split from split_docs""",
+)
+def split_manifests(spark, sf):
+    """Split manifests, a file for each part of the meetings, written for the corpus and read back with its digest checked."""
+    docs = with_split(documents(spark, sf)).select("doc_id", "meeting_id", "split")
+    corpus = F.sha2(F.lit("corpus of the documents table"), 256)
+    part = F.col("meeting_id") % MANIFESTS
+    entries = docs.groupBy(part.alias("part"), F.floor(F.col("meeting_id") / MANIFEST_ROWS).alias("chunk")).agg(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("id"), "split")).alias("documents"))
+    path = f"{shared_root(spark)}/splits-{uuid.uuid4().hex}"
+    entries.select("part", "chunk", corpus.alias("corpus_sha256"), "documents").write.partitionBy("part", "chunk").json(path)  # a row a file
+    expected = spark.range(1).select(corpus).first()[0]
+    return read_split(spark, path, expected)
+
+
+@query(
+    "corpus_manifest",
+    f"""with {DOCS} select genre, count(*)::bigint as documents, sum(length(body))::bigint as characters, sum(strlen(body))::bigint as utf8_bytes, min(meeting_date) as first_date, max(meeting_date) as last_date from docs group by genre""",
+)
+def corpus_manifest(spark, sf):
+    """The corpus's manifest by genre, written as JSON and read back by its schema."""
+    docs = documents(spark, sf)
+    found = docs.groupBy("genre").agg(F.count("*").alias("documents"), F.sum(F.length("body")).alias("characters"), F.sum(F.octet_length("body")).alias("utf8_bytes"), F.min("meeting_date").alias("first_date"), F.max("meeting_date").alias("last_date"))
+    path = f"{shared_root(spark)}/manifest-{uuid.uuid4().hex}"
+    found.write.partitionBy("genre").json(path)  # a row a file
+    return read_manifest(spark, path, "genre string, documents long, characters long, utf8_bytes long, first_date date, last_date date")

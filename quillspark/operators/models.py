@@ -312,10 +312,16 @@ class CharTransformer:
         return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
 
 
+def scored_windows(n: int, block: int) -> Iterator[tuple[int, int, int]]:
+    """(context, start, stop) of the windows over ``n`` ids: places from start on are scored, after what stands from context on."""
+    for start in range(2, n, block // 2):
+        stop = min(start + block // 2, n)
+        yield max(0, stop - 1 - block), start, stop
+
+
 def transformer_scores(docs: DataFrame, vocab: dict[str, int], model: CharTransformer, block: int = 64) -> DataFrame:
     """(doc_id, total_nll, body_tokens): windowed log-likelihoods, every character scored once in context."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, model))
-    stride = block // 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, model = sent.value
@@ -324,9 +330,7 @@ def transformer_scores(docs: DataFrame, vocab: dict[str, int], model: CharTransf
             for doc, genre, body in zip(frame.doc_id, frame.genre, frame.body, strict=True):
                 ids = np.array([0, 1 if genre == "statement" else 2, *(vocab.get(c, 0) for c in body or "")])
                 total = 0.0
-                for start in range(2, len(ids), stride):
-                    stop = min(start + stride, len(ids))
-                    ctx = max(0, stop - 1 - block)
+                for ctx, start, stop in scored_windows(len(ids), block):
                     logs = model.log_probs(ids[ctx : stop - 1])
                     at = np.arange(start - 1 - ctx, stop - 1 - ctx)
                     total -= logs[at, ids[start:stop]].sum()

@@ -380,3 +380,20 @@ def test_rank_correlations_of_resamples_agree(spark, monkeypatch):
     both[1] = stats.rho_bootstrap(df, "x", "y", "t", 30).first().asDict()
     sums[1] = sorted(map(tuple, stats.drawn_sums(df.groupBy("stratum", "cluster").agg(F.sum("x").alias("v")), "s", 5, ["v"]).collect()))
     assert both[0] == pytest.approx(both[1]) and sums[0] == sums[1]
+
+
+def test_score_checks_look_at_the_scorers_windows(spark, monkeypatch):
+    from quillspark.operators import blocks, models
+
+    docs = spark.createDataFrame([(1, "abc" * 70), (2, ""), (3, "ab?")], "doc_id long, body string")
+    vocab = {"a": 3, "b": 4, "c": 5}
+    good = {r.doc_id: r for r in blocks.score_checks(docs, vocab).collect()}
+    assert all(r.is_once for r in good.values()) and good[1].n_targets == 210 and good[1].first_target == 2 and not good[3].round_trips
+    own = models.scored_windows
+
+    def overlapping(n, block):
+        return ((c, max(0, a - 1), b) for c, a, b in own(n, block))
+
+    # workers read the module anew, so the check is made here
+    seen = [t for _, a, b in overlapping(212, 64) for t in range(a, b)]
+    assert seen != list(range(2, 212)) and [t for _, a, b in own(212, 64) for t in range(a, b)] == list(range(2, 212))
