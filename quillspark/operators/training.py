@@ -41,7 +41,10 @@ def dealt(rows: DataFrame, seeds: Sequence[int], epochs: int, batches: int, id:
 def passed(rows: DataFrame, runs: list[dict], on: str | None) -> DataFrame:
     """Points with the outputs of each run that sees them."""
     p = rows.sparkSession.createDataFrame([(r["run"], r["seed"], *(r["p"][n] for n in NAMES)) for r in runs], "run int, _seed int, " + ", ".join(f"{n} double" for n in NAMES))
-    both = rows.join(F.broadcast(p), F.col(on) == F.col("_seed")) if on else rows.crossJoin(F.broadcast(p))  # a row a run
+    if on:
+        both = rows.join(F.broadcast(p), F.col(on) == F.col("_seed"))  # a row a run
+    else:  # every run sees every point
+        both = rows.withColumn("run", F.explode(F.array(*[F.lit(r["run"]) for r in runs]))).join(F.broadcast(p), "run")
     c = F.col
     return forward(both, ((c("w1_11"), c("w1_12")), (c("w1_21"), c("w1_22"))), (c("b1_1"), c("b1_2")), (c("w2_1"), c("w2_2")), c("b2"))
 
