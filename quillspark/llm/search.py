@@ -49,7 +49,7 @@ from ._text import LETTER, LOWER
 
 K, SEEDS = 20, 3
 #: A block of the index ends at so many documents, or at so many counts.
-BLOCK_DOCS, BLOCK_POSTINGS = 64, 1 << 13
+BLOCK_DOCS, BLOCK_POSTINGS = 32, 1 << 11
 #: Blocks that are turned into parts of scores at once, and blocks whose bounds are sorted together.
 PIECE, TOGETHER = 64, 256
 #: Cells of one pass over the bounds of items and blocks.
