@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.models import GRAMS, ORDER, contexts, grams, looked_up, ngram_counts_of
+from quillspark.operators.models import GRAMS, ORDER, contexts, fitted_counts, looked_up
 from quillspark.operators.splits import with_split
 from quillspark.operators.stats import draw
 from quillspark.plans.registry import query
@@ -87,7 +87,7 @@ def _step(i: int) -> str:
 def generated_text(spark, sf):
     """The openings of all documents outside the learnt split, continued by draws from the learnt model."""
     docs = with_split(documents(spark, sf))
-    counts = shared_table(ngram_counts_of(grams(docs.where("split = 'T'"), [])))
+    counts = shared_table(fitted_counts(docs.where("split = 'T'")))
     prompts = docs.where("split in ('N', 'F')").select("doc_id", F.substring("body", 1, PROMPT).alias("text"))
     made = generate(prompts, counts, NEW, "doc_id", temperature=TEMPERATURE, top_k=TOP, seed=SEED)
     return made.select(F.col("id").alias("doc_id"), F.concat("text", "new").alias("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.operators.splits import MEETINGS, with_split
+from quillspark.operators.splits import MEETINGS, learnt, with_split
 from quillspark.plans.registry import query
 from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
@@ -74,6 +74,11 @@ def ngram_counts_of(full: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.select("k", F.when(F.col("k") == 0, "").otherwise(F.expr("right(ctx, k)")).alias("ctx"), "ch", "n").groupBy("k", "ctx", "ch").agg(F.sum("n").alias("n"))
 
 
+def fitted_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Counts (k, ctx, ch, n) of all orders, fitted on documents of the learnt split only."""
+    return ngram_counts_of(grams(learnt(docs), [], order), order)
+
+
 def context_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
 
@@ -142,7 +147,7 @@ nll as (select doc_id, split, sum(-ln(p) * n) as total_nll, sum(n)::bigint as bo
 def fitted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored documents' grams, learnt counts, and probabilities of what is scored."""
     docs = with_split(documents(spark, sf))
-    counts = shared_table(ngram_counts_of(grams(docs.where("split = 'T'"), [])))  # every order reads them
+    counts = shared_table(fitted_counts(docs.where("split = 'T'")))  # every order reads them
     n_chars = counts.where("k = 0").count()
     scored = shared_table(grams(docs.where("split in ('N', 'F')"), ["doc_id", "split"]))
     return scored, counts, witten_bell(scored.select("ctx", "ch").distinct(), counts, n_chars)
@@ -157,7 +162,7 @@ def scores(spark, sf) -> DataFrame:
 
 @query("ngram_counts", f"with {GRAMS} select * from k")
 def ngram_counts(spark, sf):
-    return ngram_counts_of(grams(with_split(documents(spark, sf)).where("split = 'T'"), []))
+    return fitted_counts(with_split(documents(spark, sf)).where("split = 'T'"))
 
 
 @query("ngram_context_stats", f"with {GRAMS} select * from st")

@@ -226,10 +226,15 @@ def leakage(docs: DataFrame, allowed: str) -> DataFrame:
 
 def require(docs: DataFrame, allowed: str) -> DataFrame:
     """The documents; an action fails on the first one of another split."""
-    ok = F.when(F.col("split") == allowed, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"only split {allowed} may be used, found "), F.col("split"))))
+    ok = F.when(F.col("split") == allowed, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"only split {allowed} may be used, found "), F.coalesce("split", F.lit("none")))))
     return docs.where(ok)
 
 
+def learnt(docs: DataFrame) -> DataFrame:
+    """What a fit may see: documents that name a split must be of the learnt one; an action fails on any other."""
+    return require(docs, "T") if "split" in docs.columns else docs
+
+
 @query("same_date_groups", f"with {DOCS} select meeting_date, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from docs group by meeting_date having count(*) > 1")
 def same_date_groups(spark, sf):
     docs = documents(spark, sf)

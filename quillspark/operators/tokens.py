@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.splits import MEETINGS, require, with_split
+from quillspark.operators.splits import MEETINGS, learnt, require, with_split
 from quillspark.plans.registry import query
 from quillspark.sources.sinks import shared_table
 from quillspark.sources.tables import documents, table
@@ -28,7 +28,7 @@ def char_vocabulary(docs: DataFrame) -> DataFrame:
     for each character.
     """
     spark = docs.sparkSession
-    chars = docs.select(F.explode(F.split("body", "")).alias("token")).where("token <> ''").distinct()
+    chars = learnt(docs).select(F.explode(F.split("body", "")).alias("token")).where("token <> ''").distinct()
     numbered = chars.select("token", (F.row_number().over(Window.orderBy("token")) + len(SPECIALS) - 1).alias("id"))
     return spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int").union(numbered)
 
@@ -254,7 +254,7 @@ def merges_of(docs: DataFrame, size: int, driver_words: int = DRIVER_WORDS) -> l
     not, the sample goes on from the exact counts.  So the sample decides how
     many passes are made, never a merge.
     """
-    counts = shared_table(word_counts(docs))
+    counts = shared_table(word_counts(learnt(docs)))
     letters = sorted({END} | {r.c for r in counts.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()})
     if counts.where(F.contains("word", F.lit(END))).limit(1).count():
         raise ValueError("a text holds the end mark")
@@ -426,8 +426,8 @@ def bpe_merges(spark, sf):
 
 def _encoded(spark, sf) -> DataFrame:
     docs = with_split(documents(spark, sf))
-    learnt = docs.where("split = 'T'")
-    return encode_words(word_counts(docs), merges_of(learnt, BPE_SIZE - len(SPECIALS)), alphabet_of(learnt))
+    seen = docs.where("split = 'T'")
+    return encode_words(word_counts(docs), merges_of(seen, BPE_SIZE - len(SPECIALS)), alphabet_of(seen))
 
 
 @query("bpe_encode")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.splits import MEETINGS, with_split
+from quillspark.operators.splits import MEETINGS, learnt, with_split
 from quillspark.plans.registry import query
 from quillspark.sources.tables import documents, table
 
@@ -53,7 +53,7 @@ def sampled(docs: DataFrame, length: Column, block: int, draws: int) -> DataFram
     so the range condition is an equi-join with a filter.
     """
     spark = docs.sparkSession
-    o = offsets(docs.where(length > block), length, block)
+    o = offsets(learnt(docs).where(length > block), length, block)
     total = o.agg(F.sum("n").alias("total"))
     at = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total))
     at = at.withColumn("u", draw(F.lit("doc"), F.col("draw"), n=F.col("total")))

@@ -397,3 +397,19 @@ def test_score_checks_look_at_the_scorers_windows(spark, monkeypatch):
     # workers read the module anew, so the check is made here
     seen = [t for _, a, b in overlapping(212, 64) for t in range(a, b)]
     assert seen != list(range(2, 212)) and [t for _, a, b in own(212, 64) for t in range(a, b)] == list(range(2, 212))
+
+
+@pytest.mark.parametrize("split", ["N", "excluded", None])
+def test_every_fit_refuses_other_splits(spark, split):
+    from quillspark.operators import models, tokens, windows
+
+    rows = [(1, "abc abc abc", "T"), (2, "abc abd", split)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, split string")
+    fits = (
+        lambda d: tokens.char_vocabulary(d).collect(), lambda d: tokens.merges_of(d, 8), lambda d: models.fitted_counts(d).collect(),
+        lambda d: windows.sampled(d, F.length("body"), 2, 3).collect(),
+    )
+    for fit in fits:
+        assert fit(df.where("split = 'T'")) is not None
+        with pytest.raises(Exception, match="may be used"):
+            fit(df)
