@@ -4,9 +4,11 @@ import random
 import time
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from quillspark.operators import markup, pages
+from quillspark.plans import registry
 
 PAGE = "page_id long, url string, html string"
 
@@ -172,3 +174,13 @@ def test_links_carry_heading_base_and_address(spark):
         (1, 0, "https://www.example.org/sub/one.htm", "One link"), (1, 1, "https://www.example.org/two.htm", "The panel | Two"), (1, 2, "https://news.example.org/three", "Three"),
         (1, 3, "https://example.com:8443/four", "The panel | Four"), (1, 6, "https://www.example.org/sub/x.htm", "Top"), (3, 1, "https://example.org/y", "Yes"),
     ]
+
+
+CUT = "<html><head><title>A &amp;&amp;&amp</title></head><body><article><h1>A &amp;&amp;&amp</h1><p>The en &lt;b&gt; &amp;lt; &ampx &amp</p><p>de &copy &am;</p></article></body></html>"
+
+
+@pytest.mark.parametrize("name", ["clean_paragraphs", "extract_body", "extract_sections"])
+def test_references_without_a_semicolon_stay_as_in_sql(name, spark, tmp_path):
+    spark.createDataFrame([(1, "https://example.org/1", CUT)], PAGE).write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(registry.oracle_sql()[name].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'"))
+    assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*want.columns).collect())) == sorted(want.fetchall())
