@@ -179,7 +179,7 @@ def test_links_carry_heading_base_and_address(spark):
 CUT = "<html><head><title>A &amp;&amp;&amp</title></head><body><article><h1>A &amp;&amp;&amp</h1><p>The en &lt;b&gt; &amp;lt; &ampx &amp</p><p>de &copy &am;</p></article></body></html>"
 
 
-@pytest.mark.parametrize("name", ["clean_paragraphs", "extract_body", "extract_sections"])
+@pytest.mark.parametrize("name", ["clean_paragraphs", "extract_body", "extract_sections", "page_titles"])
 def test_references_without_a_semicolon_stay_as_in_sql(name, spark, tmp_path):
     spark.createDataFrame([(1, "https://example.org/1", CUT)], PAGE).write.parquet(f"{tmp_path}/pages.parquet")
     want = duckdb.sql(registry.oracle_sql()[name].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'"))
