@@ -19,7 +19,9 @@ from quillspark.sources.tables import documents, table
 
 RESAMPLES = 2000  # fixed value
 #: Clusters, or rows of clusters, up to which they are sent to the tasks that draw; beyond, draws are joined with them.
-SEND_CLUSTERS = 200_000
+SEND_CLUSTERS = 1_000_000
+#: Partitions of resamples, and draws that one row stands for before they are made.
+DRAW_PARTS, DRAW_BLOCK = 256, 1 << 16
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, weight: Column | None = None) -> DataFrame:
@@ -74,17 +76,14 @@ def spearman_sent(rows: DataFrame, x: str, y: str, stat: str, resamples: int) ->
         order = np.argsort(v, kind="stable")
         first = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]])
         sides.append((order, first, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(v)]))))
-    sent = rows.sparkSession.sparkContext.broadcast((own, base, sum(sizes.values()), sides))
+    sent = rows.sparkSession.sparkContext.broadcast((own, sum(sizes.values()), sides))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base, n_clusters, sides = sent.value
+        own, n_clusters, sides = sent.value
         for batch in batches:
             rhos = []
-            for drawn in batch.column("drawn").to_pylist():
-                times = np.zeros(n_clusters, np.int64)
-                for d in drawn:
-                    times += np.bincount(np.array(d["i"]) + base[d["stratum"]], minlength=n_clusters)
-                w = times[own]
+            for drawn in batch.column("drawn"):
+                w = np.bincount(drawn.values.to_numpy(), minlength=n_clusters)[own]
                 ranks = []
                 for order, first, value in sides:
                     total = np.add.reduceat(w[order], first)
@@ -98,8 +97,9 @@ def spearman_sent(rows: DataFrame, x: str, y: str, stat: str, resamples: int) ->
                 rhos.append((n * float((w * a * b).sum()) - sa * sb) / math.sqrt(va * vb) if n > 1 and va > 1e-9 and vb > 1e-9 else None)
             yield pa.RecordBatch.from_arrays([batch.column("resample"), pa.array(rhos, pa.float64())], ["resample", "rho"])
 
-    drawn = single_draws(known, stat, resamples, "stratum").groupBy("resample", "stratum").agg(F.collect_list("_i").alias("i"))
-    return drawn.groupBy("resample").agg(F.collect_list(F.struct("stratum", "i")).alias("drawn")).mapInArrow(run, "resample int, rho double")
+    base = rows.sparkSession.createDataFrame(list(base.items()), "stratum string, _base long")
+    drawn = single_draws(known, stat, resamples, "stratum").join(F.broadcast(base), "stratum")
+    return drawn.groupBy("resample").agg(F.collect_list((F.col("_base") + F.col("_i")).cast("int")).alias("drawn")).mapInArrow(run, "resample int, rho double")
 
 
 def percentile_interval(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -130,8 +130,16 @@ def numbered(clusters: DataFrame, stratum: str, id: str) -> DataFrame:
 
 
 def single_draws(clusters: DataFrame, stat: str, resamples: int, stratum: str) -> DataFrame:
-    """(resample, stratum, _i): one row a draw; each cluster's number makes the draws of that number, so they are made where clusters are."""
-    each = clusters.select(stratum, "_n", F.col("_i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    """(resample, stratum, _i): one row a draw.
+
+    Resamples are dealt over the tasks and a resample's draws are made in one,
+    so what gathers them by resample moves no draw.
+    """
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {DRAW_BLOCK}"))
+    sizes = clusters.select(stratum, "_n").distinct().select(stratum, "_n", F.explode(blocks).alias("_block"))
+    seeds = clusters.sparkSession.range(resamples).select(F.col("id").cast("int").alias("resample")).repartition(min(resamples, DRAW_PARTS), "resample")
+    start = F.col("_block") * DRAW_BLOCK
+    each = seeds.crossJoin(F.broadcast(sizes)).select("resample", stratum, "_n", F.explode(F.sequence(start, F.least(start + DRAW_BLOCK, F.col("_n")) - 1)).alias("draw"))
     return each.select("resample", stratum, draw(F.lit(stat), F.col("resample"), F.col("draw"), F.col(stratum), n=F.col("_n")).alias("_i"))
 
 
@@ -141,15 +149,16 @@ def draws(clusters: DataFrame, stat: str, resamples: int, stratum: str = "stratu
     Indices come from hashes of (statistic, resample, draw, stratum), so the
     draws do not depend on order, partitions or engine.
     """
-    known = numbered(clusters, stratum, id)
+    known = shared_table(numbered(clusters, stratum, id))
     times = single_draws(known, stat, resamples, stratum).groupBy("resample", stratum, "_i").agg(F.count("*").alias("times"))
-    return times.join(known.drop("_n"), [stratum, "_i"]).select("resample", stratum, id, "times")
+    of = known.drop("_n")
+    of = F.broadcast(of) if known.count() <= SEND_CLUSTERS else of
+    return times.join(of, [stratum, "_i"]).select("resample", stratum, id, "times")
 
 
 def drawn_sums(rows: DataFrame, stat: str, resamples: int, values: list[str], stratum: str = "stratum", id: str = "cluster") -> DataFrame:
     """(resample, stratum, values): sums of the drawn clusters' values, a cluster drawn twice counting twice."""
-    known = numbered(rows, stratum, id)
-    known = shared_table(known)
+    known = shared_table(numbered(rows, stratum, id))
     of = known.join(rows.select(stratum, id, *values), [stratum, id]).select(stratum, "_i", *values)
     # where the sums of all clusters are at hand, a task adds up its draws and sends on a row a resample
     of = F.broadcast(of) if known.count() <= SEND_CLUSTERS else of

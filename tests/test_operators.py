@@ -338,6 +338,17 @@ def test_numbers_and_draws_of_clusters(spark):
     assert sorted(map(tuple, sums)) == sorted(map(tuple, drawn))
 
 
+def test_draws_of_few_clusters_are_made_in_many_tasks(spark, monkeypatch):
+    from quillspark.operators import stats
+
+    monkeypatch.setattr(stats, "DRAW_BLOCK", 7)
+    known = stats.numbered(spark.createDataFrame([("a", i) for i in range(20)] + [("b", 1)], "stratum string, cluster long"), "stratum", "cluster").coalesce(1)
+    drawn = stats.single_draws(known, "s", 64, "stratum")
+    counted = drawn.withColumn("part", F.spark_partition_id()).groupBy("resample", "stratum").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"), F.first("part").alias("part")).collect()
+    assert {(r.stratum, r.n, r.parts) for r in counted} == {("a", 20, 1), ("b", 1, 1)} and len(counted) == 128
+    assert len({r.part for r in counted}) > 20
+
+
 def test_tables_and_manifests(spark, tmp_path):
     from quillspark.sources import sinks, versions
 
