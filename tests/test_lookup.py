@@ -39,3 +39,17 @@ def test_runbooks_beyond_any_broadcast(spark, monkeypatch):
     asked = spark.createDataFrame([("NODE-3",), ("playbook 19999",), ("cpu",), ("nothing",)], "query string")
     got = {(x.query, x.rank): (x.id, round(x.score, 6)) for x in incidents.retrieved(books, asked, 2).collect()}
     assert got == {("NODE-3", 1): ("rb-3", 1.0), ("NODE-3", 2): ("rb-10", 0.9), ("playbook 19999", 1): ("rb-19999", 1.0), ("cpu", 1): ("rb-0", 1.0), ("cpu", 2): ("rb-1", 0.9)}
+
+
+def test_needles_are_found_in_one_scan_without_an_index(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("an index is made")
+
+    monkeypatch.setattr(lookup, "indexed", never)
+    r = random.Random(5)
+    edge = "".join(r.choice("abc") for _ in range(lookup.SPAN + 40))
+    entries = [(i, "".join(r.choice("ab c") for _ in range(60))) for i in range(300, 0, -1)] + [(900, edge), (2, "once more"), (None, "lost")]
+    cuts = [edge[lookup.SPAN - 20 + i : lookup.SPAN + i + j] for i, j in ((0, 0), (10, 10), (19, 30), (25, 2))]
+    needles = ["a", "ab", "lost", "abc" * 5, "", edge, edge + "x", *cuts, *(edge[i : i + n] for n in range(1, 2 * lookup.PROBE) for i in (0, 500))]
+    found = lookup.search(spark.createDataFrame(entries, "pos long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string"), 4)
+    assert {tuple(x) for x in found.collect()} == looped([e for e in entries if e[0] is not None], needles, 4)
