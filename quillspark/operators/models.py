@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,48 +23,113 @@ ORDER = 5
 
 #: Grams that a task holds at most before it sends them on, and characters up to which short contexts are sent to all tasks.
 HELD, SEND_CHARS = 1 << 17, 5_000
+#: Characters that a task works on at once, and scored grams up to which they are sent to the tasks that hold the texts.
+PIECE, SEND_GRAMS = 1 << 20, 8_000_000
+#: Stands for no character, after the last code point.
+BLANK = 0x110000
+
+
+def pieces(texts: Iterable[str], order: int) -> Iterator[list[tuple[int, str, int]]]:
+    """Lists of (number of the text, part of it, characters at its start that are only context), ``PIECE`` characters at once."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for start in range(0, len(text), PIECE):
+            skip = min(start, order - 1)
+            held.append((k, text[start - skip : start + PIECE], skip))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def code_points(held: list[tuple[int, str, int]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points with ``order - 1`` blanks before each piece, the places of all that are not only context, and how many each piece has."""
+    sizes, skips = np.array([len(t) for _, t, _ in held], np.int64), np.array([k for *_, k in held], np.int64)
+    place = np.arange(sizes.sum()) + np.repeat((order - 1) * np.arange(1, len(held) + 1), sizes)
+    points = np.full(sizes.sum() + (order - 1) * len(held), BLANK, np.int32)
+    points[place] = np.frombuffer("".join(t for _, t, _ in held).encode("utf-32-le", "surrogatepass"), "<u4")
+    if skips.any():
+        place = place[np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= np.repeat(skips, sizes)]
+    return points, place, sizes - skips
+
+
+def gram_keys(points: np.ndarray, place: np.ndarray, alphabet: np.ndarray, order: int) -> np.ndarray:
+    """Each character and those before it in one number: places in the alphabet from 1, no character as 0."""
+    ids = np.zeros(BLANK + 1, np.int64)
+    ids[alphabet] = np.arange(1, len(alphabet) + 1)
+    ids, bits = ids[points], len(alphabet).bit_length()
+    keys = ids[place]
+    for j in range(1, order):
+        keys |= ids[place - j] << bits * j
+    return keys
+
+
+def fits(alphabet: np.ndarray, order: int) -> bool:
+    return len(alphabet).bit_length() * order < 64
+
+
+def counted(held: list[tuple[int, str, int]], order: int) -> tuple[list[str], np.ndarray]:
+    """Distinct grams of all pieces together and how often each occurs."""
+    points, place, _ = code_points(held, order)
+    seen = np.zeros(BLANK + 1, bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen[:BLANK])
+    if not fits(alphabet, order):
+        found: Counter = Counter()
+        for _, text, skip in held:
+            found.update([text[max(0, i + 1 - order) : i + 1] for i in range(skip, len(text))])
+        return list(found), np.array(list(found.values()), np.int64)
+    keys, times = np.unique(gram_keys(points, place, alphabet, order), return_counts=True)
+    bits = len(alphabet).bit_length()
+    ids = np.stack([keys >> bits * j & (1 << bits) - 1 for j in range(order - 1, -1, -1)], axis=1)
+    text = np.r_[0, alphabet].astype("<u4")[ids].tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.arange(1, len(keys) + 1) * order
+    return [text[i:j] for i, j in zip((ends - (ids > 0).sum(axis=1)).tolist(), ends.tolist(), strict=True)], times
 
 
 def grams(docs: DataFrame, keep: list[str], order: int = ORDER) -> DataFrame:
     """(keep, ctx, ch, n): each character with up to ``order - 1`` characters before it in its document.
 
     Counted inside tasks before anything moves: by document where columns are
-    kept, else over the documents of a task, as many grams as it may hold at once.
+    kept, else over a million characters of a task's documents at once.
     """
     source = docs.select(*keep, F.col("body").cast("string").alias("_body")).where("_body <> ''")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def made(found: list[str], times: np.ndarray | list[int]) -> list[pa.Array]:
+        return [pa.array([g[:-1] for g in found], pa.string()), pa.array([g[-1] for g in found], pa.string()), pa.array(times, pa.int64())]
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (t for batch in batches for t in batch.column("_body").to_pylist())
+        for held in pieces(texts, order):
+            found, times = counted(held, order)
+            for i in range(0, len(found), HELD):
+                yield pa.RecordBatch.from_arrays(made(found[i : i + HELD], times[i : i + HELD]), ["ctx", "ch", "n"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, times, at = [], [], []
 
-        def out(batch: pa.RecordBatch | None) -> pa.RecordBatch:
-            made = [pa.array([g[:-1] for g in found], pa.string()), pa.array([g[-1] for g in found], pa.string()), pa.array(times, pa.int64())]
-            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep] if batch else []
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
+            new = pa.RecordBatch.from_arrays(own + made(found, times), [*keep, "ctx", "ch", "n"])
             for x in (found, times, at):
                 x.clear()
-            return pa.RecordBatch.from_arrays(own + made, [*keep, "ctx", "ch", "n"])
+            return new
 
         for batch in batches:
             for k, body in enumerate(batch.column("_body").to_pylist()):
-                counts.update([body[:i] for i in range(1, min(order, len(body) + 1))])
-                counts.update([body[i : i + order] for i in range(len(body) - order + 1)])
-                if keep or len(counts) >= HELD:
-                    found += counts.keys()
-                    times += counts.values()
-                    at += [k] * len(counts)
-                    counts.clear()
+                counts = Counter([body[max(0, i + 1 - order) : i + 1] for i in range(len(body))])
+                found += counts.keys()
+                times += counts.values()
+                at += [k] * len(counts)
                 if len(found) >= HELD:
                     yield out(batch)
-            if keep and found:
+            if found:
                 yield out(batch)
-        if not keep:
-            found += counts.keys()
-            times += counts.values()
-            yield out(None)
 
     kind = StructType([*source.select(*keep).schema.fields, *StructType.fromDDL("ctx string, ch string, n long").fields])
-    rows = source.mapInArrow(run, kind)
-    return rows if keep else rows.groupBy("ctx", "ch").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(each, kind) if keep else source.mapInArrow(together, kind).groupBy("ctx", "ch").agg(F.sum("n").alias("n"))
 
 
 def ngram_counts_of(full: DataFrame, order: int = ORDER) -> DataFrame:
@@ -144,20 +209,60 @@ p1 as (select * replace ({STEP(1)}) from p0), p2 as (select * replace ({STEP(2)}
 nll as (select doc_id, split, sum(-ln(p) * n) as total_nll, sum(n)::bigint as body_tokens from g join p4 using (ctx, ch) where split in ('N', 'F') group by all)"""
 
 
-def fitted(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scored documents' grams, learnt counts, and probabilities of what is scored."""
-    docs = with_split(documents(spark, sf))
+def fitted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Scored documents, and the probabilities of their grams by the learnt counts."""
+    docs = shared_table(with_split(documents(spark, sf)).where("split in ('T', 'N', 'F')").select("doc_id", "split", "body"))  # read by the fit and by the scores
     counts = shared_table(fitted_counts(docs.where("split = 'T'")))  # every order reads them
     n_chars = counts.where("k = 0").count()
-    scored = shared_table(grams(docs.where("split in ('N', 'F')"), ["doc_id", "split"]))
-    return scored, counts, witten_bell(scored.select("ctx", "ch").distinct(), counts, n_chars)
+    scored = docs.where("split in ('N', 'F')")
+    return scored, witten_bell(grams(scored, []).select("ctx", "ch"), counts, n_chars)
+
+
+def text_scores(docs: DataFrame, p: DataFrame, order: int = ORDER, send: int = SEND_GRAMS) -> DataFrame:
+    """(doc_id, split, total_nll, body_tokens) of texts that are not empty, by the probabilities of all their grams.
+
+    Distinct grams are few beside the texts: they are sent to the tasks that
+    hold these, and a text sends on one row.  More than ``send`` of them, or
+    grams of too many different characters for one number, are joined.
+    """
+    n = p.count()
+    letters = p.select("ch").union(p.select(F.explode(F.split("ctx", "")))).where("ch <> ''").distinct().limit(SEND_CHARS + 1).collect() if n <= send else []
+    alphabet = np.array(sorted(ord(r.ch) for r in letters), np.int64)
+    if n > send or len(letters) > SEND_CHARS or not fits(alphabet, order):
+        rows = grams(docs, ["doc_id", "split"], order).join(p, ["ctx", "ch"]).select("doc_id", "split", (-F.log("p") * F.col("n")).alias("s"), "n")
+    else:
+        known = p.select(F.concat("ctx", "ch").alias("g"), (-F.log("p")).alias("v")).toArrow()
+        points, place, sizes = code_points([(0, g, 0) for g in known.column("g").to_pylist()], order)
+        keys = gram_keys(points, place[np.cumsum(sizes) - 1], alphabet, order)
+        by = np.argsort(keys)
+        sent = docs.sparkSession.sparkContext.broadcast((alphabet, keys[by], known.column("v").to_numpy()[by]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            alphabet, keys, values = sent.value
+            for batch in batches:
+                at, sums, counts = [], [], []
+                for held in pieces(batch.column("body").to_pylist(), order):
+                    points, place, sizes = code_points(held, order)
+                    asked = gram_keys(points, place, alphabet, order)
+                    found = np.searchsorted(keys, asked)
+                    if not (keys[np.minimum(found, len(keys) - 1)] == asked).all():
+                        raise ValueError("a text has a gram without a probability")
+                    at += [k for k, *_ in held]
+                    sums.append(np.add.reduceat(values[found], np.cumsum(sizes) - sizes))
+                    counts.append(sizes)
+                if at:
+                    own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "split")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts), pa.int64())], ["doc_id", "split", "s", "n"])
+
+        source = docs.select("doc_id", "split", "body").where("body <> ''")
+        rows = source.mapInArrow(run, StructType([*source.select("doc_id", "split").schema.fields, *StructType.fromDDL("s double, n long").fields]))
+    return rows.groupBy("doc_id", "split").agg(F.sum("s").alias("total_nll"), F.sum("n").alias("body_tokens"))
 
 
 def scores(spark, sf) -> DataFrame:
     """(doc_id, split, total_nll, body_tokens, bpc) of every document outside the learnt split."""
-    scored, _, p = fitted(spark, sf)
-    by = scored.join(p, ["ctx", "ch"]).groupBy("doc_id", "split").agg(F.sum(-F.log("p") * F.col("n")).alias("total_nll"), F.sum("n").alias("body_tokens"))
-    return by.withColumn("bpc", F.col("total_nll") / (F.col("body_tokens") * math.log(2)))
+    docs, p = fitted(spark, sf)
+    return text_scores(docs, shared_table(p)).withColumn("bpc", F.col("total_nll") / (F.col("body_tokens") * math.log(2)))
 
 
 @query("ngram_counts", f"with {GRAMS} select * from k")
@@ -172,7 +277,7 @@ def ngram_context_stats(spark, sf):
 
 @query("witten_bell_prob", f"with {PROB} select ctx, ch, round(p, 9) as p from p4")
 def witten_bell_prob(spark, sf):
-    return fitted(spark, sf)[2].withColumn("p", F.round("p", 9))
+    return fitted(spark, sf)[1].withColumn("p", F.round("p", 9))
 
 
 @query("ngram_nll", f"with {PROB} select doc_id, split, round(total_nll, 4) as total_nll from nll")

@@ -46,6 +46,36 @@ def test_witten_bell_worked_example(spark):
     assert p == pytest.approx({("", "a"): 3 / 6, ("a", "b"): 2.5 / 3, ("a", "a"): 0.5 / 3, ("b", "a"): 1.5 / 2})
 
 
+def test_grams_in_pieces_and_in_any_alphabet(spark, monkeypatch):
+    texts = ["", "a", "abcab\x00c😀" * 9, None, "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))]
+    want = Counter((t[max(0, i - 4) : i], t[i]) for t in texts if t for i in range(len(t)))
+    docs = spark.createDataFrame([(t,) for t in texts], "body string")
+    for size in (models.PIECE, 3, 7):
+        monkeypatch.setattr(models, "PIECE", size)
+        found = Counter()
+        for held in models.pieces([t for t in texts if t], 5):
+            for g, n in zip(*models.counted(held, 5), strict=True):
+                found[g[:-1], g[-1]] += int(n)
+        assert found == want
+    assert {(r.ctx, r.ch): r.n for r in models.grams(docs, []).collect()} == want
+
+
+def test_scores_by_sent_and_by_joined_grams(spark, monkeypatch):
+    texts = ["", "a", "abcab\x00c" * 9, None, "a😀"]
+    docs = spark.createDataFrame([(i, "N", t) for i, t in enumerate(texts)], "doc_id long, split string, body string")
+    grams = sorted({(t[max(0, i - 4) : i], t[i]) for t in texts if t for i in range(len(t))})
+    value = {g: (i + 1) / (len(grams) + 1) for i, g in enumerate(grams)}
+    p = spark.createDataFrame([(*g, v) for g, v in value.items()], "ctx string, ch string, p double")
+    want = {k: (-sum(math.log(value[t[max(0, i - 4) : i], t[i]]) for i in range(len(t))), len(t)) for k, t in enumerate(texts) if t}
+    for send, size in ((models.SEND_GRAMS, models.PIECE), (0, models.PIECE), (models.SEND_GRAMS, 4)):
+        monkeypatch.setattr(models, "PIECE", size)
+        found = {r.doc_id: (r.total_nll, r.body_tokens) for r in models.text_scores(docs, p, send=send).collect()}
+        assert found.keys() == want.keys()
+        for k, v in want.items():
+            assert found[k] == pytest.approx(v)
+    assert models.text_scores(docs.where("false"), p.where("false")).count() == 0
+
+
 def test_split_of_boundary_dates(spark):
     df = spark.createDataFrame([("2019-11-30",), ("2019-12-01",), ("2020-01-30",), ("2020-01-31",), ("2022-02-01",), ("2019-11-29",)], "d string")
     assert column(df, splits.assign(F.col("d").cast("date"))) == ["T", "excluded", "excluded", "N", "F", "T"]
