@@ -63,13 +63,17 @@ def sampled(docs: DataFrame, length: Column, block: int, draws: int) -> DataFram
     return met.select("draw", "doc_id", draw(F.lit("start"), F.col("draw"), n=F.col("n") - block).alias("first"))
 
 
+def stop_of(start: Column, n: str, stride: int) -> Column:
+    return F.least(start + stride, F.col(n))
+
+
 def plan(rows: DataFrame, n: str, block: int, stride: int | None = None, first: int = PREFIX) -> DataFrame:
     """Windows that score every target from ``first`` on exactly once, each with as much context as fits."""
     stride = stride or max(1, block // 2)
     if not 1 <= stride <= block or first < 1:
         raise ValueError("the stride must be in 1..block and the first target at least 1")
     rows = rows.where(F.col(n) > first).withColumn("start", F.explode(F.sequence(F.lit(first), F.col(n) - 1, F.lit(stride))))
-    return rows.withColumn("stop", F.least(F.col("start") + stride, F.col(n))).withColumn("context", F.greatest(F.lit(0), F.col("stop") - 1 - block))
+    return rows.withColumn("stop", stop_of(F.col("start"), n, stride)).withColumn("context", F.greatest(F.lit(0), F.col("stop") - 1 - block))
 
 
 PLAN = f"""plan as (select doc_id, n, start::int as start, least(start + {BLOCK // 2}, n)::int as stop, greatest(0, least(start + {BLOCK // 2}, n) - 1 - {BLOCK})::int as context
@@ -87,9 +91,25 @@ def window_plan(spark, sf):
 
 @query("window_coverage", f"with {PLAN} select doc_id, sum(stop - start)::bigint as targets, n - 2 as wanted, min(start) as first_target, max(stop) as end_target, true as is_complete from plan group by doc_id, n")
 def window_coverage(spark, sf):
-    by = _plan(spark, sf).groupBy("doc_id", "n").agg(F.sum(F.col("stop") - F.col("start")).alias("targets"), F.min("start").alias("first_target"), F.max("stop").alias("end_target"), F.count_distinct("start").alias("k"), F.count("*").alias("c"))
-    full = (F.col("targets") == F.col("n") - PREFIX) & (F.col("first_target") == PREFIX) & (F.col("end_target") == F.col("n")) & (F.col("k") == F.col("c"))
-    return by.select("doc_id", "targets", (F.col("n") - PREFIX).alias("wanted"), "first_target", "end_target", full.alias("is_complete"))
+    rows = table(spark, sf, "documents").select("doc_id", (F.length("text") + 2).alias("n"))
+    return coverage(rows, "doc_id", "n", BLOCK).withColumnRenamed("n", "wanted").withColumn("wanted", F.col("wanted") - PREFIX)
+
+
+def coverage(rows: DataFrame, id: str, n: str, block: int, stride: int | None = None, first: int = PREFIX) -> DataFrame:
+    """(id, targets, n, first_target, end_target, is_complete): whether a plan's windows meet every target exactly once.
+
+    The windows of a row are added up inside it: each has to begin where the one
+    before ends.  Rows of one id and length count together, and are not complete.
+    """
+    stride = stride or max(1, block // 2)
+    rows = rows.where(F.col(n) > first).select(id, n, F.sequence(F.lit(first), F.col(n) - 1, F.lit(stride)).alias("_starts"))
+    rows = rows.withColumn("_stops", F.transform("_starts", lambda s: stop_of(s, n, stride)))
+    sizes = F.zip_with("_stops", "_starts", lambda a, b: (a - b).cast("long"))
+    joined = F.slice("_starts", 2, F.size("_starts")) == F.slice("_stops", 1, F.size("_stops") - 1)
+    by = rows.select(id, n, F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("t"), F.array_min("_starts").alias("a"), F.array_max("_stops").alias("b"), joined.alias("ok"))
+    by = by.groupBy(id, n).agg(F.sum("t").alias("targets"), F.min("a").alias("first_target"), F.max("b").alias("end_target"), F.bool_and("ok").alias("ok"))
+    full = (F.col("targets") == F.col(n) - first) & (F.col("first_target") == first) & (F.col("end_target") == F.col(n)) & F.col("ok")
+    return by.select(id, "targets", n, "first_target", "end_target", full.alias("is_complete"))
 
 
 @query(

@@ -84,6 +84,14 @@ def test_ids_of_characters(spark):
     assert {r.token for r in tokens.char_vocabulary(df).collect()} == {*tokens.SPECIALS, *"aé😀?\x00"}
 
 
+def test_coverage_inside_rows(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 34), (4, 35), (5, 500), (6, 90), (6, 90)], "doc_id long, n int")
+    plan = windows.coverage(df, "doc_id", "n", 64)
+    got = {r.doc_id: tuple(r)[1:] for r in plan.collect()}
+    assert got == {2: (1, 3, 2, 3, True), 3: (32, 34, 2, 34, True), 4: (33, 35, 2, 35, True), 5: (498, 500, 2, 500, True), 6: (176, 90, 2, 90, False)}
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()  # a row a document, not one a window
+
+
 def test_split_of_boundary_dates(spark):
     df = spark.createDataFrame([("2019-11-30",), ("2019-12-01",), ("2020-01-30",), ("2020-01-31",), ("2022-02-01",), ("2019-11-29",)], "d string")
     assert column(df, splits.assign(F.col("d").cast("date"))) == ["T", "excluded", "excluded", "N", "F", "T"]
