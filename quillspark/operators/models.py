@@ -422,6 +422,29 @@ class CharTransformer:
         return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
 
 
+    def target_logs(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """For many sequences of one length the log-probability of a target after each of their last places.
+
+        As :meth:`log_probs`, but only of what is asked for; (sequence, place) in and out.
+        """
+        x = self.embed[ids]
+        m = targets.shape[1]
+        last = x[:, -m:]
+        s = (last @ self.q) @ (x @ self.k).transpose(0, 2, 1)
+        s /= math.sqrt(x.shape[2])
+        s[:, ~np.tri(m, x.shape[1], x.shape[1] - m, dtype=bool)] = -np.inf
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        y = (last + s @ (x @ self.v)).reshape(-1, x.shape[2])
+        logits = y @ self.embed.T
+        top = logits.max(axis=1)
+        found = logits[np.arange(len(y)), targets.ravel()] - top
+        logits -= top[:, None]
+        np.exp(logits, out=logits)
+        return (found - np.log(logits.sum(axis=1))).reshape(targets.shape)
+
+
 def scored_windows(n: int, block: int) -> Iterator[tuple[int, int, int]]:
     """(context, start, stop) of the windows over ``n`` ids: places from start on are scored, after what stands from context on."""
     for start in range(2, n, block // 2):
@@ -429,25 +452,53 @@ def scored_windows(n: int, block: int) -> Iterator[tuple[int, int, int]]:
         yield max(0, stop - 1 - block), start, stop
 
 
+#: Windows of one length that are scored at once; what they take stays in a core's cache.
+WINDOWS = 16
+
+
 def transformer_scores(docs: DataFrame, vocab: dict[str, int], model: CharTransformer, block: int = 64) -> DataFrame:
     """(doc_id, total_nll, body_tokens): windowed log-likelihoods, every character scored once in context."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, model))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, model = sent.value
+        known = np.zeros(BLANK, np.int32)
+        for c, i in vocab.items():
+            if len(c) == 1:
+                known[ord(c)] = i
         for frame in frames:
-            rows = []
-            for doc, genre, body in zip(frame.doc_id, frame.genre, frame.body, strict=True):
-                ids = np.array([0, 1 if genre == "statement" else 2, *(vocab.get(c, 0) for c in body or "")])
-                total = 0.0
-                for ctx, start, stop in scored_windows(len(ids), block):
-                    logs = model.log_probs(ids[ctx : stop - 1])
-                    at = np.arange(start - 1 - ctx, stop - 1 - ctx)
-                    total -= logs[at, ids[start:stop]].sum()
-                rows.append((doc, total, len(ids) - 2))
-            yield pd.DataFrame(rows, columns=["doc_id", "total_nll", "body_tokens"])
-
-    return docs.select("doc_id", "genre", "body").mapInPandas(run, "doc_id long, total_nll double, body_tokens long")
+            bodies = [body or "" for body in frame.body]
+            sizes = np.array([len(body) for body in bodies], np.int64)
+            total = np.zeros(len(frame))
+            groups: dict[int, list[tuple[int, int, int, int]]] = {}
+
+            def score(length: int, some: list[tuple[int, int, int, int]], total: np.ndarray) -> None:
+                doc, first, stop, n = np.array(some).T
+                m = int(n.max())
+                logs = model.target_logs(ids[first[:, None] + np.arange(length)], ids[stop[:, None] + np.arange(-m, 0)])
+                logs[np.arange(m) < m - n[:, None]] = 0  # scored in the window before
+                np.subtract.at(total, doc, logs.sum(axis=1))
+
+            rows = enumerate(zip(frame.genre, bodies, strict=True))
+            while (held := next(rows, None)) is not None:
+                parts, base = [], 0
+                while held is not None:
+                    k, (genre, body) = held
+                    points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), "<u4")
+                    parts += [np.array([0, 1 if genre == "statement" else 2], np.int32), known[points]]
+                    for ctx, start, stop in scored_windows(len(body) + 2, block):
+                        groups.setdefault(stop - 1 - ctx, []).append((k, base + ctx, base + stop, stop - start))
+                    base += len(body) + 2
+                    held = next(rows, None) if base < PIECE else None
+                ids = np.concatenate(parts)
+                for length, found in groups.items():
+                    for i in range(0, len(found), WINDOWS):
+                        score(length, found[i : i + WINDOWS], total)
+                groups.clear()
+            yield pd.DataFrame({"doc_id": frame.doc_id, "total_nll": total, "body_tokens": sizes})
+
+    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism  # the texts are small beside the work on them
+    return docs.select("doc_id", "genre", "body").repartition(parts, "doc_id").mapInPandas(run, "doc_id long, total_nll double, body_tokens long")
 
 
 @query("transformer_nll")

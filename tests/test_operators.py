@@ -76,6 +76,25 @@ def test_scores_by_sent_and_by_joined_grams(spark, monkeypatch):
     assert models.text_scores(docs.where("false"), p.where("false")).count() == 0
 
 
+def test_windows_are_scored_together_as_alone(spark):
+    """Batched windows give what one window at a time gives, odd lengths and unknown characters included."""
+    r = random.Random(5)
+    texts = [None, "", "a", "".join(r.choice("abcdeé😀") for _ in range(700)), *("ab" * k for k in (15, 16, 17, 31, 32, 40, 48, 64))]
+    vocab = {"<BOS>": 0, "<stmt>": 1, "<min>": 2, **{c: i for i, c in enumerate("abcd😀", 3)}}
+    model = models.CharTransformer(len(vocab))
+    docs = spark.createDataFrame([(i, ("statement", "minutes")[i % 2], t) for i, t in enumerate(texts)], "doc_id long, genre string, body string")
+    found = {x.doc_id: x for x in models.transformer_scores(docs, vocab, model).collect()}
+    for i, t in enumerate(texts):
+        ids = models.np.array([0, 1 + i % 2, *(vocab.get(c, 0) for c in t or "")])
+        want = 0.0
+        for ctx, start, stop in models.scored_windows(len(ids), 64):
+            logs = model.log_probs(ids[ctx : stop - 1])
+            want -= sum(logs[k - 1 - ctx, ids[k]] for k in range(start, stop))
+        assert found[i].total_nll == pytest.approx(want, rel=1e-12) and found[i].body_tokens == len(t or "")
+    part = models.np.array([[0, 1, 3, 4, 5], [0, 2, 6, 7, 3]])
+    assert models.np.allclose(model.target_logs(part, part[:, 2:4]), [[model.log_probs(x)[3 + j, x[2 + j]] for j in (0, 1)] for x in part])
+
+
 def test_ids_of_characters(spark):
     df = spark.createDataFrame([(1, "aé😀a?"), (2, ""), (3, None), (4, "\x00")], "i long, body string")
     vocab = {"<BOS>": 0, "a": 3, "é": 4, "😀": 5, "\x00": 6}
