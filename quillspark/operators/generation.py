@@ -15,6 +15,10 @@ with one prompt continue alike; no prompt gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +35,39 @@ BITS = 32
 
 def distributions(wanted: DataFrame, known: DataFrame, alphabet: list[str], order: int) -> DataFrame:
     """(ctx, p): the probability of every character of the alphabet after each distinct context."""
-    steps = looked_up(wanted, known, len(alphabet), order).groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("k", "total", "types", F.map_entries("seen").alias("seen")))).alias("steps"))
-    steps = steps.withColumn("steps", F.transform("steps", lambda s: F.struct(s["total"].alias("total"), s["types"].alias("types"), F.map_from_entries(s["seen"]).alias("seen"))))
-    chars = F.array(*map(F.lit, alphabet))
-    p = F.transform(chars, lambda c: F.aggregate("steps", F.lit(1.0 / len(alphabet)), lambda p, s: F.when(s["total"].isNull(), p).otherwise((F.coalesce(F.try_element_at(s["seen"], c), F.lit(0)) + s["types"] * p) / (s["total"] + s["types"]))))
-    return steps.select("ctx", p.alias("p"))
+    found = looked_up(wanted, known, len(alphabet), order).select("ctx", F.struct("k", "total", "types", F.map_entries("seen").alias("seen")).alias("s"))
+    steps = found.groupBy("ctx").agg(F.sort_array(F.collect_list("s")).alias("steps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {c: i for i, c in enumerate(alphabet)}
+        for batch in batches:
+            out = np.full((batch.num_rows, len(alphabet)), 1.0 / len(alphabet))
+            for p, steps in zip(out, batch.column("steps").to_pylist(), strict=True):
+                for s in steps:  # from the shortest context up
+                    if s["total"] is not None:
+                        n = np.zeros(len(alphabet))
+                        n[[place[e["key"]] for e in s["seen"]]] = [e["value"] for e in s["seen"]]
+                        p[:] = (n + s["types"] * p) / (s["total"] + s["types"])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(alphabet), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("ctx"), rows], ["ctx", "p"])
+
+    return steps.mapInArrow(run, "ctx string, p array<double>")
+
+
+def weights(p: DataFrame, power: float, top_k: int | None) -> DataFrame:
+    """(ctx, upto, best): cumulated weights of the characters that may be drawn, and the place of the likeliest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            w = p**power
+            if top_k:
+                w[w < np.sort(w, axis=1)[:, [-min(top_k, w.shape[1])]]] = 0
+            upto = np.cumsum(w, axis=1)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * w.shape[1], pa.int32()), pa.array(upto.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("ctx"), rows, pa.array(p.argmax(axis=1))], ["ctx", "upto", "best"])
+
+    return p.mapInArrow(run, "ctx string, upto array<double>, best long")
 
 
 def generate(prompts: DataFrame, counts: DataFrame, steps: int, id: str = "id", text: str = "text", order: int = ORDER, temperature: float = 1.0, greedy: bool = False, top_k: int | None = None, seed: int = 0) -> DataFrame:
@@ -48,14 +80,12 @@ def generate(prompts: DataFrame, counts: DataFrame, steps: int, id: str = "id",
     for step in range(steps):
         rows = shared_table(rows.withColumn("ctx", F.when(F.lit(order < 2), "").otherwise(F.expr(f"right(concat(text, new), {max(order - 1, 1)})"))))
         p = distributions(rows.select("ctx").distinct(), known, alphabet, order)
-        w = F.transform("p", lambda v: F.pow(v, F.lit(1 / max(temperature, 1e-8))))
-        kth = F.get(F.sort_array("w", asc=False), F.least(F.lit(top_k), F.size("w")) - 1) if top_k else F.lit(0.0)
-        p = p.withColumn("w", w).withColumn("kth", kth).withColumn("w", F.expr("transform(w, v -> case when v >= kth then v else 0D end)"))
-        p = p.withColumn("sum", F.expr("aggregate(w, 0D, (a, v) -> a + v)")).withColumn("best", F.array_position("p", F.array_max("p")) - 1)
-        rows = rows.join(p.select("ctx", "w", "sum", "best"), "ctx")
+        p = weights(p, 1 / max(temperature, 1e-8), top_k)
+        rows = rows.join(p, "ctx")
         u = (draw(F.lit("generate"), F.lit(seed), F.lit(step), F.col("id"), n=F.lit(1 << BITS)) + 0.5) / float(1 << BITS)
-        place = F.expr("aggregate(w, struct(0D as sum, 0 as n), (a, v) -> struct(a.sum + v as sum, a.n + cast(a.sum + v <= u as int) as n), a -> a.n)")
-        rows = rows.withColumn("u", u * F.col("sum")).withColumn("at", F.col("best") if greedy else F.least(place, F.lit(len(alphabet) - 1)))
+        rows = rows.withColumn("u", u * F.element_at("upto", -1)).where(F.spark_partition_id() >= 0)  # keeps the draw out of the loop below
+        place = F.size(F.filter("upto", lambda c: c <= F.col("u")))
+        rows = rows.withColumn("at", F.col("best") if greedy else F.least(place, F.lit(len(alphabet) - 1)))
         rows = rows.select("id", "text", F.concat("new", F.get(F.array(*map(F.lit, alphabet)), F.col("at").cast("int"))).alias("new"))
     return rows
 

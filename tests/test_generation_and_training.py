@@ -107,3 +107,13 @@ def test_training_equals_a_plain_loop(spark):
             assert ends[run, epoch].val_accuracy == pytest.approx(sum((f > 0.5) == (y > 0.5) for f, y in held) / len(held))
         best = min((1, 2), key=lambda e: ends[run, e].val_loss)
         assert [e for e in (1, 2) if ends[run, e].is_best] == [best]
+
+
+def test_weights_are_made_once_a_context(spark):
+    """Powers, cut and sums are no nested lambdas, which would be run again for each character."""
+    p = spark.createDataFrame([("a", [0.1, 0.4, 0.2, 0.3]), ("b", [0.25] * 4)], "ctx string, p array<double>")
+    made = generation.weights(p, 2.0, 2)
+    got = {r.ctx: (r.upto, r.best) for r in made.collect()}
+    assert got["a"][0] == pytest.approx([0, 0.16, 0.16, 0.25]) and got["a"][1] == 1
+    assert got["b"][0] == pytest.approx([0.0625, 0.125, 0.1875, 0.25]) and got["b"][1] == 0
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
